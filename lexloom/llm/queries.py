@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontaminate, langid, pii, quality, toxicity
+from . import decontaminate, langid, packing, pii, quality, spotsigs, toxicity, wavelet
 from .common import read_table
 
 
@@ -28,5 +28,17 @@ def op5_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.report(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "benchmark"))
 
 
-QUERIES = {f.__name__: f for f in (op1_toxicity, op2_pii, op3_language, op4_quality, op5_decontamination)}
+def op6_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spotsigs.report(read_table(spark, sf_dir, "documents"))
+
+
+def op8_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return wavelet.round_trip(read_table(spark, sf_dir, "documents"))
+
+
+def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack(read_table(spark, sf_dir, "documents"))
+
+
+QUERIES = {f.__name__: f for f in (op1_toxicity, op2_pii, op3_language, op4_quality, op5_decontamination, op6_fingerprints, op8_tokens, op10_packing)}
 ORACLES: dict[str, str] = {}
