@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontaminate, langid, packing, pii, quality, spotsigs, toxicity, wavelet
+from . import decontaminate, langid, ngram_join, packing, pii, quality, spotsigs, toxicity, wavelet
 from .common import read_table
 
 
@@ -32,6 +32,10 @@ def op6_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spotsigs.report(read_table(spark, sf_dir, "documents"))
 
 
+def op7_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_join.report(read_table(spark, sf_dir, "documents"))
+
+
 def op8_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
     return wavelet.round_trip(read_table(spark, sf_dir, "documents"))
 
@@ -40,5 +44,5 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(read_table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_toxicity, op2_pii, op3_language, op4_quality, op5_decontamination, op6_fingerprints, op8_tokens, op10_packing)}
+QUERIES = {f.__name__: f for f in (op1_toxicity, op2_pii, op3_language, op4_quality, op5_decontamination, op6_fingerprints, op7_ngram_join, op8_tokens, op10_packing)}
 ORACLES: dict[str, str] = {}
