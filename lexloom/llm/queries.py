@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontaminate, langid, ngram_join, packing, pii, quality, spotsigs, toxicity, wavelet
+from . import decontaminate, langid, ngram_join, packing, pii, quality, spotsigs, suffix_dedup, toxicity, wavelet
 from .common import read_table
 
 
@@ -40,9 +40,13 @@ def op8_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
     return wavelet.round_trip(read_table(spark, sf_dir, "documents"))
 
 
+def op9_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_dedup.report(read_table(spark, sf_dir, "documents"))
+
+
 def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(read_table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_toxicity, op2_pii, op3_language, op4_quality, op5_decontamination, op6_fingerprints, op7_ngram_join, op8_tokens, op10_packing)}
+QUERIES = {f.__name__: f for f in (op1_toxicity, op2_pii, op3_language, op4_quality, op5_decontamination, op6_fingerprints, op7_ngram_join, op8_tokens, op9_suffix_dedup, op10_packing)}
 ORACLES: dict[str, str] = {}
