@@ -82,8 +82,11 @@ class Bands:
     def __init__(self, percent: int = PERCENT, longest: int = 1 << 40):
         self.t = Fraction(percent, 100)
         self.starts = [max(1, int(self.t / (1 - self.t)))]  # below, only equal sets are alike enough
+        # a band of ratio t**-m costs 1 + 1 / m stays of each set and parts for its largest set: take the cheapest m
+        cost = {m: (1 + 1 / m) * (float(self.t) ** -m - 1) / m for m in range(1, 9)}
+        power = min(cost, key=cost.get)
         while self.starts[-1] < longest:
-            self.starts.append(int(-(-self.starts[-1] // self.t**4)) + 1)
+            self.starts.append(int(-(-self.starts[-1] // self.t**power)) + 1)
         self.parts = [int(2 * (end - 1) * (1 - self.t) / (1 + self.t)) + 1 for end in self.starts[1:]]
 
     def of(self, n: int) -> list[int]:
