@@ -36,7 +36,8 @@ from pyspark.sql import functions as F
 from .common import materialise, small_batches, text_key
 
 LENGTH, ANCHOR = 200, 64
-INDEX_BYTES, GROUP_BYTES = 1_000_000, 4_000_000
+INDEX_BYTES, GROUP_BYTES = 1_500_000, 4_000_000
+REMEMBERED = 300_000
 PIECE = 2_000_000
 BITS = 1 << 28
 PLACE = np.uint64((1 << 24) - 1)
@@ -92,7 +93,8 @@ def segments(texts: list[bytes], length: int = LENGTH, anchor: int = ANCHOR) ->
             new = np.concatenate([[True], (place[1:] != place[:-1]) | (owner[1:] != owner[:-1])])
             first = np.flatnonzero(new)
             last = np.concatenate([first[1:], [len(start)]]) - 1
-            parts.append((full[place[first]], owner[first], start[first], start[last]))
+            chosen = full[place[first]] * np.uint64(_R)  # the least hashes have no high bits left: spread them again
+            parts.append((chosen ^ (chosen >> np.uint64(32)), owner[first], start[first], start[last]))
     if not parts:
         return np.zeros(0, np.uint64), *(np.zeros(0, np.int64) for _ in range(3)), whole
     return *(np.concatenate([p[k] for p in parts]) for k in range(4)), whole
@@ -230,8 +232,10 @@ def repeated_ranges(docs: DataFrame, length: int = LENGTH, anchor: int = ANCHOR,
     shift = np.uint64(64 - (bits.bit_length() - 1))
 
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bitmap = shared.value
+        bitmap, told = shared.value, set()
         for batch in batches:
+            if len(told) > REMEMBERED:
+                told.clear()
             texts = batch.column(1).cast(pa.binary()).to_pylist()
             hashed, owner, first, last, whole = segments(texts, length, anchor)
             slot = (hashed >> shift).astype(np.int64)
@@ -246,7 +250,8 @@ def repeated_ranges(docs: DataFrame, length: int = LENGTH, anchor: int = ANCHOR,
                 if (a, h) in local:
                     local[a, h][0] += 1
                 else:
-                    local[a, h] = [1, seg]
+                    local[a, h] = [1, None if (a, h) in told else seg]  # a task sends a segment's bytes once
+                    told.add((a, h))
             yield pa.RecordBatch.from_arrays(
                 [
                     pa.array([a for a, *_ in marks] + [a for a, _ in local], pa.int64()),
@@ -261,8 +266,8 @@ def repeated_ranges(docs: DataFrame, length: int = LENGTH, anchor: int = ANCHOR,
             )
 
     found = materialise(rows.mapInArrow(emit, f"anchor long, hash long, doc_id {kind}, text_key long, at long, n long, seg binary"), "segments")
-    places, segs = found.where("at is not null").select("anchor", "hash", "doc_id", "text_key", "at"), found.where("seg is not null").select("anchor", "hash", "n", "seg")
-    large = segs.groupBy("anchor").agg(F.sum(F.length("seg")).alias("total")).where(F.col("total") > group_bytes).select("anchor")
+    places, segs = found.where("at is not null").select("anchor", "hash", "doc_id", "text_key", "at"), found.where("n is not null").select("anchor", "hash", "n", "seg")
+    large = segs.groupBy("anchor").agg(F.coalesce(F.sum(F.length("seg")), F.lit(0)).alias("total")).where(F.col("total") > group_bytes).select("anchor")
     large = materialise(large, "large")
     if large.limit(1).count():
         marks = _index(segs.join(large, "anchor", "left_anti"), length).unionByName(_by_windows(segs.join(large, "anchor", "left_semi"), length))
@@ -287,12 +292,13 @@ def _index(segs: DataFrame, length: int) -> DataFrame:
             for a, h, n, seg in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 if group and group[-1][:2] == [a, h]:
                     group[-1][2] += n
+                    group[-1][3] = group[-1][3] or seg
                     continue
                 if size >= INDEX_BYTES and group[-1][0] != a:
                     yield flush()
                     group, size = [], 0
                 group.append([a, h, n, seg])
-                size += len(seg)
+                size += 2 * length
         if group:
             yield flush()
 
@@ -303,7 +309,7 @@ def _index(segs: DataFrame, length: int) -> DataFrame:
 
 def _by_windows(segs: DataFrame, length: int) -> DataFrame:
     """The same for anchors with too many distinct segments for one task: windows meet by 128 bits of hash."""
-    distinct = segs.groupBy("anchor", "hash").agg(F.sum("n").alias("n"), F.first("seg").alias("seg"))
+    distinct = segs.groupBy("anchor", "hash").agg(F.sum("n").alias("n"), F.first("seg", ignorenulls=True).alias("seg"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
