@@ -7,7 +7,10 @@ A document's set is its distinct word shingles, as 64-bit hashes. Equal sets are
    signature; sets that share one get the smallest class among them as their leader. Parts are counted by bands of set
    sizes, and a set near the top of its band also stands in the next one. No pairs are made: a leader and its followers
    are a group, and two linked sets meet in at least one group.
-2. Groups. A group is opened in one task; a large one is dealt into blocks, and every two blocks meet in a task.
+2. Groups. A group is opened in one task; a large one is dealt into blocks, and every two blocks meet in a task. First
+   only shapes are sent: counts of a set's shingles in SHAPE ranges of the hash. Shapes that differ by more than two
+   linked sets can rule a pair out, and a box around the shapes of a small group rules out all of it at once. Texts
+   follow only for sets that still have a possible partner.
 3. Token-group matrix. In a task similar-sized sets form small groups with the union of their shingles. A set's overlap
    with a union bounds its overlap with each member, so only groups that can hold a partner are opened, and there the
    exact test is 100 * intersection >= 100 t * union. Links come out as a spanning forest of each task.
@@ -34,6 +37,7 @@ from .components import connected
 
 WORDS, PERCENT = 3, 90
 BLOCK_SETS, BLOCK_SHINGLES, SUBGROUP = 512, 400_000, 16
+SHAPE = 64
 REMEMBERED = 200_000
 
 _LOWER = bytes(b + 32 if 65 <= b <= 90 else b for b in range(256))
@@ -76,6 +80,11 @@ def key_of(tokens: np.ndarray) -> int:
     return int(np.uint64(xxhash.xxh3_64_intdigest(tokens.tobytes(), seed=len(tokens))).astype(np.int64))
 
 
+def shape_of(tokens: np.ndarray) -> bytes:
+    """How many shingles fall in each of SHAPE ranges of the hash, at most 65535 each."""
+    return np.minimum(np.bincount((tokens >> np.uint64(58)).astype(np.int64), minlength=SHAPE), 65535).astype("<u2").tobytes()
+
+
 class Bands:
     """Bands of set sizes and their numbers of parts, for a likeness of percent / 100."""
 
@@ -113,16 +122,16 @@ def signatures(tokens: np.ndarray, bands: Bands) -> np.ndarray:
 
 
 def document_sets(docs: DataFrame, width: int = WORDS) -> DataFrame:
-    """doc_id, text_key, n_shingles and key (of the set; null if it is empty), in one scan."""
+    """doc_id, text_key, n_shingles, key (of the set; null if it is empty) and shape, in one scan."""
     small_batches(docs.sparkSession)
     rows = docs.select("doc_id", "text", text_key(F.col("text")).alias("text_key"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             sets = [shingles(t or b"", width) for t in batch.column(1).cast(pa.binary()).to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array([len(s) for s in sets], pa.int64()), pa.array([key_of(s) if len(s) else None for s in sets], pa.int64())], names=["doc_id", "text_key", "n_shingles", "key"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array([len(s) for s in sets], pa.int64()), pa.array([key_of(s) if len(s) else None for s in sets], pa.int64()), pa.array([shape_of(s) for s in sets], pa.binary())], names=["doc_id", "text_key", "n_shingles", "key", "shape"])
 
-    return rows.mapInArrow(run, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, text_key long, n_shingles long, key long")
+    return rows.mapInArrow(run, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, text_key long, n_shingles long, key long, shape binary")
 
 
 def candidates(docs: DataFrame, width: int = WORDS, percent: int = PERCENT) -> DataFrame:
@@ -154,17 +163,19 @@ def links(docs: DataFrame, sets: DataFrame, width: int = WORDS, percent: int = P
     """(a, b): links between classes (keys) of different sets, as spanning forests of the tasks that found them."""
     pairs = materialise(candidates(docs, width, percent), "leaders")
     members = pairs.union(pairs.select("leader", F.col("leader").alias("key"))).distinct()
-    classes = sets.where("key is not null and doc_id is not null").groupBy("key").agg(F.min("doc_id").alias("doc_id"), F.first("n_shingles").alias("n"))
+    classes = sets.where("key is not null and doc_id is not null").groupBy("key").agg(F.min("doc_id").alias("doc_id"), F.first("n_shingles").alias("n"), F.first("shape").alias("shape"))
     sized = members.join(classes, "key")
     groups = sized.groupBy("leader").agg(F.count("*").alias("m"), F.sum("n").alias("total"))
     blocks = groups.select("leader", F.greatest(F.ceil(F.col("m") / BLOCK_SETS), F.ceil(F.col("total") / BLOCK_SHINGLES)).cast("int").alias("blocks"))
-    dealt = sized.join(blocks, "leader").withColumn("block", F.pmod(F.xxhash64("key"), F.col("blocks")).cast("int"))
-    dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    dealt = dealt.select("doc_id", "key", F.col("block").alias("own"), F.struct("leader", F.least("block", "other").alias("x"), F.greatest("block", "other").alias("y")).alias("task"))
-    wanted = dealt.groupBy("doc_id", "key").agg(F.collect_list(F.struct("own", "task")).alias("tasks"))
+    dealt = sized.join(blocks, "leader").withColumn("own", F.pmod(F.xxhash64("key"), F.col("blocks")).cast("int"))
+    dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).withColumn("x", F.least("own", "other")).withColumn("y", F.greatest("own", "other"))
+    parts = max(32, int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions", "200")))
+    task = ["leader", "x", "y"]
+    sent = dealt.select(*task, "own", "key", F.col("doc_id").cast("long").alias("doc_id"), "n", "shape").repartition(parts, *task).sortWithinPartitions(*task, "n", "key")
+    left = materialise(sent.mapInArrow(_sifter(percent), "leader long, x int, y int, own int, key long, doc_id long"), "tasks")
+    wanted = left.groupBy("doc_id", "key").agg(F.collect_list(F.struct(*task, "own")).alias("tasks"))
     texts = docs.where("text is not null").select("doc_id", "text").join(wanted, "doc_id").select("text", "key", F.explode("tasks").alias("t"))
-    n = max(32, int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions", "200")))
-    rows = texts.select("t.task.*", "t.own", "key", "text").repartition(n, "leader", "x", "y").sortWithinPartitions("leader", "x", "y", "key")
+    rows = texts.select("t.*", "key", "text").repartition(parts, *task).sortWithinPartitions(*task, "key").select(*task, "own", "key", "text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         now, found = None, {}
@@ -182,6 +193,58 @@ def links(docs: DataFrame, sets: DataFrame, width: int = WORDS, percent: int = P
     return rows.mapInArrow(run, "a long, b long").distinct()
 
 
+def _sifter(percent: int):
+    """Of each task's sets (sorted by size), those that may link with another by their shapes."""
+
+    def sift(rows: list[tuple]) -> list[tuple]:
+        if len(rows) < 2:
+            return []
+        shapes = np.frombuffer(b"".join(r[7] for r in rows), dtype="<u2").reshape(-1, SHAPE).astype(np.int32)
+        sizes = np.array([r[6] for r in rows], dtype=np.int64)
+        own = np.array([r[3] for r in rows])
+        starts = np.arange(0, len(rows), SUBGROUP)
+        high, low = np.maximum.reduceat(shapes, starts), np.minimum.reduceat(shapes, starts)
+        most = sizes[np.minimum(starts + SUBGROUP, len(rows)) - 1]
+        keep = np.zeros(len(rows), dtype=bool)
+        across = rows[0][1] != rows[0][2]
+        for q in range(1, len(rows)):
+            n, mine = int(sizes[q]), shapes[q]
+            last = q // SUBGROUP + 1  # partners come before q in order of size, so their groups do too
+            first = int(np.searchsorted(100 * most[:last], percent * n))
+            if last - first > 2:
+                box = np.maximum(low[first:last] - mine, mine - high[first:last]).clip(0).sum(axis=1)
+                near = (np.flatnonzero((100 + percent) * box <= (100 - percent) * 2 * n) + first).tolist()
+            else:
+                near = range(first, last)
+            for g in near:
+                a, b = g * SUBGROUP, min(g * SUBGROUP + SUBGROUP, q)
+                apart = np.abs(shapes[a:b] - mine).sum(axis=1)
+                ok = ((100 + percent) * apart <= (100 - percent) * (n + sizes[a:b])) & (100 * sizes[a:b] >= percent * n)
+                if across:
+                    ok &= own[a:b] != own[q]
+                if ok.any():
+                    keep[a:b] |= ok
+                    keep[q] = True
+        return [r[:6] for r, k in zip(rows, keep.tolist(), strict=True) if k]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        kinds = [pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.int64(), pa.int64()]
+        now: tuple | None = None
+        rows: list[tuple] = []
+        for batch in batches:
+            out = []
+            for row in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                if row[:3] != now:
+                    out += sift(rows)
+                    now, rows = row[:3], []
+                rows.append(row)
+            yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in out], kind) for k, kind in enumerate(kinds)], names=["leader", "x", "y", "own", "key", "doc_id"])
+        out = sift(rows)
+        yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in out], kind) for k, kind in enumerate(kinds)], names=["leader", "x", "y", "own", "key", "doc_id"])
+
+    return run
+
+
 def _edges(pairs: list[tuple[int, int]]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array([p[k] for p in pairs], pa.int64()) for k in (0, 1)], names=["a", "b"])
 
