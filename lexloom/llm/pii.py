@@ -15,7 +15,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 _LOCAL = "A-Za-z0-9._%+-"
-_PART = "0*+(?:25[0-5]|2[0-4][0-9]|1[0-9][0-9]|[1-9]?[0-9])"
+_PART = "0*(?:25[0-5]|2[0-4][0-9]|1[0-9][0-9]|[0-9]{1,2})"
 
 #: How each kind looks. A run of e-mail characters is entered at its start or where the last match ended.
 PATTERNS = {
@@ -156,6 +156,9 @@ def redact(docs: DataFrame) -> DataFrame:
 
     Spans that overlap are replaced together, by the kind of the first.
     """
+    name = "pii_spans"
+    while name in docs.columns:
+        name += "_"
     text = F.coalesce(F.col("text"), F.lit(""))
     start = F.struct(F.lit(0).alias("at"), F.array().cast("array<string>").alias("out"))
 
@@ -163,8 +166,7 @@ def redact(docs: DataFrame) -> DataFrame:
         kept = F.concat(acc["out"], F.array(F.substring(text, acc["at"] + 1, x["start"] - acc["at"]), F.concat(F.lit("["), x["kind"], F.lit("]"))))
         return F.struct(F.greatest(acc["at"], x["end"]).alias("at"), F.when(x["start"] >= acc["at"], kept).otherwise(acc["out"]).alias("out"))
 
-    done = F.aggregate("pii_spans", start, step, lambda acc: F.concat(F.array_join(acc["out"], ""), F.substring(text, acc["at"] + 1, F.length(text))))
-    name = "pii_spans"
+    done = F.aggregate(name, start, step, lambda acc: F.concat(F.array_join(acc["out"], ""), F.substring(text, acc["at"] + 1, F.length(text))))
     out = with_spans(docs, name)
     out = out.withColumn("text", F.when(F.size(name) > 0, done).otherwise(F.col("text"))).drop(name)
     if "n_chars" in docs.columns:

@@ -32,6 +32,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType, StructField, StructType
 
 from .common import materialise, small_batches, text_key
 
@@ -345,9 +346,10 @@ def _cut(raw: bytes, ranges: list[list[int]]) -> bytes:
 
 
 def _with_ranges(docs: DataFrame, length: int) -> DataFrame:
-    rows = docs.withColumn("text_key", text_key(F.col("text"))).alias("d")
-    found = repeated_ranges(docs, length).alias("r")
-    return rows.join(found, F.col("d.doc_id").eqNullSafe(F.col("r.doc_id")) & (F.col("d.text_key") == F.col("r.text_key")), "left").select("d.*", "r.ranges").drop("text_key")
+    """One struct column `row` of docs' columns, beside `text` and `ranges`."""
+    rows = docs.select(F.struct("*").alias("row"), "doc_id", "text", text_key(F.col("text")).alias("text_key")).alias("d")
+    found = repeated_ranges(docs.select("doc_id", "text"), length).alias("r")
+    return rows.join(found, F.col("d.doc_id").eqNullSafe(F.col("r.doc_id")) & (F.col("d.text_key") == F.col("r.text_key")), "left").select("d.row", "d.doc_id", "d.text", "r.ranges")
 
 
 def report(docs: DataFrame, length: int = LENGTH) -> DataFrame:
@@ -363,20 +365,18 @@ def report(docs: DataFrame, length: int = LENGTH) -> DataFrame:
             yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(c, k) for c, k in zip(out, (pa.int64(), pa.int64(), pa.int64(), pa.string()), strict=True))], names=["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"])
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    return _with_ranges(docs.select("doc_id", "text"), length).mapInArrow(run, f"doc_id {kind}, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
+    return _with_ranges(docs.select("doc_id", "text"), length).select("doc_id", "text", "ranges").mapInArrow(run, f"doc_id {kind}, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
 
 
 def remove(docs: DataFrame, length: int = LENGTH) -> DataFrame:
     """The documents, with their own columns, without repeated strings; characters that a cut splits are dropped."""
-    marked = _with_ranges(docs, length)
-    place, ranges = docs.columns.index("text"), len(docs.columns)
+    marked = _with_ranges(docs, length).select("row", "text", "ranges")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            raws, spans = batch.column(place).cast(pa.binary()).to_pylist(), batch.column(ranges).to_pylist()
+            raws, spans = batch.column(1).cast(pa.binary()).to_pylist(), batch.column(2).to_pylist()
             texts = [None if r is None else _cut(r, _united(s)).decode(errors="ignore") for r, s in zip(raws, spans, strict=True)]
-            columns = list(batch.columns[:ranges])
-            columns[place] = pa.array(texts, pa.string())
-            yield pa.RecordBatch.from_arrays(columns, names=docs.columns)
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(texts, pa.string())], names=["row", "text"])
 
-    return marked.mapInArrow(run, docs.schema)
+    cut = marked.mapInArrow(run, StructType([marked.schema["row"], StructField("text", StringType())]))
+    return cut.select(*[F.col("text") if c == "text" else F.col(f"row.`{c}`").alias(c) for c in docs.columns])
