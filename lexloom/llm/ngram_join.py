@@ -3,8 +3,9 @@
 A document's set is its distinct word shingles, as 64-bit hashes. Equal sets are one class from the start. Of the rest:
 
 1. Candidates. Two sets of Jaccard likeness t or more differ in few shingles: at most (x + y)(1 - t)/(1 + t). A set's hash
-   range is cut into one part more than that, so the sets agree on all shingles of some part. Each part's hash is a
-   signature; sets that share one get the smallest class among them as their leader. Parts are counted by bands of set
+   range is cut into more parts than that, so the sets agree on all shingles of some part. Each part's hash is a
+   signature; empty parts have one only in the rare set that has no more other parts than shingles may differ (if either
+   of two linked sets has more, one of its parts with shingles is untouched, and the other set has that part too). Sets that share one get the smallest class among them as their leader. Parts are counted by bands of set
    sizes, and a set near the top of its band also stands in the next one. No pairs are made: a leader and its followers
    are a group, and two linked sets meet in at least one group.
 2. Groups. A group is opened in one task; a large one is dealt into blocks, and every two blocks meet in a task. First
@@ -23,6 +24,7 @@ each other; other columns are ignored.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 from fractions import Fraction
 
@@ -96,7 +98,16 @@ class Bands:
         power = min(cost, key=cost.get)
         while self.starts[-1] < longest:
             self.starts.append(int(-(-self.starts[-1] // self.t**power)) + 1)
-        self.parts = [int(2 * (end - 1) * (1 - self.t) / (1 + self.t)) + 1 for end in self.starts[1:]]
+        self.apart = [int(2 * (end - 1) * (1 - self.t) / (1 + self.t)) for end in self.starts[1:]]  # shingles that may differ
+        self.parts = [self._parts(start, apart) for start, apart in zip(self.starts, self.apart, strict=False)]
+
+    @staticmethod
+    def _parts(start: int, apart: int) -> int:
+        """So many that a usual set of the band has more parts with shingles in them than shingles that may differ."""
+        parts = apart + 1
+        while parts * (1 - math.exp(-start / parts)) < 1.05 * (apart + 1):
+            parts += 1 + parts // 50
+        return parts
 
     def of(self, n: int) -> list[int]:
         """The band of a set of n, and the next one if a partner may stand there."""
@@ -116,8 +127,10 @@ def signatures(tokens: np.ndarray, bands: Bands) -> np.ndarray:
         parts = bands.parts[band]
         cuts = (np.arange(1, parts, dtype=np.float64) * (2.0**64 / parts)).astype(np.uint64)
         at = np.concatenate([[0], np.searchsorted(tokens, cuts), [len(tokens)]])
-        inside = sums[at[1:]] - sums[at[:-1]]
-        out.append(_mix(inside + (np.arange(parts, dtype=np.uint64) * _C) + np.uint64(band * int(_A) % 2**64) + np.diff(at).astype(np.uint64) * _B))
+        count = np.diff(at)
+        sig = _mix(sums[at[1:]] - sums[at[:-1]] + np.arange(parts, dtype=np.uint64) * _C + np.uint64(band * int(_A) % 2**64) + count.astype(np.uint64) * _B)
+        full = count > 0
+        out.append(sig[full] if full.sum() > bands.apart[band] else sig)
     return np.concatenate(out) if out else NONE
 
 
