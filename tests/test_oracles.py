@@ -23,7 +23,7 @@ def duck():
 
 
 def cell(value):
-    if value is None or value is pd.NaT or (np.isscalar(value) and pd.isna(value)):
+    if value is None or value is pd.NaT or value is pd.NA or (np.isscalar(value) and pd.isna(value)):
         return "null"
     if isinstance(value, (float, np.floating)):
         return f"{value:.6g}"
