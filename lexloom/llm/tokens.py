@@ -2,7 +2,7 @@
 
 White space parts the pieces that the file's rules see, and none of its rules looks across it, so a text's ids are those
 of its words in a row. A word met before costs one look-up. Texts of plain letters are lower-cased first, so that both
-cases share an entry; words with other characters go through the whole tokenizer. The caches are emptied at a fixed size.
+cases share an entry; words with other characters go through the whole tokenizer. The caches have a fixed size.
 """
 
 from __future__ import annotations
@@ -62,14 +62,20 @@ class Coder:
 
 
 class _Cache(dict):
+    """Values by word in two generations: when the young one is full it becomes the old one, and what is met again returns."""
+
     def __init__(self, make):
         super().__init__()
-        self.make = make
+        self.make, self.old = make, {}
 
     def __missing__(self, key: str) -> bytes:
         if len(self) >= CACHE:
+            self.old = dict(self)
             self.clear()
-        value = self[key] = self.make(key)
+        value = self.old.get(key)
+        if value is None:
+            value = self.make(key)
+        self[key] = value
         return value
 
 
