@@ -1,4 +1,4 @@
 """Imports every module of queries, so that the registry is full."""
 
-from . import law, metrics, relations, streams, temporal, texts, writes  # noqa: F401
+from . import intake, law, metrics, relations, streams, temporal, texts, writes  # noqa: F401
 from .registry import ORACLES, QUERIES  # noqa: F401
