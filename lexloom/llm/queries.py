@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from . import decontaminate, langid, ngram_join, packing, pii, quality, spotsigs, suffix_dedup, toxicity, wavelet
 from .common import read_table
+from .oracles import ORACLES  # noqa: F401
 
 
 def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -49,4 +50,4 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {f.__name__: f for f in (op1_toxicity, op2_pii, op3_language, op4_quality, op5_decontamination, op6_fingerprints, op7_ngram_join, op8_tokens, op9_suffix_dedup, op10_packing)}
-ORACLES: dict[str, str] = {}
+
