@@ -4,7 +4,8 @@ Folding lower-cases, drops invisible characters, maps homoglyphs and accented le
 signs inside words as the letters they stand for. The lexicon is learned from labelled rows outside the held-out fold
 (crc32(doc_id) modulo 5 is 0): a bounded sample of at most `sample` rows of each label, those with the lowest hash of
 doc_id. A term's evidence is the number of different contexts (the words before and after it) in which it stands in
-texts of each label, so copies of one passage count once. A phrase of a term and its next or previous word that stands in
+texts of each label, so copies of one passage count once. Beginnings of words (STEMS letters) are terms too, which gathers
+inflected forms; of terms that begin at one place the heaviest counts. A phrase of a term and its next or previous word that stands in
 several clean contexts and in no toxic one is an exception: the term is not counted there. Two numbers of each text, the
 sum of weights and that sum divided by the logarithm of the length, go through a logistic fitted on the same sample.
 
@@ -29,6 +30,7 @@ from .common import fold_of, small_batches
 
 SAMPLE = 3000
 CONTEXTS, LEAST_WEIGHT, TERMS = 6, 2.0, 5000
+STEMS = (5, 6, 7)
 
 #: Letters of other scripts that look like Latin ones, and signs read as letters inside words.
 HOMOGLYPHS = dict(zip("абвгеёзіїјкмнорсԁѕтухԛԝαβγειικνορτυχωɑɡⅼ", "a6breeзiijkmhopcdstyxqwaβyeiikvoptuxwagl", strict=True))
@@ -61,28 +63,37 @@ def fold(text: str) -> str:
 
 
 class Lexicon:
-    """Weights of terms and exception phrases in one automaton."""
+    """Weights of terms (`stem*` for the beginning of a word) and exception phrases in one automaton."""
 
     def __init__(self, weights: dict[str, float], exceptions: set[str] = frozenset()):
         self.automaton = ahocorasick.Automaton()
+        entries: dict[str, list] = {}  # the weight as a whole word, the weight as a stem, whether it is an exception
         for term, weight in weights.items():
-            self.automaton.add_word(term, (len(term), weight))
+            entries.setdefault(term.rstrip("*"), [None, None, False])[term.endswith("*")] = weight
         for phrase in exceptions:
-            self.automaton.add_word(phrase, (len(phrase), None))
-        if len(self.automaton):
+            entries.setdefault(phrase, [None, None, False])[2] = True
+        for key, entry in entries.items():
+            self.automaton.add_word(key, (len(key), *entry))
+        if entries:
             self.automaton.make_automaton()
 
     def matches(self, text: str) -> list[tuple[int, int, float]]:
-        """Whole-word matches of terms outside exception phrases in a folded text: start, end, weight."""
+        """The heaviest term at each place outside exception phrases in a folded text: start, end, weight."""
         if not len(self.automaton):
             return []
-        found, excepted = [], []
-        for last, (n, weight) in self.automaton.iter(text):
+        found: dict[int, tuple[int, float]] = {}
+        excepted = []
+        for last, (n, whole, stem, exception) in self.automaton.iter(text):
             a, b = last + 1 - n, last + 1
-            if (a and text[a - 1].isalnum()) or (b < len(text) and text[b].isalnum()):
+            if a and text[a - 1].isalnum():
                 continue
-            (excepted if weight is None else found).append((a, b, weight))
-        return [x for x in found if not any(a <= x[0] and x[1] <= b for a, b, _ in excepted)] if excepted else found
+            ends = b == len(text) or not text[b].isalnum()
+            if exception and ends:
+                excepted.append((a, b))
+            weight = max((w for w in (whole if ends else None, stem) if w is not None), default=None)
+            if weight is not None and weight > found.get(a, (0, 0.0))[1]:
+                found[a] = (b, weight)
+        return [(a, b, w) for a, (b, w) in sorted(found.items()) if not any(x <= a and b <= y for x, y in excepted)]
 
     def features(self, text: str | None) -> tuple[float, float]:
         total = sum(w for _, _, w in self.matches(fold(text))) if text else 0.0
@@ -124,7 +135,9 @@ def _contexts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rows = {}
         for text, toxic in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
             words = ["", *_WORD.findall(fold(text or "")), ""]
-            rows |= dict.fromkeys((words[i], words[i - 1], words[i + 1], toxic) for i in range(1, len(words) - 1) if 2 < len(words[i]) < 40)
+            for i in range(1, len(words) - 1):
+                if 2 < len(words[i]) < 40:
+                    rows |= dict.fromkeys((term, words[i - 1], words[i + 1], toxic) for term in (words[i], *(words[i][:k] + "*" for k in STEMS if len(words[i]) > k)))
         yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], pa.int32() if k == 3 else pa.string()) for k in range(4)], names=["term", "before", "after", "toxic"])
 
 
