@@ -104,7 +104,7 @@ def report(docs: DataFrame) -> DataFrame:
     spark = docs.sparkSession
     small_batches(spark)
     n = max(32, int(spark.conf.get("spark.sql.shuffle.partitions", "200")))
-    rows, _ = with_previous(docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")), 4 * n)
+    rows, _ = with_previous(docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")), 8 * n)
     order = [F.col(BUCKET), F.col(CARRIED).desc(), F.col("doc_id").asc_nulls_first(), text_key(F.col("text"))]
     placed = rows.repartition(n, BUCKET).sortWithinPartitions(*order).select("doc_id", "text", BUCKET, CARRIED)
 

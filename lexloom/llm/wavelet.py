@@ -165,7 +165,7 @@ def shards(docs: DataFrame, vocabulary: str | None = None, end_id: int = END_ID)
     path = vocabulary or vocabulary_path()
     n = max(32, int(spark.conf.get("spark.sql.shuffle.partitions", "200")))
     rows = docs.select("doc_id", "text")
-    rows = rows.withColumn(BUCKET, bucket_of(F.col("doc_id"), bounds_of(rows, 2 * n)))
+    rows = rows.withColumn(BUCKET, bucket_of(F.col("doc_id"), bounds_of(rows, 4 * n)))
     placed = rows.repartition(n, BUCKET).sortWithinPartitions(BUCKET, F.col("doc_id").asc_nulls_first(), text_key(F.col("text"))).select("doc_id", "text", BUCKET)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
