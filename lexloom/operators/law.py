@@ -7,7 +7,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, BooleanType, IntegerType, StringType, StructField, StructType
 
-from ..functions import amend, html, legal
+from ..functions import amend, html, legal, segment
 
 _text = lambda *names: [StructField(n, StringType()) for n in names]
 CITATION = ArrayType(StructType([*_text("kind", "raw", "instrument", "path", "canonical_id"), StructField("ambiguous", BooleanType()), StructField("start", IntegerType()), StructField("end", IntegerType())]))
@@ -98,3 +98,23 @@ def resolved(found: DataFrame, provisions: DataFrame, documents: DataFrame, key:
     first = found.withColumn("n", F.row_number().over(Window.partitionBy(key).orderBy(F.when(F.col("kind") == "section", 0).when(F.col("kind") == "rule", 1).otherwise(2), "start"))).where("n = 1")
     a = first.join(provisions.select("instrument", "path", "provision_id"), ["instrument", "path"], "left").join(documents.select("canonical_id", "doc_id"), "canonical_id", "left")
     return a.select(key, "kind", "canonical_id", F.coalesce("provision_id", "doc_id").alias("entity"), F.when(F.coalesce("provision_id", "doc_id").isNotNull(), "matched").when(F.col("ambiguous"), "ambiguous").otherwise("not_found").alias("outcome"))
+
+
+META = "struct<fields: map<string, string>, confidence: map<string, double>, issues: array<string>, canonical_id: string, sure: double>"
+
+
+def _ordered(blocks: DataFrame, key: str) -> DataFrame:
+    return blocks.groupBy(key).agg(F.array_sort(F.collect_list(F.struct("seq", "text"))).alias("blocks"))
+
+
+def segmented(blocks: DataFrame, key: str, letter: str = "s") -> DataFrame:
+    """blocks (key, seq, text) of acts or rules with their structure paths; one document is one row on the way."""
+    paths = F.udf(lambda texts: segment.act(list(texts), letter), "array<string>", useArrow=True)
+    rows = _ordered(blocks, key).withColumn("paths", paths(F.transform("blocks", lambda x: x["text"])))
+    return rows.select(key, F.explode(F.arrays_zip("blocks", "paths")).alias("x")).select(key, "x.blocks.seq", "x.blocks.text", F.col("x.paths").alias("path"))
+
+
+def notification_fields(blocks: DataFrame, key: str) -> DataFrame:
+    """number, year, series, date, identifier, confidence and issues of each notification."""
+    read = F.udf(lambda texts: segment.notification(list(texts)), META, useArrow=True)
+    return _ordered(blocks, key).select(key, read(F.transform("blocks", lambda x: x["text"])).alias("m")).select(key, "m.*")

@@ -187,3 +187,27 @@ def html_blocks(spark: SparkSession, d: str) -> DataFrame:
 @query("SELECT doc_id, trim(regexp_replace(text, '\\s+', ' ', 'g'), ' ') AS text FROM documents")
 def normalised_text(spark: SparkSession, d: str) -> DataFrame:
     return s.table(spark, d, "documents").select("doc_id", normalise_text("text").alias("text"))
+
+
+@query(
+    """SELECT o_orderkey AS k, 'CT' AS series, CAST(o_orderkey % 60 + 1 AS VARCHAR) AS number, CAST(year(o_orderdate) AS VARCHAR) AS year, strftime(o_orderdate, '%Y-%m-%d') AS date,
+    'ntf:CT:' || (o_orderkey % 60 + 1) || '/' || year(o_orderdate) AS canonical_id, 0.95 AS sure FROM orders WHERE o_orderkey % 7 = 0"""
+)
+def extract_meta(spark: SparkSession, d: str) -> DataFrame:
+    o = s.table(spark, d, "orders").where("o_orderkey % 7 = 0")
+    head = F.concat(F.lit("Notification No. "), (F.col("o_orderkey") % 60 + 1).cast("string"), F.lit("/"), F.year("o_orderdate").cast("string"), F.lit(" - Central Tax"))
+    dated = F.concat(F.lit("New Delhi, the "), F.date_format("o_orderdate", "dd.MM.yyyy"))
+    blocks = o.select(F.col("o_orderkey").alias("k"), F.posexplode(F.array(head, dated)).alias("seq", "text"))
+    return law.notification_fields(blocks, "k").select("k", F.col("fields")["series"].alias("series"), F.col("fields")["number"].alias("number"), F.col("fields")["year"].alias("year"), F.col("fields")["date"].alias("date"), "canonical_id", "sure")
+
+
+@query(
+    """SELECT r_regionkey AS k, 0 AS seq, 'ch' || (r_regionkey + 1) AS path FROM region UNION ALL SELECT n_regionkey, row_number() OVER (PARTITION BY n_regionkey ORDER BY n_nationkey), 'ch' || (n_regionkey + 1) || '.s' || (n_nationkey + 1) || '.2' FROM nation"""
+)
+def segment_act(spark: SparkSession, d: str) -> DataFrame:
+    """A chapter for each region and a section with a sub-section for each of its nations."""
+    roman = F.element_at(F.array(*map(F.lit, ("I", "II", "III", "IV", "V"))), F.col("r_regionkey") + 1)
+    chapters = s.table(spark, d, "region").select(F.col("r_regionkey").alias("k"), F.lit(0).alias("seq"), F.concat(F.lit("CHAPTER "), roman).alias("text"))
+    place = F.row_number().over(law.Window.partitionBy("n_regionkey").orderBy("n_nationkey"))
+    sections = s.table(spark, d, "nation").select(F.col("n_regionkey").alias("k"), place.alias("seq"), F.concat((F.col("n_nationkey") + 1).cast("string"), F.lit(". (2) "), "n_name").alias("text"))
+    return law.segmented(chapters.unionByName(sections), "k").select("k", "seq", "path")

@@ -4,7 +4,7 @@ import pytest
 from hypothesis import given
 from hypothesis import strategies as st
 
-from lexloom.functions import amend, html, legal, text
+from lexloom.functions import amend, html, legal, segment, text
 from lexloom.operators import law
 
 TEXT = "The person shall pay interest at twenty per cent. on the amount."
@@ -151,3 +151,15 @@ def test_text():
     assert text.marked_diff("a old b", "a new b") == "a [-old-]{+new+} b"
     assert text.marked_diff("same", "same") == "same"
     assert text.simhash("one two three four") == text.simhash("ONE two  three four")
+
+
+def test_segment_act():
+    texts = ["THE LAW", "CHAPTER II", "16. (1) Every person", "(2) No person", "(a) one", "(i) sub", "(b) two", "Provided that", "Provided further that", "17. Next", "3. An old number", "(h) h", "(i) letter i", "SCHEDULE III"]
+    assert segment.act(texts) == ["pre", "ch2", "ch2.s16.1", "ch2.s16.2", "ch2.s16.2.a", "ch2.s16.2.a.i", "ch2.s16.2.b", "ch2.s16.2.b.prov1", "ch2.s16.2.b.prov2", "ch2.s17", "ch2.s17", "ch2.s17.h", "ch2.s17.i", "sched3"]
+
+
+def test_notification_fields():
+    got = segment.notification(["Notification No. 5/2020 - Central Tax", "New Delhi, the 1st April, 2020", "text"])
+    assert (got["canonical_id"], got["fields"]["date"], got["issues"], got["sure"]) == ("ntf:CT:5/2020", "2020-04-01", [], 0.95)
+    assert segment.notification(["nothing"])["issues"] == ["missing:date", "missing:number", "missing:series", "missing:year"]
+    assert segment.notification(["Notification No. 5/2020 - Central Tax", "the 1st April, 2021"])["confidence"]["date"] == 0.475
