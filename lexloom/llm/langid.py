@@ -1,7 +1,7 @@
 """Language ID by cross-parsing: each text is cut into the longest phrases known to a language's suffix automaton.
 
 Fitting takes a bounded sample: of each language at most `docs_per_lang` labelled documents (those with the lowest hash
-of doc_id), `chars_per_doc` symbols of each. Labels are read only from rows whose crc32(doc_id) modulo 5 is not 0. A
+of doc_id), `chars_per_doc` symbols of each, and at most LANGUAGES languages (the first by name). Labels are read only from rows whose crc32(doc_id) modulo 5 is not 0. A
 suffix automaton of that text becomes a table next[state, symbol] with the number of phrases that end there, so parsing
 is a table walk. Prediction reads whole texts: a text is cut into segments of `SEGMENT` symbols (phrases do not cross
 them), and all segments of a batch walk side by side. The language with the fewest phrases, each weighed by the bits that
@@ -24,6 +24,7 @@ from pyspark.sql import functions as F
 from .common import fold_of, small_batches
 
 DOCS_PER_LANG, CHARS_PER_DOC = 160, 160
+LANGUAGES = 100
 SEGMENT = 256
 #: Symbols of the automata: 0 ends a segment, 1 is a gap between words, 2 a letter not seen in training.
 END, GAP, OTHER, FIRST, SYMBOLS = 0, 1, 2, 3, 64
@@ -156,7 +157,7 @@ def fit(docs: DataFrame, docs_per_lang: int = DOCS_PER_LANG, chars_per_doc: int
     order = Window.partitionBy("lang").orderBy("h", "doc_id")
     rows = docs.where(F.col("lang").isNotNull() & (fold_of(F.col("doc_id"), 5) != 0)).select("doc_id", "lang", F.xxhash64("doc_id").alias("h"))
     ids = rows.withColumn("n", F.row_number().over(order)).where(F.col("n") <= docs_per_lang).select("doc_id").distinct()
-    sample = docs.where("lang is not null").join(F.broadcast(ids), "doc_id", "left_semi").select("lang", F.substring("text", 1, 8 * chars_per_doc).alias("text")).where("length(text) > 0").orderBy("lang", "doc_id").limit(100 * docs_per_lang)
+    sample = docs.where("lang is not null").join(F.broadcast(ids), "doc_id", "left_semi").select("lang", F.substring("text", 1, 8 * chars_per_doc).alias("text")).where("length(text) > 0").orderBy("lang", "doc_id").limit(LANGUAGES * docs_per_lang)
     texts: dict[str, list[str]] = {}
     for r in sample.collect():
         if len(texts.setdefault(r["lang"], [])) < docs_per_lang:
