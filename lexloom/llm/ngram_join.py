@@ -187,7 +187,8 @@ def links(docs: DataFrame, sets: DataFrame, width: int = WORDS, percent: int = P
     sent = dealt.select(*task, "own", "key", F.col("doc_id").cast("long").alias("doc_id"), "n", "shape").repartition(parts, *task).sortWithinPartitions(*task, "n", "key")
     left = materialise(sent.mapInArrow(_sifter(percent), "leader long, x int, y int, own int, key long, doc_id long"), "tasks")
     wanted = left.groupBy("doc_id", "key").agg(F.collect_list(F.struct(*task, "own")).alias("tasks"))
-    texts = docs.where("text is not null").select("doc_id", "text").join(wanted, "doc_id").select("text", "key", F.explode("tasks").alias("t"))
+    # a merge join at every size: the wanted ids grow with the documents, so no plan should count on broadcasting them
+    texts = docs.where("text is not null").select("doc_id", "text").join(wanted.hint("merge"), "doc_id").select("text", "key", F.explode("tasks").alias("t"))
     rows = texts.select("t.*", "key", "text").repartition(parts, *task).sortWithinPartitions(*task, "key").select(*task, "own", "key", "text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
