@@ -31,28 +31,42 @@ def hashed_bits(docs: DataFrame) -> DataFrame:
     return texts.select("ids", bits.alias("bits")).select(F.explode("ids").alias("doc_id"), hashed.alias("simhash"))
 
 
-def near_pairs(hashes: DataFrame, block: str, distance: int = 3, bands: int = 4, width: int = 16) -> DataFrame:
-    """(a, b): documents of one block whose hashes differ in at most `distance` bits.
+def class_pairs(hashes: DataFrame, block: str, distance: int = 3, bands: int = 4, width: int = 16) -> DataFrame:
+    """(block, sx, sy, a, b, distance): two hashes of one block that differ in at most `distance` bits, and the least document of each; a < b.
 
     With more bands than differing bits two hashes agree in some band, so bands and block are the keys of an equi-join.
-    Equal hashes are one class first: a class stands for its members in the join, and members pair with the class only.
     """
     classes = hashes.groupBy(block, "simhash").agg(F.min("doc_id").alias("a"))
-    copies = hashes.join(classes, [block, "simhash"]).where("doc_id <> a").select("a", F.col("doc_id").alias("b"), F.lit(0).alias("distance"))
     banded = classes.select(block, "simhash", "a", F.posexplode(F.array(*[F.shiftrightunsigned("simhash", k * width).bitwiseAND(F.lit((1 << width) - 1)) for k in range(bands)])).alias("band", "value"))
     x, y = banded.alias("x"), banded.alias("y")
     met = x.join(y, [F.col(f"x.{c}") == F.col(f"y.{c}") for c in (block, "band", "value")]).where("x.a < y.a")
     apart = F.bit_count(F.col("x.simhash").bitwiseXOR(F.col("y.simhash")))
-    pairs = met.where(apart <= distance).select(F.col("x.a").alias("a"), F.col("y.a").alias("b"), apart.alias("distance")).distinct()
-    return pairs.unionByName(copies)
+    return met.where(apart <= distance).select(F.col(f"x.{block}").alias(block), F.col("x.simhash").alias("sx"), F.col("y.simhash").alias("sy"), F.col("x.a").alias("a"), F.col("y.a").alias("b"), apart.alias("distance")).distinct()
 
 
-def merge_targets(pairs: DataFrame, docs: DataFrame, number: str) -> DataFrame:
-    """(doc_id, target): a document goes to the earliest one near it that has its number."""
-    n = docs.select("doc_id", number)
-    a, b = n.withColumnsRenamed({"doc_id": "a", number: "na"}), n.withColumnsRenamed({"doc_id": "b", number: "nb"})
-    same = pairs.join(a, "a").join(b, "b").where("na = nb")
-    return same.groupBy(F.col("b").alias("doc_id")).agg(F.min("a").alias("target"))
+def near_pairs(hashes: DataFrame, block: str, distance: int = 3, bands: int = 4, width: int = 16) -> DataFrame:
+    """(a, b): documents of one block whose hashes differ in at most `distance` bits.
+
+    Equal hashes are one class first: a class stands for its members in the join, and members pair with the class only.
+    """
+    classes = hashes.groupBy(block, "simhash").agg(F.min("doc_id").alias("a"))
+    copies = hashes.join(classes, [block, "simhash"]).where("doc_id <> a").select("a", F.col("doc_id").alias("b"), F.lit(0).alias("distance"))
+    return class_pairs(hashes, block, distance, bands, width).select("a", "b", "distance").unionByName(copies)
+
+
+def merge_targets(hashes: DataFrame, docs: DataFrame, block: str, number: str) -> DataFrame:
+    """(doc_id, target): a document goes to the earliest one near it that has its number.
+
+    Each class has the least document of each number; a class takes the least of its own and all near classes, so every
+    near document counts and no pairs of documents are made.
+    """
+    members = hashes.join(docs.select("doc_id", F.col(number).alias("number")), "doc_id").where("number is not null")
+    least = members.groupBy(block, "simhash", "number").agg(F.min("doc_id").alias("target"))
+    near = class_pairs(hashes, block).select(block, "sx", "sy")
+    both = near.unionByName(near.select(block, F.col("sy").alias("sx"), F.col("sx").alias("sy")))
+    lent = both.join(least.withColumnRenamed("simhash", "sy"), [block, "sy"]).select(block, F.col("sx").alias("simhash"), "number", "target")
+    best = least.unionByName(lent).groupBy(block, "simhash", "number").agg(F.min("target").alias("target"))
+    return members.join(best, [block, "simhash", "number"]).where("target < doc_id").select("doc_id", "target")
 
 
 def renumbered(docs: DataFrame, targets: DataFrame) -> DataFrame:

@@ -115,14 +115,13 @@ UNION ALL SELECT a, doc_id, 0 FROM all_hashes JOIN classes USING (block, simhash
 )
 
 
-def _pairs(spark: SparkSession, d: str) -> DataFrame:
-    hashes = dd.hashed_bits(s.table(spark, d, "documents")).withColumn("block", F.col("doc_id") % 3)
-    return dd.near_pairs(hashes, "block")
+def _hashes(spark: SparkSession, d: str) -> DataFrame:
+    return dd.hashed_bits(s.table(spark, d, "documents")).withColumn("block", F.col("doc_id") % 3)
 
 
 @query(f"WITH {HASHES} SELECT a, b, distance FROM pairs")
 def near_dupes_md5(spark: SparkSession, d: str) -> DataFrame:
-    return _pairs(spark, d)
+    return dd.near_pairs(_hashes(spark, d), "block")
 
 
 @query()
@@ -134,13 +133,13 @@ def near_dupes(spark: SparkSession, d: str) -> DataFrame:
 
 @query(f"WITH {HASHES} SELECT b AS doc_id, min(a) AS target FROM pairs WHERE a % 2 = b % 2 GROUP BY 1")
 def merge_targets(spark: SparkSession, d: str) -> DataFrame:
-    return dd.merge_targets(_pairs(spark, d), s.table(spark, d, "documents").withColumn("number", F.col("doc_id") % 2), "number")
+    return dd.merge_targets(_hashes(spark, d), s.table(spark, d, "documents").withColumn("number", F.col("doc_id") % 2), "block", "number")
 
 
 @query(f"WITH {HASHES}, t AS (SELECT b AS doc_id, min(a) AS target FROM pairs WHERE a % 2 = b % 2 GROUP BY 1) SELECT coalesce(target, doc_id) AS target, doc_id, row_number() OVER (PARTITION BY coalesce(target, doc_id) ORDER BY doc_id) AS version_no FROM documents LEFT JOIN t USING (doc_id)")
 def version_renumber(spark: SparkSession, d: str) -> DataFrame:
     docs = s.table(spark, d, "documents").withColumn("number", F.col("doc_id") % 2)
-    return dd.renumbered(docs, dd.merge_targets(_pairs(spark, d), docs, "number"))
+    return dd.renumbered(docs, dd.merge_targets(_hashes(spark, d), docs, "block", "number"))
 
 
 @query(

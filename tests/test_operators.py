@@ -75,3 +75,13 @@ def test_near_pairs_lose_none(spark):
 def test_page_after_starts_at_the_beginning(spark):
     df = spark.range(5)
     assert [r["id"] for r in relations.page_after(df, {"id": None}, 2).collect()] == [0, 1, 2]
+
+
+def test_merge_targets_look_at_every_near_document(spark):
+    """Copies share a number that their class's least document lacks; so do members of near classes."""
+    rows = [(3, 0, 5, 1), (6, 0, 5, 0), (12, 0, 5, 0), (13, 0, 5 ^ 7, 0), (14, 0, 5 ^ 7, 2), (15, 0, 5 ^ 63, 2), (16, 1, 5, 0), (17, 0, 5, None), (18, 0, 5, None), (1, 0, 5 ^ 1, 2)]
+    df = spark.createDataFrame(rows, "doc_id long, block int, simhash long, number int")
+    got = {r["doc_id"]: r["target"] for r in dedup.merge_targets(df.select("doc_id", "block", "simhash"), df.select("doc_id", "number"), "block", "number").collect()}
+    near = lambda x, y: x[1] == y[1] and (x[2] ^ y[2]).bit_count() <= 3 and x[3] is not None and x[3] == y[3]
+    want = {y[0]: min(x[0] for x in rows if x[0] < y[0] and near(x, y)) for y in rows if any(x[0] < y[0] and near(x, y) for x in rows)}
+    assert got == want and got[12] == 6 and got[13] == 6 and got[15] == 14
