@@ -1,11 +1,11 @@
 """Language ID by cross-parsing: each text is cut into the longest phrases known to a language's suffix automaton.
 
 Fitting takes a bounded sample: of each language at most `docs_per_lang` labelled documents (those with the lowest hash
-of doc_id), `chars_per_doc` symbols of each, and at most LANGUAGES languages (the first by name). Labels are read only from rows whose crc32(doc_id) modulo 5 is not 0. A
-suffix automaton of that text becomes a table next[state, symbol] with the number of phrases that end there, so parsing
-is a table walk. Prediction reads whole texts: a text is cut into segments of `SEGMENT` symbols (phrases do not cross
-them), and all segments of a batch walk side by side. The language with the fewest phrases, each weighed by the bits that
-point into its training text, wins.
+of doc_id), `chars_per_doc` symbols of each, and at most LANGUAGES languages (the first by name). Labels are read only from rows whose crc32(doc_id) modulo 5 is not 0. Every
+letter of the sample is a symbol. A suffix automaton of the sample becomes one array in which the rows of states, sparse as
+they are, lie between each other, so parsing is a table walk whatever the size of the alphabet. Prediction reads whole
+texts: a text is cut into segments of `SEGMENT` symbols (phrases do not cross them), and all segments of a batch walk side
+by side. The language with the fewest phrases, each weighed by the bits that point into its training text, wins.
 
 Defined cases: a null text, an empty one or one without letters is `und` with score 0; ties go to the language that sorts
 first; without any labelled text everything is `und`; repeated rows are each judged; other columns are kept or ignored.
@@ -13,7 +13,6 @@ first; without any labelled text everything is `und`; repeated rows are each jud
 
 from __future__ import annotations
 
-from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -26,8 +25,8 @@ from .common import fold_of, small_batches
 DOCS_PER_LANG, CHARS_PER_DOC = 160, 160
 LANGUAGES = 100
 SEGMENT = 256
-#: Symbols of the automata: 0 ends a segment, 1 is a gap between words, 2 a letter not seen in training.
-END, GAP, OTHER, FIRST, SYMBOLS = 0, 1, 2, 3, 64
+#: Symbols of the automata: 0 ends a segment, 1 is a gap between words, 2 a letter not seen in training; letters follow.
+END, GAP, OTHER, FIRST = 0, 1, 2, 3
 SHARPNESS = 120
 
 
@@ -37,12 +36,12 @@ def letter_table() -> np.ndarray:
 
 
 def symbol_table(texts: list[str]) -> np.ndarray:
-    """For each code point its symbol: the most frequent letters of the training text have their own, in either case."""
-    counts = Counter(c for text in texts for c in text.lower() if c.isalpha())
-    table = np.where(letter_table(), OTHER, GAP).astype(np.uint8)
-    for k, (letter, _) in enumerate(sorted(counts.items(), key=lambda x: (-x[1], x[0]))[: SYMBOLS - FIRST]):
+    """For each code point its symbol: each letter of the training text has its own, in either case."""
+    letters = {c for text in texts for c in text.lower() if c.isalpha()}
+    table = np.where(letter_table(), OTHER, GAP).astype(np.int32)
+    for k, letter in enumerate(sorted(letters)):
         table[ord(letter)] = FIRST + k
-        if len(letter.upper()) == 1:
+        if len(letter.upper()) == 1 and letter.upper() not in letters:
             table[ord(letter.upper())] = FIRST + k
     return table
 
@@ -56,8 +55,8 @@ def symbols_of(text: str, table: np.ndarray) -> np.ndarray:
     return out[keep]
 
 
-def suffix_automaton(pieces: list[np.ndarray]) -> np.ndarray:
-    """next[state, symbol] * 4 + phrases that end, for the suffix automaton of the pieces (state 0 is the root)."""
+def suffix_automaton(pieces: list[np.ndarray]) -> list[dict[int, int]]:
+    """The moves of each state of the suffix automaton of the pieces (state 0 is the root)."""
     move: list[dict[int, int]] = [{}]
     link, length = [-1], [0]
     for piece in pieces:
@@ -101,17 +100,51 @@ def suffix_automaton(pieces: list[np.ndarray]) -> np.ndarray:
                         p = link[p]
                     link[q] = link[now] = clone
             last = now
-    # where a state has no move the phrase ends and the symbol opens the next one; a symbol unknown to the root is a phrase
-    fresh = np.full(SYMBOLS, 1, dtype=np.int32)
+    return move
+
+
+def packed(move: list[dict[int, int]], symbols: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """owner[slot], to[slot] and fresh[symbol]: a state is a number, and its move by a symbol is at the sum of both if it owns that slot.
+
+    The rows of states lie between each other. `to` and `fresh` are states times 4 plus phrases that end; fresh is the move
+    of the root, where a symbol unknown to it is a phrase.
+    """
+    place = [0] * len(move)
+    owner: dict[int, int] = dict.fromkeys(move[0], 0)
+    bases = {0}
+    low = free = 0
+    for state in sorted(range(1, len(move)), key=lambda s: (-len(move[s]), s)):
+        row = sorted(move[state])
+        if len(row) > 1:  # the next place where the row fits
+            base, tries = max(low, 1), 0
+            while base in bases or any(base + c in owner for c in row):
+                base += 1
+                tries += 1
+            if tries > 64:  # crowded
+                low = base - 32
+        elif row:  # the next free slot
+            while free in owner or free <= row[0] or free - row[0] in bases:
+                free += 1
+            base = free - row[0]
+        else:
+            while low in bases:
+                low += 1
+            base = low
+        bases.add(base)
+        place[state] = base
+        owner |= dict.fromkeys((base + c for c in row), base)
+    size = max(bases) + symbols
+    owners, to = np.full(size, -1, dtype=np.int64), np.zeros(size, dtype=np.int64)
+    for slot, base in owner.items():
+        owners[slot] = base
+    fresh = np.full(symbols, 1, dtype=np.int64)
     fresh[END] = 0
-    for c, to in move[0].items():
-        fresh[c] = to * SYMBOLS * 4
-    table = np.tile(fresh + 1, (len(move), 1)).astype(np.int32)
-    table[0] = fresh
     for state, moves in enumerate(move):
-        for c, to in moves.items():
-            table[state, c] = to * SYMBOLS * 4
-    return table.reshape(-1)
+        for c, after in moves.items():
+            to[place[state] + c] = place[after] * 4
+    for c, after in move[0].items():
+        fresh[c] = place[after] * 4
+    return owners, to, fresh
 
 
 class Model:
@@ -122,7 +155,7 @@ class Model:
         self.table = symbol_table([t for own in texts.values() for t in own])
         pieces = {k: [symbols_of(t, self.table)[:CHARS_PER_DOC] for t in texts[k]] for k in self.langs}
         self.bits = np.array([np.log2(2 + sum(map(len, pieces[k]))) for k in self.langs])
-        self.automata = [suffix_automaton(pieces[k]) for k in self.langs]
+        self.automata = [packed(suffix_automaton(pieces[k]), int(self.table.max()) + 1) for k in self.langs]
 
     def predict(self, texts: list[str | None]) -> tuple[list[str], list[float]]:
         codes = [symbols_of(t or "", self.table) for t in texts]
@@ -132,18 +165,19 @@ class Model:
             return ["und"] * len(texts), [0.0] * len(texts)
         segments = -(-sizes // SEGMENT)
         owner = np.repeat(np.arange(len(texts)), segments)
-        grid = np.zeros(int(segments.sum()) * SEGMENT, dtype=np.uint8)
+        grid = np.zeros(int(segments.sum()) * SEGMENT, dtype=np.int32)
         for c, at in zip(codes, np.concatenate([[0], np.cumsum(segments)[:-1]]) * SEGMENT, strict=True):
             grid[at : at + len(c)] = c
         steps = np.ascontiguousarray(grid.reshape(-1, SEGMENT).T).astype(np.int64)
         bits = np.empty((len(texts), len(self.langs)))
-        for k, table in enumerate(self.automata):
+        for k, (owner_of, to, fresh) in enumerate(self.automata):
             state = np.zeros(steps.shape[1], dtype=np.int64)
             phrases = np.zeros(steps.shape[1], dtype=np.int64)
             for column in steps:
-                got = table[(state >> 2) + column]
+                slot = state + column
+                got = np.where(owner_of[slot] == state, to[slot], fresh[column] + (state != 0))
                 phrases += got & 3
-                state = got & ~3
+                state = got >> 2
             phrases += state != 0
             bits[:, k] = np.bincount(owner, weights=phrases, minlength=len(texts)) * self.bits[k] / np.maximum(1, sizes)
         best = bits.argmin(axis=1)
