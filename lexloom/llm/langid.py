@@ -1,11 +1,14 @@
 """Language ID by cross-parsing: each text is cut into the longest phrases known to a language's suffix automaton.
 
-Fitting takes a bounded sample: of each language at most `docs_per_lang` labelled documents (those with the lowest hash
-of doc_id), `chars_per_doc` symbols of each, and at most LANGUAGES languages (the first by name). Labels are read only from rows whose crc32(doc_id) modulo 5 is not 0. Every
-letter of the sample is a symbol. A suffix automaton of the sample becomes one array in which the rows of states, sparse as
-they are, lie between each other, so parsing is a table walk whatever the size of the alphabet. Prediction reads whole
-texts: a text is cut into segments of `SEGMENT` symbols (phrases do not cross them), and all segments of a batch walk side
-by side. The language with the fewest phrases, each weighed by the bits that point into its training text, wins.
+Fitting takes a bounded sample: TOTAL symbols, divided equally among all languages that have a labelled text with
+letters, and at most `docs_per_lang` documents of each (those with the lowest hash of doc_id). A document gives
+`chars_per_doc` symbols from PIECES places spread over its letters. No language is left out: beyond TOTAL / (docs_per_lang *
+chars_per_doc) languages each has fewer documents, one at least. Labels are read only from rows whose crc32(doc_id) modulo
+5 is not 0. Every letter of the sample is a symbol. A suffix automaton of the sample becomes one array in which the rows of
+states, sparse as they are, lie between each other, so parsing is a table walk whatever the size of the alphabet.
+Prediction reads whole texts: a text is cut into segments of `SEGMENT` symbols (phrases do not cross them), and all segments
+of a batch walk side by side. The language with the fewest phrases, each weighed by the bits that point into its training
+text, wins.
 
 Defined cases: a null text, an empty one or one without letters is `und` with score 0; ties go to the language that sorts
 first; without any labelled text everything is `und`; repeated rows are each judged; other columns are kept or ignored.
@@ -20,10 +23,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import fold_of, small_batches
+from .common import fold_of, materialise, small_batches
 
 DOCS_PER_LANG, CHARS_PER_DOC = 160, 160
-LANGUAGES = 100
+#: Symbols of all languages together, and places in a document they are taken from.
+TOTAL, PIECES = 100 * DOCS_PER_LANG * CHARS_PER_DOC, 4
 SEGMENT = 256
 #: Symbols of the automata: 0 ends a segment, 1 is a gap between words, 2 a letter not seen in training; letters follow.
 END, GAP, OTHER, FIRST = 0, 1, 2, 3
@@ -153,7 +157,7 @@ class Model:
     def __init__(self, texts: dict[str, list[str]]):
         self.langs = sorted(texts)
         self.table = symbol_table([t for own in texts.values() for t in own])
-        pieces = {k: [symbols_of(t, self.table)[:CHARS_PER_DOC] for t in texts[k]] for k in self.langs}
+        pieces = {k: [symbols_of(t, self.table) for t in texts[k]] for k in self.langs}
         self.bits = np.array([np.log2(2 + sum(map(len, pieces[k]))) for k in self.langs])
         self.automata = [packed(suffix_automaton(pieces[k]), int(self.table.max()) + 1) for k in self.langs]
 
@@ -189,13 +193,22 @@ class Model:
 def fit(docs: DataFrame, docs_per_lang: int = DOCS_PER_LANG, chars_per_doc: int = CHARS_PER_DOC) -> Model:
     """Learn from docs (doc_id, text, lang), without the held-out fold."""
     order = Window.partitionBy("lang").orderBy("h", "doc_id")
-    rows = docs.where(F.col("lang").isNotNull() & (fold_of(F.col("doc_id"), 5) != 0)).select("doc_id", "lang", F.xxhash64("doc_id").alias("h"))
-    ids = rows.withColumn("n", F.row_number().over(order)).where(F.col("n") <= docs_per_lang).select("doc_id").distinct()
-    sample = docs.where("lang is not null").join(F.broadcast(ids), "doc_id", "left_semi").select("lang", F.substring("text", 1, 8 * chars_per_doc).alias("text")).where("length(text) > 0").orderBy("lang", "doc_id").limit(LANGUAGES * docs_per_lang)
+    rows = docs.where(F.col("lang").isNotNull() & (fold_of(F.col("doc_id"), 5) != 0) & F.col("text").rlike(r"\p{L}")).select("doc_id", "lang", F.xxhash64("doc_id").alias("h"))
+    ids = materialise(rows.withColumn("n", F.row_number().over(order)).where(F.col("n") <= docs_per_lang), "langs")
+    langs = ids.where("n = 1").count()
+    each = max(1, min(docs_per_lang, TOTAL // (chars_per_doc * max(1, langs))))
+    chars = max(1, min(chars_per_doc, TOTAL // max(1, langs)))
+    chosen = ids.where(F.col("n") <= each).select("doc_id", "lang", "h").distinct()
+    letters = F.trim(F.regexp_replace("text", r"[^\p{L}]+", " "))
+    part = max(1, chars // PIECES)
+    step = F.floor((F.length("text") - part) / max(1, PIECES - 1)).cast("int")
+    spread = F.transform(F.sequence(F.lit(0), F.lit(PIECES - 1)), lambda i: F.substring(F.col("text"), i * step + 1, F.lit(part)))
+    cut = F.when(F.length("text") <= chars, F.array("text")).when(F.lit(chars < PIECES), F.array(F.substring("text", 1, chars))).otherwise(spread)
+    sample = docs.where(F.col("text").rlike(r"\p{L}")).join(F.broadcast(chosen), ["doc_id", "lang"]).select("lang", "h", "doc_id", letters.alias("text")).select("lang", "h", "doc_id", cut.alias("pieces"))
+    sample = sample.withColumn("n", F.row_number().over(Window.partitionBy("lang").orderBy("h", "doc_id", "pieces"))).where(F.col("n") <= each)
     texts: dict[str, list[str]] = {}
-    for r in sample.collect():
-        if len(texts.setdefault(r["lang"], [])) < docs_per_lang:
-            texts[r["lang"]].append(r["text"])
+    for r in sample.orderBy("lang", "doc_id", "pieces").select("lang", "pieces").collect():  # at most TOTAL symbols, or one of each language
+        texts.setdefault(r["lang"], []).extend(r["pieces"])
     return Model(texts)
 
 

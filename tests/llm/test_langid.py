@@ -5,6 +5,7 @@ import random
 import numpy as np
 
 from lexloom.llm import langid
+from lexloom.llm.common import fold_of
 
 SCHEMA = "doc_id long, text string, lang string"
 
@@ -46,3 +47,25 @@ def test_packed_automaton_walks_like_substrings():
                 n += 1
             want, at = want + 1, at + n
         assert phrases == want
+
+
+def test_every_language_is_learned(spark, monkeypatch):
+    """The sample's bound divides among all languages; texts without letters take no place."""
+    rnd = random.Random(1)
+    monkeypatch.setattr(langid, "TOTAL", 5 * 2 * 160)
+    rows = [(100 * k + i, made(rnd, 97, 26, k), f"l{k:02}") for k in range(12) for i in range(12)]
+    rows += [(5000 + i, None if i % 2 else "12 !", "l05") for i in range(400)]
+    model = langid.fit(spark.createDataFrame(rows, SCHEMA), 3)
+    assert model.langs == [f"l{k:02}" for k in range(12)]
+    assert model.bits.min() > 6
+
+
+def test_places_are_spread_over_texts(spark):
+    """Texts that begin alike are told apart by what follows."""
+    rnd = random.Random(2)
+    head = made(rnd, 97, 26, 9, 400)
+    rows = spark.createDataFrame([(i, head + " " + made(rnd, 97, 26, i % 2, 800), "ab"[i % 2]) for i in range(60)], SCHEMA)
+    model = langid.fit(rows)
+    for k in (0, 1):
+        assert model.predict([made(rnd, 97, 26, k, 40) for _ in range(10)])[0] == ["ab"[k]] * 10
+    assert rows.where(fold_of(rows.doc_id, 5) == 0).count()
