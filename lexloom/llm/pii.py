@@ -1,7 +1,7 @@
 """Personal data: regular expressions propose spans, checksums confirm them, context words adjust the score.
 
 Everything is a DataFrame expression; no Python runs on the executors and nothing is shuffled. Kinds of the base:
-email, ip, card, phone. The method adds `iban` (mod-97) and, where a context word stands close before it, `phone_local`
+email, ip, card, phone. The method adds `iban` (as long as its country says, one word for other countries; mod-97) and, where a context word stands close before it, `phone_local`
 (a number without a plus sign), so base spans always stay.
 
 Possessive quantifiers and look-behinds keep each pattern linear in the text: a run of characters is entered once only.
@@ -17,13 +17,24 @@ from pyspark.sql import functions as F
 _LOCAL = "A-Za-z0-9._%+-"
 _PART = "0*(?:25[0-5]|2[0-4][0-9]|1[0-9][0-9]|[0-9]{1,2})"
 
+#: How long a country's IBAN is (the registry, then countries that use the format without being in it).
+IBAN_LENGTHS = {
+    15: "NO", 16: "BE", 18: "DK FI FK FO GL NL SD", 19: "MK SI", 20: "AT BA EE KZ LT LU MN XK", 21: "CH HR LI LV", 22: "BG BH CR DE GB GE IE ME RS VA",
+    23: "AE GI IL IQ OM SO TL", 24: "AD CZ ES MD PK RO SA SE SK TN VG", 25: "LY PT ST", 26: "IS TR", 27: "BI DJ FR GR IT MC SM", 28: "AL AZ BY CY DO GT HN HU LB NI PL SV",
+    29: "BR EG PS QA UA", 30: "JO KW MU YE", 31: "MT SC", 32: "LC", 33: "RU",
+}
+for _n, _codes in {25: "AO CV GW MZ", 26: "DZ IR", 27: "CF CG CM GA GQ KM MG TD", 28: "BF BJ CI MA ML NE SN TG"}.items():
+    IBAN_LENGTHS[_n] += f" {_codes}"
+_IBAN = "|".join(rf"(?:{codes.replace(' ', '|')})[0-9]{{2}}(?: ?[A-Z0-9]){{{n - 4}}}" for n, codes in IBAN_LENGTHS.items())
+_COUNTRIES = "|".join(IBAN_LENGTHS.values()).replace(" ", "|")
+
 #: How each kind looks. A run of e-mail characters is entered at its start or where the last match ended.
 PATTERNS = {
     "email": rf"(?:\G|(?<![{_LOCAL}]))[{_LOCAL}]++@[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)++",
     "ip": r"(?<![0-9])[0-9]++\.[0-9]++\.[0-9]++\.[0-9]++",
     "card": r"(?<![0-9])(?<![0-9][ -])[0-9](?:[ -]?[0-9]){11,18}+(?![ -]?[0-9])",
     "phone": r"\+[0-9][ ().0-9-]+[0-9]",
-    "iban": r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]){11,30}+(?![A-Za-z0-9])",
+    "iban": rf"(?<![A-Za-z0-9])(?:{_IBAN}|(?!{_COUNTRIES})[A-Z]{{2}}[0-9]{{2}}[A-Z0-9]{{11,30}}+)(?![A-Za-z0-9])",
     "phone_local": r"(?<![0-9A-Za-z+.-])(?<![0-9] )\(?[0-9]{2,4}\)?[ .-][0-9]{3,4}[ .-]?[0-9]{3,4}(?![ .-]?[0-9])",
 }
 BASE = ("email", "ip", "card", "phone")
