@@ -1,8 +1,11 @@
 """Document fingerprints by SpotSigs: chains of content words after common words.
 
 At each anchor (a common word) the next CHAIN content words form a signature; a document's fingerprint is the set of its
-signatures, as 32-bit hashes. A text with words but no signature has one for its whole word sequence. Fingerprints are
-compared by Jaccard likeness; two sets whose sizes differ too much for a threshold are never opened.
+signatures, as 32-bit hashes. Where no common word stands within REACH words on either side, a word is an anchor itself, so
+texts of languages without listed words, code and lists have chains too, and an edit changes only the chains near it.
+Characters of scripts written without spaces are words of their own. A text with words but no signature (CHAIN content
+words or fewer) has one for its whole word sequence. Fingerprints are compared by Jaccard likeness; two sets whose sizes
+differ too much for a threshold are never opened.
 
 `fingerprints` gives each document's own, `report` compares it with an edited text and with the next document, and
 `near_pairs` joins a whole table: sets are partitioned by length, and within a partition and its neighbour only pairs
@@ -16,6 +19,7 @@ columns are ignored. The last document's next one is the first; a single documen
 from __future__ import annotations
 
 import hashlib
+import re
 from collections.abc import Iterator
 from zlib import crc32
 
@@ -27,7 +31,7 @@ from pyspark.sql import functions as F
 from .common import materialise, small_batches, text_key
 from .ordering import BUCKET, CARRIED, with_previous
 
-CHAIN = 3
+CHAIN, REACH = 3, 4
 #: The anchors, common words of four languages.
 ANCHORS = frozenset(
     x.encode()
@@ -40,18 +44,25 @@ ANCHORS = frozenset(
 )
 _KEEP = {*range(0x30, 0x3A), *range(0x61, 0x7B), *range(0x80, 0x100)}
 _TABLE = bytes((b | 0x20) if 0x41 <= b <= 0x5A else b if b in _KEEP else 0x20 for b in range(256))
+#: UTF-8 characters of scripts without spaces: Thai, Lao, Myanmar, Khmer, kana, Chinese signs and full-width forms.
+_ALONE = re.compile(rb"\xe0[\xb8-\xbb][\x80-\xbf]|\xe1(?:[\x80-\x82]|[\x9e\x9f])[\x80-\xbf]|[\xe3-\xe9][\x80-\xbf]{2}|\xef[\xbc-\xbf][\x80-\xbf]|\xf0[\x80-\xbf]{3}")
 
 
 def signatures(text: bytes) -> np.ndarray:
     """The sorted distinct signatures of a UTF-8 text."""
-    words = text.translate(_TABLE).split()
+    plain = text.translate(_TABLE)
+    words = (plain if text.isascii() else _ALONE.sub(rb" \g<0> ", plain)).split()
     if not words:
         return np.zeros(0, dtype=np.uint32)
     code = np.fromiter(map(crc32, words), dtype=np.uint64, count=len(words))
     anchor = np.fromiter(map(ANCHORS.__contains__, words), dtype=bool, count=len(words))
     content = code[~anchor]
-    first = np.cumsum(~anchor)[anchor]  # content words before an anchor: the index of the next one
-    where = code[anchor][first + CHAIN <= len(content)]
+    upto = np.concatenate([[0], np.cumsum(anchor)])  # common words before each place
+    places = np.arange(len(words))
+    opens = upto[np.minimum(places + REACH + 1, len(words))] == upto[np.maximum(places - REACH, 0)]  # none near: the word is an anchor itself
+    opens |= anchor
+    first = np.cumsum(~anchor)[opens]  # content words up to an anchor: the index of the next one
+    where = code[opens][first + CHAIN <= len(content)]
     first = first[first + CHAIN <= len(content)]
     mix = where
     for k in range(CHAIN):
