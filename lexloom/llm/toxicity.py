@@ -1,7 +1,8 @@
 """Toxicity: a weighted lexicon matched by Aho-Corasick over folded text, normalised by length, with exception phrases.
 
 Folding lower-cases, drops invisible characters, maps homoglyphs and accented letters to plain ones, and reads digits and
-signs inside words as the letters they stand for. The lexicon is learned from labelled rows outside the held-out fold
+signs inside words as the letters they stand for. Signs at a word's end are read both ways, as letters and as they are, in
+fitting as in scoring, unless another digit follows them. The lexicon is learned from labelled rows outside the held-out fold
 (crc32(doc_id) modulo 5 is 0): a bounded sample of at most `sample` rows of each label, those with the lowest hash of
 doc_id. A term's evidence is the number of different contexts (the words before and after it) in which it stands in
 texts of each label, so copies of one passage count once. Beginnings of words (STEMS letters) are terms too, which gathers
@@ -51,6 +52,8 @@ def _folds() -> dict[int, str | None]:
 
 _FOLDS = _folds()
 _SIGNS = re.compile(r"[013457@$!](?=[013457@$!]*[a-z])")
+#: The same after a word's last letter, with and without marks that may end a sentence.
+_ENDS = [re.compile(r"(?<=[a-z])[013457@$!]*[013457@$](?=!*+(?![^\W_]|[@$]))"), re.compile(r"(?<=[a-z])[013457@$!]++(?![^\W_])")]
 _WORD = re.compile(r"[^\W\d_]+")
 
 
@@ -62,6 +65,12 @@ def fold(text: str) -> str:
     return _SIGNS.sub(lambda m: LEET[m[0]], text)
 
 
+def readings(text: str) -> list[str]:
+    """The folded text, then with the signs at words' ends as letters, where that differs; all of one length."""
+    plain = fold(text)
+    return list(dict.fromkeys([plain, *(ends.sub(lambda m: "".join(LEET[c] for c in m[0]), plain) for ends in _ENDS)]))
+
+
 class Lexicon:
     """Weights of terms (`stem*` for the beginning of a word) and exception phrases in one automaton."""
 
@@ -96,7 +105,11 @@ class Lexicon:
         return [(a, b, w) for a, (b, w) in sorted(found.items()) if not any(x <= a and b <= y for x, y in excepted)]
 
     def features(self, text: str | None) -> tuple[float, float]:
-        total = sum(w for _, _, w in self.matches(fold(text))) if text else 0.0
+        found: dict[int, float] = {}
+        for reading in readings(text or ""):
+            for a, _, w in self.matches(reading):
+                found[a] = max(w, found.get(a, 0.0))
+        total = sum(found[a] for a in sorted(found))
         return total, total / np.log2(8 + len(text or "") / 6)
 
 
@@ -134,9 +147,11 @@ def _contexts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         rows = {}
         for text, toxic in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-            words = ["", *_WORD.findall(fold(text or "")), ""]
-            for i in range(1, len(words) - 1):
-                if 2 < len(words[i]) < 40:
+            for reading in readings(text or ""):
+                words = ["", *_WORD.findall(reading), ""]
+                for i in range(1, len(words) - 1):
+                    if not 2 < len(words[i]) < 40:
+                        continue
                     rows |= dict.fromkeys((term, words[i - 1], words[i + 1], toxic) for term in (words[i], *(words[i][:k] + "*" for k in STEMS if len(words[i]) > k)))
         yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], pa.int32() if k == 3 else pa.string()) for k in range(4)], names=["term", "before", "after", "toxic"])
 
