@@ -85,3 +85,11 @@ def test_merge_targets_look_at_every_near_document(spark):
     near = lambda x, y: x[1] == y[1] and (x[2] ^ y[2]).bit_count() <= 3 and x[3] is not None and x[3] == y[3]
     want = {y[0]: min(x[0] for x in rows if x[0] < y[0] and near(x, y)) for y in rows if any(x[0] < y[0] and near(x, y) for x in rows)}
     assert got == want and got[12] == 6 and got[13] == 6 and got[15] == 14
+
+
+def test_near_dupes_pair_documents_whatever_their_ids(spark, tmp_path):
+    from lexloom.plans import texts
+
+    words = " ".join(f"word{k} of{k % 7}" for k in range(80))
+    spark.createDataFrame([(1, words), (2, words), (6, words), (9, "something else altogether, with other words")], "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    assert {(r["a"], r["b"]) for r in texts.near_dupes(spark, str(tmp_path)).collect()} == {(1, 2), (1, 6)}
