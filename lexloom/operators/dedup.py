@@ -18,9 +18,11 @@ def _has_bit(k: int):
 def hashed_bits(docs: DataFrame) -> DataFrame:
     """doc_id and simhash: a 64-bit similarity hash of distinct words, from the first bits of their MD5, in SQL alone.
 
-    Each bit's votes are sums over a document's words, so words meet by (doc_id) and copies of a text are hashed once.
+    Copies of a text are hashed once, and documents are joined to that by the text's digest: a join, so that Spark can
+    split a text that very many documents share.
     """
-    texts = docs.groupBy(F.xxhash64("text").alias("t"), "text").agg(F.collect_list("doc_id").alias("ids"))
+    keyed = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).withColumn("key", F.sha2("text", 256))
+    texts = keyed.groupBy("key").agg(F.min("text").alias("text"))
     found = F.array_distinct(F.filter(F.split(F.lower("text"), r"[^a-z0-9]+"), lambda x: x != ""))
     value = lambda w: F.conv(F.substring(F.md5(w), 1, 15), 16, 10).cast("long")
     bits = F.transform(found, value)
@@ -28,7 +30,8 @@ def hashed_bits(docs: DataFrame) -> DataFrame:
     for k in range(60):
         ones = F.size(F.filter("bits", _has_bit(k)))
         hashed = hashed + F.when(2 * ones > F.size("bits"), F.lit(1 << k)).otherwise(F.lit(0))
-    return texts.select("ids", bits.alias("bits")).select(F.explode("ids").alias("doc_id"), hashed.alias("simhash"))
+    made = texts.select("key", bits.alias("bits")).select("key", hashed.alias("simhash"))
+    return keyed.select("doc_id", "key").join(made, "key").select("doc_id", "simhash")
 
 
 def class_pairs(hashes: DataFrame, block: str, distance: int = 3, bands: int = 4, width: int = 16) -> DataFrame:

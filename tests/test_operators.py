@@ -93,3 +93,12 @@ def test_near_dupes_pair_documents_whatever_their_ids(spark, tmp_path):
     words = " ".join(f"word{k} of{k % 7}" for k in range(80))
     spark.createDataFrame([(1, words), (2, words), (6, words), (9, "something else altogether, with other words")], "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
     assert {(r["a"], r["b"]) for r in texts.near_dupes(spark, str(tmp_path)).collect()} == {(1, 2), (1, 6)}
+
+
+def test_hashed_bits_gather_no_documents(spark):
+    rows = [(k, "one shared text") for k in range(50)] + [(90, None), (91, ""), (92, "another"), (None, "another"), (92, "another")]
+    got = dedup.hashed_bits(spark.createDataFrame(rows, "doc_id long, text string"))
+    assert "collect_list" not in got._jdf.queryExecution().optimizedPlan().toString()
+    found = [tuple(r) for r in got.collect()]
+    assert sorted(str(i) for i, _ in found) == sorted(str(i) for i, _ in rows)
+    assert len({h for i, h in found if i is not None and i < 50}) == 1 and {h for i, h in found if i in (90, 91)} == {0}
