@@ -1,4 +1,4 @@
-"""What the operators share: tables, scratch tables in the shared folder, folds and batch sizes."""
+"""What the operators share: tables, scratch tables in the shared folder, folds and pieces of Arrow batches."""
 
 from __future__ import annotations
 
@@ -6,12 +6,16 @@ import atexit
 import gc
 import tempfile
 import uuid
+from collections.abc import Iterator
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Rows of one Arrow batch. Texts are whole, so a batch's bytes follow the texts' lengths.
-BATCH_ROWS = 512
+#: Rows and bytes of text that Python works on at once. Spark itself bounds the bytes of an Arrow batch.
+PIECE_ROWS, PIECE_BYTES = 512, 2_000_000
 
 _scratch: dict[str, str] = {}
 
@@ -20,23 +24,31 @@ def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def small_batches(spark: SparkSession) -> None:
-    """Lower Spark's rows per Arrow batch to BATCH_ROWS where the session allows more."""
-    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
-    now = int(spark.conf.get(key, "10000"))
-    if now <= 0 or now > BATCH_ROWS:
-        spark.conf.set(key, str(BATCH_ROWS))
+def slices(batches: Iterator[pa.RecordBatch], column: str = "text", rows: int = PIECE_ROWS, size: int = PIECE_BYTES) -> Iterator[pa.RecordBatch]:
+    """The batches in slices of at most `rows` rows and `size` bytes of a string column; a longer text is a slice of its own."""
+    for batch in batches:
+        upto = np.cumsum(pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False).astype(np.int64))
+        at = 0
+        while at < batch.num_rows:
+            before = int(upto[at - 1]) if at else 0
+            end = min(max(at + 1, int(np.searchsorted(upto, before + size, side="right"))), at + rows)
+            yield batch.slice(at, end - at)
+            at = end
 
 
 def scratch_root(spark: SparkSession) -> str:
     """A folder of this application below spark.checkpoint.dir, removed at the driver's exit.
 
-    Only where the setting is missing (tests on one machine) a temporary folder takes its place.
+    Only where the setting is missing and Spark runs in this one process (tests) a temporary folder takes its place; on
+    a cluster each executor would write to its own disk, so the setting is asked for.
     """
     app = spark.sparkContext.applicationId
     if app not in _scratch:
         base = spark.conf.get("spark.checkpoint.dir", None)
         if not base:
+            master = spark.sparkContext.master
+            if master != "local" and not master.startswith("local["):
+                raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
             base = "file://" + tempfile.mkdtemp(prefix="lexloom-")
         _scratch[app] = f"{base.rstrip('/')}/lexloom-{app}"
         atexit.register(_remove, spark, _scratch[app])
@@ -53,14 +65,18 @@ def _remove(spark: SparkSession, path: str) -> None:
 
 
 def materialise(df: DataFrame, label: str) -> DataFrame:
-    """Write df as Parquet in the shared folder and read it back: lineage ends there, on disk all executors share."""
+    """Write df as Parquet in the shared folder and read it back: lineage ends there, on disk all executors share.
+
+    What the driver no longer holds is collected at once, so that Spark's cleaner deletes the shuffle files behind it: a
+    driver with a large heap would keep them on the executors' disks for hours.
+    """
     spark = df.sparkSession
     path = f"{scratch_root(spark)}/{label}-{uuid.uuid4().hex}"
     df.write.option("compression", "zstd").parquet(path)
     schema = df.schema
     del df
     gc.collect()
-    spark.sparkContext._jvm.System.gc()  # lets Spark's cleaner delete shuffle files that nothing needs any more
+    spark.sparkContext._jvm.System.gc()
     return spark.read.schema(schema).parquet(path)
 
 

@@ -11,7 +11,8 @@ of a batch walk side by side. The language with the fewest phrases, each weighed
 text, wins.
 
 Defined cases: a null text, an empty one or one without letters is `und` with score 0; ties go to the language that sorts
-first; without any labelled text everything is `und`; repeated rows are each judged; other columns are kept or ignored.
+first; without any labelled text everything is `und`; an empty table gives no rows; repeated rows are each judged; very
+long texts are parsed whole, in some 20 bytes of memory a letter; other columns are kept or ignored.
 """
 
 from __future__ import annotations
@@ -23,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import fold_of, materialise, small_batches
+from .common import fold_of, materialise, slices
 
 DOCS_PER_LANG, CHARS_PER_DOC = 160, 160
 #: Symbols of all languages together, and places in a document they are taken from.
@@ -214,13 +215,12 @@ def fit(docs: DataFrame, docs_per_lang: int = DOCS_PER_LANG, chars_per_doc: int
 
 def predict(docs: DataFrame, model: Model) -> DataFrame:
     """docs with lang_pred and score."""
-    small_batches(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(model)
     kept = docs.drop("lang_pred", "score")
     place = kept.columns.index("text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches, size=1_000_000):
             lang, score = shared.value.predict(batch.column(place).to_pylist())
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(lang, pa.string()), pa.array(score, pa.float64())], names=[*batch.schema.names, "lang_pred", "score"])
 

@@ -6,13 +6,15 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import IntegerType, StructField, StructType
+from pyspark.sql.types import IntegerType, IntegralType, StructField, StructType
 
 BUCKET, CARRIED = "bucket__", "carried__"
 
 
 def bounds_of(docs: DataFrame, buckets: int) -> list[int]:
-    """At most buckets - 1 ascending doc_ids that cut the rows into buckets of about equal size."""
+    """At most buckets - 1 ascending doc_ids that cut the rows into buckets of about equal size; ids are whole numbers."""
+    if not isinstance(docs.schema["doc_id"].dataType, IntegralType):
+        raise TypeError("doc_id must be a whole number to be ordered")
     cuts = docs.agg(F.percentile_approx("doc_id", [k / buckets for k in range(1, buckets)], 10 * buckets).alias("q")).first()["q"] if buckets > 1 else []
     return sorted(set(cuts or []))
 

@@ -7,7 +7,8 @@ among the pieces of its length; ranks come from salted groups, so a length that
 group.
 
 Defined cases: null and empty texts have the end id only; a document longer than the capacity is cut into full pieces and
-a rest; repeated rows are packed each; an empty table gives no rows; other columns are ignored.
+a rest, however long it is; repeated rows are packed each; of pieces of one length any may take any place, ordered by
+doc_id, piece and sum of ids; an empty table gives no rows; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -21,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import materialise, small_batches
+from .common import materialise, slices
 from .tokens import coder, vocabulary_path
 
 CAPACITY, END_ID = 2048, 0
@@ -130,13 +131,12 @@ class Plan:
 
 def pieces_of(docs: DataFrame, vocabulary: str | None = None, capacity: int = CAPACITY, end_id: int = END_ID) -> DataFrame:
     """One row a piece: doc_id, piece, start, length, ids_crc32."""
-    small_batches(docs.sparkSession)
     path = vocabulary or vocabulary_path()
     rows = docs.select("doc_id", "text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encode, end = coder(path).encode, np.array([end_id], dtype="<u4").tobytes()
-        for batch in batches:
+        for batch in slices(batches):
             out: list[list] = [[], [], [], [], []]
             for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
                 raw = encode(text) + end
@@ -155,8 +155,8 @@ def pack(docs: DataFrame, vocabulary: str | None = None, capacity: int = CAPACIT
     pieces = materialise(pieces_of(docs, vocabulary, capacity, end_id), "pieces")
     counts = {r["length"]: r["count"] for r in pieces.groupBy("length").count().collect()}  # at most `capacity` rows
     shared = docs.sparkSession.sparkContext.broadcast(Plan(counts, capacity))
-    salts = 1 + sum(counts.values()) // SALT_ROWS
-    salted = pieces.withColumn("salt", F.pmod(F.xxhash64("doc_id", "piece", "ids_crc32"), F.lit(salts)))
+    salts = F.lit([1 + counts.get(length, 0) // SALT_ROWS for length in range(1, capacity + 1)])  # only common lengths are salted
+    salted = pieces.withColumn("salt", F.pmod(F.xxhash64("doc_id", "piece", "ids_crc32"), F.element_at(salts, F.col("length").cast("int"))))
     group = ["length", "salt"]
     before = Window.partitionBy("length").orderBy("salt").rowsBetween(Window.unboundedPreceding, -1)
     offsets = salted.groupBy(*group).count().select(*group, F.coalesce(F.sum("count").over(before), F.lit(0)).alias("before"))

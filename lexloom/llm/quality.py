@@ -7,7 +7,9 @@ once and sent with the model. The score is the logistic of the difference of the
 
 Defined cases: null and empty texts have all-zero statistics and are scored like any other; a label that is null counts
 nowhere; without labels of both classes every score is the share of label 1 (0.5 without labels); repeated rows and
-labels each count; other columns are ignored.
+labels each count; documents of equal statistics have equal scores, and a score of exactly 0.5 is predicted 1; an empty
+table gives no rows; very long texts are read whole, one at a time, by the same formulas as any other; other columns are
+ignored.
 """
 
 from __future__ import annotations
@@ -21,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import fold_of, materialise, small_batches
+from .common import fold_of, materialise, slices
 
 NAMES = ("chars", "word_length", "upper", "digit", "bang", "symbol", "space", "line", "distinct", "top", "pairs", "repeated_lines", "packed", "other", "end_marks", "long_words")
 WITHIN, ACROSS = 0.1, 0.1
@@ -53,7 +55,7 @@ def statistics(text: bytes) -> list[float]:
         share(symbol),
         share(space),
         float(np.log1p(n / len(lines))),
-        len(freq) / m / (1 - 0.08 * np.log1p(m)) if m < 20000 else len(freq) / m * 5,
+        float(np.log1p(len(freq)) / np.log1p(m)),
         float(np.log(top / m + 0.01)),
         pairs / max(1, m - 1),
         float(np.log(1.01 - len(set(lines)) / len(lines))),
@@ -66,11 +68,10 @@ def statistics(text: bytes) -> list[float]:
 
 def with_statistics(docs: DataFrame) -> DataFrame:
     """doc_id and the array of statistics."""
-    small_batches(docs.sparkSession)
     rows = docs.select("doc_id", "text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches):
             got = [statistics(t or b"") for t in batch.column(1).cast(pa.binary()).to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(got, pa.list_(pa.float64()))], names=["doc_id", "x"])
 

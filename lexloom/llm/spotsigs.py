@@ -12,8 +12,9 @@ differ too much for a threshold are never opened.
 that share one of their first signatures are compared, each pair once.
 
 Defined cases: null text counts as empty; a text without words has the empty fingerprint, which is like another empty one
-(1) and like nothing else (0); repeated rows follow each other in the order of doc_id; null ids come first; other
-columns are ignored. The last document's next one is the first; a single document is its own next one.
+(1) and like nothing else (0); repeated rows follow each other in the order of doc_id, rows of one doc_id in that of their
+texts' hashes; null ids come first; other columns are ignored. The last document's next one is the first; a single document
+is its own next one; an empty table gives no rows; very long texts are read whole, one at a time.
 """
 
 from __future__ import annotations
@@ -28,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialise, small_batches, text_key
+from .common import materialise, slices, text_key
 from .ordering import BUCKET, CARRIED, with_previous
 
 CHAIN, REACH = 3, 4
@@ -96,11 +97,10 @@ def edited(text: str, after: str) -> str:
 
 def fingerprints(docs: DataFrame) -> DataFrame:
     """doc_id, sigs (binary: sorted 32-bit big-endian signatures) and n_sigs."""
-    small_batches(docs.sparkSession)
     rows = docs.select("doc_id", "text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches):
             got = [signatures(t or b"") for t in batch.column(1).cast(pa.binary()).to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([g.astype(">u4").tobytes() for g in got], pa.binary()), pa.array([len(g) for g in got], pa.int32())], names=["doc_id", "sigs", "n_sigs"])
 
@@ -113,7 +113,6 @@ OUT = "n_chars long, edited_sha256 string, fingerprint string, edited_fingerprin
 def report(docs: DataFrame) -> DataFrame:
     """Each document's fingerprint beside its edited text's and the next document's, in descending order of doc_id."""
     spark = docs.sparkSession
-    small_batches(spark)
     n = max(32, int(spark.conf.get("spark.sql.shuffle.partitions", "200")))
     rows, _ = with_previous(docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")), 8 * n)
     order = [F.col(BUCKET), F.col(CARRIED).desc(), F.col("doc_id").asc_nulls_first(), text_key(F.col("text"))]
@@ -121,7 +120,7 @@ def report(docs: DataFrame) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         before, sigs_before = "", None
-        for batch in batches:
+        for batch in slices(batches):
             out = []
             for doc_id, text, carried in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(3).to_pylist(), strict=True):
                 sigs = signatures(text.encode())

@@ -1,12 +1,14 @@
 """Token ids by a file of the tokenizers library, with words cached inside each task.
 
-White space parts the pieces that the file's rules see, and none of its rules looks across it, so a text's ids are those
-of its words in a row. A word met before costs one look-up. Texts of plain letters are lower-cased first, so that both
-cases share an entry; words with other characters go through the whole tokenizer. The caches have a fixed size.
+Where the file's rules are of the kind of `_BY_WORDS`, white space parts the pieces that they see and none of them looks
+across it, so a text's ids are those of its words in a row. A word met before costs one look-up. Texts of plain letters are
+lower-cased first, so that both cases share an entry; words with other characters go through the whole tokenizer. The
+caches have a fixed size. With a file of other rules each whole text goes through the tokenizer.
 """
 
 from __future__ import annotations
 
+import json
 import re
 from array import array
 
@@ -14,8 +16,14 @@ import regex
 from tokenizers import Tokenizer
 
 VOCABULARY = "word_bpe_49k.json"
-CACHE = 400_000
-
+#: Words in a cache, and the longest word that is kept.
+CACHE, LONGEST = 400_000, 100
+
+#: Rules under which words can be coded one by one, with the pattern of their parts left open.
+_BY_WORDS = {
+    "normalizer": {"type": "Sequence", "normalizers": [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": "\\s+"}, "content": " "}, {"type": "Lowercase"}]},
+    "pre_tokenizer": {"type": "Sequence", "pretokenizers": [{"type": "Split", "pattern": {"Regex": None}, "behavior": "Removed", "invert": True}, {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": False}]},
+}
 _PLAIN = re.compile(r"[\t\n\r\x20-\x7e¡-ɏ]*")
 _SPACE = re.compile(r"[\t\n\r ]+")
 _coders: dict[str, Coder] = {}
@@ -34,6 +42,9 @@ class Coder:
     def __init__(self, path: str):
         self.tokenizer = Tokenizer.from_file(path)
         self.model = self.tokenizer.model
+        pattern = self._pattern(json.loads(self.tokenizer.to_str()))
+        self.by_words = pattern is not None
+        self.pattern = regex.compile(pattern or "")
         self.words = _Cache(self._word)
         self.others = _Cache(self._other)
         self.parts = _Cache(self._part)
@@ -41,7 +52,19 @@ class Coder:
         plain = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
         rest = [b for b in range(256) if b not in plain]
         self.letters = {b: 256 + k for k, b in enumerate(rest)}
-        self.pattern = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+")
+
+    @staticmethod
+    def _pattern(rules: dict) -> str | None:
+        """The pattern of a word's parts, or None where words cannot be coded one by one."""
+        try:
+            split = rules["pre_tokenizer"]["pretokenizers"][0]["pattern"]
+            pattern, split["Regex"] = split["Regex"], None
+        except (KeyError, IndexError, TypeError):
+            return None
+        same = all(rules[k] == v for k, v in _BY_WORDS.items())
+        # a part never holds white space: it is letters, one number, or other signs, which the pattern must say itself
+        alone = pattern.endswith(r"[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+")
+        return pattern if same and alone and rules["model"]["type"] == "BPE" and not rules["post_processor"] else None
 
     def _part(self, part: str) -> bytes:
         return array("I", [t.id for t in self.model.tokenize(part.encode().decode("latin-1").translate(self.letters))]).tobytes()
@@ -56,6 +79,8 @@ class Coder:
     def encode(self, text: str | None) -> bytes:
         if not text:
             return b""
+        if not self.by_words:
+            return self._other(text)
         if _PLAIN.fullmatch(text) and "<|" not in text:
             return b"".join(map(self.words.__getitem__, text.lower().split()))
         return b"".join(map(self.others.__getitem__, filter(None, _SPACE.split(text))))
@@ -69,6 +94,8 @@ class _Cache(dict):
         self.make, self.old = make, {}
 
     def __missing__(self, key: str) -> bytes:
+        if len(key) > LONGEST:
+            return self.make(key)
         if len(self) >= CACHE:
             self.old = dict(self)
             self.clear()

@@ -7,7 +7,8 @@ compressed record. `write` makes a Parquet folder with one record a shard, `read
 
 Defined cases: a null text is empty and has only the end id; null doc_ids come first; repeated doc_ids follow each other,
 ordered by the hash of their texts; an empty table gives an empty folder; other columns are not stored. Rows are ordered
-by buckets of doc_id (quantiles), so no task sorts all of them; a shard ends at SHARD tokens, a longer document is one.
+by buckets of doc_id (quantiles), so no task sorts all of them; a shard ends at SHARD tokens, a longer document is one,
+read whole.
 """
 
 from __future__ import annotations
@@ -23,7 +24,7 @@ import zstandard
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import scratch_root, small_batches, text_key
+from .common import scratch_root, slices, text_key
 from .ordering import BUCKET, bounds_of, bucket_of
 from .tokens import coder, vocabulary_path
 
@@ -161,7 +162,6 @@ class Shard:
 def shards(docs: DataFrame, vocabulary: str | None = None, end_id: int = END_ID) -> DataFrame:
     """One row a shard: bucket, seq (order within it), n_docs, n_tokens, record."""
     spark = docs.sparkSession
-    small_batches(spark)
     path = vocabulary or vocabulary_path()
     n = max(32, int(spark.conf.get("spark.sql.shuffle.partitions", "200")))
     rows = docs.select("doc_id", "text")
@@ -179,7 +179,7 @@ def shards(docs: DataFrame, vocabulary: str | None = None, end_id: int = END_ID)
             return pa.RecordBatch.from_pydict({"bucket": [at], "seq": [seq], "n_docs": [len(own)], "n_tokens": [len(values)], "record": [record]}, schema=kinds)
 
         kinds = pa.schema([("bucket", pa.int32()), ("seq", pa.int32()), ("n_docs", pa.int64()), ("n_tokens", pa.int64()), ("record", pa.binary())])
-        for batch in batches:
+        for batch in slices(batches):
             for doc_id, text, bucket in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 if own and (bucket != at or size >= SHARD):
                     yield close()
