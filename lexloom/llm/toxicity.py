@@ -7,12 +7,14 @@ fitting as in scoring, unless another digit follows them. The lexicon is learned
 doc_id. A term's evidence is the number of different contexts (the words before and after it) in which it stands in
 texts of each label, so copies of one passage count once. Beginnings of words (STEMS letters) are terms too, which gathers
 inflected forms; of terms that begin at one place the heaviest counts. A phrase of a term and its next or previous word that stands in
-several clean contexts and in no toxic one is an exception: the term is not counted there. Two numbers of each text, the
+several clean contexts and in no toxic one is an exception: the term is not counted there. The model's size has a bound,
+the heaviest `most_terms` terms and as many exceptions, far above what the sample gives. Two numbers of each text, the
 sum of weights and that sum divided by the logarithm of the length, go through a logistic fitted on the same sample.
 
 Defined cases: null and empty texts have no matches and get the score of a text without matches; a null label counts
 nowhere; without labels of both classes every score is the share of label 1 (0 without labels); repeated rows are each
-scored; other columns are ignored.
+scored; of terms of equal weight that begin at one place the longest-read one counts once, and a score of exactly 0.5 is
+predicted 1; an empty table gives no rows; very long texts are read whole, one at a time; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -24,13 +26,15 @@ from collections.abc import Iterator
 import ahocorasick
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import fold_of, small_batches
+from .common import fold_of, materialise, slices
 
 SAMPLE = 3000
-CONTEXTS, LEAST_WEIGHT, TERMS = 6, 2.0, 5000
+CONTEXTS, LEAST_WEIGHT, TERMS = 6, 2.0, 50_000
+REMEMBERED = 1_000_000
 STEMS = (5, 6, 7)
 
 #: Letters of other scripts that look like Latin ones, and signs read as letters inside words.
@@ -142,24 +146,51 @@ class Model:
         return 1 / (1 + np.exp(-np.clip(self.beta[0] + self._scaled(x) @ self.beta[1:], -30, 30)))
 
 
+def _terms(word: str) -> list[str]:
+    """A word and its beginnings."""
+    return [word, *(word[:k] + "*" for k in STEMS if len(word) > k)]
+
+
+def _hash(text: str) -> int:
+    return xxhash.xxh3_64_intdigest(text) - 2**63
+
+
+def _placed(texts: list[str | None]) -> Iterator[tuple[int, str, str, str]]:
+    """(number of the text, word before, word, word after) of each word that may be a term, in each reading."""
+    for d, text in enumerate(texts):
+        for reading in readings(text or ""):
+            words = ["", *_WORD.findall(reading), ""]
+            for i in range(1, len(words) - 1):
+                if 2 < len(words[i]) < 40:
+                    yield d, words[i - 1], words[i], words[i + 1]
+
+
 def _contexts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Each text's words with the words around them, once each."""
-    for batch in batches:
-        rows = {}
-        for text, toxic in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-            for reading in readings(text or ""):
-                words = ["", *_WORD.findall(reading), ""]
-                for i in range(1, len(words) - 1):
-                    if not 2 < len(words[i]) < 40:
-                        continue
-                    rows |= dict.fromkeys((term, words[i - 1], words[i + 1], toxic) for term in (words[i], *(words[i][:k] + "*" for k in STEMS if len(words[i]) > k)))
-        yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], pa.int32() if k == 3 else pa.string()) for k in range(4)], names=["term", "before", "after", "toxic"])
-
-
-def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model:
-    """Learn from docs (doc_id, text) and labels (doc_id, toxic)."""
+    """(term, context, toxic) as hashes, once for each context of a term in a task."""
+    known: dict[str, list[int]] = {}
+    told: set[tuple[str, int, int]] = set()
+    for batch in slices(batches):
+        toxic = batch.column(1).to_pylist()
+        term, context, label = [], [], []
+        for d, before, word, after in _placed(batch.column(0).to_pylist()):
+            where = _hash(f"{before} {after}")
+            if (word, where, toxic[d]) in told:
+                continue
+            told.add((word, where, toxic[d]))
+            if word not in known:
+                known[word] = [_hash(t) for t in _terms(word)]
+            term += known[word]
+            context += [where] * len(known[word])
+            label += [toxic[d]] * len(known[word])
+        if len(told) > REMEMBERED:
+            told.clear()
+            known.clear()
+        yield pa.RecordBatch.from_arrays([pa.array(term, pa.int64()), pa.array(context, pa.int64()), pa.array(label, pa.int32())], names=["term", "context", "toxic"])
+
+
+def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, most_terms: int = TERMS) -> Model:
+    """Learn from docs (doc_id, text) and labels (doc_id, toxic): at most most_terms terms, and as many exceptions."""
     spark = docs.sparkSession
-    small_batches(spark)
     rows = labels.where("toxic in (0, 1)").where(fold_of(F.col("doc_id"), 5) != 0).select("doc_id", F.col("toxic").cast("int").alias("toxic"))
     counts = {r["toxic"]: r["count"] for r in rows.groupBy("toxic").count().collect()}
     total = sum(counts.values())
@@ -168,22 +199,40 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model:
         return Model(Lexicon({}), base)
     picked = [rows.where(F.col("toxic") == c).orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample) for c in (0, 1)]
     chosen = picked[0].unionByName(picked[1]).distinct()
-    texts = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").select("text", "toxic")  # at most 2 * sample ids
-    seen = texts.mapInArrow(_contexts, "term string, before string, after string, toxic int").distinct().persist()
+    texts = materialise(docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").select("text", "toxic").repartition(32), "toxic")  # at most 2 * sample ids
+    seen = texts.mapInArrow(_contexts, "term long, context long, toxic int").distinct()
     share = {c: min(sample, counts[c]) for c in counts}
     weight = F.log((F.col("t") + 0.5) / share[1]) - F.log((F.col("c") + 0.5) / share[0])
     by_term = seen.groupBy("term").agg(F.sum(F.col("toxic")).alias("t"), F.sum(1 - F.col("toxic")).alias("c"))
-    weights = {r["term"]: r["w"] for r in by_term.where(F.col("t") >= CONTEXTS).withColumn("w", weight).where(F.col("w") >= LEAST_WEIGHT).orderBy(F.desc("w"), "term").limit(TERMS).collect()}
-    phrases = seen.where(F.col("term").isin(list(weights)[:TERMS])).select("toxic", F.explode(F.array(F.concat_ws(" ", "before", "term"), F.concat_ws(" ", "term", "after"))).alias("phrase"), "before", "after")
-    by_phrase = phrases.groupBy("phrase").agg(F.sum("toxic").alias("t"), F.countDistinct(F.when(F.col("toxic") == 0, F.struct("before", "after"))).alias("c"))
-    exceptions = {r["phrase"] for r in by_phrase.where((F.col("t") == 0) & (F.col("c") >= 3)).orderBy(F.desc("c"), "phrase").limit(TERMS).collect()}
-    seen.unpersist()
+    heavy = {r["term"]: r["w"] for r in by_term.where(F.col("t") >= CONTEXTS).withColumn("w", weight).where(F.col("w") >= LEAST_WEIGHT).orderBy(F.desc("w"), "term").limit(most_terms).collect()}
+    learned = spark.sparkContext.broadcast(heavy)
+
+    def phrases(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """The learned terms in words, and the phrases of a term and its neighbour with their contexts."""
+        known: dict[str, list[str]] = {}
+        for batch in slices(batches):
+            toxic = batch.column(1).to_pylist()
+            out: dict[tuple, None] = {}
+            for d, before, word, after in _placed(batch.column(0).to_pylist()):
+                if word not in known:
+                    known[word] = [t for t in _terms(word) if _hash(t) in learned.value]
+                for term in known[word]:
+                    where = _hash(f"{before} {after}")
+                    out[term, f"{before} {term}", where, toxic[d]] = out[term, f"{term} {after}", where, toxic[d]] = None
+            if len(known) > REMEMBERED:
+                known.clear()
+            yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in out], (pa.string(), pa.string(), pa.int64(), pa.int32())[k]) for k in range(4)], names=["term", "phrase", "context", "toxic"])
+
+    told = materialise(texts.mapInArrow(phrases, "term string, phrase string, context long, toxic int").distinct(), "phrases")
+    weights = {r["term"]: heavy[_hash(r["term"])] for r in told.select("term").distinct().collect()}  # at most most_terms
+    by_phrase = told.groupBy("phrase").agg(F.max("toxic").alias("t"), F.countDistinct("context").alias("c")).where("t = 0 and c >= 3")
+    exceptions = {r["phrase"] for r in by_phrase.orderBy(F.desc("c"), "phrase").limit(most_terms).collect()}
     lexicon = Lexicon(weights, exceptions)
     model = Model(lexicon, base)
     shared = spark.sparkContext.broadcast(lexicon)
 
     def features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches):
             x = [shared.value.features(t) for t in batch.column(0).to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column(1), pa.array([a for a, _ in x], pa.float64()), pa.array([b for _, b in x], pa.float64())], names=["toxic", "a", "b"])
 
@@ -198,7 +247,7 @@ def report(docs: DataFrame, labels: DataFrame) -> DataFrame:
     shared = docs.sparkSession.sparkContext.broadcast(fit(docs, labels))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches):
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(shared.value.score(batch.column(1).to_pylist()))], names=["doc_id", "score"])
 
     scored = docs.select("doc_id", "text").mapInArrow(run, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, score double")
