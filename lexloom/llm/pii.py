@@ -5,12 +5,16 @@ email, ip, card, phone. The method adds `iban` (as long as its country says, one
 (a number without a plus sign), so base spans always stay.
 
 Possessive quantifiers and look-behinds keep each pattern linear in the text: a run of characters is entered once only.
-Defined cases: a null or empty text has no spans; repeated rows are each judged; other columns are not touched. Positions
-count code points, ends are exclusive.
+Defined cases: a null or empty text has no spans; repeated rows are each judged; spans of several kinds that begin at one
+place are all kept, in the order of the kinds; very long texts are read whole, in time that grows with their length and
+little more with the number of matches; an empty table gives no rows; other columns are not touched. Positions count code
+points, ends are exclusive.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -53,6 +57,8 @@ CONTEXT = {
 #: Scores: what a confirmed span has by itself, and what a context word within NEAR characters before it adds.
 SCORE = {"email": 0.9, "ip": 0.8, "card": 0.9, "phone": 0.7, "iban": 0.9, "phone_local": 0.3}
 NEAR, BONUS, LEAST = 40, 0.3, 0.5
+#: Characters of the chunks in which a text is redacted.
+CHUNK = 1000
 
 
 def _digits(value: Column) -> Column:
@@ -94,11 +100,43 @@ def _confirmed(kind: str, value: Column) -> Column:
     }.get(kind, lambda: F.lit(True))()
 
 
+def _bound(value: Column, body: Callable[[Column], Column]) -> Column:
+    """body of a value that is computed once."""
+    return F.transform(F.array(value), body)[0]
+
+
+def _running(values: Column, fold: Callable[[Column, Column], Column]) -> Column:
+    """fold from 0 up to and with each element of an array that is not empty.
+
+    It goes in blocks of about the square root of the array's size, so that a text full of matches stays cheap.
+    """
+
+    def prefix(part: Column, first: Column) -> Column:
+        start = F.struct(first.alias("now"), F.array().cast("array<int>").alias("all"))
+
+        def step(acc: Column, x: Column) -> Column:
+            now = fold(acc["now"], x)
+            return F.struct(now.alias("now"), F.concat(acc["all"], F.array(now)).alias("all"))
+
+        return F.aggregate(part, start, step)["all"]
+
+    def over(blocks: Column) -> Column:
+        whole = prefix(F.transform(blocks, lambda part: F.aggregate(part, F.lit(0), fold)), F.lit(0))
+        return _bound(whole, lambda upto: F.flatten(F.transform(blocks, lambda part, i: prefix(part, F.when(i > 0, F.element_at(upto, i)).otherwise(0)))))
+
+    def cut(values: Column) -> Column:
+        n = F.size(values)
+        size = F.ceil(F.sqrt(n)).cast("int")
+        return F.transform(F.sequence(F.lit(0), F.floor((n - 1) / size).cast("int")), lambda b: F.slice(values, b * size + 1, size))
+
+    return _bound(values, lambda v: _bound(cut(v), over))
+
+
 def _found(kind: str, text: Column) -> Column:
     """array<struct<kind, start, end, value, score>> of one kind, in order.
 
-    The text is cut at the matches; the lengths of the pieces and matches before a match give its place. Running sums go
-    in blocks of about the square root of the number of matches, so that a text full of matches stays cheap.
+    The text is cut at the matches; the lengths of the pieces and matches before a match give its place, and the piece and
+    match before it its context, so that the whole text is walked once however many matches it has.
     """
     pattern = F.lit(PATTERNS[kind])
     values = F.regexp_extract_all(text, pattern, F.lit(0))
@@ -106,42 +144,33 @@ def _found(kind: str, text: Column) -> Column:
 
     def placed(both: Column) -> Column:
         values, pieces = both["values"], both["pieces"]
-        n = F.size(values)
-        block = F.ceil(F.sqrt(n)).cast("int")
         steps = F.transform(values, lambda v, i: F.length(F.element_at(pieces, i + 1)) + F.length(v))
 
-        def blocks(steps: Column) -> Column:
-            return F.transform(F.sequence(F.lit(0), F.floor((n - 1) / block).cast("int")), lambda b: F.slice(steps, b * block + 1, block))
-
-        def running(parts: Column, first: Column) -> Column:
-            """The sum up to and with each element, beginning at first."""
-            start = F.struct(first.alias("sum"), F.array().cast("array<int>").alias("ends"))
-            step = lambda acc, x: F.struct((acc["sum"] + x).alias("sum"), F.concat(acc["ends"], F.array(acc["sum"] + x)).alias("ends"))
-            return F.aggregate(parts, start, step)["ends"]
+        def made(ends: Column) -> Column:
+            return F.transform(values, lambda v, i: _span(kind, v, F.element_at(ends, i + 1), _before(values, pieces, i)))
 
-        def ends(cut: Column) -> Column:
-            sums = F.transform(cut, lambda part: F.aggregate(part, F.lit(0), lambda acc, x: acc + x))
-            return F.flatten(F.transform(F.arrays_zip(cut.alias("part"), running(sums, F.lit(0)).alias("upto")), lambda x, i: running(x["part"], x["upto"] - F.element_at(sums, i + 1))))
-
-        spans = F.transform(F.array(F.transform(F.array(steps), blocks)[0]), ends)[0]
-        made = F.transform(F.arrays_zip(values.alias("value"), spans.alias("end")), lambda x: _span(kind, text, x))
-        return F.filter(made, lambda x: _confirmed(kind, x["value"]) & ((x["score"] >= LEAST) if kind not in BASE else F.lit(True)))
+        return F.filter(_bound(_running(steps, lambda a, x: a + x), made), lambda x: _confirmed(kind, x["value"]) & ((x["score"] >= LEAST) if kind not in BASE else F.lit(True)))
 
     empty = F.array().cast(SPANS)
     needs = text.contains(NEEDS[kind]) if len(NEEDS[kind]) == 1 else text.rlike(NEEDS[kind])
-    both = F.transform(F.array(F.struct(values.alias("values"), pieces.alias("pieces"))), lambda both: F.when(F.size(both["values"]) > 0, placed(both)).otherwise(empty))[0]
+    both = _bound(F.struct(values.alias("values"), pieces.alias("pieces")), lambda both: F.when(F.size(both["values"]) > 0, placed(both)).otherwise(empty))
     return F.when(needs, both).otherwise(empty)
 
 
 SPANS = "array<struct<kind: string, start: int, end: int, value: string, score: double>>"
 
 
-def _span(kind: str, text: Column, found: Column) -> Column:
-    start = found["end"] - F.length(found["value"])
-    near = F.lower(F.substring(text, F.greatest(start - NEAR, F.lit(0)) + 1, F.least(start, F.lit(NEAR))))
-    told = near.rlike(r"\b(?:" + "|".join(CONTEXT[kind]) + r")")
+def _before(values: Column, pieces: Column, i: Column) -> Column:
+    """The last NEAR characters before match i, over one match back at most."""
+    end = lambda x: F.right(x, F.lit(NEAR))
+    back = F.when(i > 0, F.concat(end(F.element_at(pieces, i)), end(F.element_at(values, i)))).otherwise("")
+    return end(F.concat(back, end(F.element_at(pieces, i + 1))))
+
+
+def _span(kind: str, value: Column, end: Column, near: Column) -> Column:
+    told = F.lower(near).rlike(r"\b(?:" + "|".join(CONTEXT[kind]) + r")")
     score = F.least(F.lit(1.0), F.lit(SCORE[kind]) + F.when(told, BONUS).otherwise(0.0))
-    return F.struct(F.lit(kind).alias("kind"), start.alias("start"), found["end"].alias("end"), found["value"].alias("value"), score.alias("score"))
+    return F.struct(F.lit(kind).alias("kind"), (end - F.length(value)).alias("start"), end.alias("end"), value.alias("value"), score.alias("score"))
 
 
 def with_spans(docs: DataFrame, name: str = "pii_spans") -> DataFrame:
@@ -165,19 +194,28 @@ def digest(docs: DataFrame) -> DataFrame:
 def redact(docs: DataFrame) -> DataFrame:
     """The documents with each span replaced by its kind in brackets; n_chars, where it is a column, follows.
 
-    Spans that overlap are replaced together, by the kind of the first.
+    Spans that overlap are replaced together, by the kind of the first. The text is cut into chunks first, so that a kept
+    part costs its own length and not a walk from the text's start.
     """
     name = "pii_spans"
     while name in docs.columns:
         name += "_"
     text = F.coalesce(F.col("text"), F.lit(""))
-    start = F.struct(F.lit(0).alias("at"), F.array().cast("array<string>").alias("out"))
 
-    def step(acc: Column, x: Column) -> Column:
-        kept = F.concat(acc["out"], F.array(F.substring(text, acc["at"] + 1, x["start"] - acc["at"]), F.concat(F.lit("["), x["kind"], F.lit("]"))))
-        return F.struct(F.greatest(acc["at"], x["end"]).alias("at"), F.when(x["start"] >= acc["at"], kept).otherwise(acc["out"]).alias("out"))
+    def joined(chunks: Column) -> Column:
+        def cut(a: Column, b: Column) -> Column:
+            first, last = F.floor(a / CHUNK).cast("int"), F.floor(b / CHUNK).cast("int")
+            return F.substring(F.array_join(F.slice(chunks, first + 1, last - first + 1), ""), a - first * CHUNK + 1, b - a)
+
+        def over(reach: Column) -> Column:
+            before = F.transform(name, lambda x, i: F.struct(F.when(i > 0, F.element_at(reach, i)).otherwise(0).alias("at"), x["start"].alias("start"), x["kind"].alias("kind")))
+            own = F.filter(before, lambda x: x["start"] >= x["at"])  # others begin inside a span before them
+            kept = F.transform(own, lambda x: F.concat(cut(x["at"], x["start"]), F.lit("["), x["kind"], F.lit("]")))
+            return F.concat(F.array_join(kept, ""), cut(F.element_at(reach, -1), F.length(text)))
+
+        return _bound(_running(F.transform(name, lambda x: x["end"]), lambda a, x: F.greatest(a, x)), over)
 
-    done = F.aggregate(name, start, step, lambda acc: F.concat(F.array_join(acc["out"], ""), F.substring(text, acc["at"] + 1, F.length(text))))
+    done = _bound(F.regexp_extract_all(text, F.lit(f"(?s).{{1,{CHUNK}}}"), F.lit(0)), joined)
     out = with_spans(docs, name)
     out = out.withColumn("text", F.when(F.size(name) > 0, done).otherwise(F.col("text"))).drop(name)
     if "n_chars" in docs.columns:
