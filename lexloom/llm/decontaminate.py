@@ -6,11 +6,13 @@ consecutive words of an item; an item of fewer words (but not none) is one windo
 * null or empty text, or a text without words: no hits;
 * an item without words has no window; rows with equal item_id count as one item; an item whose id is null marks
   words but is not listed;
-* repeated documents are each judged; columns beyond doc_id and text are ignored by `decontaminate`;
-* an empty benchmark leaves every document clean.
+* repeated documents are each judged; columns beyond doc_id and text are ignored by `find_hits`, kept by `drop_contaminated`;
+* an empty benchmark leaves every document clean, an empty table of documents gives no rows;
+* overlapping hits count once; an item that occurs many times in a document, or by several windows, is listed once;
+* very long texts are scanned whole, one at a time.
 
-The benchmark is broadcast in parts of at most `part_chars` characters. One part is the usual case; a larger benchmark
-takes one scan for each part, and each document's hits are then merged by a shuffle of hit ranges only.
+The benchmark is broadcast in parts of at most `part_chars` characters (or one longer item). One part is the usual case; a
+larger benchmark takes one step for each part in the same stage, and each step adds its hits.
 """
 
 from __future__ import annotations
@@ -23,10 +25,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import small_batches, text_key
+from .common import slices
 
 WIDTH = 10
-PART_CHARS = 4_000_000
+PART_CHARS = 8_000_000
 
 _KEEP = {*range(0x30, 0x3A), *range(0x61, 0x7B), *range(0x80, 0x100)}
 _TABLE = bytes((b | 0x20) if 0x41 <= b <= 0x5A else b if b in _KEEP else 0x20 for b in range(256))
@@ -38,28 +40,43 @@ def words_of(text: bytes) -> list[bytes]:
 
 
 class WindowIndex:
-    """The windows of one part of the benchmark: by length, sorted hashes with the exact words and the items behind each."""
+    """The windows of one part of the benchmark: by length, sorted hashes with the place of each window and its items.
+
+    A window is kept as its place among the items' words, so an index takes some 30 bytes a word however long windows are.
+    """
 
     def __init__(self, items: list[tuple[str | None, str | None]], width: int = WIDTH):
         self.vocabulary: dict[bytes, int] = {}
-        windows: dict[tuple[int, ...], set[str]] = {}
+        self.names = sorted({item for item, _ in items if item is not None})
+        number = {name: k for k, name in enumerate(self.names)}
+        flat: list[int] = []
+        windows: dict[int, list[tuple[int, int]]] = {}  # by length: place, number of the item
         for item, text in items:
             ids = [self.vocabulary.setdefault(w, len(self.vocabulary) + 1) for w in words_of((text or "").encode())]
-            for i in range(max(1, len(ids) - width + 1) if ids else 0):
-                windows.setdefault(tuple(ids[i : i + width]), set()).update(() if item is None else (item,))
-        self.by_length: dict[int, tuple[np.ndarray, np.ndarray, list[frozenset[str]]]] = {}
-        for length in sorted({len(w) for w in windows}):
-            own = [w for w in windows if len(w) == length]
+            if ids:
+                length = min(width, len(ids))
+                windows.setdefault(length, []).extend((len(flat) + i, number.get(item, -1)) for i in range(len(ids) - length + 1))
+                flat.extend(ids)
+        self.ids = np.array(flat, dtype=np.uint64)
+        self.by_length: dict[int, tuple[int, np.ndarray, np.ndarray, np.ndarray, np.ndarray]] = {}
+        for length in sorted(windows):
+            places, owners = np.array(windows[length], dtype=np.int64).T
+            exact = self.ids[places[:, None] + np.arange(length)]
+            unique, which = np.unique(exact, axis=0, return_inverse=True)
             seed = 0x9E3779B97F4A7C15
             while True:  # another multiplier in the rare case that two windows share a hash
-                exact = np.array(own, dtype=np.uint64)
-                hashes = rolling(exact.reshape(-1), length, seed)[::length]
-                if len(np.unique(hashes)) == len(own):
+                hashes = rolling(unique.reshape(-1), length, seed)[::length]
+                if len(np.unique(hashes)) == len(unique):
                     break
                 seed += 2
             order = np.argsort(hashes)
-            self.by_length[length] = (hashes[order], exact[order], [frozenset(windows[own[i]]) for i in order])
-            self.seeds = getattr(self, "seeds", {}) | {length: seed}
+            rank = np.empty(len(order), dtype=np.int64)
+            rank[order] = np.arange(len(order))
+            where = rank[which.reshape(-1)]
+            one = np.empty(len(order), dtype=np.int64)
+            one[where] = places
+            both = np.unique(np.stack([where, owners])[:, owners >= 0], axis=1)
+            self.by_length[length] = (seed, hashes[order], one, np.searchsorted(both[0], np.arange(len(order) + 1)), both[1])
 
 
 def rolling(ids: np.ndarray, length: int, seed: int) -> np.ndarray:
@@ -85,16 +102,16 @@ def scan(texts: list[bytes | None], index: WindowIndex) -> list[tuple[int, list[
     unknown = np.concatenate([[0], np.cumsum(ids == 0)])
     edges = np.array(starts)
     ranges: list[list[list[int]]] = [[] for _ in texts]
-    items: list[set[str]] = [set() for _ in texts]
-    for length, (hashes, exact, owners) in index.by_length.items():
-        got = rolling(ids, length, index.seeds[length])
+    items: list[set[int]] = [set() for _ in texts]
+    for length, (seed, hashes, places, first, owners) in index.by_length.items():
+        got = rolling(ids, length, seed)
         whole = np.flatnonzero(unknown[length:] == unknown[: len(got)]) if len(got) else np.zeros(0, dtype=np.int64)
         at = np.searchsorted(hashes, got[whole])
         at[at == len(hashes)] = 0
         same = hashes[at] == got[whole]
         whole, at = whole[same], at[same]
         for j in range(length):  # a hash only proposes; the words decide
-            same = ids[whole + j] == exact[at, j]
+            same = ids[whole + j] == index.ids[places[at] + j]
             whole, at = whole[same], at[same]
         for p, w, d in zip(whole.tolist(), at.tolist(), (np.searchsorted(edges, whole, side="right") - 1).tolist(), strict=True):
             own = ranges[d]
@@ -103,8 +120,8 @@ def scan(texts: list[bytes | None], index: WindowIndex) -> list[tuple[int, list[
                 own[-1][1] = max(own[-1][1], p + length)
             else:
                 own.append([p, p + length])
-            items[d] |= owners[w]
-    return [(starts[d + 1] - starts[d] - 1, merge(ranges[d]), items[d]) for d in range(len(texts))]
+            items[d].update(owners[first[w] : first[w + 1]].tolist())
+    return [(starts[d + 1] - starts[d] - 1, merge(ranges[d]), {index.names[k] for k in items[d]}) for d in range(len(texts))]
 
 
 def merge(ranges: list[list[int]]) -> list[list[int]]:
@@ -119,63 +136,42 @@ def merge(ranges: list[list[int]]) -> list[list[int]]:
 
 
 HITS = "n_words long, hit_ranges array<struct<start: long, end: long>>, item_ids array<string>"
+_RANGES = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))
 
 
-def find_hits(docs: DataFrame, benchmark: DataFrame, width: int = WIDTH, part_chars: int = PART_CHARS) -> DataFrame:
-    """docs (doc_id, text) with n_words, hit_ranges (of words, merged) and item_ids (distinct, sorted as strings)."""
-    spark = docs.sparkSession
-    small_batches(spark)
-    docs = docs.select("doc_id", "text")
+def _parts(benchmark: DataFrame, width: int, part_chars: int) -> Iterator[WindowIndex]:
+    """The benchmark's windows in parts; of each only its items, at most `part_chars` characters or one item, reach the driver at a time."""
     items = benchmark.select(F.col("item_id").cast("string").alias("item_id"), "text").where("text is not null")
     chars = items.agg(F.coalesce(F.sum(F.length("text")), F.lit(0))).first()[0]
     parts = max(1, -(-chars // part_chars))
-    found = [_scan_part(docs, items.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(parts)) == k), width) for k in range(parts)]
-    if parts == 1:
-        return found[0]
-    together = found[0]
-    for one in found[1:]:
-        together = together.unionByName(one)
-    # equal rows have equal hits: one of them is merged, and joins back to as many as there are
-    merged = (
-        together.withColumn("key", text_key(F.col("text")))
-        .groupBy("doc_id", "key")
-        .agg(F.max("n_words").alias("n_words"), F.array_distinct(F.flatten(F.collect_set("hit_ranges"))).alias("hit_ranges"), F.array_sort(F.array_distinct(F.flatten(F.collect_set("item_ids")))).alias("item_ids"))
-    )
-    left = docs.withColumn("key", text_key(F.col("text"))).alias("a")
-    joined = left.join(merged.alias("b"), F.col("a.doc_id").eqNullSafe(F.col("b.doc_id")) & (F.col("a.key") == F.col("b.key")))
-    joined = joined.select("a.doc_id", "a.text", "b.n_words", "b.hit_ranges", "b.item_ids")
-
-    def tidy(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            cols = batch.to_pydict()
-            cols["hit_ranges"] = [[{"start": a, "end": b} for a, b in merge([[x["start"], x["end"]] for x in r])] for r in cols["hit_ranges"]]
-            yield pa.RecordBatch.from_pydict(cols, schema=batch.schema)
-
-    return joined.mapInArrow(tidy, joined.schema)
-
-
-def _scan_part(docs: DataFrame, items: DataFrame, width: int) -> DataFrame:
-    rows = [(r["item_id"], r["text"]) for r in items.collect()]  # at most part_chars characters, or one item
-    shared = docs.sparkSession.sparkContext.broadcast(WindowIndex(rows, width))
-    kind = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        index = shared.value
-        for batch in batches:
-            found = scan(batch.column(1).cast(pa.binary()).to_pylist(), index)
-            yield pa.RecordBatch.from_arrays(
-                [
-                    batch.column(0),
-                    batch.column(1),
-                    pa.array([n for n, _, _ in found], pa.int64()),
-                    pa.array([[{"start": a, "end": b} for a, b in r] for _, r, _ in found], kind),
-                    pa.array([sorted(i) for _, _, i in found], pa.list_(pa.string())),
-                ],
-                names=["doc_id", "text", "n_words", "hit_ranges", "item_ids"],
-            )
-
-    schema = f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, text string, {HITS}"
-    return docs.mapInArrow(run, schema)
+    for k in range(parts):
+        rows = items.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(parts)) == k).collect()
+        yield WindowIndex([(r["item_id"], r["text"]) for r in rows], width)
+
+
+def find_hits(docs: DataFrame, benchmark: DataFrame, width: int = WIDTH, part_chars: int = PART_CHARS) -> DataFrame:
+    """docs (doc_id, text) with n_words, hit_ranges (of words, merged) and item_ids (distinct, sorted as strings).
+
+    Every part is a step of one stage: the corpus is read once, nothing is shuffled, and each step adds its hits.
+    """
+    spark = docs.sparkSession
+    kind = docs.schema["doc_id"].dataType.simpleString()
+    out = docs.select("doc_id", "text", F.lit(0).cast("long").alias("n_words"), F.array().cast("array<struct<start: long, end: long>>").alias("hit_ranges"), F.array().cast("array<string>").alias("item_ids"))
+    for index in _parts(benchmark, width, part_chars):
+        shared = spark.sparkContext.broadcast(index)
+
+        def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
+            for batch in slices(batches):
+                found = scan(batch.column(1).cast(pa.binary()).to_pylist(), shared.value)
+                ranges, items = batch.column(3).to_pylist(), batch.column(4).to_pylist()
+                for d, (_, more, own) in enumerate(found):
+                    if more:
+                        ranges[d] = [{"start": a, "end": b} for a, b in merge([*([x["start"], x["end"]] for x in ranges[d]), *more])]
+                        items[d] = sorted({*items[d], *own})
+                yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array([n for n, _, _ in found], pa.int64()), pa.array(ranges, _RANGES), pa.array(items, pa.list_(pa.string()))], names=batch.schema.names)
+
+        out = out.mapInArrow(run, f"doc_id {kind}, text string, {HITS}")
+    return out
 
 
 def report(docs: DataFrame, benchmark: DataFrame, width: int = WIDTH) -> DataFrame:
@@ -192,19 +188,14 @@ def report(docs: DataFrame, benchmark: DataFrame, width: int = WIDTH) -> DataFra
 
 
 def drop_contaminated(docs: DataFrame, benchmark: DataFrame, width: int = WIDTH) -> DataFrame:
-    """The documents, with all their columns, in which no benchmark window occurs: one scan a part, no shuffle."""
-    small_batches(docs.sparkSession)
-    items = benchmark.select(F.col("item_id").cast("string").alias("item_id"), "text").where("text is not null")
-    chars = items.agg(F.coalesce(F.sum(F.length("text")), F.lit(0))).first()[0]
-    parts = max(1, -(-chars // PART_CHARS))
+    """The documents, with all their columns, in which no benchmark window occurs: one stage, no shuffle."""
     place = docs.columns.index("text")
     out = docs
-    for k in range(parts):
-        rows = [(r["item_id"], r["text"]) for r in items.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(parts)) == k).collect()]
-        shared = docs.sparkSession.sparkContext.broadcast(WindowIndex(rows, width))
+    for index in _parts(benchmark, width, PART_CHARS):
+        shared = docs.sparkSession.sparkContext.broadcast(index)
 
         def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
-            for batch in batches:
+            for batch in slices(batches):
                 found = scan(batch.column(place).cast(pa.binary()).to_pylist(), shared.value)
                 yield batch.filter(pa.array([not r for _, r, _ in found], pa.bool_()))
 
