@@ -8,10 +8,11 @@ A document's set is its distinct word shingles, as 64-bit hashes. Equal sets are
    of two linked sets has more, one of its parts with shingles is untouched, and the other set has that part too). Sets that share one get the smallest class among them as their leader. Parts are counted by bands of set
    sizes, and a set near the top of its band also stands in the next one. No pairs are made: a leader and its followers
    are a group, and two linked sets meet in at least one group.
-2. Groups. A group is opened in one task; a large one is dealt into blocks, and every two blocks meet in a task. First
-   only shapes are sent: counts of a set's shingles in SHAPE ranges of the hash. Shapes that differ by more than two
-   linked sets can rule a pair out, and a box around the shapes of a small group rules out all of it at once. Texts
-   follow only for sets that still have a possible partner.
+2. Groups. A group is opened in one task. A large one is a star first: every set is compared with one of them, and only
+   what is not linked with that goes on, so a text's near copies are sent once each (`tasks_of`); in what remains large
+   after some rounds every two blocks of sets meet in a task. First only shapes are sent: counts of a set's shingles in
+   SHAPE ranges of the hash. Shapes that differ by more than two linked sets can rule a pair out, and a box around the
+   shapes of a small group rules out all of it at once. Texts follow only for sets that still have a possible partner.
 3. Token-group matrix. In a task similar-sized sets form small groups with the union of their shingles. A set's overlap
    with a union bounds its overlap with each member, so only groups that can hold a partner are opened, and there the
    exact test is 100 * intersection >= 100 t * union. Links come out as a spanning forest of each task.
@@ -19,7 +20,8 @@ A document's set is its distinct word shingles, as 64-bit hashes. Equal sets are
 
 Defined cases: null and empty texts and texts without words have an empty set and link with nothing; a text of fewer words
 than a shingle is one shingle; rows without doc_id link with nothing and have no component; repeated rows are copies of
-each other; other columns are ignored.
+each other; a likeness of just the threshold links; an empty table gives no rows; very long texts are read whole, one at
+a time; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -34,13 +36,15 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import materialise, small_batches, text_key
+from .common import materialise, slices, text_key
 from .components import connected
 
 WORDS, PERCENT = 3, 90
 BLOCK_SETS, BLOCK_SHINGLES, SUBGROUP = 512, 400_000, 16
 SHAPE = 64
 REMEMBERED = 200_000
+#: Signatures that a task looks at together, sets among them that make a signature common, and rounds of stars.
+SIGNATURES, COMMON, STARS = 1_000_000, 64, 4
 
 _LOWER = bytes(b + 32 if 65 <= b <= 90 else b for b in range(256))
 _A, _B, _C = (np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9))
@@ -136,11 +140,10 @@ def signatures(tokens: np.ndarray, bands: Bands) -> np.ndarray:
 
 def document_sets(docs: DataFrame, width: int = WORDS) -> DataFrame:
     """doc_id, text_key, n_shingles, key (of the set; null if it is empty) and shape, in one scan."""
-    small_batches(docs.sparkSession)
     rows = docs.select("doc_id", "text", text_key(F.col("text")).alias("text_key"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches):
             sets = [shingles(t or b"", width) for t in batch.column(1).cast(pa.binary()).to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array([len(s) for s in sets], pa.int64()), pa.array([key_of(s) if len(s) else None for s in sets], pa.int64()), pa.array([shape_of(s) for s in sets], pa.binary())], names=["doc_id", "text_key", "n_shingles", "key", "shape"])
 
@@ -148,13 +151,30 @@ def document_sets(docs: DataFrame, width: int = WORDS) -> DataFrame:
 
 
 def candidates(docs: DataFrame, width: int = WORDS, percent: int = PERCENT) -> DataFrame:
-    """(leader, key): each class with the smallest class that shares a signature with it."""
-    small_batches(docs.sparkSession)
+    """(leader, key): each class with the smallest class that shares a signature with it.
+
+    A signature that is common among the sets a task has seen sends one marker to the place where its leader is found; its
+    sets are spread and learn their leader by a join afterwards, which Spark can split. So no task gets all sets of one signature.
+    """
+
+    def told_rows(sigs: list[np.ndarray], keys: list[np.ndarray]) -> pa.RecordBatch:
+        sig, key = np.concatenate([NONE, *sigs]), np.concatenate([np.zeros(0, np.int64), *keys])
+        order = np.lexsort((key, sig))
+        sig, key = sig[order], key[order]
+        first = np.flatnonzero(np.concatenate([[True], sig[1:] != sig[:-1]])) if len(sig) else np.zeros(0, np.int64)
+        size = np.diff(np.append(first, len(sig)))
+        common = np.repeat(size > COMMON, size)
+        mark = first[size > COMMON]
+        place = np.concatenate([sig[~common], sig[mark], _mix(sig[common] ^ _mix(key[common].view(np.uint64)))])
+        kind = np.repeat(np.array([0, 1, 2], dtype=np.int8), [int((~common).sum()), len(mark), int(common.sum())])
+        who = np.concatenate([key[~common], key[mark], key[common]])
+        told = np.concatenate([sig[~common], sig[mark], sig[common]])
+        return pa.RecordBatch.from_arrays([pa.array(place.view(np.int64)), pa.array(who), pa.array(kind), pa.array(told.view(np.int64), mask=kind == 0)], names=["place", "key", "kind", "sig"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bands, told = Bands(percent), set()
-        for batch in batches:
-            sigs, keys = [NONE], [np.zeros(0, dtype=np.int64)]
+        sigs, keys, size = [], [], 0
+        for batch in slices(batches):
             for text in batch.column(0).cast(pa.binary()).to_pylist():
                 tokens = shingles(text, width)
                 key = key_of(tokens)
@@ -165,35 +185,139 @@ def candidates(docs: DataFrame, width: int = WORDS, percent: int = PERCENT) -> D
                 told.add(key)
                 sigs.append(signatures(tokens, bands))
                 keys.append(np.full(len(sigs[-1]), key))
-            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(sigs).view(np.int64)), pa.array(np.concatenate(keys))], names=["sig", "key"])
+                size += len(keys[-1])
+            if size >= SIGNATURES:
+                yield told_rows(sigs, keys)
+                sigs, keys, size = [], [], 0
+        yield told_rows(sigs, keys)
+
+    rows = docs.where("text is not null and doc_id is not null").select("text").mapInArrow(run, "place long, key long, kind byte, sig long")
+    own = Window.partitionBy("place")
+    led = rows.withColumn("leader", F.min("key").over(own)).where("kind > 0 or leader <> key")
+    found = materialise(led.select("leader", "key", "kind", "sig").distinct(), "signatures")
+    pairs = found.where("kind < 2 and leader <> key").select("leader", "key")
+    leaders = found.where("kind = 1").groupBy("sig").agg(F.min("leader").alias("leader"))
+    if not leaders.limit(1).count():
+        return pairs
+    spread = found.where("kind = 2").select("sig", "key").join(leaders, "sig").where("leader <> key").select("leader", "key")
+    return pairs.unionByName(spread).distinct()
+
+
+TASK = ("leader", "x", "y")
+_SET = ("key", "doc_id", "n", "shape")
 
-    rows = docs.where("text is not null and doc_id is not null").select("text").mapInArrow(run, "sig long, key long")
-    leader = F.min("key").over(Window.partitionBy("sig"))
-    return rows.withColumn("leader", leader).where("leader <> key").select("leader", "key").distinct()
+
+def _blocks(members: DataFrame, *more) -> DataFrame:
+    """Each group with its number of blocks."""
+    sizes = members.groupBy("leader").agg(F.count("*").alias("m"), F.sum("n").alias("total"), *more)
+    return sizes.withColumn("blocks", F.greatest(F.ceil(F.col("m") / BLOCK_SETS), F.ceil(F.col("total") / BLOCK_SHINGLES)).cast("int")).drop("m", "total")
+
+
+def _alone(members: DataFrame) -> DataFrame:
+    """Groups of one block as tasks."""
+    zero = F.lit(0)
+    return members.select("leader", zero.alias("x"), zero.alias("y"), zero.alias("own"), *_SET)
+
+
+def _named(rows: DataFrame, tag: str) -> DataFrame:
+    """Tasks under names of their own."""
+    return rows.withColumn("leader", F.xxhash64("leader", F.lit(tag)))
+
+
+def tasks_of(docs: DataFrame, members: DataFrame, width: int = WORDS, percent: int = PERCENT) -> tuple[DataFrame, DataFrame | None]:
+    """members (leader, key, doc_id, n, shape) as tasks (leader, x, y, own, ...), and the links (a, b) found on the way.
+
+    A group of more than one block is a star first: all its sets are compared with one of them, the pivot. What links with
+    the pivot is one component and needs no other comparison inside. 1 - likeness is a distance, so a set that is over twice the
+    linking distance from the pivot links with none of those; what lies between meets them. The others are a group of
+    their own, for which the same goes again. After STARS rounds every two blocks of what is left meet.
+    """
+    large = materialise(_blocks(members).where("blocks > 1"), "large")
+    if not large.limit(1).count():
+        return _alone(members), None
+    out, found = _alone(members.join(large, "leader", "left_anti")), None
+    rest = materialise(members.join(large, "leader", "left_semi").select("leader", *_SET), "rest")
+    for k in range(STARS):
+        judged = materialise(_judged(docs, rest, width, percent), "judged")
+        linked = judged.where("state = 0 and key <> pivot").select(F.col("pivot").alias("a"), F.col("key").alias("b"))
+        found = linked if found is None else found.unionByName(linked)
+        out = out.unionByName(_named(_between(judged), f"between {k}"))
+        loose = judged.where("state > 0").select("leader", *_SET)
+        large = materialise(_blocks(loose).where("blocks > 1"), "large")
+        out = out.unionByName(_named(_alone(loose.join(large, "leader", "left_anti")), f"left {k}"))
+        if not large.limit(1).count():
+            return out, found
+        rest = materialise(loose.join(large, "leader", "left_semi"), "rest")
+    dealt = rest.join(_blocks(rest), "leader").withColumn("own", F.pmod(F.xxhash64("key"), F.col("blocks")).cast("int"))
+    dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).withColumn("x", F.least("own", "other")).withColumn("y", F.greatest("own", "other"))
+    return out.unionByName(_named(dealt.select(*TASK, "own", *_SET), "pairs")), found
+
+
+def _between(judged: DataFrame) -> DataFrame:
+    """Tasks in which the sets near a star meet those that are linked with its pivot, block by block."""
+    near = judged.where("state < 2")
+    side = lambda state, name: _blocks(near.where(F.col("state") == state)).withColumnRenamed("blocks", name)
+    dealt = near.join(side(0, "inner"), "leader").join(side(1, "outer"), "leader")
+    first = F.col("state") == 0
+    own = F.when(first, F.pmod(F.xxhash64("key"), F.col("inner"))).otherwise(F.col("inner") + F.pmod(F.xxhash64("key"), F.col("outer"))).cast("int")
+    other = F.when(first, F.sequence(F.col("inner"), F.col("inner") + F.col("outer") - 1)).otherwise(F.sequence(F.lit(0), F.col("inner") - 1))
+    dealt = dealt.withColumn("own", own).withColumn("other", F.explode(other))
+    return dealt.select("leader", F.least("own", "other").alias("x"), F.greatest("own", "other").alias("y"), "own", *_SET)
+
+
+def _judged(docs: DataFrame, members: DataFrame, width: int, percent: int) -> DataFrame:
+    """members with the pivot of their group (its smallest class) and their state: 0 linked with it, 1 near, 2 far."""
+    parts = max(32, int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions", "200")))
+    first = F.col("key") == F.col("pivot")
+    dealt = members.join(_blocks(members, F.min("key").alias("pivot")), "leader")
+    dealt = dealt.withColumn("own", F.explode(F.when(first, F.sequence(F.lit(0), F.col("blocks") - 1)).otherwise(F.array(F.pmod(F.xxhash64("key"), F.col("blocks")).cast("int")))))
+    wanted = dealt.groupBy("doc_id", "key").agg(F.collect_list(F.struct("leader", "own", first.alias("first"))).alias("stays"))
+    texts = docs.where("text is not null").select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(materialise(wanted, "wanted"), "doc_id")
+    rows = texts.select("doc_id", "key", "text", F.explode("stays").alias("s")).select("s.*", "doc_id", "key", "text")
+    rows = rows.repartition(parts, "leader", "own").sortWithinPartitions("leader", "own", F.desc("first"), "key")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, pivot, name, last = None, NONE, None, None
+        for batch in slices(batches):
+            out: list[tuple] = []
+            for leader, own, is_pivot, doc_id, key, text in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                if (leader, own) != now:
+                    now, name, last = (leader, own), None, None
+                tokens = shingles(text.encode(), width)
+                if key == last or key_of(tokens) != key:  # doc_id may stand for another text too, or twice for this one
+                    continue
+                last = key
+                if is_pivot:
+                    pivot, name = tokens, key
+                    if own:
+                        continue
+                shared = len(tokens) + len(pivot) - len(np.union1d(tokens, pivot))
+                union = len(tokens) + len(pivot) - shared
+                state = 0 if 100 * shared >= percent * union else 1 if 100 * shared >= (2 * percent - 100) * union else 2
+                out.append((leader, name, key, doc_id, len(tokens), shape_of(tokens), state))
+            kinds = [pa.int64()] * 5 + [pa.binary(), pa.int32()]
+            yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in out], kind) for k, kind in enumerate(kinds)], names=["leader", "pivot", "key", "doc_id", "n", "shape", "state"])
+
+    return rows.mapInArrow(run, "leader long, pivot long, key long, doc_id long, n long, shape binary, state int")
 
 
 def links(docs: DataFrame, sets: DataFrame, width: int = WORDS, percent: int = PERCENT) -> DataFrame:
     """(a, b): links between classes (keys) of different sets, as spanning forests of the tasks that found them."""
     pairs = materialise(candidates(docs, width, percent), "leaders")
     members = pairs.union(pairs.select("leader", F.col("leader").alias("key"))).distinct()
-    classes = sets.where("key is not null and doc_id is not null").groupBy("key").agg(F.min("doc_id").alias("doc_id"), F.first("n_shingles").alias("n"), F.first("shape").alias("shape"))
-    sized = members.join(classes, "key")
-    groups = sized.groupBy("leader").agg(F.count("*").alias("m"), F.sum("n").alias("total"))
-    blocks = groups.select("leader", F.greatest(F.ceil(F.col("m") / BLOCK_SETS), F.ceil(F.col("total") / BLOCK_SHINGLES)).cast("int").alias("blocks"))
-    dealt = sized.join(blocks, "leader").withColumn("own", F.pmod(F.xxhash64("key"), F.col("blocks")).cast("int"))
-    dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).withColumn("x", F.least("own", "other")).withColumn("y", F.greatest("own", "other"))
+    classes = sets.where("key is not null and doc_id is not null").groupBy("key").agg(F.min("doc_id").cast("long").alias("doc_id"), F.first("n_shingles").alias("n"), F.first("shape").alias("shape"))
+    sent, found = tasks_of(docs, members.join(classes, "key"), width, percent)
     parts = max(32, int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions", "200")))
-    task = ["leader", "x", "y"]
-    sent = dealt.select(*task, "own", "key", F.col("doc_id").cast("long").alias("doc_id"), "n", "shape").repartition(parts, *task).sortWithinPartitions(*task, "n", "key")
+    sent = sent.select(*TASK, "own", "key", "doc_id", "n", "shape").repartition(parts, *TASK).sortWithinPartitions(*TASK, "n", "key")
     left = materialise(sent.mapInArrow(_sifter(percent), "leader long, x int, y int, own int, key long, doc_id long"), "tasks")
-    wanted = left.groupBy("doc_id", "key").agg(F.collect_list(F.struct(*task, "own")).alias("tasks"))
+    wanted = left.groupBy("doc_id", "key").agg(F.collect_list(F.struct(*TASK, "own")).alias("tasks"))
     # a merge join at every size: the wanted ids grow with the documents, so no plan should count on broadcasting them
     texts = docs.where("text is not null").select("doc_id", "text").join(wanted.hint("merge"), "doc_id").select("text", "key", F.explode("tasks").alias("t"))
-    rows = texts.select("t.*", "key", "text").repartition(parts, *task).sortWithinPartitions(*task, "key").select(*task, "own", "key", "text")
+    rows = texts.select("t.*", "key", "text").repartition(parts, *TASK).sortWithinPartitions(*TASK, "key").select(*TASK, "own", "key", "text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         now, found = None, {}
-        for batch in batches:
+        for batch in slices(batches):
             for leader, x, y, own, key, text in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 if (leader, x, y) != now:
                     yield _edges(_open(found, now, percent))
@@ -204,7 +328,8 @@ def links(docs: DataFrame, sets: DataFrame, width: int = WORDS, percent: int = P
                         found[key] = (own, tokens)
         yield _edges(_open(found, now, percent))
 
-    return rows.mapInArrow(run, "a long, b long").distinct()
+    opened = rows.mapInArrow(run, "a long, b long")
+    return (opened if found is None else opened.unionByName(found)).distinct()
 
 
 def _sifter(percent: int):
@@ -334,7 +459,7 @@ def report(docs: DataFrame) -> DataFrame:
 def keep_one(docs: DataFrame, width: int = WORDS, percent: int = PERCENT) -> DataFrame:
     """The documents, with their own columns, that have the least doc_id of their component; all that link with nothing.
 
-    Of repeated rows (equal doc_id and text, with any words) one stays.
+    Of repeated rows (equal doc_id and text, with any words) one stays: the one whose columns have the least hash.
     """
     found = materialise(components(docs, width, percent), "components")
     single = found.where("key is not null and doc_id is not null")
@@ -342,7 +467,7 @@ def keep_one(docs: DataFrame, width: int = WORDS, percent: int = PERCENT) -> Dat
     names = docs.columns
     rows = docs.select(F.struct("*").alias("row__"), "doc_id", text_key(F.col("text")).alias("text_key"))
     linked = rows.join(stay, ["doc_id", "text_key"])
-    first = F.row_number().over(Window.partitionBy("doc_id", "text_key").orderBy(F.lit(0)))
+    first = F.row_number().over(Window.partitionBy("doc_id", "text_key").orderBy(F.xxhash64("row__")))
     kept = linked.withColumn("first__", first).where("first__ = 1").select("row__.*")
     loose = rows.where(F.col("doc_id").isNull()).select("row__.*")
     empty = rows.where("doc_id is not null").join(found.where("key is null and doc_id is not null").select("doc_id", "text_key").distinct(), ["doc_id", "text_key"], "left_semi").select("row__.*")
