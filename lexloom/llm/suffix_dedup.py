@@ -6,41 +6,45 @@ byte that some repeating string covers is removed; matches never cross documents
 1. Anchors. In each window of `length` bytes one substring of ANCHOR bytes, the one of least hash (leftmost of equals), is
    its anchor. Equal windows have equal anchors at equal places, so a window can only repeat if its anchor's hash occurs
    more than once. Windows that share an anchor are a segment: at most 2 * length - ANCHOR bytes.
-2. Repeated anchors are counted by Spark; a bitmap of fixed size (`bits`, at most) tells the second scan which segments to
-   emit. A wrong bit costs a needless segment, never a miss.
+2. Repeated anchors are counted by Spark. Up to BITS / BITS_EACH of them are told to the second scan by a bitmap of that
+   many bits at most; beyond, documents are joined to their own repeated anchors. A wrong bit costs a needless segment,
+   never a miss.
 3. Index. Segments go to tasks by anchor. A task takes whole anchors up to INDEX_BYTES of distinct segments and builds the
    Burrows-Wheeler transform of their concatenation, run-length compressed, with text positions sampled at the run ends.
    Within a run a neighbour match only grows by the character before it, so match lengths are measured at run ends alone
    and stream from there: each position's longest match with another is the running maximum. Windows with a match of
    `length` or more, and all windows of segments that occur more than once, repeat.
-   An anchor with more distinct segments than a task may hold has its windows compared by 128-bit hashes in Spark instead,
-   which is exact for groups of any size.
+   An anchor with more segments than a task may hold is split first: each of its segments is cut again by anchors twice as
+   long, which again stand at equal places of equal windows, and what is still too large once more, at last by whole
+   windows, of which all are equal. So every anchor goes through the index, in parts.
 4. Each document's marked ranges are united and cut out.
 
 Defined cases: null and empty texts, and texts shorter than `length`, lose nothing; of repeated rows each occurrence makes
-the others repeat, so all lose all windows; rows with a null doc_id count like others; other columns are ignored. Cutting
-may split a character: kept bytes are bytes, `remove` gives text with broken characters dropped.
+the others repeat, so all lose all windows; rows with a null doc_id count like others; an empty table gives no rows; very
+long texts are cut into segments in pieces of PIECE bytes; other columns are ignored. Cutting may split a character: kept
+bytes are bytes, `remove` gives text with broken characters dropped.
 """
 
 from __future__ import annotations
 
 import hashlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType, StructField, StructType
 
-from .common import materialise, small_batches, text_key
+from .common import materialise, slices, text_key
 
 LENGTH, ANCHOR = 200, 64
 INDEX_BYTES, GROUP_BYTES = 1_500_000, 4_000_000
 REMEMBERED = 300_000
 PIECE = 2_000_000
-BITS = 1 << 28
+BITS, BITS_EACH = 1 << 28, 8
 PLACE = np.uint64((1 << 24) - 1)
 
 _R = 0xD1342543DE82EF95
@@ -108,17 +112,15 @@ class RunLengthIndex:
         self.text = np.frombuffer(b"\xff".join(texts) + b"\xff", dtype=np.uint8)
         n = len(self.text)
         padded = np.concatenate([self.text.astype(np.uint64), np.zeros(8, np.uint64)])
-        key = np.zeros(n, dtype=np.uint64)
+        self.eight = np.zeros(n, dtype=np.uint64)  # the eight bytes from each position on
         for k in range(8):
-            key = (key << np.uint64(8)) | padded[k : k + n]
-        self.ranks: list[tuple[int, np.ndarray]] = []  # by the first 8, 16, 32 ... bytes
-        depth = 8
+            self.eight = (self.eight << np.uint64(8)) | padded[k : k + n]
+        key, depth = self.eight, 8
         while True:
             order = np.argsort(key, kind="stable")
             ordered = key[order]
             rank = np.empty(n, dtype=np.int64)
             rank[order] = np.cumsum(np.concatenate([[1], ordered[1:] != ordered[:-1]]))
-            self.ranks.append((depth, rank.astype(np.int32)))
             if rank[order[-1]] == n:
                 break
             after = np.zeros(n, dtype=np.int64)
@@ -133,22 +135,43 @@ class RunLengthIndex:
         self.letters = before[self.heads]
         self.upper, self.lower = order[ends], order[ends + 1]  # text positions sampled at run ends and the next run heads
 
+    def count(self, pattern: bytes) -> int:
+        """How often a pattern occurs, by backward search over the runs alone."""
+        n = len(self.text)
+        sizes = np.diff(np.append(self.heads, n))
+        lo, hi = 0, n + 1  # rows of the transform with the end of the text as the first one
+        for c in reversed(pattern):
+            own = np.flatnonzero(self.letters == c)
+            upto = np.concatenate([[0], np.cumsum(sizes[own])])
+            last = int(self.text[-1] == c)
+            below = 1 + int(sizes[(self.letters >= 0) & (self.letters < c)].sum()) + int(self.text[-1] < c)
+
+            def rank(i: int, own=own, upto=upto, last=last) -> int:
+                if i == 0 or not len(own):
+                    return last if i else 0
+                k = int(np.searchsorted(self.heads[own], i - 1))  # runs of c that begin before row i - 1
+                return last + (int(upto[k - 1]) + min(int(sizes[own[k - 1]]), i - 1 - int(self.heads[own[k - 1]])) if k else 0)
+
+            lo, hi = below + rank(lo), below + rank(hi)
+            if lo >= hi:
+                return 0
+        return hi - lo
+
     def common(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
-        """The length of the common prefix of the suffixes at a and at b."""
+        """The length of the common prefix of the suffixes at a and at b, eight bytes at a time."""
         n = len(self.text)
         out = np.zeros(len(a), dtype=np.int64)
-        for depth, rank in reversed(self.ranks):
-            x, y = a + out, b + out
-            ok = (x < n) & (y < n)
-            ok[ok] = rank[x[ok]] == rank[y[ok]]
-            out += depth * ok
-        going = np.ones(len(a), dtype=bool)
-        for _ in range(8):
-            x, y = a + out, b + out
-            going &= (x < n) & (y < n)
-            going[going] = self.text[x[going]] == self.text[y[going]]
-            out += going
-        return out
+        most = n - np.maximum(a, b)
+        going = np.flatnonzero(most > 0)
+        while len(going):
+            at = out[going]
+            apart = self.eight[a[going] + at] ^ self.eight[b[going] + at]
+            same = np.zeros(len(going), dtype=np.int64)
+            for k in range(8):
+                same += (apart >> np.uint64(56 - 8 * k)) == 0
+            out[going] += same
+            going = going[(same == 8) & (out[going] < most[going])]
+        return np.minimum(out, most)
 
     def matching_statistics(self) -> np.ndarray:
         """For each position the length of the longest match that also starts elsewhere."""
@@ -212,35 +235,73 @@ def _bitmap(hashed: DataFrame, bits: int) -> np.ndarray:
     return out
 
 
-def repeated_ranges(docs: DataFrame, length: int = LENGTH, anchor: int = ANCHOR, group_bytes: int = GROUP_BYTES) -> DataFrame:
+def repeated_ranges(docs: DataFrame, length: int = LENGTH, anchor: int = ANCHOR, group_bytes: int = GROUP_BYTES, most_bits: int = BITS) -> DataFrame:
     """(doc_id, text_key, ranges): for each text that has any, the byte ranges of repeats (to be united)."""
     spark = docs.sparkSession
-    small_batches(spark)
     kind = docs.schema["doc_id"].dataType.simpleString()
     rows = docs.where(F.octet_length("text") >= length).select("doc_id", "text", text_key(F.col("text")).alias("text_key"))
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches):
             found, n = np.unique(segments(batch.column(0).cast(pa.binary()).to_pylist(), length, anchor)[0], return_counts=True)
             yield pa.RecordBatch.from_arrays([pa.array(found.view(np.int64)), pa.array(n)], names=["anchor", "n"])
 
     counted = rows.select("text").mapInArrow(count, "anchor long, n long").groupBy("anchor").agg(F.sum("n").alias("n"))
     repeated = materialise(counted.where("n > 1").select("anchor"), "anchors")
-    bits = 1 << 20
-    while bits < BITS and bits < 16 * repeated.count():
-        bits *= 2
-    shared = spark.sparkContext.broadcast(_bitmap(repeated, bits))
-    shift = np.uint64(64 - (bits.bit_length() - 1))
+    total = repeated.count()
+    if total * BITS_EACH <= most_bits:
+        bits = 1 << 20
+        while bits < most_bits and bits < 2 * BITS_EACH * total:
+            bits *= 2
+        shared = spark.sparkContext.broadcast(_bitmap(repeated, bits))
+        shift = np.uint64(64 - (bits.bit_length() - 1))
+
+        def by_bitmap(batch: pa.RecordBatch, hashed: np.ndarray, owner: np.ndarray) -> np.ndarray:
+            slot = (hashed >> shift).astype(np.int64)
+            return np.flatnonzero((shared.value[slot >> 3] >> (7 - (slot & 7)).astype(np.uint8)) & 1)
+
+        emitted = rows.mapInArrow(_emitter(by_bitmap, length, anchor), _segment_schema(kind))
+    else:
+
+        def own_anchors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in slices(batches):
+                hashed, owner, *_ = segments(batch.column(1).cast(pa.binary()).to_pylist(), length, anchor)
+                place = pa.array(owner)
+                yield pa.RecordBatch.from_arrays([batch.column(0).take(place), batch.column(2).take(place), pa.array(hashed.view(np.int64))], names=["doc_id", "text_key", "anchor"])
+
+        own = rows.mapInArrow(own_anchors, f"doc_id {kind}, text_key long, anchor long").join(repeated, "anchor", "left_semi")
+        own = own.groupBy("doc_id", "text_key").agg(F.collect_set("anchor").alias("anchors"))  # a document's own, no more than its length allows
+        a, b = rows.alias("a"), own.alias("b")
+        joined = a.join(b, F.col("a.doc_id").eqNullSafe(F.col("b.doc_id")) & (F.col("a.text_key") == F.col("b.text_key"))).select("a.doc_id", "a.text", "a.text_key", "b.anchors")
+
+        def by_list(batch: pa.RecordBatch, hashed: np.ndarray, owner: np.ndarray) -> np.ndarray:
+            lists = [np.array(x, dtype=np.int64).view(np.uint64) for x in batch.column(3).to_pylist()]
+            edges = np.searchsorted(owner, np.arange(len(lists) + 1))
+            return np.concatenate([np.zeros(0, np.int64), *(np.flatnonzero(np.isin(hashed[x:y], own)) + x for own, x, y in zip(lists, edges[:-1], edges[1:], strict=True))])
+
+        emitted = joined.mapInArrow(_emitter(by_list, length, anchor), _segment_schema(kind))
+    found = materialise(emitted, "segments")
+    places, segs = found.where("at is not null").select("anchor", "hash", "doc_id", "text_key", "at"), found.where("n is not null").select("anchor", "hash", "n", "seg")
+    marks = _marks(segs, length, anchor, group_bytes)
+    spread = places.join(marks, ["anchor", "hash"]).select("doc_id", "text_key", F.struct((F.col("at") + F.col("x")).alias("x"), (F.col("at") + F.col("y")).alias("y")).alias("range"))
+    return spread.groupBy("doc_id", "text_key").agg(F.collect_list("range").alias("ranges"))
+
+
+def _segment_schema(kind: str) -> str:
+    return f"anchor long, hash long, doc_id {kind}, text_key long, at long, n long, seg binary"
+
+
+def _emitter(chosen: Callable[[pa.RecordBatch, np.ndarray, np.ndarray], np.ndarray], length: int, anchor: int):
+    """Of (doc_id, text, text_key): a row for each place of a chosen segment, and rows with the segments' bytes."""
 
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bitmap, told = shared.value, set()
-        for batch in batches:
+        told: set[tuple[int, int]] = set()
+        for batch in slices(batches):
             if len(told) > REMEMBERED:
                 told.clear()
             texts = batch.column(1).cast(pa.binary()).to_pylist()
             hashed, owner, first, last, whole = segments(texts, length, anchor)
-            slot = (hashed >> shift).astype(np.int64)
-            wanted = np.flatnonzero((bitmap[slot >> 3] >> (7 - (slot & 7)).astype(np.uint8)) & 1)
+            wanted = chosen(batch, hashed, owner)
             begins = np.cumsum([0] + [len(t) for t in texts])
             local: dict[tuple[int, int], list] = {}
             marks = []
@@ -266,16 +327,36 @@ def repeated_ranges(docs: DataFrame, length: int = LENGTH, anchor: int = ANCHOR,
                 names=["anchor", "hash", "doc_id", "text_key", "at", "n", "seg"],
             )
 
-    found = materialise(rows.mapInArrow(emit, f"anchor long, hash long, doc_id {kind}, text_key long, at long, n long, seg binary"), "segments")
-    places, segs = found.where("at is not null").select("anchor", "hash", "doc_id", "text_key", "at"), found.where("n is not null").select("anchor", "hash", "n", "seg")
+    return emit
+
+
+def _marks(segs: DataFrame, length: int, anchor: int, group_bytes: int) -> DataFrame:
+    """(anchor, hash, x, y): repeats in each distinct segment; anchors beyond group_bytes are split by longer ones first."""
+    if anchor >= length:  # a segment is one window, so an anchor has one
+        return _index(segs, length)
     large = segs.groupBy("anchor").agg(F.coalesce(F.sum(F.length("seg")), F.lit(0)).alias("total")).where(F.col("total") > group_bytes).select("anchor")
     large = materialise(large, "large")
-    if large.limit(1).count():
-        marks = _index(segs.join(large, "anchor", "left_anti"), length).unionByName(_by_windows(segs.join(large, "anchor", "left_semi"), length))
-    else:
-        marks = _index(segs, length)
-    spread = places.join(marks, ["anchor", "hash"]).select("doc_id", "text_key", F.struct((F.col("at") + F.col("x")).alias("x"), (F.col("at") + F.col("y")).alias("y")).alias("range"))
-    return spread.groupBy("doc_id", "text_key").agg(F.collect_list("range").alias("ranges"))
+    if not large.limit(1).count():
+        return _index(segs, length)
+    longer = min(length, 2 * anchor)
+    distinct = segs.join(large, "anchor", "left_semi").groupBy("anchor", "hash").agg(F.sum("n").alias("n"), F.first("seg", ignorenulls=True).alias("seg"))
+
+    def split(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in slices(batches, "seg"):
+            hashed, owner, first, last, whole = segments(batch.column(3).to_pylist(), length, longer)
+            begins = np.concatenate([[0], np.cumsum(pc.binary_length(batch.column(3)).to_numpy())]).astype(np.int64)
+            subs = [whole[x : y + length] for x, y in zip(first.tolist(), last.tolist(), strict=True)]
+            place = pa.array(owner)
+            yield pa.RecordBatch.from_arrays(
+                [batch.column(0).take(place), batch.column(1).take(place), pa.array(first - begins[owner]), pa.array(hashed.view(np.int64)), pa.array([xxhash.xxh3_64_intdigest(x) - 2**63 for x in subs], pa.int64()), batch.column(2).take(place), pa.array(subs, pa.binary())],
+                names=["anchor", "hash", "at", "part", "part_hash", "n", "seg"],
+            )
+
+    parts = materialise(distinct.select("anchor", "hash", "n", "seg").mapInArrow(split, "anchor long, hash long, at long, part long, part_hash long, n long, seg binary"), "parts")
+    found = _marks(parts.select(F.col("part").alias("anchor"), F.col("part_hash").alias("hash"), "n", "seg"), length, longer, group_bytes)
+    found = found.select(F.col("anchor").alias("part"), F.col("hash").alias("part_hash"), "x", "y")
+    moved = parts.select("anchor", "hash", "at", "part", "part_hash").join(found, ["part", "part_hash"]).select("anchor", "hash", (F.col("at") + F.col("x")).alias("x"), (F.col("at") + F.col("y")).alias("y"))
+    return _index(segs.join(large, "anchor", "left_anti"), length).unionByName(moved)
 
 
 def _index(segs: DataFrame, length: int) -> DataFrame:
@@ -308,25 +389,6 @@ def _index(segs: DataFrame, length: int) -> DataFrame:
     return segs.repartition(n, "anchor").sortWithinPartitions("anchor", "hash").mapInArrow(run, "anchor long, hash long, x long, y long")
 
 
-def _by_windows(segs: DataFrame, length: int) -> DataFrame:
-    """The same for anchors with too many distinct segments for one task: windows meet by 128 bits of hash."""
-    distinct = segs.groupBy("anchor", "hash").agg(F.sum("n").alias("n"), F.first("seg", ignorenulls=True).alias("seg"))
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            out: list[list[int]] = [[], [], [], [], [], []]
-            for a, h, n, seg in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                for x in range(len(seg) - length + 1):
-                    wide = xxhash.xxh3_128_intdigest(seg[x : x + length])
-                    for column, value in zip(out, (a, h, n, x, (wide >> 64) - 2**63, (wide & (2**64 - 1)) - 2**63), strict=True):
-                        column.append(value)
-            yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in out], names=["anchor", "hash", "n", "x", "h1", "h2"])
-
-    windows = distinct.select("anchor", "hash", "n", "seg").mapInArrow(run, "anchor long, hash long, n long, x long, h1 long, h2 long")
-    again = windows.groupBy("h1", "h2").agg(F.sum("n").alias("times")).where("times > 1")
-    return windows.join(again, ["h1", "h2"]).select("anchor", "hash", "x", (F.col("x") + length).alias("y"))
-
-
 def _united(ranges: list[dict] | None) -> list[list[int]]:
     out: list[list[int]] = []
     for a, b in sorted((r["x"], r["y"]) for r in ranges or ()):
@@ -356,7 +418,7 @@ def report(docs: DataFrame, length: int = LENGTH) -> DataFrame:
     """One row per document: doc_id, n_bytes, n_removed, n_spans, kept_sha256."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches):
             out: list[list] = [[], [], [], []]
             for raw, ranges in zip(batch.column(1).cast(pa.binary()).to_pylist(), batch.column(2).to_pylist(), strict=True):
                 raw, united = raw or b"", _united(ranges)
@@ -373,7 +435,7 @@ def remove(docs: DataFrame, length: int = LENGTH) -> DataFrame:
     marked = _with_ranges(docs, length).select("row", "text", "ranges")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches):
             raws, spans = batch.column(1).cast(pa.binary()).to_pylist(), batch.column(2).to_pylist()
             texts = [None if r is None else _cut(r, _united(s)).decode(errors="ignore") for r, s in zip(raws, spans, strict=True)]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(texts, pa.string())], names=["row", "text"])

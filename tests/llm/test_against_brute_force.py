@@ -8,6 +8,7 @@ from collections import Counter
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from lexloom.llm import decontaminate, ngram_join, packing, pii, spotsigs, suffix_dedup, tokens, wavelet
@@ -130,12 +131,45 @@ def test_ngram_join(random_docs, docs, width, percent):
     assert {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in got} == {i: (len(s), root(i)) for i, s in sets.items()}
 
 
-def test_large_groups_are_dealt_into_blocks(spark, monkeypatch):
+@pytest.mark.parametrize(("block", "stars", "common"), [(4, 4, 64), (4, 1, 3), (3, 0, 3), (8, 2, 1)])
+def test_large_groups_lose_no_link(spark, monkeypatch, block, stars, common):
+    """Near copies of two texts, chains that drift away from them, and sets that only share a passage; signatures common or not."""
+    monkeypatch.setattr(ngram_join, "BLOCK_SETS", block)
+    monkeypatch.setattr(ngram_join, "STARS", stars)
+    monkeypatch.setattr(ngram_join, "COMMON", common)
+    rnd = random.Random(block + stars)
+    out = []
+    for head in "ab":
+        base = [f"{head}{k}" for k in range(60)]
+        out += [" ".join([*base[:p], f"x{rnd.random()}", *base[p:]]) for p in (rnd.randrange(60) for _ in range(25))]
+        drift = list(base)
+        for _ in range(12):
+            drift[rnd.randrange(60)] = f"y{rnd.random()}"
+            out.append(" ".join(drift))
+    out += [" ".join([*(f"a{k}" for k in range(30)), *(f"{rnd.random()}" for _ in range(30))]) for _ in range(10)]
+    rnd.shuffle(out)
+    sets = [{tuple(w[k : k + 3]) for k in range(len(w) - 2)} for w in map(str.split, out)]
+    least = list(range(len(out)))
+    for _ in out:
+        for i, x in enumerate(sets):
+            for j, y in enumerate(sets[:i]):
+                if 100 * len(x & y) >= 90 * len(x | y):
+                    least[i] = least[j] = min(least[i], least[j])
+    got = {r["doc_id"]: r["component_id"] for r in ngram_join.report(spark.createDataFrame(list(enumerate(out)), "doc_id long, text string")).collect()}
+    assert got == dict(enumerate(least))
+
+
+def test_near_copies_are_sent_once(spark, monkeypatch):
+    """What is sent for a group of near copies grows with the group, not with its square."""
     monkeypatch.setattr(ngram_join, "BLOCK_SETS", 4)
     base = [f"w{k}" for k in range(60)]
-    texts = [(i, " ".join([*base[:30], f"x{i}", *base[30:]])) for i in range(40)] + [(100, " ".join(base))]
-    got = ngram_join.report(spark.createDataFrame(texts, "doc_id long, text string")).collect()
-    assert {r["component_id"] for r in got} == {0}
+    docs = spark.createDataFrame([(i, " ".join([*base[:30], f"x{i}", *base[30:]])) for i in range(120)], "doc_id long, text string")
+    sets = ngram_join.document_sets(docs)
+    members = ngram_join.candidates(docs)
+    assert members.count() >= 119
+    one = sets.select(F.lit(1).alias("leader"), "key", "doc_id", F.col("n_shingles").alias("n"), "shape")
+    sent, found = ngram_join.tasks_of(docs, one)
+    assert (sent.count(), found.count()) == (0, 119)
 
 
 def test_components(spark):
@@ -144,9 +178,10 @@ def test_components(spark):
     assert got == {k: 0 for k in range(21)} | {40: 40, 50: 40}
 
 
-@pytest.mark.parametrize("group_bytes", [10**6, 1])
-def test_suffix_dedup(random_docs, docs, group_bytes, monkeypatch):
-    monkeypatch.setattr(suffix_dedup.repeated_ranges, "__defaults__", (200, 64, group_bytes))
+@pytest.mark.parametrize(("group_bytes", "bits"), [(10**6, 1 << 28), (1, 1 << 28), (10**6, 0), (700, 0)])
+def test_suffix_dedup(random_docs, docs, group_bytes, bits, monkeypatch):
+    """With anchors split or not, and repeated anchors told by a bitmap or by a join."""
+    monkeypatch.setattr(suffix_dedup.repeated_ranges, "__defaults__", (200, 64, group_bytes, bits))
     table = random_docs.unionByName(docs.where("doc_id is not null").withColumn("doc_id", docs["doc_id"] + 1000))
     raws = [(i, (t or "").encode()) for i, t in texts_of(table)]
     seen = Counter(raw[p : p + 200] for _, raw in raws for p in range(len(raw) - 199))
@@ -168,8 +203,11 @@ def test_matching_statistics():
     index = suffix_dedup.RunLengthIndex(texts)
     whole = b"\xff".join(texts) + b"\xff"
     for p, got in enumerate(index.matching_statistics()):
+        if p + 3 < len(whole):
+            assert index.count(whole[p : p + 3]) == sum(whole[q : q + 3] == whole[p : p + 3] for q in range(len(whole)))
         best = max(next((k for k in range(len(whole)) if p + k >= len(whole) or q + k >= len(whole) or whole[p + k] != whole[q + k]), 0) for q in range(len(whole)) if q != p)
         assert got == best
+    assert index.count(b"zz") == 0
 
 
 def test_spotsigs(docs):
