@@ -44,7 +44,7 @@ BLOCK_SETS, BLOCK_SHINGLES, SUBGROUP = 512, 400_000, 16
 SHAPE = 64
 REMEMBERED = 200_000
 #: Signatures that a task looks at together, sets among them that make a signature common, and rounds of stars.
-SIGNATURES, COMMON, STARS = 1_000_000, 64, 4
+SIGNATURES, COMMON, STARS = 500_000, 64, 4
 
 _LOWER = bytes(b + 32 if 65 <= b <= 90 else b for b in range(256))
 _A, _B, _C = (np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9))

@@ -47,7 +47,6 @@ class Coder:
         self.pattern = regex.compile(pattern or "")
         self.words = _Cache(self._word)
         self.others = _Cache(self._other)
-        self.parts = _Cache(self._part)
         # one character stands for each byte in the vocabulary: printable ones for themselves, the rest from 256 upwards
         plain = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
         rest = [b for b in range(256) if b not in plain]
@@ -70,8 +69,9 @@ class Coder:
         return array("I", [t.id for t in self.model.tokenize(part.encode().decode("latin-1").translate(self.letters))]).tobytes()
 
     def _word(self, word: str) -> bytes:
-        """A lower-cased word of plain characters."""
-        return b"".join(map(self.parts.__getitem__, self.pattern.findall(word)))
+        """A lower-cased word of plain characters; its parts are words too, so one cache holds both."""
+        parts = self.pattern.findall(word)
+        return self._part(word) if parts == [word] else b"".join(map(self.words.__getitem__, parts))
 
     def _other(self, word: str) -> bytes:
         return array("I", self.tokenizer.encode(word, add_special_tokens=False).ids).tobytes()
