@@ -7,6 +7,7 @@ import hashlib
 import re
 import unicodedata
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -21,9 +22,8 @@ def words(text: Column) -> Column:
 
 
 def count_tokens(text: Column) -> Column:
-    """A quarter more than the words, rounded down; 0 for blank text."""
-    n = F.size(words(text))
-    return F.when(n == 0, 0).otherwise(F.greatest(F.lit(1), F.floor(n * 1.25))).cast("long")
+    """A quarter more than the words, rounded down, 1 at least; 0 for an empty text."""
+    return F.when(text == "", 0).otherwise(F.greatest(F.lit(1), F.floor(F.size(words(text)) * 1.25))).cast("long")
 
 
 def detect_lang(text: Column) -> Column:
@@ -50,22 +50,29 @@ def para_label(text: Column) -> Column:
     return F.regexp_replace(found, r"\.$", "")
 
 
-def heading_path(path: Column, heading: Column) -> Column:
-    """A structure path in words: chapters, sections, rules, provisos, explanations, schedules and bracketed parts."""
+#: How the parts of a structure path are told, by their first letters; a missing number counts 1 where it may.
+PATH_WORDS = ((r"^ch([0-9]+)$", "Chapter ", False), (r"^s([0-9]+)$", "s.", False), (r"^r([0-9]+)$", "r.", False), (r"^prov(.*)$", "Proviso ", True), (r"^expl(.*)$", "Explanation ", True), (r"^sched(.*)$", "Schedule ", False))
+
+
+def heading_path(instrument: Column, path: Column, heading: Column) -> Column:
+    """The instrument's name and a structure path in words: chapters, sections, rules, provisos, explanations, schedules and bracketed parts."""
 
     def told(x: Column) -> Column:
-        rest = lambda k: F.regexp_extract(x, rf"^{k}([0-9]+)$", 1)
-        named = [("ch", "Chapter"), ("s", "Section"), ("r", "Rule"), ("prov", "Proviso"), ("expl", "Explanation"), ("sched", "Schedule")]
-        out = None
-        for key, name in named:
-            value = F.concat(F.lit(f"{name} "), rest(key))
-            out = F.when(rest(key) != "", value) if out is None else out.when(rest(key) != "", value)
-        return out.when(x.rlike("^([0-9]+|[a-z]+)$"), F.concat(F.lit("("), x, F.lit(")"))).otherwise(x)
-
-    joined = F.array_join(F.transform(F.split(path, r"\."), told), " > ")
+        out = F.when(F.lit(False), x)
+        for pattern, name, numbered in PATH_WORDS:
+            rest = F.regexp_extract(x, pattern, 1)
+            out = out.when(x.rlike(pattern), F.concat(F.lit(name), F.when(rest == "", "1").otherwise(rest) if numbered else rest))
+        return out.when(x.rlike(r"^(?:[0-9]+|\p{L}+)$"), F.concat(F.lit("("), x, F.lit(")"))).otherwise(x)
+
+    joined = F.array_join(F.concat(F.array(instrument), F.transform(F.split(path, r"\."), told)), " > ")
     return F.concat(joined, F.when(F.coalesce(heading, F.lit("")) != "", F.concat(F.lit(" - "), heading)).otherwise(F.lit("")))
 
 
+def document_heading(title: Column, path: Column, label: Column) -> Column:
+    """A document's title, a path in it and a paragraph's label that is not the path."""
+    return F.concat_ws(" > ", title, F.nullif(path, F.lit("")), F.when((label != "") & (F.coalesce(path, F.lit("")) != label), F.concat(F.lit("Para "), label)))
+
+
 _DASHES = dict.fromkeys(map(ord, "–—−‐"), "-") | dict.fromkeys(map(ord, "‘’"), "'") | dict.fromkeys(map(ord, "“”"), '"')
 
 
@@ -80,16 +87,14 @@ def normalise_text(texts: pd.Series) -> pd.Series:
 
 
 def simhash(text: str) -> int:
-    """A signed 64-bit similarity hash of three-word shingles (of words, if there are fewer)."""
+    """A signed 64-bit similarity hash of three-word shingles (of words, if there are fewer): bits that most shingles' hashes have."""
     found = re.findall(r"\w+", plain(text).lower())
-    grams = [" ".join(found[i : i + 3]) for i in range(len(found) - 2)] or found
-    votes = [0] * 64
-    for gram in grams:
-        bits = int.from_bytes(hashlib.blake2b(gram.encode(), digest_size=8).digest(), "big")
-        for k in range(64):
-            votes[k] += 1 if bits >> k & 1 else -1
-    value = sum(1 << k for k in range(64) if votes[k] > 0)
-    return value - (1 << 64) if value >= 1 << 63 else value
+    grams = list(map(" ".join, zip(found, found[1:], found[2:], strict=False))) or found
+    if not grams:
+        return 0
+    hashes = b"".join(hashlib.blake2b(g.encode(), digest_size=8).digest() for g in grams)
+    ones = np.unpackbits(np.frombuffer(hashes, dtype=np.uint8)).reshape(-1, 64).sum(axis=0, dtype=np.int64)
+    return int.from_bytes(np.packbits(2 * ones > len(grams)).tobytes(), "big", signed=True)
 
 
 @F.pandas_udf(LongType())
@@ -98,16 +103,16 @@ def simhash64(texts: pd.Series) -> pd.Series:
 
 
 def marked_diff(old: str, new: str) -> str:
-    """Words taken out as [-x-] and words put in as {+y+}."""
-    a, b = re.findall(r"\s+|\S+", old), re.findall(r"\s+|\S+", new)
-    out = []
-    for kind, i, j, k, m in difflib.SequenceMatcher(None, a, b, autojunk=False).get_opcodes():
-        gone, come = "".join(a[i:j]), "".join(b[k:m])
-        if kind == "equal":
-            out.append(gone)
-        else:
-            out.append((f"[-{gone}-]" if gone.strip() else "") + (f"{{+{come}+}}" if come.strip() else "") or " ")
-    return re.sub(r" {2,}", " ", "".join(out))
+    """Words taken out as [-x-] and words put in as {+y+}, between the runs that stay."""
+    before, after = re.findall(r"\s+|\S+", old), re.findall(r"\s+|\S+", new)
+    out: list[str] = []
+    a = b = 0
+    for run in difflib.SequenceMatcher(None, before, after, autojunk=False).get_matching_blocks():
+        gone, come = before[a : run.a], after[b : run.b]
+        marks = [f"[-{''.join(gone).strip()}-]"] * bool(gone) + [f"{{+{''.join(come).strip()}+}}"] * bool(come)
+        a, b = run.a + run.size, run.b + run.size
+        out += [*marks, " " if marks else "", *before[run.a : a]]
+    return re.sub(r" {2,}", " ", "".join(out)).strip()
 
 
 @F.pandas_udf(StringType())

@@ -2,8 +2,13 @@
 
 from __future__ import annotations
 
+from itertools import combinations
+
+import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType
 
 
 def exact_groups(docs: DataFrame) -> DataFrame:
@@ -11,12 +16,21 @@ def exact_groups(docs: DataFrame) -> DataFrame:
     return docs.groupBy(F.sha2("text", 256).alias("digest")).agg(F.count("*").alias("n"), F.min("doc_id").alias("first")).where("n > 1")
 
 
-def _has_bit(k: int):
-    return lambda b: F.shiftright(b, k).bitwiseAND(F.lit(1)) == 1
+@F.pandas_udf(LongType())
+def majority_bits(hashes: pd.Series) -> pd.Series:
+    """Of each array of 60-bit numbers, the bits that most of them have."""
+    places = np.arange(60)
+
+    def one(own: np.ndarray | None) -> int:
+        values = np.asarray(own if own is not None else [], dtype=np.int64)
+        ones = sum((((values[k : k + 4096, None] >> places) & 1).sum(axis=0) for k in range(0, len(values), 4096)), np.zeros(60, dtype=np.int64))
+        return int(((2 * ones > len(values)).astype(np.int64) << places).sum())
+
+    return hashes.map(one)
 
 
 def hashed_bits(docs: DataFrame) -> DataFrame:
-    """doc_id and simhash: a 64-bit similarity hash of distinct words, from the first bits of their MD5, in SQL alone.
+    """doc_id and simhash: a 60-bit similarity hash of distinct words, from the first bits of their MD5.
 
     Copies of a text are hashed once, and documents are joined to that by the text's digest: a join, so that Spark can
     split a text that very many documents share.
@@ -25,36 +39,36 @@ def hashed_bits(docs: DataFrame) -> DataFrame:
     texts = keyed.groupBy("key").agg(F.min("text").alias("text"))
     found = F.array_distinct(F.filter(F.split(F.lower("text"), r"[^a-z0-9]+"), lambda x: x != ""))
     value = lambda w: F.conv(F.substring(F.md5(w), 1, 15), 16, 10).cast("long")
-    bits = F.transform(found, value)
-    hashed = F.lit(0).cast("long")
-    for k in range(60):
-        ones = F.size(F.filter("bits", _has_bit(k)))
-        hashed = hashed + F.when(2 * ones > F.size("bits"), F.lit(1 << k)).otherwise(F.lit(0))
-    made = texts.select("key", bits.alias("bits")).select("key", hashed.alias("simhash"))
+    made = texts.select("key", majority_bits(F.transform(found, value)).alias("simhash"))
     return keyed.select("doc_id", "key").join(made, "key").select("doc_id", "simhash")
 
 
-def class_pairs(hashes: DataFrame, block: str, distance: int = 3, bands: int = 4, width: int = 16) -> DataFrame:
+def class_pairs(hashes: DataFrame, block: str, distance: int = 3, parts: int = 6, bits: int = 64) -> DataFrame:
     """(block, sx, sy, a, b, distance): two hashes of one block that differ in at most `distance` bits, and the least document of each; a < b.
 
-    With more bands than differing bits two hashes agree in some band, so bands and block are the keys of an equi-join.
+    Hashes are cut into parts. Differing bits stand in at most `distance` of them, so two hashes agree in all the others:
+    every choice of parts - distance parts is a key of an equi-join (20 keys of 32 bits for six parts), and hashes that only
+    look alike by chance seldom meet.
     """
+    cuts = [bits * k // parts for k in range(parts + 1)]
+    part = [F.shiftrightunsigned("simhash", a).bitwiseAND(F.lit((1 << (b - a)) - 1)) for a, b in zip(cuts, cuts[1:], strict=False)]
+    keys = [F.xxhash64(*[part[k] for k in chosen]) for chosen in combinations(range(parts), parts - distance)]
     classes = hashes.groupBy(block, "simhash").agg(F.min("doc_id").alias("a"))
-    banded = classes.select(block, "simhash", "a", F.posexplode(F.array(*[F.shiftrightunsigned("simhash", k * width).bitwiseAND(F.lit((1 << width) - 1)) for k in range(bands)])).alias("band", "value"))
+    banded = classes.select(block, "simhash", "a", F.posexplode(F.array(*keys)).alias("band", "value"))
     x, y = banded.alias("x"), banded.alias("y")
     met = x.join(y, [F.col(f"x.{c}") == F.col(f"y.{c}") for c in (block, "band", "value")]).where("x.a < y.a")
     apart = F.bit_count(F.col("x.simhash").bitwiseXOR(F.col("y.simhash")))
     return met.where(apart <= distance).select(F.col(f"x.{block}").alias(block), F.col("x.simhash").alias("sx"), F.col("y.simhash").alias("sy"), F.col("x.a").alias("a"), F.col("y.a").alias("b"), apart.alias("distance")).distinct()
 
 
-def near_pairs(hashes: DataFrame, block: str, distance: int = 3, bands: int = 4, width: int = 16) -> DataFrame:
+def near_pairs(hashes: DataFrame, block: str, distance: int = 3) -> DataFrame:
     """(a, b): documents of one block whose hashes differ in at most `distance` bits.
 
     Equal hashes are one class first: a class stands for its members in the join, and members pair with the class only.
     """
     classes = hashes.groupBy(block, "simhash").agg(F.min("doc_id").alias("a"))
     copies = hashes.join(classes, [block, "simhash"]).where("doc_id <> a").select("a", F.col("doc_id").alias("b"), F.lit(0).alias("distance"))
-    return class_pairs(hashes, block, distance, bands, width).select("a", "b", "distance").unionByName(copies)
+    return class_pairs(hashes, block, distance).select("a", "b", "distance").unionByName(copies)
 
 
 def merge_targets(hashes: DataFrame, docs: DataFrame, block: str, number: str) -> DataFrame:

@@ -1,26 +1,26 @@
-"""Citations resolved to provisions, provision trees, amendments replayed into versions, and pages into blocks."""
+"""Citations resolved to provisions, documents segmented and read, provision trees, amendments detected and replayed into versions."""
 
 from __future__ import annotations
 
-import pandas as pd
+from collections.abc import Iterator
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql.types import ArrayType, BooleanType, IntegerType, StringType, StructField, StructType
 
-from ..functions import amend, html, legal, segment
+from ..functions import amend, clauses, html, legal, meta, segment
+from ..functions.dates import effective_for
+from ..functions.text import normalise_text
+from .folds import arrow_udf, folded
 
-_text = lambda *names: [StructField(n, StringType()) for n in names]
-CITATION = ArrayType(StructType([*_text("kind", "raw", "instrument", "path", "canonical_id"), StructField("ambiguous", BooleanType()), StructField("start", IntegerType()), StructField("end", IntegerType())]))
-LOCATOR = StructType([*_text("path", "instrument"), StructField("relative", BooleanType())])
-NUMBERED = ArrayType(StructType(_text("kind", "value")))
-CLASS = StructType([*_text("doc_type", "cue"), StructField("authority_rank", IntegerType())])
-BLOCKS = ArrayType(StructType(_text("kind", "text")))
+CITATION = "array<struct<kind: string, raw: string, instrument: string, path: string, canonical_id: string, ambiguous: boolean, start: int, end: int>>"
+LOCATOR = "struct<path: string, relative: boolean, instrument: string>"
+NUMBERED = "array<struct<kind: string, value: string>>"
 
-citations_of = F.udf(legal.citations, CITATION, useArrow=True)
-locator_of = F.udf(legal.locator, LOCATOR, useArrow=True)
-numbering_of = F.udf(lambda t: legal.numbering(t or ""), NUMBERED, useArrow=True)
-class_of = F.udf(lambda texts: legal.classify(list(texts)) if texts is not None else None, CLASS, useArrow=True)
-html_blocks_of = F.udf(html.blocks, BLOCKS, useArrow=True)
+citations_of = arrow_udf(legal.citations, CITATION)
+locator_of = arrow_udf(legal.locator, LOCATOR)
+numbering_of = arrow_udf(lambda t: legal.numbering(t or ""), NUMBERED)
+html_blocks_of = arrow_udf(html.blocks, html.BLOCK)
+cited = arrow_udf(legal.looks_like_citation, "boolean")
 
 
 def citations(texts: DataFrame, *keys: str) -> DataFrame:
@@ -39,10 +39,14 @@ def html_blocks(pages: DataFrame, key: str) -> DataFrame:
     return pages.select(key, F.posexplode(html_blocks_of("html")).alias("seq", "b")).select(key, "seq", "b.*")
 
 
-def classified(blocks: DataFrame, key: str, window: int = 40) -> DataFrame:
-    """Each document's type by the cues in its first blocks."""
-    first = blocks.where(F.col("seq") < window).groupBy(key).agg(F.transform(F.array_sort(F.collect_list(F.struct("seq", "text"))), lambda x: x["text"]).alias("texts"))
-    return first.select(key, class_of("texts").alias("c")).select(key, "c.*")
+def classified(blocks: DataFrame, key: str) -> DataFrame:
+    """Each document's type by the first cue in its first blocks; of cues at one place the first in the list. All in SQL functions."""
+    most = max(cue[3] for cue in legal.CUES)
+    first = blocks.where(F.col("seq") < most).withColumn("text", normalise_text("text"))
+    rows = first.groupBy(key).agg(F.transform(F.array_sort(F.collect_list(F.struct("seq", "text"))), lambda x: x["text"]).alias("texts"))
+    at = [F.regexp_instr(F.array_join(F.slice("texts", 1, window), "\n"), F.lit(pattern)) for *_, window, pattern in legal.CUES]
+    told = F.array(*[F.struct(place.alias("place"), F.lit(k).alias("priority"), F.lit(kind).alias("doc_type"), F.lit(name).alias("cue"), F.lit(rank).alias("authority_rank")) for k, (place, (name, kind, rank, *_)) in enumerate(zip(at, legal.CUES, strict=True))])
+    return rows.select(key, F.array_min(F.filter(told, lambda x: x["place"] > 0)).alias("c")).select(key, "c.doc_type", "c.cue", "c.authority_rank")
 
 
 def carried(blocks: DataFrame, key: str, marker: Column, empty: str) -> DataFrame:
@@ -64,26 +68,124 @@ def provision_tree(blocks: DataFrame, key: str) -> DataFrame:
     return nodes.withColumn("ordinal", ordinal).join(own.select(key, "path", "text"), [key, "path"], "left").withColumn("synthesised", F.col("text").isNull())
 
 
-STEP = "provision_id long, amendment_id string, effective_from date, kind string, old_text string, new_text string, anchor_text string, position string, occurrence int, base_text string, base_from date"
+#: How each step of a law's path looks.
+STEPS = r"ch\d+|[sr]\d+[A-Z]*|\d+[A-Z]*|[a-z]{1,4}|prov\d+|expl\d+|sched\d+|form\d+|annex\d+|toc|pre|fn\d+"
+
+
+def skipped_paths(blocks: DataFrame) -> DataFrame:
+    """(token, n): steps of paths that no provision can have, with the number of blocks they are in."""
+    bad = F.filter(F.split("path", r"\."), lambda x: ~x.rlike(f"^(?:{STEPS})$"))
+    return blocks.select(F.explode(F.array_distinct(bad)).alias("token")).groupBy("token").agg(F.count("*").alias("n"))
+
+
+# ---------------------------------------------------------------- segments and fields
+
+
+def _ordered(blocks: DataFrame, *keys: str) -> DataFrame:
+    """One row a document, its blocks (seq, kind, text) in order: what a document's state machine reads."""
+    kind = F.col("kind") if "kind" in blocks.columns else F.lit("para").alias("kind")
+    return blocks.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct("seq", kind, "text"))).alias("blocks"))
+
+
+def segmented(blocks: DataFrame, key: str, doc_type: str = "doc_type") -> DataFrame:
+    """blocks (key, doc_type, seq, kind, text) with the structure path of each."""
+    run = F.udf(lambda kind, own: segment.segment(kind, [(b["kind"], b["text"] or "") for b in own])[0], "array<string>", useArrow=True)
+    rows = _ordered(blocks, key, doc_type).withColumn("paths", run(doc_type, "blocks"))
+    return rows.select(key, doc_type, F.explode(F.arrays_zip("blocks", "paths")).alias("x")).select(key, doc_type, "x.blocks.seq", "x.blocks.kind", "x.blocks.text", F.col("x.paths").alias("path"))
+
+
+def numbered_items(blocks: DataFrame, key: str, doc_type: str = "doc_type") -> DataFrame:
+    """(key, seq, prefix, label): the numbered items of each document in order, for the numbering gate."""
+    run = F.udf(lambda kind, own: [{"prefix": p, "label": n} for p, n in segment.segment(kind, [(b["kind"], b["text"] or "") for b in own])[1]], "array<struct<prefix: string, label: string>>", useArrow=True)
+    return _ordered(blocks, key, doc_type).select(key, F.posexplode(run(doc_type, "blocks")).alias("seq", "x")).select(key, "seq", "x.*")
+
+
+def fields(blocks: DataFrame, documents: DataFrame, key: str, today: Column) -> DataFrame:
+    """Fields, confidence and issues of documents (key, doc_type, title, file_name) from their blocks."""
+    run = F.udf(lambda kind, own, title, name, day: meta.extract(kind, [(b["kind"], b["text"] or "") for b in own], title, name, day), meta.META, useArrow=True)
+    rows = _ordered(blocks, key).join(documents.select(key, "doc_type", "title", "file_name"), key)
+    return rows.select(key, "doc_type", run("doc_type", "blocks", "title", "file_name", today).alias("m")).select(key, "doc_type", "m.*")
+
+
+# ---------------------------------------------------------------- amendments
+
+
+def proposals(blocks: DataFrame, documents: DataFrame, key: str) -> DataFrame:
+    """A row for each amending clause of notifications: documents (key, doc_date), blocks (key, seq, text).
+
+    The date a clause takes effect is its own, else the notification's, else the day of the gazette.
+    """
+
+    def run(own: list, doc_date: object) -> list[dict]:
+        found = clauses.detect([b["text"] or "" for b in own])
+        out = []
+        for p in found["proposals"]:
+            unit = {"condition": "on_date", "effective_from": p["effective_from"], "phrase": p["effective_phrase"], "retrospective": False} if p["effective_from"] else None
+            when = effective_for(unit, found["effective"], doc_date)
+            out.append(p | {"effective_from": when["effective_from"], "effective_phrase": when["phrase"], "condition": when["condition"], "retrospective": when["retrospective"]})
+        return out
+
+    detect = F.udf(run, f"array<struct<{clauses.PROPOSAL}, condition: string, retrospective: boolean>>", useArrow=True)
+    rows = _ordered(blocks, key).join(documents.select(key, "doc_date"), key)
+    return rows.select(key, F.posexplode(detect("blocks", "doc_date")).alias("place", "p")).select(key, "place", "p.*")
+
+
+def _applied(text, op, kind, old_text, new_text, anchor_text, position):
+    if f"{op}_{kind}" not in amend.RULES:
+        return None, "no_operation"
+    return amend.applied(text, {"kind": f"{op}_{kind}", "old_text": old_text, "new_text": new_text, "anchor_text": anchor_text, "position": position})
+
+
+applied = arrow_udf(_applied, "struct<text: string, reason: string>")
+review_status = arrow_udf(clauses.review_status, "string")
+
+
+def tried(found: DataFrame, provisions: DataFrame, versions: DataFrame, key: str, on: Column) -> DataFrame:
+    """Proposals with their target, a dry run on its text, and the review they need.
+
+    The provision looked up is the one that changes, or the neighbour of one that is inserted; one hit resolves it, none is
+    not_found, more are ambiguous. The text is the version that stands on a day, else the latest one.
+    """
+    looked = F.when((F.col("op") == "insert") & (F.col("kind") == "provision"), F.col("anchor_path")).otherwise(F.col("target_path"))
+    targets = provisions.select("provision_id", "instrument", F.regexp_replace("path", r"^ch[0-9]+\.", "").alias("path")).groupBy("instrument", "path").agg(F.count("*").alias("hits"), F.min("provision_id").alias("provision_id"))
+    rows = found.withColumn("path", looked).join(targets, ["instrument", "path"], "left").withColumn("hits", F.coalesce("hits", F.lit(0)))
+    rows = rows.withColumn("outcome", F.when(F.col("hits") == 0, "not_found").when(F.col("hits") == 1, "resolved").otherwise("ambiguous")).withColumn("provision_id", F.when(F.col("hits") == 1, F.col("provision_id")))
+    stands = (F.col("valid_from") <= on) & (F.col("valid_to").isNull() | (F.col("valid_to") > on))
+    texts = versions.groupBy("provision_id").agg(F.max_by("text", F.struct(stands, "valid_from")).alias("standing"))
+    rows = rows.join(texts, "provision_id", "left")
+    new = (F.col("op") == "insert") & (F.col("kind") == "provision")
+    dry = F.when((F.col("status") == "parsed") & (F.col("hits") == 1), applied(F.when(~new, F.col("standing")), "op", "kind", "old_text", "new_text", "anchor_text", "position"))
+    return rows.withColumn("dry", dry).select(
+        key, "place", "status", "op", "kind", "instrument", "target_path", "provision_id", "outcome", "effective_from", "condition",
+        (F.col("dry").isNotNull() & F.col("dry.reason").isNull()).alias("dry_run_ok"), F.col("dry.reason").alias("dry_run_reason"), review_status("status", "problems", F.col("hits") == 1).alias("review_status"),
+    )
+
+
 VERSION = "provision_id long, valid_from date, valid_to date, text string, amendment_id string, problem string"
 
 
 def replayed(baselines: DataFrame, steps: DataFrame) -> DataFrame:
     """Versions of each provision, and its problems (rows with `problem`): its baseline with its steps applied in order.
 
-    A provision's steps are few, so one group is one provision; groups run on all executors.
+    baselines (provision_id, base_text, base_from); steps (provision_id, amendment_id, effective_from, kind, old_text, new_text,
+    anchor_text, position, occurrence). A provision's rows stream through its fold, the baseline first, so neither its
+    text nor its steps are ever gathered.
     """
-    rows = baselines.join(steps, "provision_id", "left")
+    none = lambda *names: [F.lit(None).cast("string").alias(n) for n in names]
+    words = ("kind", "old_text", "new_text", "anchor_text", "position")
+    base = baselines.select("provision_id", F.lit(0).alias("rank"), F.col("base_from").alias("day"), *none("amendment_id"), F.col("base_text").alias("text"), *none(*words), F.lit(None).cast("int").alias("occurrence"))
+    more = steps.select("provision_id", F.lit(1).alias("rank"), F.col("effective_from").alias("day"), "amendment_id", *none("text"), *words, F.col("occurrence").cast("int").alias("occurrence"))
 
-    def plan(keys: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.astype(object).where(pdf.notna(), None)
-        first = pdf.iloc[0]
-        todo = [{"amendment_id": r.amendment_id, "effective_from": r.effective_from, "order": (), "op": {"kind": r.kind, "old_text": r.old_text, "new_text": r.new_text, "anchor_text": r.anchor_text, "position": r.position, "occurrence": None if r.occurrence is None else int(r.occurrence)}} for r in pdf.itertuples() if r.amendment_id is not None]
-        versions, problems = amend.replay(first.base_text, first.base_from, todo)
-        out = [(keys[0], v["valid_from"], v["valid_to"], v["text"], v["amendment_id"], None) for v in versions] + [(keys[0], None, None, None, p["amendment_id"], p["reason"]) for p in problems]
-        return pd.DataFrame(out, columns=["provision_id", "valid_from", "valid_to", "text", "amendment_id", "problem"], dtype=object)
+    def body(key: tuple, rows: Iterator[tuple]) -> Iterator[tuple]:
+        first = next(rows)
+        text, since = (first[4], first[2]) if first[1] == 0 else (None, None)
+        todo = (r for part in ([] if first[1] == 0 else [first], rows) for r in part)
+        names = ("kind", "old_text", "new_text", "anchor_text", "position", "occurrence")
+        ops = (amend.Step(r[2], (), r[3], dict(zip(names, r[5:], strict=True))) for r in todo)
+        for got in amend.replay(text, since, ops):
+            yield (key[0], *got, None) if isinstance(got, amend.Version) else (key[0], None, None, None, got[0], got[1])
 
-    return rows.groupBy("provision_id").applyInPandas(plan, VERSION)
+    return folded(base.unionByName(more), ["provision_id"], ["rank", "day", "amendment_id"], body, VERSION)
 
 
 def consolidation(active: DataFrame, planned: DataFrame) -> DataFrame:
@@ -93,28 +195,30 @@ def consolidation(active: DataFrame, planned: DataFrame) -> DataFrame:
     return both.select("provision_id", F.when(F.col("p").isNull(), "close").when(F.col("a").isNull(), "insert").when(F.col("a") == F.col("p"), "unchanged").otherwise("replace").alias("action"))
 
 
-def resolved(found: DataFrame, provisions: DataFrame, documents: DataFrame, key: str) -> DataFrame:
-    """The first citation of each text with the provision or document it names; nothing named is `not_found`."""
-    first = found.withColumn("n", F.row_number().over(Window.partitionBy(key).orderBy(F.when(F.col("kind") == "section", 0).when(F.col("kind") == "rule", 1).otherwise(2), "start"))).where("n = 1")
-    a = first.join(provisions.select("instrument", "path", "provision_id"), ["instrument", "path"], "left").join(documents.select("canonical_id", "doc_id"), "canonical_id", "left")
-    return a.select(key, "kind", "canonical_id", F.coalesce("provision_id", "doc_id").alias("entity"), F.when(F.coalesce("provision_id", "doc_id").isNotNull(), "matched").when(F.col("ambiguous"), "ambiguous").otherwise("not_found").alias("outcome"))
-
-
-META = "struct<fields: map<string, string>, confidence: map<string, double>, issues: array<string>, canonical_id: string, sure: double>"
+def consolidated(stored: DataFrame, planned: DataFrame, at: Column) -> DataFrame:
+    """The next snapshot of stored versions (.., rec_from, rec_to): where a provision's plan differs, its open rows closed on record and the planned ones added."""
+    names = ["provision_id", "valid_from", "valid_to", "text", "amendment_id", "rec_from", "rec_to"]
+    actions = consolidation(stored.where("rec_to is null"), planned)
+    kept = stored.join(actions, "provision_id", "left")
+    ends = F.when(F.col("rec_to").isNull() & F.col("action").isin("close", "replace"), at).otherwise(F.col("rec_to"))
+    added = planned.where("problem is null").join(actions.where("action in ('insert', 'replace')"), "provision_id")
+    return kept.withColumn("rec_to", ends).select(*names).unionByName(added.withColumn("rec_from", at).withColumn("rec_to", F.lit(None).cast(stored.schema["rec_to"].dataType)).select(*names))
 
 
-def _ordered(blocks: DataFrame, key: str) -> DataFrame:
-    return blocks.groupBy(key).agg(F.array_sort(F.collect_list(F.struct("seq", "text"))).alias("blocks"))
+#: The link that a consolidated operation leaves between its document and the provision.
+LINK_TYPES = {"substitute": "substitutes", "insert": "inserts", "omit": "omits"}
 
 
-def segmented(blocks: DataFrame, key: str, letter: str = "s") -> DataFrame:
-    """blocks (key, seq, text) of acts or rules with their structure paths; one document is one row on the way."""
-    paths = F.udf(lambda texts: segment.act(list(texts), letter), "array<string>", useArrow=True)
-    rows = _ordered(blocks, key).withColumn("paths", paths(F.transform("blocks", lambda x: x["text"])))
-    return rows.select(key, F.explode(F.arrays_zip("blocks", "paths")).alias("x")).select(key, "x.blocks.seq", "x.blocks.text", F.col("x.paths").alias("path"))
+def amendment_links(planned: DataFrame, amendments: DataFrame, stored: DataFrame) -> DataFrame:
+    """Links (src_id, dst_id, link_type) of amendments (amendment_id, doc_id, op) that made a version and are not stored yet."""
+    kinds = F.create_map(*[F.lit(x) for kv in LINK_TYPES.items() for x in kv])
+    made = planned.where("amendment_id is not null and problem is null").join(amendments, "amendment_id")
+    links = made.select(F.col("doc_id").alias("src_id"), F.col("provision_id").alias("dst_id"), F.coalesce(F.try_element_at(kinds, F.col("op")), F.lit("amends")).alias("link_type")).distinct()
+    return links.join(stored, ["src_id", "dst_id", "link_type"], "left_anti")
 
 
-def notification_fields(blocks: DataFrame, key: str) -> DataFrame:
-    """number, year, series, date, identifier, confidence and issues of each notification."""
-    read = F.udf(lambda texts: segment.notification(list(texts)), META, useArrow=True)
-    return _ordered(blocks, key).select(key, read(F.transform("blocks", lambda x: x["text"])).alias("m")).select(key, "m.*")
+def resolved(found: DataFrame, provisions: DataFrame, documents: DataFrame, key: str) -> DataFrame:
+    """The first citation of each text with the provision or document it names; nothing named is `not_found`."""
+    first = found.withColumn("n", F.row_number().over(Window.partitionBy(key).orderBy(F.when(F.col("kind") == "section", 0).when(F.col("kind") == "rule", 1).otherwise(2), "start"))).where("n = 1")
+    a = first.join(provisions.select("instrument", "path", "provision_id"), ["instrument", "path"], "left").join(documents.select("canonical_id", "doc_id"), "canonical_id", "left")
+    return a.select(key, "kind", "canonical_id", F.coalesce("provision_id", "doc_id").alias("entity"), F.when(F.coalesce("provision_id", "doc_id").isNotNull(), "matched").when(F.col("ambiguous"), "ambiguous").otherwise("not_found").alias("outcome"))

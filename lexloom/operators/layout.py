@@ -5,9 +5,13 @@ words: page, x0, x1, top, bottom, text; page size given as width and height colu
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from .folds import folded
+
 LINE_GAP, MARGIN, GUTTER = 3.0, 0.08, 0.02
 
 
@@ -32,13 +36,26 @@ def gutters(words: DataFrame) -> DataFrame:
 
 
 def lines(words: DataFrame) -> DataFrame:
-    """(page, column, line, top, bottom, text): words by column, then by gaps of over 3 points between their tops."""
+    """(page, column, line, top, bottom, height, text): words by column, each within LINE_GAP points of its line's first word."""
     placed = words.join(gutters(words), "page", "left").withColumn("column", F.when((F.col("x0") + F.col("x1")) / 2 >= F.col("gutter"), 1).otherwise(0))
-    order = Window.partitionBy("page", "column").orderBy("top", "x0")
-    new = F.coalesce(F.col("top") - F.lag("top").over(order) > LINE_GAP, F.lit(True))
-    numbered = placed.withColumn("line", F.sum(new.cast("int")).over(order))
-    grouped = numbered.groupBy("page", "column", "line").agg(F.min("top").alias("top"), F.max("bottom").alias("bottom"), F.array_sort(F.collect_list(F.struct("x0", "text"))).alias("parts"), F.max("height").alias("height"))
-    return grouped.select("page", "column", "line", "top", "bottom", "height", F.array_join(F.transform("parts", lambda x: x["text"]), " ").alias("text"))
+    rows = placed.select("page", "column", F.col("top").cast("double").alias("top"), F.col("bottom").cast("double").alias("bottom"), F.col("x0").cast("double").alias("x0"), "text", F.col("height").cast("double").alias("height"))
+
+    def grouped(key: tuple, own: Iterator[tuple]) -> Iterator[tuple]:
+        def told(number: int, line: list[tuple]) -> tuple:
+            return (*key, number, line[0][2], max(w[3] for w in line), line[0][6], " ".join(w[5] for w in sorted(line, key=lambda w: w[4])))
+
+        line: list[tuple] = []
+        number = 0
+        for word in own:
+            if not line or word[2] - line[0][2] > LINE_GAP:
+                if line:
+                    yield told(number, line)
+                line, number = [], number + 1
+            line.append(word)
+        yield told(number, line)
+
+    kind = words.schema["page"].dataType.simpleString()
+    return folded(rows, ["page", "column"], ["top", "x0"], grouped, f"page {kind}, column int, line int, top double, bottom double, height double, text string")
 
 
 def paragraphs(rows: DataFrame) -> DataFrame:
@@ -53,10 +70,10 @@ def paragraphs(rows: DataFrame) -> DataFrame:
     return out.select("page", "column", "para", "top", "bottom", F.when(F.col("h") == 1, "heading").otherwise("para").alias("kind"), F.array_join(F.transform("parts", lambda x: x["text"]), " ").alias("text"))
 
 
-def repeated_margins(rows: DataFrame) -> DataFrame:
-    """(key, pages): lines near the top or bottom, digits masked, that stand on at least three pages and half of them."""
+def repeated_margins(rows: DataFrame, document: str = "doc") -> DataFrame:
+    """(document, key, pages): lines near the top or bottom, digits masked, that stand on at least three pages of a document and half of them."""
     zone = F.when(F.col("top") < MARGIN * F.col("height"), "top").when(F.col("bottom") > (1 - MARGIN) * F.col("height"), "bottom")
     keyed = rows.withColumn("zone", zone).where("zone is not null").withColumn("key", F.concat_ws(":", "zone", F.lower(F.regexp_replace("text", "[0-9]+", "#"))))
-    pages = rows.agg(F.countDistinct("page").alias("all_pages")).withColumn("one", F.lit(1))
-    votes = keyed.groupBy("key").agg(F.countDistinct("page").alias("pages")).withColumn("one", F.lit(1))
-    return votes.join(pages, "one").where(F.col("pages") >= F.greatest(F.lit(3), F.ceil(F.col("all_pages") / 2))).select("key", "pages")
+    pages = rows.groupBy(document).agg(F.countDistinct("page").alias("all_pages"))
+    votes = keyed.groupBy(document, "key").agg(F.countDistinct("page").alias("pages"))
+    return votes.join(pages, document).where(F.col("pages") >= F.greatest(F.lit(3), F.ceil(F.col("all_pages") / 2))).select(document, "key", "pages")

@@ -29,8 +29,8 @@ def ingest_daily(jobs: DataFrame, now: Column, days: int = 30) -> DataFrame:
 
 
 def freshness(jobs: DataFrame, now: Column, days: int = 7) -> DataFrame:
-    """Hours from discovery to publication: median and 95th percentile by source and over all (is_total)."""
-    done = jobs.where(F.col("published_at").isNotNull() & (F.col("published_at") >= now - F.make_dt_interval(F.lit(days)))).withColumn("h", hours(F.col("published_at"), F.col("discovered_at")))
+    """Hours from discovery to publication of what was discovered in the last days: median and 95th percentile by source and over all (is_total)."""
+    done = jobs.where(F.col("published_at").isNotNull() & (F.col("discovered_at") >= now - F.make_dt_interval(F.lit(days)))).withColumn("h", hours(F.col("published_at"), F.col("discovered_at")))
     both = [F.round(F.percentile("h", F.lit(p)), 6).alias(n) for p, n in ((0.5, "p50_hours"), (0.95, "p95_hours"))]
     by_source = done.groupBy("source").agg(*both, F.count("*").alias("published")).withColumn("is_total", F.lit(False))
     total = done.agg(*both, F.count("*").alias("published")).select(F.lit(None).cast("long").alias("source"), "p50_hours", "p95_hours", "published", F.lit(True).alias("is_total"))
@@ -45,12 +45,15 @@ def source_health(sources: DataFrame, now: Column) -> DataFrame:
 
 
 def review_queue(tasks: DataFrame, now: Column) -> DataFrame:
-    overdue = F.col("sla_due_at").isNotNull() & (F.col("sla_due_at") < now) & F.col("status").isin("open", "in_review")
-    return tasks.groupBy("kind", "status").agg(F.count("*").alias("tasks"), F.min("opened_at").alias("oldest"), count_where(overdue).alias("overdue"))
+    """Open work by kind and status, with the oldest opening and what is overdue."""
+    overdue = F.col("sla_due_at").isNotNull() & (F.col("sla_due_at") < now)
+    return tasks.where(F.col("status").isin("open", "in_review")).groupBy("kind", "status").agg(F.count("*").alias("tasks"), F.min("opened_at").alias("oldest"), count_where(overdue).alias("overdue"))
 
 
-def page_accounting(pages: DataFrame) -> DataFrame:
-    return pages.groupBy("method", "status").agg(F.count("*").alias("pages"), count_where(F.col("flagged")).alias("flagged"))
+def page_accounting(pages: DataFrame, versions: DataFrame, now: Column, days: int = 30) -> DataFrame:
+    """Pages by method and status: all, flagged, and of versions (doc_id, parsed_at) parsed in the last days."""
+    recent = F.col("parsed_at") >= now - F.make_dt_interval(F.lit(days))
+    return pages.join(versions, "doc_id").groupBy("method", "status").agg(F.count("*").alias("pages"), count_where(F.col("flagged")).alias("flagged"), count_where(recent).alias("pages_last_30d"))
 
 
 def mismatch(a: Column, b: Column, margin: float) -> Column:
@@ -59,19 +62,21 @@ def mismatch(a: Column, b: Column, margin: float) -> Column:
 
 
 def cross_check(pages: DataFrame, margin: float = 0.05) -> DataFrame:
-    return pages.agg(F.count("*").alias("pages"), count_where(mismatch(F.col("chars_a"), F.col("chars_b"), margin)).alias("disagree"))
+    """Pages that both engines read, and those on which they differ by more than a share of the larger count."""
+    both = pages.where("chars_a is not null and chars_b is not null")
+    return both.agg(F.count("*").alias("pages"), count_where(F.abs(F.col("chars_a") - F.col("chars_b")) > margin * F.greatest("chars_a", "chars_b")).alias("disagree"))
 
 
 def queue_lag(queue: DataFrame, now: Column) -> DataFrame:
-    waiting = queue.where("status = 'queued'").groupBy("queue").agg(F.count("*").alias("queued"), F.min("run_after").alias("oldest"))
+    waiting = queue.where("status = 'queued'").groupBy("queue").agg(F.count("*").alias("queued"), F.min("run_after").alias("oldest"), F.min("created_at").alias("oldest_created"))
     return waiting.withColumn("lag_minutes", F.round(F.greatest(F.lit(0.0), hours(now, F.col("oldest")) * 60), 4))
 
 
 def failure_rate(jobs: DataFrame, now: Column) -> DataFrame:
-    """Jobs of the last 24 hours: ended, failed and their ratio (0 when none ended)."""
+    """Jobs of the last 24 hours: all, failed and their ratio (0 when there are none)."""
     day = jobs.where(F.col("discovered_at") >= now - F.expr("interval 24 hours"))
-    out = day.agg(count_where(F.col("status").isin("done", "failed")).alias("ended"), count_where(F.col("status") == "failed").alias("failed"))
-    return out.withColumn("rate", F.round(F.when(F.col("ended") > 0, F.col("failed") / F.col("ended")).otherwise(0.0), 6))
+    out = day.agg(F.count("*").alias("total"), count_where(F.col("status") == "failed").alias("failed"))
+    return out.withColumn("rate", F.round(F.when(F.col("total") > 0, F.col("failed") / F.col("total")).otherwise(0.0), 6))
 
 
 def alerts(jobs: DataFrame, sources: DataFrame, tasks: DataFrame, queue: DataFrame, now: Column) -> DataFrame:
@@ -92,14 +97,13 @@ def alerts(jobs: DataFrame, sources: DataFrame, tasks: DataFrame, queue: DataFra
 
 
 def open_by_kind(tasks: DataFrame, now: Column) -> DataFrame:
-    view = review_queue(tasks, now).where(F.col("status").isin("open", "in_review"))
-    return view.groupBy("kind").agg(F.sum("tasks").alias("open_tasks"), F.min("oldest").alias("oldest"))
+    return review_queue(tasks, now).groupBy("kind").agg(F.sum("tasks").alias("open_tasks"), F.min("oldest").alias("oldest"))
 
 
 def totals(tasks: DataFrame, pages: DataFrame, jobs: DataFrame, queue: DataFrame, now: Column) -> DataFrame:
     """One row of dashboard totals, each from its own view."""
     overdue = review_queue(tasks, now).agg(F.sum("overdue").alias("overdue_tasks"))
-    flagged = page_accounting(pages).agg(F.sum("flagged").alias("flagged_pages"))
+    flagged = pages.agg(count_where(F.col("flagged")).alias("flagged_pages"))
     failed = ingest_daily(jobs, now).agg(F.sum("failed").alias("failed_jobs"))
     lag = queue_lag(queue, now).agg(F.max("lag_minutes").alias("max_lag_minutes"))
     one = F.lit(1).alias("one")  # four single rows meet on a constant

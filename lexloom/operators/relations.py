@@ -7,6 +7,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..session import cut
+
 
 def all_of(*clauses: Column | None) -> Column:
     """The conjunction of the clauses that are given."""
@@ -36,26 +38,43 @@ def top_per_group(df: DataFrame, group: str, n: int, *order: Column) -> DataFram
     return df.withColumn("place", F.row_number().over(Window.partitionBy(group).orderBy(*order))).where(F.col("place") <= n)
 
 
-def tree_order(nodes: DataFrame, depth: int) -> DataFrame:
+def tree_order(nodes: DataFrame) -> DataFrame:
     """nodes (id, parent_id, ordinal) in depth-first order: sort keys are the zero-padded ordinals along the path.
 
-    One join for each level of at most `depth`; every level's rows join on their parent.
+    Each round joins every node to what its highest known ancestor knows, so the known path doubles and a tree of any depth
+    takes as many rounds as its depth has binary digits. Nodes that hang from no root, or in a circle, are left out.
     """
     step = F.lpad(F.col("ordinal").cast("string"), 10, "0")
-    level = nodes.where("parent_id is null").select("id", "parent_id", F.lit(0).alias("depth"), step.alias("sort_key"))
-    out = level
-    for k in range(1, depth):
-        parents = level.select(F.col("id").alias("parent_id"), F.col("sort_key").alias("above"))
-        level = nodes.join(parents, "parent_id").select("id", "parent_id", F.lit(k).alias("depth"), F.concat_ws(".", "above", step).alias("sort_key"))
-        out = out.unionByName(level)
-    return out
+    known = cut(nodes.select("id", "parent_id", F.col("parent_id").alias("top"), step.alias("sort_key"), F.lit(0).alias("depth")))
+    done, total = known.where("top is null"), known.count()
+    for _ in range(total.bit_length() + 1):
+        above = known.select(F.col("id").alias("top"), F.col("top").alias("higher"), F.col("sort_key").alias("before"), F.col("depth").alias("steps"))
+        joined = known.where("top is not null").join(above, "top")
+        moved = joined.select("id", "parent_id", F.col("higher").alias("top"), F.concat_ws(".", "before", "sort_key").alias("sort_key"), (F.col("depth") + F.col("steps") + 1).alias("depth"))
+        known = cut(moved.unionByName(known.where("top is null")))
+        done = known.where("top is null")
+        if not known.where("top is not null").limit(1).count():
+            break
+    return done.select("id", "parent_id", "depth", "sort_key")
+
+
+def _gaps(items: DataFrame, key: str, number: str) -> DataFrame:
+    """(key, number): numbers missing between neighbours."""
+    after = F.lead(number).over(Window.partitionBy(key).orderBy(number))
+    holes = items.select(key, number).distinct().withColumn("after", after).where(F.col("after") > F.col(number) + 1)
+    return holes.select(key, F.explode(F.sequence(F.col(number) + 1, F.col("after") - 1)).alias("number"))
+
+
+def leading_number(label: Column) -> Column:
+    """The digits a label begins with, as a number; null where it begins with none."""
+    return F.regexp_extract(label, r"^(\d+)", 1).try_cast("long")
 
 
 def numbering_gaps(labels: DataFrame, key: str, number: str) -> DataFrame:
     """Numbers missing between the least and the greatest of each key, in order."""
-    found = labels.groupBy(key).agg(F.min(number).alias("first"), F.max(number).alias("last"), F.collect_set(number).alias("have"))
-    gaps = F.array_sort(F.array_except(F.sequence("first", "last"), F.col("have")))
-    return found.select(key, "first", "last", F.size(gaps).cast("long").alias("n_gaps"), F.array_join(gaps, ",").alias("gaps"))
+    found = labels.groupBy(key).agg(F.min(number).alias("first"), F.max(number).alias("last"))
+    gaps = _gaps(labels, key, number).groupBy(key).agg(F.array_sort(F.collect_list("number")).alias("gaps"))
+    return found.join(gaps, key, "left").select(key, "first", "last", F.coalesce(F.size("gaps"), F.lit(0)).cast("long").alias("n_gaps"), F.coalesce(F.array_join("gaps", ","), F.lit("")).alias("gaps"))
 
 
 def numbering_problems(items: DataFrame, key: str, seq: str, number: str) -> DataFrame:
@@ -63,9 +82,7 @@ def numbering_problems(items: DataFrame, key: str, seq: str, number: str) -> Dat
     twice = items.groupBy(key, number).count().where("count > 1").select(key, F.lit("duplicate").alias("problem"), F.col(number).alias("number"))
     before = F.lag(number).over(Window.partitionBy(key).orderBy(seq))
     order = items.withColumn("before", before).where(F.col(number) < F.col("before")).select(key, F.lit("out_of_order").alias("problem"), F.col(number).alias("number")).distinct()
-    bounds = items.groupBy(key).agg(F.sequence(F.min(number), F.max(number)).alias("all"), F.collect_set(number).alias("have"))
-    gaps = bounds.select(key, F.lit("gap").alias("problem"), F.explode(F.array_except("all", "have")).alias("number"))
-    return twice.unionByName(order).unionByName(gaps)
+    return twice.unionByName(order).unionByName(_gaps(items, key, number).select(key, F.lit("gap").alias("problem"), "number"))
 
 
 def without_chapter(path: Column) -> Column:
@@ -81,21 +98,20 @@ def merged_config(given: DataFrame, stored: DataFrame, key: str, columns: list[s
     return joined.select(F.coalesce(f"b.{key}", f"a.{key}").alias(key), *[F.coalesce(f"b.{c}", f"a.{c}").alias(c) for c in columns], origin.alias("origin"))
 
 
-#: Which bucket a link's type or, failing that, its document's type puts it in.
-LINK_BUCKETS = {"amends": "amendments", "interprets": "judgements", "clarifies": "circulars"}
-TYPE_BUCKETS = {"notification": "notifications", "circular": "circulars", "instruction": "circulars", "order": "circulars", "judgement": "judgements", "act": "provisions", "rules": "provisions"}
+#: Which group a link's type or, failing that, its document's type puts it in.
+LINK_GROUPS = {
+    "inserts": "amending_instruments", "substitutes": "amending_instruments", "omits": "amending_instruments", "amends": "amending_instruments",
+    "mentions": "mentions", "issued_under": "issued_under", "clarifies": "circulars", "interprets": "judgements",
+}
+TYPE_GROUPS = {"circular": "circulars", "instruction": "circulars", "judgement": "judgements"}
 
 
-def bucket(link_type: str | None = None, doc_type: str | None = None) -> Column:
-    out = F.lit(None).cast("string")
-    for column, table in ((link_type, LINK_BUCKETS), (doc_type, TYPE_BUCKETS)):
-        if column:
-            pairs = F.create_map(*[F.lit(x) for kv in table.items() for x in kv])
-            out = F.coalesce(out, pairs[F.col(column)])
-    return F.coalesce(out, F.lit("other"))
+def link_group(link_type: Column, doc_type: Column) -> Column:
+    table = lambda values: F.create_map(*[F.lit(x) for kv in values.items() for x in kv])
+    return F.coalesce(F.try_element_at(table(LINK_GROUPS), link_type), F.try_element_at(table(TYPE_GROUPS), doc_type), F.lit("other"))
 
 
 def linked(links: DataFrame, docs: DataFrame) -> DataFrame:
-    """Links to provisions with their documents, counted by provision and bucket."""
+    """Links to provisions with their documents, counted by provision and group."""
     joined = links.where("dst_type = 'provision'").join(docs, links["src_id"] == docs["doc_id"])
-    return joined.withColumn("bucket", bucket("link_type", "doc_type")).groupBy("dst_id", "bucket").agg(F.count("*").alias("links"), F.countDistinct("src_id").alias("documents"))
+    return joined.withColumn("bucket", link_group(F.col("link_type"), F.col("doc_type"))).groupBy("dst_id", "bucket").agg(F.count("*").alias("links"), F.countDistinct("src_id").alias("documents"))

@@ -7,22 +7,53 @@ import re
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .relations import bucket
+from ..functions import lexemes
+from .relations import all_of
+from .temporal import as_on
 
-#: Weights by authority rank, by status and by age in years.
-AUTHORITY = {1: 1.5, 2: 1.4, 3: 1.3, 4: 1.25, 5: 1.2, 6: 1.1, 7: 1.05, 8: 1.0, 9: 0.9, 10: 0.8, 11: 0.7}
-STATUS = {"in_force": 1.0, "amended": 0.95, "superseded": 0.6, "rescinded": 0.5, "struck_down": 0.4, "stayed": 0.8}
-GROUPS = ("provisions", "notifications", "circulars", "judgements")
+#: Weights by authority rank and by status; document types that are worth more while recent, and how much.
+AUTHORITY = {1: 1.30, 2: 1.25, 3: 1.20, 4: 1.15, 5: 1.12, 6: 1.08, 7: 1.05, 8: 1.00, 9: 0.92, 10: 0.88, 11: 0.85}
+STATUS = {"rescinded": 0.5, "superseded": 0.5, "struck_down": 0.5, "stayed": 0.7, "withdrawn": 0.7}
+RECENT_TYPES, RECENT_DAYS, RECENT = ("judgement", "circular", "instruction", "order"), 3 * 365, 1.05
+SAME_STATE, OTHER_STATE = 1.15, 0.95
+#: The groups that hits are counted in, by document type; other types are in none.
+GROUPS = {"act": "provisions", "rules": "provisions", "notification": "notifications", "circular": "circulars", "instruction": "circulars", "order": "circulars", "judgement": "judgements"}
+CANDIDATES = 200
 
 
-def terms(text: Column) -> Column:
-    return F.filter(F.split(F.lower(text), r"[^a-z0-9]+"), lambda x: x != "")
+def postings(docs: DataFrame, key: str, english: bool = False) -> DataFrame:
+    """(term, key, tf, positions, weights): where each term stands in each text (and in its heading, where there is one).
+
+    A text's postings are made from its own row: nothing is shuffled.
+    """
+    made = F.udf(lambda heading, text: [{"term": t, "positions": p, "weights": w} for t, p, w in lexemes.postings(heading, text, english)], "array<struct<term: string, positions: array<int>, weights: array<double>>>", useArrow=True)
+    heading = F.col("heading") if "heading" in docs.columns else F.lit(None).cast("string")
+    rows = docs.select(key, F.explode(made(heading, "text")).alias("p"))
+    return rows.select("p.term", key, F.size("p.positions").cast("long").alias("tf"), "p.positions", "p.weights")
+
+
+def found(index: DataFrame, key: str, query: str, english: bool = False) -> DataFrame:
+    """(key, raw_rank): texts of an index of postings that fit a query, with their cover-density rank.
+
+    Only the postings of the query's terms are read (the terms are a filter of the scan) and gathered by text.
+    """
+    wanted = lexemes.parsed(query, english)
+    terms = lexemes.terms_of(wanted)
+
+    def rank(own: list) -> float | None:
+        places = {p["term"]: p["positions"] for p in own}
+        if not lexemes.matches(wanted, places):
+            return None
+        return lexemes.cover_density(wanted, places, {p["term"]: p["weights"] for p in own})
+
+    rows = index.where(F.col("term").isin(terms)).groupBy(key).agg(F.collect_list(F.struct("term", "positions", "weights")).alias("own"))  # one posting a term
+    return rows.select(key, F.udf(rank, "double", useArrow=True)("own").alias("raw_rank")).where("raw_rank is not null")
 
 
-def postings(docs: DataFrame, key: str) -> DataFrame:
-    """(term, key, tf, positions): where each term stands in each text."""
-    placed = docs.select(key, F.posexplode(terms(F.col("text"))).alias("position", "term"))
-    return placed.groupBy("term", key).agg(F.count("*").alias("tf"), F.array_sort(F.collect_list("position")).alias("positions"))
+def snippets(hits: DataFrame, query: str, english: bool = False) -> DataFrame:
+    """hits with a snippet of their text, the query's words marked."""
+    wanted = lexemes.parsed(query, english)
+    return hits.withColumn("snippet", F.udf(lambda text: lexemes.snippet(wanted, text, english=english), "string", useArrow=True)("text"))
 
 
 def _equals(word: str):
@@ -30,26 +61,64 @@ def _equals(word: str):
 
 
 def matches(docs: DataFrame, key: str, query: list[str]) -> DataFrame:
-    """(key, raw_rank) of texts with every term of the query: the sum of tf / (1 + ln(words)).
+    """(key, raw_rank) of texts with every term of the query: the sum of tf / (1 + ln(words)), in SQL functions alone.
 
     Terms are literals, so a text is looked at once and nothing is shuffled.
     """
-    wanted = sorted({w for q in query for w in re.findall(r"[a-z0-9]+", q.lower())})
+    terms = F.filter(F.split(F.lower("text"), r"[^\p{L}\p{N}]+"), lambda x: x != "")
+    wanted = sorted({t for q in query for t, _ in lexemes.words(q, False)})
     hits = [F.size(F.filter("terms__", _equals(w))) for w in wanted]
-    rows = docs.withColumn("terms__", terms(F.col("text")))
+    rows = docs.withColumn("terms__", terms)
     for w in wanted:
         rows = rows.where(F.array_contains("terms__", w))
     total = sum(hits[1:], hits[0])
     return rows.withColumn("raw_rank", F.round(total / (1 + F.log(F.size("terms__").cast("double"))), 9)).drop("terms__")
 
 
-def adjusted(raw: Column, rank: Column, status: Column, doc_date: Column, on: Column) -> Column:
-    """A raw rank weighted by authority, age and status; a missing or zero rank counts 0.1, missing authority 5."""
+def narrowed(chunks: DataFrame, on: Column, doc_types: list[str] | None = None, court_level: str | None = None, state: str | None = None, first: Column | None = None, last: Column | None = None) -> DataFrame:
+    """Chunks that stand on a day, narrowed by the facets that are given."""
+    return chunks.where(
+        all_of(
+            as_on(on, nullable_start=True),
+            F.col("doc_type").isin(doc_types) if doc_types else None,
+            F.col("court_level") == court_level if court_level else None,
+            F.col("state_code") == state if state else None,
+            F.col("valid_from") >= first if first is not None else None,
+            F.col("valid_from") <= last if last is not None else None,
+        )
+    )
+
+
+def search(index: DataFrame, chunks: DataFrame, query: str, on: Column, limit: int = 20, offset: int = 0, english: bool = True, **facets: object) -> tuple[DataFrame, DataFrame]:
+    """(items, groups) of a query over chunks (chunk_id, doc_id, text, doc_type, authority_rank, status, valid_from, valid_to, court_level, state_code).
+
+    The CANDIDATES best chunks by raw rank are scored, each document keeps its best one, and a page of them is given with
+    snippets; groups count documents by type. Scores are rounded to four places.
+    """
+    hits = found(index, "chunk_id", query, english).join(narrowed(chunks, on, **facets), "chunk_id")
+    top = hits.orderBy(F.desc("raw_rank"), "chunk_id").limit(CANDIDATES)
+    scored = top.withColumn("score", F.round(adjusted(F.col("raw_rank"), F.col("authority_rank"), F.col("status"), F.col("doc_type"), F.col("valid_from"), on, F.col("court_level"), F.col("state_code"), F.lit(None).cast("string")), 4))
+    best = collapsed(scored, "doc_id", "score", "chunk_id")
+    page = best.orderBy(F.desc("score"), "doc_id").offset(offset).limit(limit)
+    return snippets(page, query, english), group_counts(best)
+
+
+def adjusted(raw: Column, rank: Column, status: Column, doc_type: Column, valid_from: Column, on: Column, court_level: Column | None = None, state: Column | None = None, user_state: Column | None = None) -> Column:
+    """A raw rank weighted by authority, jurisdiction, age and status.
+
+    A missing or zero raw rank counts 0.1, a missing or zero authority 5. A high court's judgement weighs more in the
+    user's own state and less in any other.
+    """
     table = lambda values: F.create_map(*[F.lit(x) for kv in values.items() for x in kv])
-    years = F.datediff(on, doc_date) / 365.25
-    recent = F.when(doc_date.isNull(), 1.0).otherwise(F.greatest(F.lit(0.8), 1.0 - F.greatest(F.lit(0.0), years) * 0.02))
-    raw = F.when(F.coalesce(raw, F.lit(0.0)) == 0, 0.1).otherwise(raw)
-    return raw * F.coalesce(table(AUTHORITY)[F.coalesce(rank, F.lit(5))], F.lit(1.0)) * recent * F.coalesce(table(STATUS)[status], F.lit(1.0))
+    unless_zero = lambda x, other: F.when(F.coalesce(x, F.lit(0)) == 0, other).otherwise(x)
+    days = F.datediff(on, valid_from)
+    recent = F.when(doc_type.isin(*RECENT_TYPES) & days.between(0, RECENT_DAYS), RECENT).otherwise(1.0)
+    place = F.lit(1.0)
+    if court_level is not None:
+        same = F.coalesce(F.upper(state) == F.upper(user_state), F.lit(False))
+        place = F.when((doc_type == "judgement") & (court_level == "HC"), F.when(same, SAME_STATE).otherwise(OTHER_STATE)).otherwise(1.0)
+    authority = F.coalesce(F.try_element_at(table(AUTHORITY), unless_zero(rank, F.lit(5))), F.lit(1.0))
+    return unless_zero(raw, F.lit(0.1)) * authority * place * recent * F.coalesce(F.try_element_at(table(STATUS), F.lower(status)), F.lit(1.0))
 
 
 def collapsed(hits: DataFrame, key: str, score: str, tie: str) -> DataFrame:
@@ -60,18 +129,18 @@ def collapsed(hits: DataFrame, key: str, score: str, tie: str) -> DataFrame:
 
 
 def group_counts(documents: DataFrame) -> DataFrame:
-    """Documents by bucket; buckets without any count 0."""
-    spark = documents.sparkSession
-    wanted = spark.createDataFrame([(g,) for g in GROUPS], "bucket string")
-    found = documents.withColumn("bucket", bucket(doc_type="doc_type")).groupBy("bucket").agg(F.count("*").alias("n"))
+    """Documents by group; groups without any count 0."""
+    wanted = documents.sparkSession.createDataFrame([(g,) for g in sorted(set(GROUPS.values()))], "bucket string")
+    pairs = F.create_map(*[F.lit(x) for kv in GROUPS.items() for x in kv])
+    found = documents.withColumn("bucket", F.try_element_at(pairs, F.col("doc_type"))).groupBy("bucket").agg(F.count("*").alias("n"))
     return wanted.join(found, "bucket", "left").select("bucket", F.coalesce("n", F.lit(0)).alias("n"))
 
 
-def expand(query: str, synonyms: dict[str, list[str]]) -> tuple[str, list[str]]:
-    """The query with the expansions of the terms in it as alternatives, and those expansions in order."""
-    added: list[str] = []
+def expanded(query: Column, synonyms: dict[str, list[str]]) -> Column:
+    """Queries with the expansions of the terms in them as alternatives, in the order of the terms, once each."""
+    added = F.array().cast("array<string>")
     for term, more in synonyms.items():
-        if re.search(rf"\b{re.escape(term)}\b", query, re.IGNORECASE):
-            added += [m for m in more if m not in added]
-    alternatives = " OR ".join(f'"{m}"' for m in added)
-    return (f"{query} OR ({alternatives})" if added else query), added
+        hit = query.rlike(r"(?i)\b" + re.escape(term) + r"\b")
+        added = F.concat(added, F.when(hit, F.array(*map(F.lit, more))).otherwise(F.array().cast("array<string>")))
+    told = F.array_join(F.transform(F.array_distinct(added), lambda x: F.concat(F.lit('"'), x, F.lit('"'))), " OR ")
+    return F.concat(query, F.when(told == "", "").otherwise(F.concat(F.lit(" OR ("), told, F.lit(")"))))

@@ -5,32 +5,28 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-#: A decision on a task, what it may follow, and what comes of it.
-TRANSITIONS = (
-    ("open", "start", "in_review"),
-    ("open", "approve", "done"),
-    ("in_review", "approve", "done"),
-    ("in_review", "edit_approve", "done"),
-    ("open", "reject", "rejected"),
-    ("in_review", "reject", "rejected"),
-    ("open", "needs_info", "open"),
-    ("in_review", "needs_info", "in_review"),
-    ("failed", "retry", "queued"),
-    ("loaded", "verify", "verified"),
-)
-
-
-def decided(tasks: DataFrame, decisions: DataFrame, key: str) -> DataFrame:
-    """tasks (key, status) after decisions (key, action): the new status, and ok, conflict or not_found."""
-    table = decisions.sparkSession.createDataFrame(list(TRANSITIONS), "status string, action string, next string")
-    joined = decisions.join(tasks, key, "left").join(F.broadcast(table), ["status", "action"], "left")
+#: What an action makes of a status, by kind of thing; anything else is a conflict.
+OPEN = ("open", "in_review")
+TRANSITIONS = {
+    "review": [(status, action, after) for status in OPEN for action, after in (("approve", "done"), ("edit_approve", "done"), ("reject", "rejected"), ("needs_info", "in_review"))],
+    "job": [("failed", "retry", "queued")],
+    "baseline": [("loaded", "verify", "verified")],
+}
+#: The confidence from which a document without open tasks is published by itself.
+SURE = 0.85
+
+
+def decided(things: DataFrame, decisions: DataFrame, key: str, kind: str = "review") -> DataFrame:
+    """things (key, status) after decisions (key, action): the new status, and ok, conflict or not_found."""
+    table = decisions.sparkSession.createDataFrame(TRANSITIONS[kind], "status string, action string, next string")
+    joined = decisions.join(things, key, "left").join(F.broadcast(table), ["status", "action"], "left")
     outcome = F.when(F.col("status").isNull(), "not_found").when(F.col("next").isNull(), "conflict").otherwise("ok")
     return joined.select(key, "action", F.coalesce("next", "status").alias("status"), outcome.alias("outcome"))
 
 
 def review_state(reviewed, open_tasks, confidence):
-    """reviewed, pending_review or auto_published (no open task and a confidence of 0.85 or more)."""
-    return F.when(reviewed, "reviewed").when((open_tasks > 0) | (F.coalesce(confidence, F.lit(0.0)) < 0.85), "pending_review").otherwise("auto_published")
+    """pending_review while tasks are open; then reviewed, or auto_published where the confidence is SURE or more."""
+    return F.when(open_tasks > 0, "pending_review").when(reviewed, "reviewed").when(F.coalesce(confidence >= SURE, F.lit(False)), "auto_published").otherwise("pending_review")
 
 
 def least_confidence(confidence, required: list[str]):

@@ -2,9 +2,15 @@
 
 from __future__ import annotations
 
+import hashlib
+import json
+from collections.abc import Iterator
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .folds import folded
+
 
 def upsert(stored: DataFrame, given: DataFrame, key: str) -> DataFrame:
     """stored with given's rows in place of those of equal key; both have the same columns."""
@@ -65,15 +71,34 @@ def merged_metadata(old: Column, proposal: Column, explicit: Column) -> Column:
     return F.map_from_arrays(keys, F.transform(keys, pick))
 
 
+GENESIS = "0" * 64
+
+
+def canonical_json(row: dict) -> str:
+    """A row as JSON with sorted keys, no spaces and letters as they are."""
+    return json.dumps(row, sort_keys=True, separators=(",", ":"), ensure_ascii=False, default=str)
+
+
 def chained(log: DataFrame, chain: str, order: str, payload: str) -> DataFrame:
-    """Each row's payload digest and, for checking, the digest of the row before in its chain."""
-    digest = F.sha2(F.col(payload), 256)
-    return log.withColumn("row_digest", digest).withColumn("prev_digest", F.lag("row_digest").over(Window.partitionBy(chain).orderBy(order)))
+    """(chain, order, prev_hash, row_hash) of each row: its hash is that of the hash before it in its chain followed by its payload.
+
+    A chain is one after the other by its nature; its rows stream through one task, and chains go side by side.
+    """
+    kinds = ", ".join(f"{c} {log.schema[c].dataType.simpleString()}" for c in (chain, order))
+
+    def body(key: tuple, rows: Iterator[tuple]) -> Iterator[tuple]:
+        before = GENESIS
+        for _, at, told in rows:
+            now = hashlib.sha256((before + told).encode()).hexdigest()
+            yield key[0], at, before, now
+            before = now
+
+    return folded(log.select(chain, order, payload), [chain], [order], body, f"{kinds}, prev_hash string, row_hash string")
 
 
 def verified(log: DataFrame, chain: str, order: str, payload: str) -> DataFrame:
     """log (prev_hash, row_hash): whether each row follows from its payload and the row before; no row is read twice."""
-    before = F.coalesce(F.lag("row_hash").over(Window.partitionBy(chain).orderBy(order)), F.lit("0" * 64))
+    before = F.coalesce(F.lag("row_hash").over(Window.partitionBy(chain).orderBy(order)), F.lit(GENESIS))
     good = (F.col("prev_hash") == before) & (F.col("row_hash") == F.sha2(F.concat("prev_hash", payload), 256))
     return log.withColumn("ok", F.coalesce(good, F.lit(False)))
 
@@ -107,7 +132,56 @@ def ranks(df: DataFrame, column: str, ranges: int = 64) -> DataFrame:
 
 
 def sampled(df: DataFrame, key: str, percent: float, seed: str) -> DataFrame:
-    """A repeatable random sample without replacement: the rows of least hash, max(1, round(n * percent / 100)) of them."""
+    """A repeatable random sample without replacement: the rows of least hash, max(1, round(n * percent / 100)) of them.
+
+    Rows are counted by ranges of their hash, so the sample is taken where the rows are.
+    """
     n = df.count()
     take = max(1, round(n * percent / 100)) if n else 0
-    return df.orderBy(F.md5(F.concat(F.col(key).cast("string"), F.lit(seed))), key).limit(take)
+    hashed = df.withColumn("hash__", F.conv(F.substring(F.md5(F.concat(F.col(key).cast("string"), F.lit(seed))), 1, 15), 16, 10).cast("long"))
+    return ranks(hashed, "hash__").where(F.col("rank") < take).select(*df.columns)
+
+
+def first_status(stored: DataFrame, documents: DataFrame, key: str) -> DataFrame:
+    """(key, status, valid_from) for documents without any status row yet."""
+    return documents.join(stored.select(key).distinct(), key, "left_anti").select(key, F.lit("in_force").alias("status"), F.coalesce("in_force_date", "doc_date").alias("valid_from"))
+
+
+def set_status(stored: DataFrame, changes: DataFrame, key: str) -> tuple[DataFrame, DataFrame]:
+    """(history, rejected): stored rows (key, status, valid_from, valid_to) with the open one closed where a change begins after it; earlier changes are rejected."""
+    opened = stored.where("valid_to is null").select(key, F.col("valid_from").alias("since"))
+    joined = changes.join(opened, key, "left")
+    fits = F.col("since").isNull() | (F.col("valid_from") >= F.col("since"))
+    good = joined.where(fits).select(key, "status", "valid_from")
+    ends = good.select(key, F.col("valid_from").alias("ends"))
+    closed = stored.join(ends, key, "left").withColumn("valid_to", F.when(F.col("valid_to").isNull(), F.col("ends")).otherwise(F.col("valid_to"))).select(*stored.columns)
+    return closed.unionByName(good.withColumn("valid_to", F.lit(None).cast("date")).select(*stored.columns)), joined.where(~fits).select(key, "status", "valid_from")
+
+
+def replaced(stored: DataFrame, given: DataFrame, key: str) -> DataFrame:
+    """stored with all rows of the keys in `touched` given anew: what was derived from a version before goes."""
+    return stored.join(given.select(key).distinct(), key, "left_anti").unionByName(given)
+
+
+def overwrite(df: DataFrame, path: str, *keys: str) -> None:
+    """Write rows under the folders of their keys; folders that get rows are replaced, the others stay."""
+    df.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(*keys).parquet(path)
+
+
+def collisions(documents: DataFrame, key: str, identifier: str) -> DataFrame:
+    """(identifier, n, first): identifiers that more than one document claims."""
+    return documents.where(F.col(identifier).isNotNull()).groupBy(identifier).agg(F.countDistinct(key).alias("n"), F.min(key).alias("first")).where("n > 1")
+
+
+def corpus_versions(changes: DataFrame, at: str) -> DataFrame:
+    """changes with the corpus version each makes: they are counted in order, by ranges of their times."""
+    return ranks(changes.withColumn("at__", F.unix_micros(F.col(at).cast("timestamp"))), "at__").withColumn("corpus_version", F.col("rank") + 1).drop("at__", "rank")
+
+
+def with_overrides(documents: DataFrame, edits: DataFrame, key: str) -> DataFrame:
+    """documents (key, fields) with the edited fields of (key, field, value, edited_by, at) set and every edit logged; of edits of one field the last holds."""
+    log = edits.groupBy(key).agg(F.array_sort(F.collect_list(F.struct("at", "field", "value", "edited_by"))).alias("overrides"))
+    last = edits.groupBy(key, "field").agg(F.max_by("value", "at").alias("value")).groupBy(key).agg(F.map_from_entries(F.collect_list(F.struct("field", "value"))).alias("edited"))
+    joined = documents.join(log, key, "left").join(last, key, "left")
+    none = F.create_map().cast("map<string,string>")
+    return joined.withColumn("fields", merged_metadata(F.col("fields"), none, F.coalesce("edited", none))).drop("edited")

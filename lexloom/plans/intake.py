@@ -61,21 +61,20 @@ def page_lines(spark: SparkSession, d: str) -> DataFrame:
 
 
 @query(
-    f"""WITH {TASKS}, dec AS (SELECT task_id + (CASE WHEN task_id % 50 = 0 THEN 100000000 ELSE 0 END) AS task_id, ['start', 'approve', 'reject', 'edit_approve'][task_id % 4 + 1] AS action FROM tasks WHERE task_id % 10 = 0)
-    SELECT d.task_id, action, CASE WHEN status = 'open' THEN CASE action WHEN 'start' THEN 'in_review' WHEN 'approve' THEN 'done' WHEN 'reject' THEN 'rejected' ELSE status END
-    WHEN status = 'in_review' THEN CASE action WHEN 'approve' THEN 'done' WHEN 'edit_approve' THEN 'done' WHEN 'reject' THEN 'rejected' ELSE status END ELSE status END AS status,
-    CASE WHEN status IS NULL THEN 'not_found' WHEN status = 'open' AND action <> 'edit_approve' THEN 'ok' WHEN status = 'in_review' AND action <> 'start' THEN 'ok' ELSE 'conflict' END AS outcome
+    f"""WITH {TASKS}, dec AS (SELECT task_id + (CASE WHEN task_id % 50 = 0 THEN 100000000 ELSE 0 END) AS task_id, ['needs_info', 'approve', 'reject', 'edit_approve'][task_id // 10 % 4 + 1] AS action FROM tasks WHERE task_id % 10 = 0)
+    SELECT d.task_id, action, CASE WHEN status IN ('done', 'rejected') THEN status WHEN status IS NOT NULL THEN CASE action WHEN 'needs_info' THEN 'in_review' WHEN 'reject' THEN 'rejected' ELSE 'done' END END AS status,
+    CASE WHEN status IS NULL THEN 'not_found' WHEN status IN ('done', 'rejected') THEN 'conflict' ELSE 'ok' END AS outcome
     FROM dec d LEFT JOIN tasks t ON t.task_id = d.task_id"""
 )
 def review_decisions(spark: SparkSession, d: str) -> DataFrame:
     tasks = s.tasks(spark, d).select("task_id", "status")
-    actions = F.element_at(F.array(*map(F.lit, ("start", "approve", "reject", "edit_approve"))), (F.col("task_id") % 4 + 1).cast("int"))
+    actions = F.element_at(F.array(*map(F.lit, ("needs_info", "approve", "reject", "edit_approve"))), (F.floor(F.col("task_id") / 10) % 4 + 1).cast("int"))
     asked = tasks.where("task_id % 10 = 0").select((F.col("task_id") + F.when(F.col("task_id") % 50 == 0, 100_000_000).otherwise(0)).alias("task_id"), actions.alias("action"))
     return workflow.decided(tasks, asked, "task_id")
 
 
 @query(
-    """SELECT c_custkey AS k, CASE WHEN c_custkey % 5 = 0 THEN 'reviewed' WHEN c_custkey % 3 = 0 OR (CASE WHEN c_custkey % 2 = 0 THEN 0.9 ELSE 0 END) < 0.85 THEN 'pending_review' ELSE 'auto_published' END AS state FROM customer"""
+    """SELECT c_custkey AS k, CASE WHEN c_custkey % 3 = 0 THEN 'pending_review' WHEN c_custkey % 5 = 0 THEN 'reviewed' WHEN c_custkey % 2 = 0 THEN 'auto_published' ELSE 'pending_review' END AS state FROM customer"""
 )
 def review_states(spark: SparkSession, d: str) -> DataFrame:
     key = F.col("c_custkey")

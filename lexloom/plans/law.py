@@ -5,11 +5,12 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions import amend, legal
+from ..functions import amend, ids
 from ..functions.text import normalise_text, word_diff
 from ..operators import law
+from ..operators.folds import arrow_udf
 from ..sources import tables as s
-from .registry import query
+from .registry import VERSIONS, query
 
 
 def _cited(spark: SparkSession, d: str) -> DataFrame:
@@ -61,11 +62,21 @@ def locators(spark: SparkSession, d: str) -> DataFrame:
     return s.table(spark, d, "part").select("p_partkey", law.locator_of(text, F.lit(None).cast("string"))["path"].alias("path"))
 
 
-@query("SELECT p_partkey, 'ntf' AS kind, 'CT' AS series, CAST(p_partkey % 90 + 1 AS VARCHAR) AS number, '2020' AS year FROM part")
+@query(
+    """SELECT p_partkey, CASE p_partkey % 6 WHEN 0 THEN 'ntf:CT:' || n || '/2020' WHEN 1 THEN 'cir:' || n || '/7/2021' WHEN 2 THEN 'ins:' || n || '/2020' WHEN 3 THEN 'jdg:HC-DL:WP(C)' || n || '/2019:2020-02-01' WHEN 4 THEN NULL ELSE 'prov:CGST_ACT:s' || n END AS canonical_id,
+    CASE p_partkey % 6 WHEN 0 THEN 'ntf' WHEN 1 THEN 'cir' WHEN 2 THEN 'ins' WHEN 3 THEN 'jdg' WHEN 5 THEN 'prov' END AS kind, CASE WHEN p_partkey % 6 IN (0, 2) THEN CAST(n AS VARCHAR) END AS number,
+    CASE p_partkey % 6 WHEN 0 THEN '2020' WHEN 1 THEN '2021' WHEN 2 THEN '2020' END AS year, CASE WHEN p_partkey % 6 = 5 THEN 's' || n END AS path FROM (SELECT p_partkey, p_partkey % 90 + 1 AS n FROM part)"""
+)
 def canonical_ids(spark: SparkSession, d: str) -> DataFrame:
-    made = F.concat(F.lit("ntf:CT:"), (F.col("p_partkey") % 90 + 1).cast("string"), F.lit("/2020"))
-    parsed = F.udf(legal.parsed_id, "struct<kind: string, series: string, number: string, year: string>", useArrow=True)
-    return s.table(spark, d, "part").select("p_partkey", parsed(made).alias("x")).select("p_partkey", "x.*")
+    """Identifiers made of their parts (every sixth with a month of no use) and taken apart again."""
+
+    def one(k: int, n: int) -> str | None:
+        kinds = (lambda: ids.made("ntf", series="CT", number=n, year=2020), lambda: ids.made("cir", a=n, b=7, year=2021), lambda: ids.made("ins", number=n, year=2020), lambda: ids.made("jdg", court="HC-DL", case=f"wp(c) {n}/2019", decided="2020-02-01"), lambda: ids.made("jdg", court="SC", case="CA 1/2020", decided="2020-13-01"), lambda: ids.made("prov", instrument="CGST_ACT", path=f"s{n}"))
+        return kinds[k]()
+
+    made = arrow_udf(one, "string")((F.col("p_partkey") % 6).cast("int"), F.col("p_partkey") % 90 + 1)
+    rows = s.table(spark, d, "part").select("p_partkey", made.alias("canonical_id"))
+    return rows.withColumn("x", arrow_udf(ids.parsed, f"struct<{ids.PARTS}>")("canonical_id")).select("p_partkey", "canonical_id", "x.kind", "x.number", "x.year", "x.path")
 
 
 @query("SELECT p_partkey, CAST(p_partkey % 90 + 1 AS VARCHAR) AS number, CAST(p_partkey % 9 + 1 AS VARCHAR) AS bracket, p_name AS tail FROM part")
@@ -76,23 +87,16 @@ def numbering_tokens(spark: SparkSession, d: str) -> DataFrame:
 
 
 @query(
-    """SELECT doc_id, CASE doc_id % 4 WHEN 0 THEN 'notification' WHEN 1 THEN 'circular' WHEN 2 THEN 'judgement' END AS doc_type, CASE doc_id % 4 WHEN 0 THEN 'notification' WHEN 1 THEN 'circular' WHEN 2 THEN 'judgement_hc' END AS cue,
-    CASE doc_id % 4 WHEN 0 THEN 5 WHEN 1 THEN 8 WHEN 2 THEN 6 END AS authority_rank FROM documents WHERE length(trim(replace(text, chr(10), ' '), ' ')) > 0"""
+    """SELECT doc_id, CASE WHEN doc_id % 6 = 5 THEN NULL ELSE ['notification', 'circular', 'judgement', 'act', 'judgement'][doc_id % 6 + 1] END AS doc_type, CASE WHEN doc_id % 6 = 5 THEN NULL ELSE ['notification', 'circular', 'judgement_hc', 'act', 'judgement_aar'][doc_id % 6 + 1] END AS cue,
+    CASE WHEN doc_id % 6 = 5 THEN NULL ELSE [5, 8, 6, 2, 9][doc_id % 6 + 1] END AS authority_rank FROM documents WHERE length(trim(replace(text, chr(10), ' '), ' ')) > 0"""
 )
 def classify(spark: SparkSession, d: str) -> DataFrame:
-    lead = F.when(F.col("doc_id") % 4 == 0, "Notification No. 1").when(F.col("doc_id") % 4 == 1, "Circular No. 2").when(F.col("doc_id") % 4 == 2, "HIGH COURT OF X").otherwise("")
+    """Leads with a cue, with a later one behind it, and with words that only look like one."""
+    leads = ("as in Notification No. 7/2020 and Circular No. 2", "Circular No. 2 read with Order No. 5", "IN THE HIGH COURT OF X, Notification No. 1", "THE LAND TAX ACT, 2019", "AUTHORITY FOR ADVANCE RULING", "as the Land Tax Act, 2019 says, Notification No. follows")
+    lead = F.element_at(F.array(*map(F.lit, leads)), (F.col("doc_id") % 6 + 1).cast("int"))
     return law.classified(s.blocks(spark, d).withColumn("text", F.when(F.col("seq") == 0, F.concat(lead, F.lit(" "), "text")).otherwise(F.col("text"))), "doc_id")
 
 
-@query(
-    """WITH b AS (SELECT user_id, event_id, ts, CASE WHEN event_type = 'signup' THEN 'p' || event_id END AS marker FROM events)
-    SELECT user_id, event_id, coalesce(last_value(marker IGNORE NULLS) OVER (PARTITION BY user_id ORDER BY event_id ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW), 'hdr') AS path FROM b"""
-)
-def segment_circular(spark: SparkSession, d: str) -> DataFrame:
-    rows = s.table(spark, d, "events").withColumn("seq", F.col("event_id"))
-    return law.carried(rows, "user_id", F.when(F.col("event_type") == "signup", F.concat(F.lit("p"), F.col("event_id").cast("string"))), "hdr").select("user_id", "event_id", "path")
-
-
 @query(
     """WITH b AS (SELECT o_custkey AS k, o_orderkey AS seq, 'ch' || o_orderkey % 3 || '.s' || o_orderkey % 5 || CASE WHEN o_orderkey % 2 = 0 THEN '.' || o_orderkey % 4 ELSE '' END AS path FROM orders),
     own AS (SELECT k, path, min(seq) AS first_seq, string_agg(CAST(seq AS VARCHAR), chr(10) ORDER BY seq) AS text FROM b GROUP BY 1, 2),
@@ -107,8 +111,6 @@ def build_provisions(spark: SparkSession, d: str) -> DataFrame:
     return law.provision_tree(s.table(spark, d, "orders").select(F.col("o_custkey").alias("k"), key.alias("seq"), path.alias("path"), key.cast("string").alias("text")), "k")
 
 
-
-
 def _planned(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
     """A baseline for each customer, and for each of its orders a rate that replaces the one before."""
     base = s.table(spark, d, "customer").select(F.col("c_custkey").alias("provision_id"), F.lit("The rate is 0 per cent.").alias("base_text"), F.lit("1995-01-01").cast("date").alias("base_from"))
@@ -119,53 +121,127 @@ def _planned(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
     return base, steps
 
 
+#: An order on the day of the baseline is before it, so no later rate finds its words: all of that customer's later orders fail.
+PLAN = f"""{VERSIONS}, seen AS (SELECT *, row_number() OVER (PARTITION BY provision_id ORDER BY valid_from) AS n, min(valid_from) OVER (PARTITION BY provision_id) > DATE '1995-01-01' AS good FROM versions),
+ok AS (SELECT * FROM seen WHERE good),
+planned AS (SELECT provision_id, valid_from, valid_to, 'The rate is ' || n || ' per cent.' AS text, CAST(version_id AS VARCHAR) AS amendment_id, NULL AS problem FROM ok
+UNION ALL SELECT c_custkey, DATE '1995-01-01', (SELECT min(valid_from) FROM ok WHERE provision_id = c_custkey), 'The rate is 0 per cent.', NULL, NULL FROM customer
+UNION ALL SELECT provision_id, NULL, NULL, NULL, CAST(version_id AS VARCHAR), CASE WHEN n = 1 THEN 'before_baseline' ELSE 'old_text_not_found' END FROM seen WHERE NOT good)"""
 
 
-@query()
+@query(f"WITH {PLAN} SELECT * FROM planned")
 def replay_timeline(spark: SparkSession, d: str) -> DataFrame:
-    """A string fold with failures has no SQL form; tests hold it against a plain loop."""
     return law.replayed(*_planned(spark, d))
 
 
-@query()
+ACTIVE = f"""{PLAN}, stored AS (SELECT provision_id, valid_from, valid_to, CASE WHEN provision_id % 3 = 0 THEN 'old' ELSE text END AS text, amendment_id FROM planned WHERE problem IS NULL AND provision_id % 7 <> 0)"""
+
+
+def _stored(planned: DataFrame) -> DataFrame:
+    """What is stored before a consolidation: of every third provision another text, of every seventh nothing."""
+    return planned.where("problem is null").withColumn("text", F.when(F.col("provision_id") % 3 == 0, "old").otherwise(F.col("text"))).where("provision_id % 7 <> 0")
+
+
+@query(f"WITH {PLAN} SELECT DISTINCT provision_id, CASE WHEN provision_id % 7 = 0 THEN 'insert' WHEN provision_id % 3 = 0 THEN 'replace' ELSE 'unchanged' END AS action FROM planned WHERE problem IS NULL")
 def consolidate(spark: SparkSession, d: str) -> DataFrame:
-    base, steps = _planned(spark, d)
-    planned = law.replayed(base, steps)
-    active = planned.where("problem is null").withColumn("text", F.when(F.col("provision_id") % 3 == 0, "old").otherwise(F.col("text"))).where("provision_id % 7 <> 0")
-    return law.consolidation(active, planned)
+    planned = law.replayed(*_planned(spark, d))
+    return law.consolidation(_stored(planned), planned)
 
 
-OPS = [
-    ("Pay the tax, interest.", "insert_words", None, "and fee", "the tax", "after", "Pay the tax and fee, interest.", None),
-    ("Pay the old tax now.", "omit_words", "old", None, None, None, "Pay the tax now.", None),
-    ("a b a", "substitute_words", "a", "X", None, None, "a b a", "old_text_ambiguous"),
-    ("(7) Gone.", "omit_provision", None, None, None, None, None, None),
-    (None, "insert_provision", None, "(2A) New.", None, None, "(2A) New.", None),
-]
+@query(
+    f"""WITH {ACTIVE} SELECT *, DATE '2020-01-01' AS rec_from, CASE WHEN provision_id % 3 = 0 THEN DATE '2024-01-01' END AS rec_to FROM stored
+    UNION ALL SELECT provision_id, valid_from, valid_to, text, amendment_id, DATE '2024-01-01', NULL FROM planned WHERE problem IS NULL AND (provision_id % 7 = 0 OR provision_id % 3 = 0)"""
+)
+def consolidated_rows(spark: SparkSession, d: str) -> DataFrame:
+    """The rows a consolidation closes on record, leaves and adds."""
+    planned = law.replayed(*_planned(spark, d))
+    day = lambda x: F.lit(x).cast("date")
+    stored = _stored(planned).drop("problem").withColumn("rec_from", day("2020-01-01")).withColumn("rec_to", F.lit(None).cast("date"))
+    return law.consolidated(stored, planned, day("2024-01-01"))
+
+
+@query(
+    f"""WITH {PLAN} SELECT DISTINCT CAST(amendment_id AS BIGINT) % 500 AS src_id, provision_id AS dst_id, 'substitutes' AS link_type FROM planned WHERE amendment_id IS NOT NULL AND problem IS NULL AND provision_id % 4 <> 0"""
+)
+def amendment_links(spark: SparkSession, d: str) -> DataFrame:
+    """Links of amendments to what they changed; those of every fourth provision are there already."""
+    planned = law.replayed(*_planned(spark, d))
+    amendments = s.versions(spark, d).select(F.col("version_id").cast("string").alias("amendment_id"), (F.col("version_id") % 500).alias("doc_id"), F.lit("substitute").alias("op"))
+    every = law.amendment_links(planned, amendments, spark.createDataFrame([], "src_id long, dst_id long, link_type string"))
+    return law.amendment_links(planned, amendments, every.where("dst_id % 4 = 0"))
 
 
-@query("SELECT * FROM (VALUES " + ", ".join(f"({k}, {'NULL' if o[6] is None else repr(o[6])}, {'NULL' if o[7] is None else repr(o[7])})" for k, o in enumerate(OPS)) + ") t(n, result, reason)")
+@query(
+    """SELECT p_partkey AS n, CASE p_partkey % 8 WHEN 0 THEN 'Levy ' || p_partkey || ' applies, with cess.' WHEN 1 THEN 'Levy ' || p_partkey || ' applies.' WHEN 2 THEN 'Levy' || ' ' || p_partkey || ' applies.'
+    WHEN 3 THEN 'Levy ' || p_partkey || ' is due.' WHEN 4 THEN NULL WHEN 5 THEN 'Levy ' || p_partkey || ' applies.' WHEN 6 THEN 'शुल्क ' || p_partkey || ' लागू है' ELSE 'Levy ' || p_partkey || ' applies.' END AS result,
+    CASE p_partkey % 8 WHEN 1 THEN 'old_text_not_found' WHEN 2 THEN 'provision_exists' WHEN 5 THEN 'anchor_not_found' WHEN 7 THEN 'words_missing' END AS reason FROM part"""
+)
 def apply_ops(spark: SparkSession, d: str) -> DataFrame:
-    rows = spark.createDataFrame([(k, *o[:6]) for k, o in enumerate(OPS)], "n int, text string, kind string, old_text string, new_text string, anchor_text string, position string")
+    """One operation of each kind on a text for each part, some of them in vain."""
+    key = F.col("p_partkey").cast("string")
+    kinds = ("insert_words", "omit_words", "insert_provision", "substitute_words", "omit_provision", "insert_words", "substitute_words", "substitute_words")
+    at = lambda values: F.element_at(F.array(*[F.lit(v).cast("string") for v in values]), (F.col("p_partkey") % 8 + 1).cast("int"))
+    text = F.when(F.col("p_partkey") % 8 == 6, F.concat(F.lit("कर "), key, F.lit(" लागू है"))).otherwise(F.concat(F.lit("Levy "), key, F.lit(" applies.")))
+    rows = s.table(spark, d, "part").select("p_partkey", text.alias("text"), at(kinds).alias("kind"), at((None, "Lev", None, "applies", None, None, "कर", "applies")).alias("old"), at((", with cess", None, "x", "is due", None, "x", "शुल्क", None)).alias("new"), at(("applies", None, None, None, None, "pplies", None, None)).alias("anchor"))
 
-    def one(text, kind, old_text, new_text, anchor_text, position):
-        got = amend.apply_op(text, {"kind": kind, "old_text": old_text, "new_text": new_text, "anchor_text": anchor_text, "position": position})
-        return got["text"], got["reason"]
+    def one(text: str, kind: str, old: str | None, new: str | None, anchor: str | None) -> tuple:
+        return amend.applied(text, {"kind": kind, "old_text": old, "new_text": new, "anchor_text": anchor})
 
-    run = F.udf(one, "struct<result: string, reason: string>", useArrow=True)
-    return rows.select("n", run("text", "kind", "old_text", "new_text", "anchor_text", "position").alias("r")).select("n", "r.*")
+    got = rows.select(F.col("p_partkey").alias("n"), arrow_udf(one, "struct<result: string, reason: string>")("text", "kind", "old", "new", "anchor").alias("r"))
+    return got.select("n", F.regexp_replace("r.result", " ,", ",").alias("result"), "r.reason")
 
 
-@query("SELECT p_partkey, 'substitute' AS op, 'r' || (p_partkey % 90 + 1) || '.4' AS target_path, p_brand AS old_text, p_type AS new_text FROM part")
-def amend_detect(spark: SparkSession, d: str) -> DataFrame:
+def _notified(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
+    """A notification for each part, with a clause of each kind; those of every fifth say another word."""
     p = s.table(spark, d, "part")
-    clause = F.concat(F.lit("(i) in rule "), (F.col("p_partkey") % 90 + 1).cast("string"), F.lit(", in sub-rule (4), for the words “"), "p_brand", F.lit("”, the words “"), "p_type", F.lit("” shall be substituted;"))
-    blocks = F.array(F.lit("rules further to amend the CGST Rules, namely:-"), F.lit("2. In the said rules,-"), clause)
-    found = F.udf(lambda b: amend.detect(list(b)), amend.PROPOSAL, useArrow=True)
-    return p.select("p_partkey", F.explode(found(blocks)).alias("x")).select("p_partkey", "x.op", "x.target_path", "x.old_text", "x.new_text")
+    key = F.col("p_partkey")
+    rule = (key % 90 + 1).cast("string")
+    quoted = lambda x: F.concat(F.lit("“"), x, F.lit("”"))
+    lines = [
+        F.lit("The following rules further to amend the Central Goods and Services Tax Rules, 2017, namely:-"),
+        F.lit("2. In the said rules,-"),
+        F.concat(F.lit("(i) in rule "), rule, F.lit(", for the words "), quoted(F.when(key % 5 == 0, "elsewhere").otherwise("a rate")), F.lit(", the words "), quoted(F.lit("the rate")), F.lit(" shall be substituted;")),
+        F.concat(F.lit("(ii) after rule "), rule, F.lit(", the following rule shall be inserted, namely:-")),
+        quoted(F.concat((key % 90 + 1).cast("string"), F.lit("A. New; text."))),
+        F.lit("(iii) rule 200 shall be omitted with effect from the 1st May, 2021;"),
+        F.lit("(iv) some things are substituted in ways of their own."),
+        F.lit("3. These rules shall come into force on the 1st April, 2021."),
+    ]
+    blocks = p.select("p_partkey", F.posexplode(F.array(*lines)).alias("seq", "text"))
+    return blocks, p.select("p_partkey", F.lit("2021-03-01").cast("date").alias("doc_date"))
+
+
+NOTIFIED = """p AS (SELECT p_partkey, p_partkey % 90 + 1 AS n FROM part),
+clauses AS (SELECT p_partkey, n, 0 AS place, 'substitute' AS op, 'words' AS kind, 'r' || n AS target_path, CASE WHEN p_partkey % 5 = 0 THEN 'elsewhere' ELSE 'a rate' END AS old_text, 'the rate' AS new_text, DATE '2021-04-01' AS effective_from, 0.9 AS confidence FROM p
+UNION ALL SELECT p_partkey, n, 1, 'insert', 'provision', 'r' || n || 'A', NULL, n || 'A. New; text.', DATE '2021-04-01', 0.9 FROM p
+UNION ALL SELECT p_partkey, n, 2, 'omit', 'provision', 'r200', NULL, NULL, DATE '2021-05-01', 0.9 FROM p
+UNION ALL SELECT p_partkey, n, 3, 'amend', 'raw', NULL, NULL, NULL, DATE '2021-04-01', 0.0 FROM p)"""
+
+
+@query(f"WITH {NOTIFIED} SELECT p_partkey, CAST(place AS INTEGER) AS place, op, kind, CASE WHEN kind = 'raw' THEN 'CGST_RULES' ELSE 'CGST_RULES' END AS instrument, target_path, old_text, new_text, effective_from, CAST(confidence AS DOUBLE) AS confidence FROM clauses")
+def amend_detect(spark: SparkSession, d: str) -> DataFrame:
+    found = law.proposals(*_notified(spark, d), "p_partkey")
+    return found.select("p_partkey", "place", "op", "kind", "instrument", "target_path", "old_text", "new_text", "effective_from", "confidence")
 
 
-@query()
+@query(
+    f"""WITH {NOTIFIED}, hits AS (SELECT c_custkey % 60 + 1 AS n, count(*) AS hits, min(c_custkey) AS provision_id FROM customer GROUP BY 1)
+    SELECT p_partkey, CAST(place AS INTEGER) AS place, CASE WHEN kind = 'raw' OR op = 'omit' OR hits IS NULL THEN 'not_found' WHEN hits = 1 THEN 'resolved' ELSE 'ambiguous' END AS outcome, CASE WHEN kind <> 'raw' AND op <> 'omit' AND hits = 1 THEN provision_id END AS provision_id,
+    kind <> 'raw' AND op <> 'omit' AND coalesce(hits = 1, false) AND NOT (op = 'substitute' AND p_partkey % 5 = 0) AS dry_run_ok, CASE WHEN op = 'substitute' AND hits = 1 AND p_partkey % 5 = 0 THEN 'old_text_not_found' END AS dry_run_reason,
+    CASE WHEN kind <> 'raw' AND op <> 'omit' AND coalesce(hits = 1, false) THEN 'proposed' ELSE 'needs_info' END AS review_status FROM clauses LEFT JOIN hits USING (n)"""
+)
+def amend_dry_run(spark: SparkSession, d: str) -> DataFrame:
+    """The stage after detection: targets looked up, clauses tried on the text that stands, and the review they need."""
+    provisions = s.table(spark, d, "customer").select(F.col("c_custkey").alias("provision_id"), F.lit("CGST_RULES").alias("instrument"), F.concat(F.lit("ch1.r"), (F.col("c_custkey") % 60 + 1).cast("string")).alias("path"))
+    versions = provisions.select("provision_id", F.lit("It is a rate.").alias("text"), F.lit("2018-01-01").cast("date").alias("valid_from"), F.lit(None).cast("date").alias("valid_to"))
+    got = law.tried(law.proposals(*_notified(spark, d), "p_partkey"), provisions, versions, "p_partkey", F.lit("2021-04-01").cast("date"))
+    return got.select("p_partkey", "place", "outcome", "provision_id", "dry_run_ok", "dry_run_reason", "review_status")
+
+
+@query(
+    f"""WITH {PLAN} SELECT provision_id, valid_from, 'The rate is [-' || n - 1 || '-]{{{{+' || n || '+}}}} per cent.' AS diff FROM ok"""
+    .replace("{{+", "{+").replace("+}}", "+}").replace("[-' || n - 1 || '-]", "[-' || (n - 1) || '-]")
+)
 def word_diffs(spark: SparkSession, d: str) -> DataFrame:
     """Neighbouring versions of provisions, with words taken out and put in marked."""
     v = law.replayed(*_planned(spark, d)).where("problem is null")
@@ -190,15 +266,48 @@ def normalised_text(spark: SparkSession, d: str) -> DataFrame:
 
 
 @query(
-    """SELECT o_orderkey AS k, 'CT' AS series, CAST(o_orderkey % 60 + 1 AS VARCHAR) AS number, CAST(year(o_orderdate) AS VARCHAR) AS year, strftime(o_orderdate, '%Y-%m-%d') AS date,
-    'ntf:CT:' || (o_orderkey % 60 + 1) || '/' || year(o_orderdate) AS canonical_id, 0.95 AS sure FROM orders WHERE o_orderkey % 7 = 0"""
+    """SELECT o_orderkey AS k, 'CT' AS series, CAST(o_orderkey % 60 + 1 AS VARCHAR) AS number, CAST(year(o_orderdate) AS VARCHAR) AS year, strftime(o_orderdate, '%Y-%m-%d') AS doc_date,
+    'ntf:CT:' || (o_orderkey % 60 + 1) || '/' || year(o_orderdate) AS canonical_id, CASE WHEN o_orderkey % 2 = 0 THEN 0.475 ELSE 0.95 END AS sure, CASE WHEN o_orderdate < DATE '2017-06-01' THEN 'crosscheck:doc_date out of range: ' || strftime(o_orderdate, '%Y-%m-%d') || CASE WHEN o_orderkey % 2 = 0 THEN ',' ELSE '' END ELSE '' END
+    || CASE WHEN o_orderkey % 2 = 0 THEN 'crosscheck:number disagrees with title' ELSE '' END AS issues FROM orders"""
 )
 def extract_meta(spark: SparkSession, d: str) -> DataFrame:
-    o = s.table(spark, d, "orders").where("o_orderkey % 7 = 0")
-    head = F.concat(F.lit("Notification No. "), (F.col("o_orderkey") % 60 + 1).cast("string"), F.lit("/"), F.year("o_orderdate").cast("string"), F.lit(" - Central Tax"))
-    dated = F.concat(F.lit("New Delhi, the "), F.date_format("o_orderdate", "dd.MM.yyyy"))
-    blocks = o.select(F.col("o_orderkey").alias("k"), F.posexplode(F.array(head, dated)).alias("seq", "text"))
-    return law.notification_fields(blocks, "k").select("k", F.col("fields")["series"].alias("series"), F.col("fields")["number"].alias("number"), F.col("fields")["year"].alias("year"), F.col("fields")["date"].alias("date"), "canonical_id", "sure")
+    """Notifications whose title names another number where the order is even, dated before the tax began."""
+    o = s.table(spark, d, "orders")
+    key = F.col("o_orderkey")
+    head = F.concat(F.lit("Notification No. "), (key % 60 + 1).cast("string"), F.lit("/"), F.year("o_orderdate").cast("string"), F.lit(" - Central Tax"))
+    dated = F.concat(F.lit("New Delhi, dated "), F.date_format("o_orderdate", "dd.MM.yyyy"))
+    blocks = o.select(key.alias("k"), F.posexplode(F.array(head, dated)).alias("seq", "text"))
+    docs = o.select(key.alias("k"), F.lit("notification").alias("doc_type"), F.when(key % 2 == 0, "on 999/1999").otherwise("").alias("title"), F.lit(None).cast("string").alias("file_name"))
+    got = law.fields(blocks, docs, "k", F.lit("2030-01-01").cast("date"))
+    return got.select("k", *[F.col("fields")[n].alias(n) for n in ("series", "number", "year", "doc_date", "canonical_id")], F.col("confidence")["number"].alias("sure"), F.array_join("issues", ",").alias("issues"))
+
+
+@query(
+    """SELECT c_custkey AS k, CASE c_custkey % 3 WHEN 0 THEN 'HC-DL' WHEN 1 THEN 'SC' ELSE 'AAAR' END AS court_code, CASE WHEN c_custkey % 3 = 0 THEN 'WP(C) ' || c_custkey || '/2019' ELSE 'CA ' || c_custkey || '/2019' END AS case_numbers, '2020-02-03' AS decision_date,
+    c_name || ' v. State' AS title, 'B. Sen; A. Rao' AS judges FROM customer"""
+)
+def judgement_fields(spark: SparkSession, d: str) -> DataFrame:
+    c = s.table(spark, d, "customer")
+    key = F.col("c_custkey").cast("string")
+    court = F.element_at(F.array(*map(F.lit, ("IN THE HIGH COURT OF DELHI AT NEW DELHI", "IN THE SUPREME COURT OF INDIA", "BEFORE THE APPELLATE AUTHORITY FOR ADVANCE RULING"))), (F.col("c_custkey") % 3 + 1).cast("int"))
+    case = F.when(F.col("c_custkey") % 3 == 0, F.concat(F.lit("W.P.(C) No. "), key, F.lit(" / 2019"))).otherwise(F.concat(F.lit("Civil Appeal No. "), key, F.lit(" of 2019")))
+    lines = [court, case, F.concat("c_name", F.lit(" ..... Petitioner")), F.lit("State ..... Respondent"), F.lit("CORAM: Hon'ble Mr. Justice B. Sen and Hon'ble Ms. Justice A. Rao"), F.lit("1. The facts."), F.lit("dated 1st January, 2020 and then dated 03.02.2020")]
+    blocks = c.select(F.col("c_custkey").alias("k"), F.posexplode(F.array(*lines)).alias("seq", "text"))
+    docs = c.select(F.col("c_custkey").alias("k"), F.lit("judgement").alias("doc_type"), F.lit("").alias("title"), F.lit(None).cast("string").alias("file_name"))
+    got = law.fields(blocks, docs, "k", F.lit("2030-01-01").cast("date"))
+    return got.select("k", *[F.col("fields")[n].alias(n) for n in ("court_code", "case_numbers", "decision_date", "title", "judges")])
+
+
+@query(
+    """SELECT p_partkey AS k, (p_partkey % 200) || '/' || (p_partkey % 9) || '/2020' AS number, 'cir:' || (p_partkey % 200) || '/' || (p_partkey % 9) || '/2020' AS canonical_id, p_name AS subject, p_name AS title, 'prov:CGST_ACT:s' || (p_partkey % 90 + 1) AS sections_referred FROM part"""
+)
+def circular_fields(spark: SparkSession, d: str) -> DataFrame:
+    p = s.table(spark, d, "part")
+    head = F.concat(F.lit("Circular No. "), (F.col("p_partkey") % 200).cast("string"), F.lit("/"), (F.col("p_partkey") % 9).cast("string"), F.lit("/2020"))
+    lines = [head, F.lit("dated the 5th May, 2020"), F.concat(F.lit("Subject: "), "p_name"), F.concat(F.lit("2. Under section "), (F.col("p_partkey") % 90 + 1).cast("string"), F.lit(" of the CGST Act, credit is due. Nothing else."))]
+    blocks = p.select(F.col("p_partkey").alias("k"), F.posexplode(F.array(*lines)).alias("seq", "text"))
+    docs = p.select(F.col("p_partkey").alias("k"), F.lit("circular").alias("doc_type"), F.lit("").alias("title"), F.lit("x.pdf").alias("file_name"))
+    return law.fields(blocks, docs, "k", F.lit("2030-01-01").cast("date")).select("k", *[F.col("fields")[n].alias(n) for n in ("number", "canonical_id", "subject", "title", "sections_referred")])
 
 
 @query(
@@ -210,4 +319,74 @@ def segment_act(spark: SparkSession, d: str) -> DataFrame:
     chapters = s.table(spark, d, "region").select(F.col("r_regionkey").alias("k"), F.lit(0).alias("seq"), F.concat(F.lit("CHAPTER "), roman).alias("text"))
     place = F.row_number().over(law.Window.partitionBy("n_regionkey").orderBy("n_nationkey"))
     sections = s.table(spark, d, "nation").select(F.col("n_regionkey").alias("k"), place.alias("seq"), F.concat((F.col("n_nationkey") + 1).cast("string"), F.lit(". (2) "), "n_name").alias("text"))
-    return law.segmented(chapters.unionByName(sections), "k").select("k", "seq", "path")
+    return law.segmented(chapters.unionByName(sections).withColumn("doc_type", F.lit("act")), "k").select("k", "seq", "path")
+
+
+LINES = """l AS (SELECT o_custkey AS k, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey) - 1 AS seq, o_orderkey, o_orderkey % 4 AS kind FROM orders)"""
+
+
+def _lines(spark: SparkSession, d: str, doc_type: str, texts: list, heading: int | None = None) -> DataFrame:
+    """A block for each order of a customer; the order's remainder by four says what stands in it."""
+    at = F.row_number().over(law.Window.partitionBy("o_custkey").orderBy("o_orderkey")) - 1
+    key = (F.col("o_orderkey") % 4).cast("int")
+    return s.table(spark, d, "orders").select(F.col("o_custkey").alias("k"), F.lit(doc_type).alias("doc_type"), at.alias("seq"), F.when(key == heading, "heading").otherwise("para").alias("kind"), F.element_at(F.array(*texts), key + 1).alias("text"))
+
+
+@query(
+    f"""WITH {LINES}, n AS (SELECT *, max(CASE WHEN kind = 0 THEN seq END) OVER w AS para_at, max(CASE WHEN kind = 3 THEN seq END) OVER w AS sched_at, count(*) FILTER (kind = 3) OVER w AS scheds FROM l WINDOW w AS (PARTITION BY k ORDER BY seq ROWS UNBOUNDED PRECEDING)),
+    p AS (SELECT *, max(CASE WHEN seq = para_at THEN o_orderkey % 100 END) OVER (PARTITION BY k, para_at) AS para, count(*) FILTER (kind = 1) OVER (PARTITION BY k, para_at ORDER BY seq ROWS UNBOUNDED PRECEDING) AS items FROM n)
+    SELECT k, seq, CASE WHEN sched_at IS NOT NULL AND (para_at IS NULL OR sched_at > para_at) THEN 'sched' || scheds WHEN para_at IS NULL THEN 'pre' ELSE 'p' || para || CASE WHEN items > 0 THEN '.i' || items ELSE '' END END AS path FROM p"""
+)
+def segment_notification(spark: SparkSession, d: str) -> DataFrame:
+    """Numbered paragraphs, amending units, plain lines and schedules, as the orders come."""
+    number = (F.col("o_orderkey") % 100).cast("string")
+    rows = _lines(spark, d, "notification", [F.concat(number, F.lit(". Paragraph")), F.lit("(i) in rule 5, a word shall be omitted"), F.lit("more of it"), F.lit("SCHEDULE of rates")])
+    return law.segmented(rows, "k").select("k", "seq", "path")
+
+
+@query(
+    f"""WITH {LINES}, m AS (SELECT k, seq, CASE kind WHEN 0 THEN 'p' || o_orderkey % 100 WHEN 1 THEN 'p' || o_orderkey % 100 || '.' || o_orderkey % 7 END AS marker FROM l)
+    SELECT k, seq, coalesce(last_value(marker IGNORE NULLS) OVER (PARTITION BY k ORDER BY seq ROWS UNBOUNDED PRECEDING), 'hdr') AS path FROM m"""
+)
+def segment_circular(spark: SparkSession, d: str) -> DataFrame:
+    number = (F.col("o_orderkey") % 100).cast("string")
+    rows = _lines(spark, d, "circular", [F.concat(number, F.lit(". Paragraph")), F.concat(number, F.lit("."), (F.col("o_orderkey") % 7).cast("string"), F.lit(" Part")), F.lit("more of it"), F.lit("and more")])
+    return law.segmented(rows, "k").select("k", "seq", "path")
+
+
+@query(
+    f"""WITH {LINES}, m AS (SELECT k, seq, kind, o_orderkey, last_value(CASE kind WHEN 0 THEN 'facts' WHEN 1 THEN 'order' END IGNORE NULLS) OVER w AS label FROM l WINDOW w AS (PARTITION BY k ORDER BY seq ROWS UNBOUNDED PRECEDING)),
+    c AS (SELECT *, kind IN (2, 3) AND (kind = 3 OR label IS NOT NULL OR bool_or(kind = 3) OVER w) AS counts, label IS NULL AND NOT coalesce(bool_or(kind = 3) OVER w, false) AS header FROM m WINDOW w AS (PARTITION BY k ORDER BY seq ROWS UNBOUNDED PRECEDING)),
+    r AS (SELECT *, count(*) FILTER (counts) OVER (PARTITION BY k ORDER BY seq ROWS UNBOUNDED PRECEDING) AS running FROM c)
+    SELECT k, seq, CASE WHEN header THEN 'hdr' WHEN kind IN (0, 1) THEN label WHEN kind = 3 THEN coalesce(label, 'body') || '.p' || o_orderkey % 100 ELSE coalesce(label, 'body') || '.p' || running END AS path FROM r"""
+)
+def segment_judgement(spark: SparkSession, d: str) -> DataFrame:
+    """Headings of parts, plain paragraphs that are counted, and numbered ones."""
+    number = (F.col("o_orderkey") % 100).cast("string")
+    rows = _lines(spark, d, "judgement", [F.lit("FACTS OF THE CASE"), F.lit("Conclusion"), F.lit("the court says this"), F.concat(number, F.lit(". The court says"))], 1)
+    return law.segmented(rows, "k").select("k", "seq", "path")
+
+
+@query("SELECT p_partkey AS k, 'r' || (p_partkey % 9 + 1) || '.2' AS path, 'p' || (p_partkey % 3 + 1) AS other FROM part")
+def segment_rules(spark: SparkSession, d: str) -> DataFrame:
+    """Rules behind a list of contents, with a numbered table row that opens nothing, and a document of no known type."""
+    p = s.table(spark, d, "part")
+    number = (F.col("p_partkey") % 9 + 1).cast("string")
+    lines = [F.lit("CONTENTS"), F.concat(number, F.lit(". Name")), F.lit("THE LAND RULES, 2019"), F.concat(number, F.lit(". Name")), F.lit("(2) text"), F.concat((F.col("p_partkey") % 9 + 3).cast("string"), F.lit(". | a row"))]
+    blocks = p.select(F.col("p_partkey").alias("k"), F.posexplode(F.array(*lines)).alias("seq", "text"))
+    rules = law.segmented(blocks.withColumn("doc_type", F.lit("rules")), "k").where("seq = 5").select("k", "path")
+    other = law.segmented(blocks.withColumn("doc_type", F.lit("memo")), "k").where("seq = k % 3").select("k", F.col("path").alias("other"))
+    return rules.join(other, "k")
+
+
+@query("SELECT token, count(*) AS n FROM (SELECT CASE WHEN p_partkey % 3 = 0 THEN 'X' || p_partkey % 5 ELSE '9-' || p_partkey % 2 END AS token FROM part WHERE p_partkey % 2 = 0) GROUP BY 1")
+def skipped_paths(spark: SparkSession, d: str) -> DataFrame:
+    token = F.when(F.col("p_partkey") % 3 == 0, F.concat(F.lit("X"), (F.col("p_partkey") % 5).cast("string"))).otherwise(F.concat(F.lit("9-"), (F.col("p_partkey") % 2).cast("string")))
+    path = F.concat(F.lit("ch2.s16."), F.when(F.col("p_partkey") % 2 == 0, token).otherwise("iv"))
+    return law.skipped_paths(s.table(spark, d, "part").select(path.alias("path")))
+
+
+@query("SELECT p_partkey, p_partkey % 4 < 2 AS cited FROM part")
+def cited_texts(spark: SparkSession, d: str) -> DataFrame:
+    text = F.element_at(F.array(*map(F.lit, ("see S. 16 there", "under rule 3", "under rules of section", "notification 5-2020"))), (F.col("p_partkey") % 4 + 1).cast("int"))
+    return s.table(spark, d, "part").select("p_partkey", law.cited(text).alias("cited"))

@@ -42,7 +42,7 @@ JOBS = """jobs AS (SELECT event_id, user_id % 7 AS source,
   ts AS discovered_at, CASE WHEN event_type = 'click' THEN ts + to_minutes(CAST(floor(value) AS BIGINT) % 3000) END AS published_at FROM events),
 moment AS (SELECT max(ts) AS now_at FROM events)"""
 SOURCES = """sources AS (SELECT source, max(CASE WHEN event_id % 97 = source AND source <> 6 THEN discovered_at END) AS last_new_doc_at, source % 3 + 1 AS cadence_hours FROM jobs GROUP BY source)"""
-QUEUE = """queue AS (SELECT event_id, user_id % 5 AS queue, ts AS run_after FROM events WHERE event_type = 'signup')"""
+QUEUE = """queue AS (SELECT event_id, user_id % 5 AS queue, ts AS run_after, ts - to_hours(CAST(event_id % 3 AS INTEGER)) AS created_at FROM events WHERE event_type = 'signup')"""
 TASKS = """tasks AS (SELECT o_orderkey AS task_id, o_custkey AS subject_id,
   CASE left(o_orderpriority, 1) WHEN '1' THEN 'amendment' WHEN '3' THEN 'parse_failure' WHEN '4' THEN 'miss_report' WHEN '5' THEN 'treatment' ELSE 'metadata' END AS kind,
   CASE o_orderstatus WHEN 'O' THEN 'open' WHEN 'P' THEN 'in_review' WHEN 'F' THEN 'done' ELSE 'rejected' END AS status,
@@ -55,4 +55,4 @@ pages_ AS (SELECT *, CASE WHEN chars_a < 20 THEN 'failed' WHEN doc_id % 5 = 0 TH
   CASE WHEN chars_a < 20 THEN 'failed' ELSE 'ok' END AS status, abs(chars_a - chars_b) > 10 AS flagged FROM g0)"""
 )
 LINKS = """links AS (SELECT 'document' AS src_type, l_partkey AS src_id, CASE WHEN l_linenumber % 7 = 0 THEN 'document' ELSE 'provision' END AS dst_type,
-  l_suppkey AS dst_id, CASE l_returnflag || l_linestatus WHEN 'AF' THEN 'amends' WHEN 'NF' THEN 'interprets' WHEN 'RF' THEN 'clarifies' ELSE 'cites' END AS link_type FROM lineitem)"""
+  l_suppkey AS dst_id, CASE l_returnflag || l_linestatus WHEN 'AF' THEN 'amends' WHEN 'NF' THEN 'interprets' WHEN 'RF' THEN 'clarifies' WHEN 'NO' THEN (CASE l_linenumber % 3 WHEN 0 THEN 'mentions' WHEN 1 THEN 'cites' ELSE 'issued_under' END) ELSE 'substitutes' END AS link_type FROM lineitem)"""

@@ -65,7 +65,7 @@ def tree_order(spark: SparkSession, d: str) -> DataFrame:
     nodes = s.table(spark, d, "region").select(key("r", "r_regionkey").alias("id"), F.lit(None).cast("string").alias("parent_id"), F.col("r_regionkey").cast("long").alias("ordinal"))
     nodes = nodes.unionByName(s.table(spark, d, "nation").select(key("n", "n_nationkey").alias("id"), key("r", "n_regionkey").alias("parent_id"), F.col("n_nationkey").cast("long").alias("ordinal")))
     nodes = nodes.unionByName(s.table(spark, d, "supplier").select(key("s", "s_suppkey").alias("id"), key("n", "s_nationkey").alias("parent_id"), F.col("s_suppkey").alias("ordinal")))
-    return r.tree_order(nodes, 3)
+    return r.tree_order(nodes)
 
 
 @query(f"WITH {DOCS} SELECT doc_id, doc_type, source FROM docs WHERE doc_id < 800 AND status = 'in_force' AND source ILIKE '%src%' ORDER BY doc_id DESC LIMIT 51")
@@ -140,8 +140,9 @@ def full_outer_merge(spark: SparkSession, d: str) -> DataFrame:
 
 
 @query(
-    f"""WITH {DOCS}, {LINKS}, b AS (SELECT dst_id, src_id, CASE link_type WHEN 'amends' THEN 'amendments' WHEN 'interprets' THEN 'judgements' WHEN 'clarifies' THEN 'circulars' ELSE
-    CASE WHEN doc_type = 'notification' THEN 'notifications' WHEN doc_type IN ('circular', 'instruction', 'order') THEN 'circulars' WHEN doc_type = 'judgement' THEN 'judgements' ELSE 'provisions' END END AS bucket
+    f"""WITH {DOCS}, {LINKS}, b AS (SELECT dst_id, src_id, CASE WHEN link_type IN ('inserts', 'substitutes', 'omits', 'amends') THEN 'amending_instruments' WHEN link_type = 'mentions' THEN 'mentions'
+    WHEN link_type = 'issued_under' THEN 'issued_under' WHEN link_type = 'clarifies' THEN 'circulars' WHEN link_type = 'interprets' THEN 'judgements' WHEN doc_type IN ('circular', 'instruction') THEN 'circulars'
+    WHEN doc_type = 'judgement' THEN 'judgements' ELSE 'other' END AS bucket
     FROM links JOIN docs ON doc_id = src_id WHERE dst_type = 'provision') SELECT dst_id, bucket, count(*) AS links, count(DISTINCT src_id) AS documents FROM b GROUP BY 1, 2"""
 )
 def links_grouped(spark: SparkSession, d: str) -> DataFrame:

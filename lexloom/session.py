@@ -7,7 +7,7 @@ import tempfile
 import zipfile
 from pathlib import Path
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 ROOT = Path(__file__).resolve().parent.parent
 
@@ -26,6 +26,19 @@ def session(master: str = "local[*]", shuffle_partitions: int = 8, **more: str)
     return builder.getOrCreate()
 
 
+def cut(df: DataFrame) -> DataFrame:
+    """df written to the checkpoint folder all executors share, so that loops carry no lineage.
+
+    The folder is spark.checkpoint.dir; only where that is unset and Spark runs in this one process a temporary one takes its place.
+    """
+    context = df.sparkSession.sparkContext
+    if context.getCheckpointDir() is None:
+        if context.master != "local" and not context.master.startswith("local["):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+        context.setCheckpointDir(tempfile.mkdtemp(prefix="lexloom-"))
+    return df.checkpoint()
+
+
 def ship(spark: SparkSession) -> None:
     """Send the package to the workers, unless they can import it from where they start."""
     seen = [os.getcwd(), *os.environ.get("PYTHONPATH", "").split(":")]

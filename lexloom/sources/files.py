@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -46,5 +47,11 @@ def binary_files(spark: SparkSession, path: str, pattern: str = "*") -> DataFram
 
 
 def write_once(files: DataFrame, path: str) -> None:
-    """Store each content once, in folders by the first two digits of its digest."""
-    files.dropDuplicates(["digest"]).withColumn("prefix", F.substring("digest", 1, 2)).write.mode("append").partitionBy("prefix").parquet(path)
+    """Store each content once, in folders by the first two digits of its digest, however often this is run."""
+    new = files.dropDuplicates(["digest"])
+    try:
+        new = new.join(files.sparkSession.read.parquet(path).select("digest"), "digest", "left_anti")
+    except AnalysisException as missing:
+        if missing.getCondition() != "PATH_NOT_FOUND":
+            raise
+    new.select(*files.columns).withColumn("prefix", F.substring("digest", 1, 2)).write.mode("append").partitionBy("prefix").parquet(path)

@@ -57,13 +57,13 @@ def jobs(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def now_of(df: DataFrame, column: str):
-    """The latest moment of a column, as a literal: the reports' `now`."""
-    return F.lit(df.agg(F.max(column)).first()[0]).cast(df.schema[column].dataType)
+    """The latest moment of a column, as a subquery of the plan it is used in: the reports' `now`."""
+    return df.select(F.max(column)).scalar()
 
 
 def queue(spark: SparkSession, sf_dir: str) -> DataFrame:
     events = table(spark, sf_dir, "events").where("event_type = 'signup'")
-    return events.select("event_id", (F.col("user_id") % 5).alias("queue"), F.lit("queued").alias("status"), F.col("ts").alias("run_after"))
+    return events.select("event_id", (F.col("user_id") % 5).alias("queue"), F.lit("queued").alias("status"), F.col("ts").alias("run_after"), (F.col("ts") - F.make_dt_interval(hours=(F.col("event_id") % 3).cast("int"))).alias("created_at"))
 
 
 def sources(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -95,5 +95,7 @@ def pages(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def links(spark: SparkSession, sf_dir: str) -> DataFrame:
     lines = table(spark, sf_dir, "lineitem")
-    kinds = F.create_map(*[F.lit(x) for kv in (("AF", "amends"), ("NF", "interprets"), ("NO", "cites"), ("RF", "clarifies")) for x in kv])
-    return lines.select(F.lit("document").alias("src_type"), F.col("l_partkey").alias("src_id"), F.when(F.col("l_linenumber") % 7 == 0, "document").otherwise("provision").alias("dst_type"), F.col("l_suppkey").alias("dst_id"), F.coalesce(kinds[F.concat("l_returnflag", "l_linestatus")], F.lit("cites")).alias("link_type"))
+    kinds = F.create_map(*[F.lit(x) for kv in (("AF", "amends"), ("NF", "interprets"), ("RF", "clarifies")) for x in kv])
+    number = F.col("l_linenumber") % 3
+    others = F.when((F.col("l_returnflag") == "N") & (F.col("l_linestatus") == "O"), F.when(number == 0, "mentions").when(number == 1, "cites").otherwise("issued_under")).otherwise("substitutes")
+    return lines.select(F.lit("document").alias("src_type"), F.col("l_partkey").alias("src_id"), F.when(F.col("l_linenumber") % 7 == 0, "document").otherwise("provision").alias("dst_type"), F.col("l_suppkey").alias("dst_id"), F.coalesce(kinds[F.concat("l_returnflag", "l_linestatus")], others).alias("link_type"))

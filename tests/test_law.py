@@ -1,165 +1,295 @@
+"""Functions on legal text: golden rows of our own, and what must hold for any text."""
+
 from datetime import date
 
 import pytest
-from hypothesis import given
+from hypothesis import given, settings
 from hypothesis import strategies as st
 
-from lexloom.functions import amend, html, legal, segment, text
+from lexloom.functions import amend, clauses, dates, html, ids, legal, lexemes, meta, segment, text
 from lexloom.operators import law
 
-TEXT = "The person shall pay interest at twenty per cent. on the amount."
+CANAL = "A boat that enters the canal pays a toll of nine coins, and a raft pays a toll too."
 
 
 @pytest.mark.parametrize(
     ("said", "path"),
     [
-        ("clause (a) of sub-rule (4) of rule 36", "r36.4.a"),
-        ("section 16(2)(c)(iv)", "s16.2.c.iv"),
-        ("rule 89 of the CGST Rules", "r89"),
-        ("sub-section (2) of section 17", "s17.2"),
-        ("nothing here", None),
+        ("clause (b) of sub-section (3) of section 41", "s41.3.b"), ("rule 12(5)(d)(ii)", "r12.5.d.ii"), ("rule 7 of the IGST Rules", "r7"), ("the third proviso to sub-rule (2) of rule 9", "r9.2.prov3"),
+        ("proviso to section 8A", "s8A.prov1"), ("Explanation 4 to section 6", "s6.expl4"), ("item (iv) of clause (e) of section 70", "s70.e.iv"), ("Form REG 09", None), ("Schedule II", None), ("what the boat pays", None), ("", None),
     ],
-)
+)
 def test_locator(said, path):
     got = legal.locator(said)
     assert (got and got["path"]) == path
 
 
-def test_relative_locator():
-    assert legal.locator("clause (a) of sub-rule (4)")["relative"]
-    assert legal.locator("clause (a) of sub-rule (4)", "r36")["path"] == "r36.4.a"
+def test_relative_locators_need_a_parent():
+    assert legal.locator("clause (f) of sub-rule (1)") == {"path": None, "relative": True, "instrument": None}
+    assert legal.locator("clause (f) of sub-rule (1)", "r77")["path"] == "r77.1.f"
+    assert legal.locator("rule 3 of the said rules")["instrument"] == "said_rules"
+    assert legal.place_of("Schedule II").is_provision is False
 
 
 @pytest.mark.parametrize(
-    ("said", "ids"),
+    ("said", "found"),
     [
-        ("s. 16(2)(c) CGST Act", ["prov:CGST_ACT:s16.2.c"]),
-        ("rule 36(4) of the CGST Rules", ["prov:CGST_RULES:r36.4"]),
-        ("Notification No. 5/2020-Central Tax", ["ntf:CT:5/2020"]),
-        ("Circular No. 170/2/2022", ["cir:170/2/2022"]),
-        ("section 5 and no act", [None]),
-        ("what is input tax credit", []),
-        ("", []),
+        ("relief under s. 31(4)(d) CGST Act", ["prov:CGST_ACT:s31.4.d"]), ("see rule 22(3) of the CGST Rules", ["prov:CGST_RULES:r22.3"]), ("by Notification No. 9/2021-Central Tax", ["ntf:CT:9/2021"]),
+        ("Circular No. 44/3/2019", ["cir:44/3/2019"]), ("section 12 of no act", [None]), ("how boats pay", []), ("", []),
     ],
-)
-def test_citations(said, ids):
-    assert [c["canonical_id"] for c in legal.citations(said)] == ids
+)
+def test_citations(said, found):
+    assert [c["canonical_id"] for c in legal.citations(said)] == found
 
 
 @given(st.text(max_size=200))
+@settings(deadline=None, max_examples=60)
 def test_parsers_never_raise(said):
     legal.citations(said)
     legal.locator(said)
     legal.numbering(said)
-    legal.parsed_id(said)
+    legal.looks_like_citation(said)
+    ids.parsed(said)
     html.blocks(said)
-    amend.detect([said])
-    amend.effective(said)
+    clauses.detect([said, said])
+    dates.effective(said)
+    lexemes.parsed(said)
+    lexemes.snippet(lexemes.parsed(said), said)
+    meta.extract("judgement", [("para", said)])
+    for kind in ("act", "rules", "notification", "circular", "judgement", "memo"):
+        assert len(segment.segment(kind, [("para", said), ("heading", said)])[0]) == 2
+    assert text.plain(text.plain(said)) == text.plain(said)
+
+
+@pytest.mark.parametrize(("numeral", "value"), [("vi", 6), ("XLII", 42), ("iix", None), ("vv", None), ("q", None), ("", None)])
+def test_roman(numeral, value):
+    assert legal.roman(numeral) == value
+
+
+def test_numbering_and_cues():
+    assert [t["value"] for t in legal.numbering("[14 . ( 2 )(a) A raft")] == ["14", "2", "a", "A raft"]
+    assert legal.numbering("ANNEXURE B of rates")[0] == {"kind": "annex", "value": "B"}
+    assert [legal.looks_like_citation(x) for x in ("under s.9", "rule 4", "rules of boats", "notif 3/2020")] == [True, True, False, True]
+
+
+@pytest.mark.parametrize(
+    ("kind", "parts", "value"),
+    [
+        ("ntf", {"series": "CT(R)", "number": 4, "year": 2019}, "ntf:CT(R):4/2019"), ("cir", {"a": 10, "b": 2, "year": 2020}, "cir:10/2/2020"), ("ins", {"number": 3, "year": 2022}, "ins:3/2022"), ("ord", {"number": 8, "year": 2018}, "ord:8/2018"),
+        ("jdg", {"court": "HC-KL", "case": "wp (c) 5 – 2020", "decided": "2021-06-30"}, "jdg:HC-KL:WP(C)5-2020:2021-06-30"), ("inst", {"instrument": "igst"}, None), ("ord", {"number": "x", "year": 2018}, None),
+        ("jdg", {"court": "SC", "case": "CA 1", "decided": "2021-02-30"}, None), ("ntf", {"series": "CT", "number": 4}, None),
+    ],
+)
+def test_identifiers(kind, parts, value):
+    assert ids.made(kind, **parts) == value
+    if value:
+        back = ids.parsed(value)
+        assert ids.made(kind, **{k: back[k] for k in parts}) == value
 
 
-def test_numbers():
-    assert [legal.roman(x) for x in ("iv", "xiv", "q", "")] == [4, 14, None, None]
-    assert legal.numbering("CHAPTER II")[0] == {"kind": "chapter", "value": "II"}
-    assert legal.parsed_id("prov:CGST_ACT:s16.2.c")["path"] == "s16.2.c"
-    assert legal.parsed_id("prov:x") is None
+def test_identifiers_of_unknown_documents():
+    assert ids.provisional("0123456789abcdef99") == "unk:0123456789abcdef"
+    assert [ids.parsed(x) for x in ("unk:xyz", "boat:1", None, "cir:1/2")] == [None] * 4
 
 
 OPS = [
-    ({"kind": "substitute_words", "old_text": "twenty per cent.", "new_text": "ten per cent."}, "The person shall pay interest at ten per cent. on the amount.", None),
-    ({"kind": "substitute_words", "old_text": "thirty", "new_text": "x"}, TEXT, "old_text_not_found"),
-    ({"kind": "substitute_words", "old_text": "", "new_text": "x"}, TEXT, "words_missing"),
-    ({"kind": "insert_words", "anchor_text": "nowhere", "new_text": "x"}, TEXT, "anchor_not_found"),
-    ({"kind": "omit_words", "old_text": "on the amount"}, "The person shall pay interest at twenty per cent..", None),
-    ({"kind": "insert_provision", "new_text": "x"}, TEXT, "provision_exists"),
-    ({"kind": "substitute_provision", "new_text": ""}, TEXT, "new_text_missing"),
+    ({"kind": "substitute_words", "old_text": "nine coins", "new_text": "two coins"}, CANAL.replace("nine", "two"), None),
+    ({"kind": "substitute_words", "old_text": "oars", "new_text": "sails"}, CANAL, "old_text_not_found"),
+    ({"kind": "substitute_words", "old_text": "a toll", "new_text": "dues"}, CANAL, "old_text_ambiguous"),
+    ({"kind": "substitute_words", "old_text": "a toll", "new_text": "dues", "occurrence": 2}, CANAL[::-1].replace("a toll"[::-1], "dues"[::-1], 1)[::-1], None),
+    ({"kind": "substitute_words", "old_text": "a toll", "new_text": "dues", "occurrence": 3}, CANAL, "old_text_occurrence_out_of_range"),
+    ({"kind": "substitute_words", "old_text": None, "new_text": "sails"}, CANAL, "words_missing"),
+    ({"kind": "substitute_words", "old_text": "canal", "new_text": None}, CANAL, "words_missing"),
+    ({"kind": "omit_words", "old_text": "too"}, CANAL.replace(" too", ""), None),
+    ({"kind": "insert_words", "anchor_text": "nine coins", "new_text": "or more"}, CANAL.replace("coins", "coins or more"), None),
+    ({"kind": "insert_words", "anchor_text": "raft", "new_text": "long", "position": "before"}, CANAL.replace("raft", "long raft"), None),
+    ({"kind": "insert_words", "anchor_text": "ferry", "new_text": "long"}, CANAL, "anchor_not_found"),
+    ({"kind": "insert_provision", "new_text": "A ferry pays nothing."}, CANAL, "provision_exists"),
+    ({"kind": "substitute_provision", "new_text": None}, CANAL, "new_text_missing"),
     ({"kind": "omit_provision"}, None, None),
-    ({"kind": "substitute_words", "old_text": "the", "new_text": "x", "occurrence": 5}, TEXT, "old_text_occurrence_out_of_range"),
 ]
 
 
 @pytest.mark.parametrize(("op", "result", "reason"), OPS)
-def test_apply_op(op, result, reason):
-    got = amend.apply_op(TEXT, op)
-    assert (got["text"], got["reason"], got["ok"]) == (result, reason, reason is None)
+def test_operations(op, result, reason):
+    assert amend.applied(CANAL, op) == (result, reason)
 
 
-def test_white_space_and_whole_words():
-    op = {"kind": "substitute_words", "old_text": "shall be paid", "new_text": "is payable"}
-    assert amend.apply_op("The tax\nshall be   paid.", op)["text"] == "The tax\nis payable."
-    assert amend.apply_op("taxable", {"kind": "omit_words", "old_text": "tax"})["reason"] == "old_text_not_found"
-    assert amend.apply_op(None, {"kind": "omit_provision"})["reason"] == "provision_not_in_force"
+def test_operations_without_a_provision():
+    assert amend.applied(None, {"kind": "omit_provision"}) == (None, "provision_not_in_force")
+    assert amend.applied(None, {"kind": "insert_provision", "new_text": "A raft waits."}) == ("A raft waits.", None)
 
 
-def step(who, day, op, *order):
-    return {"amendment_id": who, "effective_from": day, "order": order, "op": op}
+@pytest.mark.parametrize(
+    ("source", "needle", "found"),
+    [
+        ("boats, boatsman, boats", "boats", [(0, 5), (17, 22)]), ("a long\n   raft (long raft)", "long raft", [(2, 14), (16, 25)]), ("नाव यहाँ रुके", "नाव", [(0, 3)]), ("l'été dû", "été", [(2, 5)]), ("x-1 1-x", "1", [(2, 3), (4, 5)]),
+        ("aa aa aa", "aa aa", [(0, 5)]), ("(raft)", "(raft)", [(0, 6)]), ("raft", " ", []), ("", "raft", []),
+    ],
+)
+def test_places_of_words(source, needle, found):
+    assert amend.places(source, needle) == found
+
+
+@given(st.text("ab ,\n", max_size=30), st.text("ab ,", max_size=4))
+def test_places_against_every_position(source, needle):
+    """Every start is tried; a match may not begin inside the one before."""
+    words, want, last = needle.split(), [], 0
+    for a in range(len(source)):
+        at, ok = a, bool(words) and a >= last
+        for k, w in enumerate(words):
+            gap = len(source[at:]) - len(source[at:].lstrip()) if k else 0
+            ok = ok and (not k or gap > 0) and source.startswith(w, at + gap)
+            at += gap + len(w)
+        whole = ok and not (source[a].isalnum() and a and source[a - 1].isalnum()) and not (source[at - 1].isalnum() and at < len(source) and source[at].isalnum())
+        if whole:
+            want.append((a, at))
+            last = at
+    assert amend.places(source, needle) == want
+
+
+def swap(who, day, old, new):
+    return amend.Step(day, (), who, {"kind": "substitute_words", "old_text": old, "new_text": new})
+
+
+def test_replay_keeps_versions_and_notes_failures():
+    steps = [swap("too early", date(2010, 5, 1), "nine", "x"), swap("no such words", date(2011, 1, 1), "oars", "x"), swap("first", date(2012, 1, 1), "nine", "six"), swap("second", date(2013, 1, 1), "six", "four"), amend.Step(date(2014, 1, 1), (), "gone", {"kind": "omit_provision"}), amend.Step(date(2016, 1, 1), (), "again", {"kind": "insert_provision", "new_text": "Free."})]
+    got = list(amend.replay("pays nine", date(2010, 5, 1), steps))
+    versions = [(v.valid_from.year, v.valid_to and v.valid_to.year, v.text, v.amendment_id) for v in got if isinstance(v, amend.Version)]
+    assert versions == [(2010, 2012, "pays nine", None), (2012, 2013, "pays six", "first"), (2013, 2014, "pays four", "second"), (2016, None, "Free.", "again")]
+    assert [v for v in got if not isinstance(v, amend.Version)] == [("too early", "before_baseline"), ("no such words", "old_text_not_found")]
+
+
+def test_a_day_makes_one_version():
+    day = date(2012, 1, 1)
+    got = list(amend.replay("pays nine", date(2010, 1, 1), [swap("a", day, "nine", "six"), swap("b", day, "six", "four"), swap("c", day, "oars", "x")]))
+    assert [(v[2], v[3]) for v in got if isinstance(v, amend.Version)] == [("pays nine", None), ("pays four", "b")]
+    assert list(amend.replay(None, None, [amend.Step(day, (), "in", {"kind": "insert_provision", "new_text": "x"}), amend.Step(day, (), "out", {"kind": "omit_provision"})])) == []
+
+
+def test_replay_and_consolidation_in_spark(spark):
+    base = spark.createDataFrame([(1, "pays nine", date(2010, 1, 1)), (2, "waits", date(2010, 1, 1))], "provision_id long, base_text string, base_from date")
+    steps = spark.createDataFrame([(1, "b", date(2013, 1, 1), "six", "four"), (1, "a", date(2012, 1, 1), "nine", "six"), (3, "c", date(2012, 1, 1), "x", "y")], "provision_id long, amendment_id string, effective_from date, old_text string, new_text string")
+    steps = steps.selectExpr("*", "'substitute_words' as kind", "cast(null as string) as anchor_text", "cast(null as string) as position", "cast(null as int) as occurrence")
+    planned = law.replayed(base, steps)
+    assert sorted((r["provision_id"], r["text"] or r["problem"]) for r in planned.collect()) == [(1, "pays four"), (1, "pays nine"), (1, "pays six"), (2, "waits"), (3, "provision_not_in_force")]
+    active = planned.where("problem is null and (provision_id = 2 or text = 'pays six')")
+    assert {r["provision_id"]: r["action"] for r in law.consolidation(active, planned).collect()} == {1: "replace", 2: "unchanged"}
 
 
-def swap(old, new):
-    return {"kind": "substitute_words", "old_text": old, "new_text": new}
+@pytest.mark.parametrize(
+    ("said", "condition", "day", "back"),
+    [
+        ("These rules come into force on the 9th day of June, 2022.", "on_date", date(2022, 6, 9), False), ("They shall be deemed to have come into force with effect from 02.03.2021.", "on_date", date(2021, 3, 2), True),
+        ("This shall take effect on the date of publication in the Official Gazette", "on_gazette", None, False), ("It begins on such date as the Central Government may, by notification, appoint", "on_notification", None, False), ("Nothing is said.", None, None, None),
+    ],
+)
+def test_effect(said, condition, day, back):
+    got = dates.effective(said)
+    assert (got and (got["condition"], got["effective_from"], got["retrospective"])) == (condition and (condition, day, back))
 
 
-def test_replay():
-    steps = [
-        step("late", date(2024, 1, 1), swap("ten", "five")),
-        step("early", date(2023, 1, 1), swap("twenty", "ten")),
-        step("bad", date(2022, 1, 1), swap("missing", "x")),
-        step("old", date(2020, 1, 1), swap("twenty", "x")),
-        step("gone", date(2025, 1, 1), {"kind": "omit_provision"}),
-        step("back", date(2026, 1, 1), {"kind": "insert_provision", "new_text": "new"}),
-    ]
-    versions, problems = amend.replay("rate is twenty", date(2020, 1, 1), steps)
-    assert [(v["valid_from"].year, v["valid_to"] and v["valid_to"].year, v["text"]) for v in versions] == [(2020, 2023, "rate is twenty"), (2023, 2024, "rate is ten"), (2024, 2025, "rate is five"), (2026, None, "new")]
-    assert [(p["amendment_id"], p["reason"]) for p in problems] == [("old", "before_baseline"), ("bad", "old_text_not_found")]
+def test_effect_of_a_clause():
+    own, all_ = {"condition": "on_date", "effective_from": date(2020, 1, 1), "phrase": "p", "retrospective": False}, {"condition": "on_notification", "effective_from": None, "phrase": "q", "retrospective": False}
+    assert dates.effective_for(own, all_, date(2019, 1, 1))["effective_from"] == date(2020, 1, 1)
+    assert dates.effective_for(None, all_, date(2019, 1, 1))["condition"] == "on_notification"
+    assert dates.effective_for(None, None, date(2019, 1, 1)) == {"condition": "on_gazette", "effective_from": date(2019, 1, 1), "phrase": None, "retrospective": False}
 
 
-def test_two_steps_on_a_day_give_one_version():
-    steps = [step("b", date(2023, 1, 1), swap("ten", "five"), "z"), step("a", date(2023, 1, 1), swap("twenty", "ten"), "a")]
-    versions, _ = amend.replay("twenty", date(2020, 1, 1), steps)
-    assert [(v["text"], v["amendment_id"]) for v in versions] == [("twenty", None), ("five", "b")]
+def test_dates():
+    assert [dates.parse_day(x) for x in ("on 31.02.2020", "5th Sept. 2019", "7 / 8", "3-4-2018")] == [None, date(2019, 9, 5), None, date(2018, 4, 3)]
+    assert dates.first_dated("1st May, 2020 and dated 2nd May, 2020") == (date(2020, 5, 2), dates.EXACT)
+    assert dates.last_dated("dated 2nd May, 2020, dated 03.05.2020, 4.5.2020") == date(2020, 5, 3)
 
 
-def test_replay_in_spark(spark):
-    base = spark.createDataFrame([(1, "rate is twenty", date(2020, 1, 1)), (2, "x", date(2020, 1, 1))], "provision_id long, base_text string, base_from date")
-    steps = spark.createDataFrame([(1, "a1", date(2023, 4, 1), "substitute_words", "twenty", "ten", None, None, None)], "provision_id long, amendment_id string, effective_from date, kind string, old_text string, new_text string, anchor_text string, position string, occurrence int")
-    planned = law.replayed(base, steps)
-    assert sorted((r["provision_id"], r["text"]) for r in planned.collect()) == [(1, "rate is ten"), (1, "rate is twenty"), (2, "x")]
-    active = planned.where("provision_id = 2 or text = 'rate is ten'")
-    assert {r["provision_id"]: r["action"] for r in law.consolidation(active, planned).collect()} == {1: "replace", 2: "unchanged"}
+NOTICE = [
+    "In exercise of powers, these rules further to amend the Central Goods and Services Tax Rules, 2017, namely:-", "2. In the said rules (hereinafter the principal rules), in rule 31,-", "(a) in sub-rule (2), for the words “a toll; or dues”, the words “dues” shall be substituted;",
+    "(b) sub-rule (4) shall be omitted with effect from 1st July, 2022;", "3. In the said rules, after rule 40, the following rule shall be inserted, namely:-", "“40A. Rafts.- A raft waits; then it goes.”;", "4. In rule 52, before the word “boat”, insert the word “long”;",
+    "5. Rule 60 is rescinded, whatever it says.", "6. Some boats are long.",
+]
 
 
-def test_effective():
-    assert amend.effective("shall come into force with effect from the 1st day of April, 2023")["effective_from"] == date(2023, 4, 1)
-    assert amend.effective("They shall come into force on the date of their publication")["condition"] == "on_gazette"
-    assert amend.parse_day("31.02.2020") is None
+def test_amending_clauses():
+    got = clauses.detect(NOTICE)["proposals"]
+    assert [(p["op"], p["kind"], p["target_path"], p["instrument"]) for p in got] == [("substitute", "words", "r31.2", "CGST_RULES"), ("omit", "provision", "r31.4", "CGST_RULES"), ("insert", "provision", "r40A", "CGST_RULES"), ("insert", "words", "r52", "CGST_RULES"), ("amend", "raw", None, "CGST_RULES")]
+    assert (got[0]["old_text"], got[0]["new_text"], got[0]["blocks"]) == ("a toll; or dues", "dues", [2])
+    assert (got[1]["effective_from"], got[2]["new_label"], got[2]["anchor_path"], got[2]["blocks"]) == (date(2022, 7, 1), "40A", "r40", [4, 5])
+    assert (got[3]["anchor_text"], got[3]["position"], got[3]["new_text"]) == ("boat", "before", "long")
+    assert [p["confidence"] for p in got] == [0.9, 0.9, 0.9, 0.9, 0.0] and got[4]["problems"] == ["grammar_no_match"]
 
 
-def test_detect_keeps_scope():
-    found = amend.detect(["rules further to amend the CGST Rules, namely:-", "2. In the said rules,-", "(i) in rule 59,-", "(a) in sub-rule (6), in clause (a), for the words “six”, the words “three” shall be substituted;", "(b) sub-rule (7) shall be omitted;", "(ii) in rule 60, after the words “the tax”, the words “and fee” shall be inserted;"])
-    assert [(p["op"], p["kind"], p["target_path"]) for p in found] == [("substitute", "words", "r59.6.a"), ("omit", "provision", "r59.7"), ("insert", "words", "r60")]
-    assert (found[2]["anchor_text"], found[2]["new_text"], found[2]["position"]) == ("the tax", "and fee", "after")
+def test_units_stay_whole_inside_quotes():
+    assert [u for _, u in clauses.units('a; "b; c"\n"d"; e\nf')] == ["a", ' "b; c"\n"d"', " e", "f"]
+    assert clauses.detect(["in rule 4, for the words “x”, the words “y” shall be substituted"])["proposals"][0]["problems"] == ["instrument_unresolved"]
+    assert [clauses.review_status(*x) for x in (("parsed", [], True), ("parsed", [], False), ("raw", [], True), ("parsed", ["p"], True))] == ["proposed", "needs_info", "needs_info", "needs_info"]
 
 
 def test_html():
-    got = html.blocks("<head><title>t</title></head><nav>n</nav><h2>A</h2><p>b<br>c<table><tr><th>H<th>K<tr><td>1</td><td>2</td></tr></table>d<script>x</script>")
-    assert [b["kind"] for b in got][:2] == ["heading", "para"]
-    assert got[-1] == {"kind": "para", "text": "d"}
-    assert html.table_blocks([["H", ""], ["1", "2"]])[1]["text"] == "H: 1; Column 2: 2"
+    got = html.blocks("<head><title>t</title><nav>n</nav></head><h2>Boats</h2>One<br>two<hr>three<dl><dt>four<dd>five</dl><table><tr><th>A<th><tr><td><p>1</p><p>2</p><td>3<table><tr><td>deep</table></table>six<table><tr><td>open")
+    assert [(b["kind"], b["text"]) for b in got] == [("heading", "Boats"), ("para", "One two"), ("para", "three"), ("para", "four"), ("para", "five"), ("table", "A | \n1 2 | 3deep"), ("table_row", "A: 1 2; Column 2: 3deep"), ("para", "six"), ("table", "open")]
+    assert html.decoded(b'<meta charset="iso-8859-1">\xe9')[-1] == "é" and html.decoded(b'<meta charset="none such">x')[-1] == "x"
+
+
+@pytest.mark.parametrize(("old", "new", "diff"), [("a b c", "a x c", "a [-b-]{+x+} c"), ("a", "a", "a"), ("", "x y", "{+x y+}"), ("x", "", "[-x-]"), ("a b", "a b c", "a b{+c+}")])
+def test_word_diff(old, new, diff):
+    assert text.marked_diff(old, new) == diff
+
+
+def test_normal_forms_and_hashes():
+    assert text.plain("“a”–b\t\n ﬂ") == '"a"-b fl'
+    assert text.simhash("boats  pay TOLLS here") == text.simhash("Boats pay tolls here") != text.simhash("rafts wait for boats")
+    assert text.simhash("...") == 0
+
+
+def para(*lines):
+    return [("para", x) for x in lines]
+
+
+def test_segments_of_laws():
+    lines = para("THE CANAL LAW", "CHAPTER IV", "7. (1) Boats pay", "(2) Rafts wait", "(a) long ones", "(ii) in rain", "(b) short ones", "Provided that it rains", "Explanation 1. rain", "8. Locks", "40. too far", "(h) gates", "(i) bars", "3Inserted vide Act 9 of 2018", "FORM LOCK-1", "SCHEDULE II", "more")
+    assert segment.segment("act", lines)[0] == ["pre", "ch4", "ch4.s7.1", "ch4.s7.2", "ch4.s7.2.a", "ch4.s7.2.a.ii", "ch4.s7.2.b", "ch4.s7.2.b.prov1", "ch4.s7.2.b.expl1", "ch4.s8", "ch4.s8", "ch4.s8.h", "ch4.s8.i", "ch4.s8.i.fn1", "form1", "sched1", "sched1"]
+    front = para("ARRANGEMENT OF RULES", "1. Boats", "2. Rafts", "THE CANAL RULES, 2016", "An opening", "1. Boats pay") + [("table", "t"), ("table_row", "9. | x")] + para("2. Rafts wait")
+    assert segment.segment("rules", front) == (["toc", "toc", "toc", "pre", "pre", "r1", "r1", "r1", "r2"], [("r", "1"), ("r", "2")])
+
+
+def test_segments_of_other_types():
+    assert segment.segment("notification", para("Opening", "1. Boats", "in rule 3, a word shall be omitted", "more", "2. Rafts", "Table") + [("table_row", "a"), ("table_row", "b")] + para("3. End"))[0] == ["pre", "p1", "p1.i1", "p1.i1", "p2", "sched1", "sched1.row1", "sched1.row2", "p3"]
+    assert segment.segment("order", para("To all", "1. Boats", "1.2 Long boats", "more"))[0] == ["hdr", "p1", "p1.2", "p1.2"]
+    assert segment.segment("judgement", para("Court", "DISCUSSION", "one", "7. two", "A HEADING", "three"))[0] == ["hdr", "findings", "findings.p1", "findings.p7", "findings", "findings.p3"]
+    assert segment.segment("memo", para("a", "b"))[0] == ["p1", "p2"]
+
+
+def test_fields_and_what_contradicts_them():
+    got = meta.extract("notification", para("Notification No. 12/2019 - Central Tax", "dated the 8th March, 2019"), title="No. 13/2019", today=date(2020, 1, 1))
+    assert (got["fields"]["canonical_id"], got["confidence"]["number"], got["issues"]) == ("ntf:CT:12/2019", 0.475, ["crosscheck:number disagrees with title"])
+    assert meta.extract("notification", para("nothing"))["issues"] == ["missing:doc_date", "missing:number", "missing:series", "missing:year"]
+    assert meta.extract("order", para("Order No. 6/2018", "dated 7th May, 2019"), today=date(2019, 1, 1))["issues"] == ["crosscheck:doc_date out of range: 2019-05-07"]
+    assert meta.extract("act", para("x", "THE CANAL TOLLS ACT, 2015"))["fields"]["title"] == "THE CANAL TOLLS ACT, 2015"
+    assert meta.extract("memo", para("A NOTE ON BOATS"), file_name="n.pdf")["fields"] == {"title": "A NOTE ON BOATS", "doc_type": "memo"}
+    assert meta.least_sure("act", {"title": "t"}, {"title": 0.7}) == 0.7 and meta.least_sure("order", {"number": "1"}, {"number": 0.9}) == 0.0
 
 
-def test_text():
-    assert text.plain("a–b  “c”\n ﬁ") == 'a-b "c" fi'
-    assert text.marked_diff("a old b", "a new b") == "a [-old-]{+new+} b"
-    assert text.marked_diff("same", "same") == "same"
-    assert text.simhash("one two three four") == text.simhash("ONE two  three four")
+def test_fields_of_judgements():
+    lines = para("IN THE SUPREME COURT OF INDIA", "Civil Appeal No. 0044 of 2020 with SLP (C) No. 5 of 2019", "Boat Company ....... Appellant(s)", "The Canal ....... the Respondent", "DIVISION BENCH", "CORAM : Dr. Justice N. Weir, R. Lock", "It is ordered.", "dated 9th May, 2021")
+    got = meta.extract("judgement", lines)["fields"]
+    assert (got["court_code"], got["case_numbers"], got["decision_date"], got["canonical_id"]) == ("SC", "CA 44/2020; SLP(C) 5/2019", "2021-05-09", "jdg:SC:CA44/2020:2021-05-09")
+    assert (got["petitioners"], got["respondents"], got["judges"], got["bench"]) == ("Boat Company", "The Canal", "N. Weir; R. Lock", "DIVISION BENCH")
 
 
-def test_segment_act():
-    texts = ["THE LAW", "CHAPTER II", "16. (1) Every person", "(2) No person", "(a) one", "(i) sub", "(b) two", "Provided that", "Provided further that", "17. Next", "3. An old number", "(h) h", "(i) letter i", "SCHEDULE III"]
-    assert segment.act(texts) == ["pre", "ch2", "ch2.s16.1", "ch2.s16.2", "ch2.s16.2.a", "ch2.s16.2.a.i", "ch2.s16.2.b", "ch2.s16.2.b.prov1", "ch2.s16.2.b.prov2", "ch2.s17", "ch2.s17", "ch2.s17.h", "ch2.s17.i", "sched3"]
+def test_queries_as_people_type_them():
+    places = {t: p for t, p, _ in lexemes.postings(None, "long boats pay a toll on the canal", False)}
+    ask = lambda q: lexemes.matches(lexemes.parsed(q, False), places)
+    assert [ask(q) for q in ("boats toll", '"boats pay"', '"pay boats"', "raft OR canal", "boats -canal", "boats -raft", '-"boats pay"', "", "OR", '"long boats')] == [True, True, False, True, False, True, False, False, False, True]
+    assert lexemes.parsed("the of") == []
 
 
-def test_notification_fields():
-    got = segment.notification(["Notification No. 5/2020 - Central Tax", "New Delhi, the 1st April, 2020", "text"])
-    assert (got["canonical_id"], got["fields"]["date"], got["issues"], got["sure"]) == ("ntf:CT:5/2020", "2020-04-01", [], 0.95)
-    assert segment.notification(["nothing"])["issues"] == ["missing:date", "missing:number", "missing:series", "missing:year"]
-    assert segment.notification(["Notification No. 5/2020 - Central Tax", "the 1st April, 2021"])["confidence"]["date"] == 0.475
+def test_stems_weights_and_snippets():
+    assert {lexemes.stem(w) for w in ("taxes", "taxing", "taxed", "tax")} == {"tax"}
+    query = lexemes.parsed("boat toll")
+    near = {t: (p, w) for t, p, w in lexemes.postings(None, "boats: tolls")}
+    far = {t: (p, w) for t, p, w in lexemes.postings(None, "boats here and there and much later tolls")}
+    head = {t: (p, w) for t, p, w in lexemes.postings("Boat tolls", "x")}
+    rank = lambda own: lexemes.cover_density(query, {t: p for t, (p, _) in own.items()}, {t: w for t, (_, w) in own.items()})
+    assert rank(head) == 1.0 and rank(near) == pytest.approx(0.4) and rank(far) == pytest.approx(0.4 / 7)
+    assert lexemes.snippet(query, "one two boats three tolls", most=3, least=1) == "<mark>boats</mark> three <mark>tolls</mark>"
+    assert lexemes.snippet(query, "x" * 300) == "x" * 200
