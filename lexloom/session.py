@@ -26,16 +26,24 @@ def session(master: str = "local[*]", shuffle_partitions: int = 8, **more: str)
     return builder.getOrCreate()
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """df written to the checkpoint folder all executors share, so that loops carry no lineage.
+def shared_folder(spark: SparkSession) -> str:
+    """A folder that all executors share: spark.checkpoint.dir; only where that is unset and Spark runs in this one process a temporary one takes its place."""
+    base = spark.conf.get("spark.checkpoint.dir", None)
+    if base:
+        return base.rstrip("/")
+    context = spark.sparkContext
+    if context.master != "local" and not context.master.startswith("local["):
+        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+    if not hasattr(spark, "_lexloom_folder"):
+        spark._lexloom_folder = "file://" + tempfile.mkdtemp(prefix="lexloom-")
+    return spark._lexloom_folder
+
 
-    The folder is spark.checkpoint.dir; only where that is unset and Spark runs in this one process a temporary one takes its place.
-    """
+def cut(df: DataFrame) -> DataFrame:
+    """df written to the checkpoint folder all executors share, so that loops carry no lineage."""
     context = df.sparkSession.sparkContext
     if context.getCheckpointDir() is None:
-        if context.master != "local" and not context.master.startswith("local["):
-            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-        context.setCheckpointDir(tempfile.mkdtemp(prefix="lexloom-"))
+        context.setCheckpointDir(shared_folder(df.sparkSession))
     return df.checkpoint()
 
 

@@ -11,6 +11,8 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 from pyspark.sql.types import StructType
 
+from ..session import shared_folder
+
 #: Seconds of a lease, of the first retry's delay, and how often a job is tried.
 LEASE, RETRY, ATTEMPTS = 600, 30, 3
 
@@ -116,13 +118,24 @@ def stable_files(scans: DataFrame, needed: int) -> DataFrame:
 
 
 def drained(stream: DataFrame, name: str, mode: str = "complete", longest: timedelta = timedelta(minutes=5)) -> DataFrame:
-    """Run a stream over what is there now and give its result as a table in memory: for reports and tests."""
+    """Run a stream over what is there now and give its result as a table of Parquet files in the shared folder.
+
+    Each batch has a folder of its own, written anew if it is run again. In complete mode the last one is the result.
+    """
     spark = stream.sparkSession
-    run = stream.writeStream.format("memory").queryName(name).outputMode(mode).trigger(availableNow=True).start()
+    path = f"{shared_folder(spark)}/streams/{name}"
+
+    def put(batch: DataFrame, number: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{path}/out/batch={number}")
+
+    run = stream.writeStream.foreachBatch(put).outputMode(mode).option("checkpointLocation", f"{path}/state").trigger(availableNow=True).start()
     if not run.awaitTermination(longest.total_seconds()):
         run.stop()
         raise TimeoutError(name)
-    return spark.table(name)
+    if run.lastProgress is None:
+        return spark.createDataFrame([], stream.schema)
+    out = spark.read.schema(stream.schema).parquet(f"{path}/out/batch=*") if mode == "append" else spark.read.schema(stream.schema).parquet(f"{path}/out/batch={run.lastProgress['batchId']}")
+    return out
 
 
 def read_stream(spark: SparkSession, path: str, schema: StructType, files_at_once: int = 100) -> DataFrame:
