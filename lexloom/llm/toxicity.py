@@ -236,7 +236,7 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, most_terms: in
             x = [shared.value.features(t) for t in batch.column(0).to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column(1), pa.array([a for a, _ in x], pa.float64()), pa.array([b for _, b in x], pa.float64())], names=["toxic", "a", "b"])
 
-    got = texts.mapInArrow(features, "toxic int, a double, b double").collect()  # at most 2 * sample rows of numbers
+    got = sorted(texts.mapInArrow(features, "toxic int, a double, b double").collect())  # at most 2 * sample rows of numbers, in one order
     y = np.array([r["toxic"] for r in got])
     model.calibrate(np.array([(r["a"], r["b"]) for r in got]).reshape(-1, 2), y, np.where(y == 1, counts[1] / share[1], counts[0] / share[0]))
     return model
