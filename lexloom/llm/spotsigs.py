@@ -65,7 +65,8 @@ def signatures(text: bytes) -> np.ndarray:
     first = np.cumsum(~anchor)[opens]  # content words up to an anchor: the index of the next one
     where = code[opens][first + CHAIN <= len(content)]
     first = first[first + CHAIN <= len(content)]
-    mix = where
+    mix = where * np.uint64(0xC2B2AE3D27D4EB4F)  # sums of words are linear: two of them must not meet unmixed
+    mix ^= mix >> np.uint64(29)
     for k in range(CHAIN):
         mix = (mix ^ content[first + k]) * np.uint64(0x9E3779B97F4A7C15)
         mix ^= mix >> np.uint64(31)
