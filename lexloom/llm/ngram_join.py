@@ -31,6 +31,7 @@ from collections.abc import Iterator
 from fractions import Fraction
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, Window
@@ -166,10 +167,10 @@ def candidates(docs: DataFrame, width: int = WORDS, percent: int = PERCENT) -> D
         common = np.repeat(size > COMMON, size)
         mark = first[size > COMMON]
         place = np.concatenate([sig[~common], sig[mark], _mix(sig[common] ^ _mix(key[common].view(np.uint64)))])
-        kind = np.repeat(np.array([0, 1, 2], dtype=np.int8), [int((~common).sum()), len(mark), int(common.sum())])
         who = np.concatenate([key[~common], key[mark], key[common]])
         told = np.concatenate([sig[~common], sig[mark], sig[common]])
-        return pa.RecordBatch.from_arrays([pa.array(place.view(np.int64)), pa.array(who), pa.array(kind), pa.array(told.view(np.int64), mask=kind == 0)], names=["place", "key", "kind", "sig"])
+        plain = np.arange(len(told)) < (~common).sum()
+        return pa.RecordBatch.from_arrays([pa.array(place.view(np.int64)), pa.array(who), pa.array(told.view(np.int64), mask=plain)], names=["place", "key", "sig"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bands, told = Bands(percent), set()
@@ -191,9 +192,9 @@ def candidates(docs: DataFrame, width: int = WORDS, percent: int = PERCENT) -> D
                 sigs, keys, size = [], [], 0
         yield told_rows(sigs, keys)
 
-    rows = docs.where("text is not null and doc_id is not null").select("text").mapInArrow(run, "place long, key long, kind byte, sig long")
-    own = Window.partitionBy("place")
-    led = rows.withColumn("leader", F.min("key").over(own)).where("kind > 0 or leader <> key")
+    rows = docs.where("text is not null and doc_id is not null").select("text").mapInArrow(run, "place long, key long, sig long")
+    kind = F.when(F.col("sig").isNull(), 0).when(F.col("sig") == F.col("place"), 1).otherwise(2)  # a set's, a marker, a spread set's
+    led = rows.withColumn("leader", F.min("key").over(Window.partitionBy("place"))).withColumn("kind", kind).where("kind > 0 or leader <> key")
     found = materialise(led.select("leader", "key", "kind", "sig").distinct(), "signatures")
     pairs = found.where("kind < 2 and leader <> key").select("leader", "key")
     leaders = found.where("kind = 1").groupBy("sig").agg(F.min("leader").alias("leader"))
@@ -207,9 +208,9 @@ TASK = ("leader", "x", "y")
 _SET = ("key", "doc_id", "n", "shape")
 
 
-def _blocks(members: DataFrame, *more) -> DataFrame:
+def _blocks(members: DataFrame) -> DataFrame:
     """Each group with its number of blocks."""
-    sizes = members.groupBy("leader").agg(F.count("*").alias("m"), F.sum("n").alias("total"), *more)
+    sizes = members.groupBy("leader").agg(F.count("*").alias("m"), F.sum("n").alias("total"))
     return sizes.withColumn("blocks", F.greatest(F.ceil(F.col("m") / BLOCK_SETS), F.ceil(F.col("total") / BLOCK_SHINGLES)).cast("int")).drop("m", "total")
 
 
@@ -227,10 +228,11 @@ def _named(rows: DataFrame, tag: str) -> DataFrame:
 def tasks_of(docs: DataFrame, members: DataFrame, width: int = WORDS, percent: int = PERCENT) -> tuple[DataFrame, DataFrame | None]:
     """members (leader, key, doc_id, n, shape) as tasks (leader, x, y, own, ...), and the links (a, b) found on the way.
 
-    A group of more than one block is a star first: all its sets are compared with one of them, the pivot. What links with
-    the pivot is one component and needs no other comparison inside. 1 - likeness is a distance, so a set that is over twice the
-    linking distance from the pivot links with none of those; what lies between meets them. The others are a group of
-    their own, for which the same goes again. After STARS rounds every two blocks of what is left meet.
+    A group of more than one block is a star first, if more than a block of its sets may link with one of them, the pivot,
+    by their shapes: these are compared with it. What links with the pivot is one component and needs no other comparison
+    inside. 1 - likeness is a distance, so a set that is over twice the linking distance from the pivot links with none of
+    those; what lies between meets them. The others are a group of their own, for which the same goes again. In groups that
+    are no stars, and in what is left after STARS rounds, every two blocks meet, by their shapes first.
     """
     large = materialise(_blocks(members).where("blocks > 1"), "large")
     if not large.limit(1).count():
@@ -238,19 +240,45 @@ def tasks_of(docs: DataFrame, members: DataFrame, width: int = WORDS, percent: i
     out, found = _alone(members.join(large, "leader", "left_anti")), None
     rest = materialise(members.join(large, "leader", "left_semi").select("leader", *_SET), "rest")
     for k in range(STARS):
-        judged = materialise(_judged(docs, rest, width, percent), "judged")
+        shaped = materialise(_shaped(rest, percent), "shaped")
+        stars = materialise(shaped.groupBy("leader").agg(F.count(F.when(F.col("state") == 0, 1)).alias("like")).where(F.col("like") > BLOCK_SETS).select("leader"), "stars")
+        if not stars.limit(1).count():
+            break
+        out = out.unionByName(_named(_met(shaped.join(stars, "leader", "left_anti").select("leader", *_SET)), f"no star {k}"))
+        shaped = shaped.join(stars, "leader", "left_semi")
+        judged = materialise(_judged(docs, shaped.where("state < 2"), width, percent), "judged")
         linked = judged.where("state = 0 and key <> pivot").select(F.col("pivot").alias("a"), F.col("key").alias("b"))
         found = linked if found is None else found.unionByName(linked)
         out = out.unionByName(_named(_between(judged), f"between {k}"))
-        loose = judged.where("state > 0").select("leader", *_SET)
+        loose = judged.where("state > 0").select("leader", *_SET).unionByName(shaped.where("state = 2").select("leader", *_SET))
         large = materialise(_blocks(loose).where("blocks > 1"), "large")
         out = out.unionByName(_named(_alone(loose.join(large, "leader", "left_anti")), f"left {k}"))
         if not large.limit(1).count():
             return out, found
         rest = materialise(loose.join(large, "leader", "left_semi"), "rest")
-    dealt = rest.join(_blocks(rest), "leader").withColumn("own", F.pmod(F.xxhash64("key"), F.col("blocks")).cast("int"))
+    return out.unionByName(_named(_met(rest), "met")), found
+
+
+def _met(members: DataFrame) -> DataFrame:
+    """Tasks in which every two blocks of a group meet."""
+    dealt = members.join(_blocks(members), "leader").withColumn("own", F.pmod(F.xxhash64("key"), F.col("blocks")).cast("int"))
     dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).withColumn("x", F.least("own", "other")).withColumn("y", F.greatest("own", "other"))
-    return out.unionByName(_named(dealt.select(*TASK, "own", *_SET), "pairs")), found
+    return dealt.select(*TASK, "own", *_SET)
+
+
+def _shaped(members: DataFrame, percent: int) -> DataFrame:
+    """members with the pivot of their group (its smallest class) and the state that their shapes leave open: 0 may link with it, 1 may be near, 2 is far."""
+    pivots = members.groupBy("leader").agg(F.min_by(F.struct("key", "n", "shape"), "key").alias("p"))
+
+    @F.pandas_udf("int")
+    def apart(mine: pd.Series, pivot: pd.Series) -> pd.Series:
+        cells = lambda column: np.frombuffer(b"".join(column), dtype="<u2").reshape(-1, SHAPE).astype(np.int32)
+        return pd.Series(np.abs(cells(mine) - cells(pivot)).sum(axis=1), dtype="int32")
+
+    rows = members.join(pivots, "leader").withColumn("apart", apart("shape", "p.shape"))
+    n, m = F.col("n"), F.col("p.n")
+    may = lambda share: (F.col("apart") * (100 + share) <= (100 - share) * (n + m)) & (F.least(n, m) * 100 >= F.greatest(n, m) * share)
+    return rows.select("leader", *_SET, F.col("p.key").alias("pivot"), F.when(may(percent), 0).when(may(max(0, 2 * percent - 100)), 1).otherwise(2).alias("state"))
 
 
 def _between(judged: DataFrame) -> DataFrame:
@@ -266,10 +294,10 @@ def _between(judged: DataFrame) -> DataFrame:
 
 
 def _judged(docs: DataFrame, members: DataFrame, width: int, percent: int) -> DataFrame:
-    """members with the pivot of their group (its smallest class) and their state: 0 linked with it, 1 near, 2 far."""
+    """members (with pivot) and their true state: 0 linked with the pivot, 1 near, 2 far."""
     parts = max(32, int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions", "200")))
     first = F.col("key") == F.col("pivot")
-    dealt = members.join(_blocks(members, F.min("key").alias("pivot")), "leader")
+    dealt = members.select("leader", "pivot", *_SET).join(_blocks(members), "leader")
     dealt = dealt.withColumn("own", F.explode(F.when(first, F.sequence(F.lit(0), F.col("blocks") - 1)).otherwise(F.array(F.pmod(F.xxhash64("key"), F.col("blocks")).cast("int")))))
     wanted = dealt.groupBy("doc_id", "key").agg(F.collect_list(F.struct("leader", "own", first.alias("first"))).alias("stays"))
     texts = docs.where("text is not null").select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(materialise(wanted, "wanted"), "doc_id")
