@@ -6,7 +6,7 @@ from itertools import combinations
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType
 
@@ -97,3 +97,17 @@ def word_recall(found: DataFrame, expected: DataFrame, key: str) -> DataFrame:
     count = lambda df, n: df.select(key, F.explode(F.filter(F.split(F.lower("text"), r"[^a-z0-9]+"), lambda x: x != "")).alias("word")).groupBy(key, "word").agg(F.count("*").alias(n))
     joined = count(expected, "want").join(count(found, "have"), [key, "word"], "left")
     return joined.groupBy(key).agg(F.sum("want").alias("want"), F.sum(F.least("want", F.coalesce("have", F.lit(0)))).alias("have")).withColumn("recall", F.round(F.col("have") / F.col("want"), 6))
+
+
+def numbers_of(*names: Column) -> Column:
+    """The numbers a document goes by: those that are given and not blank, trimmed and small, once each."""
+    said = F.transform(F.array_compact(F.array(*names)), lambda x: F.lower(F.trim(x)))
+    return F.array_distinct(F.filter(said, lambda x: x != ""))
+
+
+def sharing(docs: DataFrame, block: str, key: str, numbers: str) -> DataFrame:
+    """(a, b): documents of one block that share a number; they meet on the number, not with all of their block."""
+    each = docs.select(block, key, F.explode(numbers).alias("number"))
+    x, y = each.alias("x"), each.alias("y")
+    met = x.join(y, (F.col(f"x.{block}") == F.col(f"y.{block}")) & (F.col("x.number") == F.col("y.number")) & (F.col(f"x.{key}") < F.col(f"y.{key}")))
+    return met.select(F.col(f"x.{key}").alias("a"), F.col(f"y.{key}").alias("b")).distinct()

@@ -46,6 +46,23 @@ def binary_files(spark: SparkSession, path: str, pattern: str = "*") -> DataFram
     return files.select("path", F.element_at(parts, -3).alias("source"), F.element_at(parts, -2).alias("doc_type"), "length", "modificationTime", digest.alias("digest"), raw_key(digest).alias("key"), mime(F.col("content")).alias("mime"), "content")
 
 
+def watched(spark: SparkSession, root: str, archive: str | None = None, oldest: str = "7d") -> DataFrame:
+    """A stream of the files that come to <root>/<source>/<doc_type>/; where an archive is given, files that were read are moved there."""
+    stream = spark.readStream.format("binaryFile").schema("path string, modificationTime timestamp, length long, content binary").option("maxFileAge", oldest)
+    if archive:
+        stream = stream.option("cleanSource", "archive").option("sourceArchiveDir", archive)
+    files = stream.load(f"{root}/*/*")
+    parts = F.split("path", "/")
+    digest = F.sha2("content", 256)
+    return files.select("path", F.element_at(parts, -3).alias("source"), F.element_at(parts, -2).alias("doc_type"), "length", "modificationTime", digest.alias("digest"), mime(F.col("content")).alias("mime"), "content")
+
+
+def stored(spark: SparkSession, root: str, prefix: str = "") -> DataFrame:
+    """(key, length) of the objects below a prefix of a store, in the order of their keys; contents are not read."""
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(f"{root}/{prefix}")
+    return files.select(F.substring_index("path", root.rstrip("/").rpartition("/")[2] + "/", -1).alias("key"), "length").orderBy("key")
+
+
 def write_once(files: DataFrame, path: str) -> None:
     """Store each content once, in folders by the first two digits of its digest, however often this is run."""
     new = files.dropDuplicates(["digest"])

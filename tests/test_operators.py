@@ -173,3 +173,26 @@ def test_search_from_index_to_page(spark):
     assert {r["bucket"]: r["n"] for r in groups.collect()} == {"provisions": 1, "notifications": 0, "circulars": 0, "judgements": 0}
     some, _ = search.search(index, chunks, "boats OR rafts", F.lit("2022-01-01").cast("date"), doc_types=["circular", "judgement"])
     assert sorted(r["doc_id"] for r in some.collect()) == [2, 4]
+
+
+def test_watched_folders_and_stores(spark, tmp_path):
+    from lexloom.streaming import jobs
+
+    for name in ("one", "two"):
+        folder = tmp_path / "in" / "gazette" / "act"
+        folder.mkdir(parents=True, exist_ok=True)
+        (folder / f"{name}.html").write_text(f"<html>{name}</html>")
+    got = jobs.drained(files.watched(spark, f"{tmp_path}/in"), "watched_files", "append")
+    assert sorted((r["source"], r["doc_type"], r["mime"], r["length"]) for r in got.collect()) == [("gazette", "act", "text/html", 16)] * 2
+    assert [r["key"] for r in files.stored(spark, f"{tmp_path}/in", "gazette").collect()] == ["gazette/act/one.html", "gazette/act/two.html"]
+
+
+def test_overwriting_some_keys_leaves_the_others(spark, tmp_path):
+    rows = lambda *ks: spark.createDataFrame([(k, v) for k, v in ks], "k int, v string")
+    writes.overwrite(rows((1, "a"), (1, "b"), (2, "c")), f"{tmp_path}/t", "k")
+    writes.overwrite(rows((1, "d")), f"{tmp_path}/t", "k")
+    assert sorted((r["k"], r["v"]) for r in spark.read.parquet(f"{tmp_path}/t").collect()) == [(1, "d"), (2, "c")]
+
+
+def test_canonical_json():
+    assert writes.canonical_json({"b": 1, "a": None, "é": date(2020, 1, 1)}) == '{"a":null,"b":1,"é":"2020-01-01"}'
