@@ -26,7 +26,7 @@ from zlib import crc32
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import materialise, slices, text_key
@@ -139,15 +139,17 @@ def report(docs: DataFrame) -> DataFrame:
 def near_pairs(docs: DataFrame, threshold: float = 0.8) -> DataFrame:
     """Pairs (a, b, likeness) of representatives of different fingerprints, and (a, b, 1.0) from a copy to its representative.
 
-    Length partitions grow by 1 / threshold, so partners are in the same or the next one. A set's first signatures (in
-    hash order) that must meet a partner's are its postings; the size bound prunes before sets are opened.
+    Length partitions grow by 1 / threshold, so partners are in the same or the next one. A set's rarest signatures, as many
+    as must meet a partner's, are its postings, so frequent ones bring few together; the size bound prunes before sets are opened.
     """
     prints = materialise(fingerprints(docs).where("n_sigs > 0 and doc_id is not null"), "spots")
     classes = prints.groupBy("sigs").agg(F.min("doc_id").alias("a"), F.first("n_sigs").alias("n"))
     copies = prints.join(classes, "sigs").where("doc_id <> a").select("a", F.col("doc_id").alias("b"), F.lit(1.0).alias("likeness"))
     part = F.floor(F.log(F.col("n").cast("double")) / -np.log(threshold)).cast("int")
-    posts = classes.withColumn("part", part).withColumn("k", F.col("n") - F.ceil(F.col("n") * threshold).cast("int") + 1)
-    posts = posts.withColumn("sig", F.explode(F.transform(F.sequence(F.lit(0), F.col("k") - 1), lambda i: F.substring("sigs", i * 4 + 1, F.lit(4)))))
+    each = classes.withColumn("part", part).select("a", "n", "part", F.explode(F.transform(F.sequence(F.lit(0), F.col("n") - 1), lambda i: F.substring("sigs", i * 4 + 1, F.lit(4)))).alias("sig"))
+    often = each.groupBy("sig").agg(F.count("*").alias("often"))
+    rank = F.row_number().over(Window.partitionBy("a").orderBy("often", "sig"))
+    posts = each.join(often, "sig").withColumn("rank", rank).where(F.col("rank") <= F.col("n") - F.ceil(F.col("n") * threshold) + 1)
     one = posts.select("sig", "part", F.col("a").alias("x"), F.col("n").alias("nx"))
     two = posts.select("sig", F.explode(F.array("part", F.col("part") + 1)).alias("part"), F.col("a").alias("y"), F.col("n").alias("ny"))
     met = one.join(two, ["sig", "part"]).where((F.col("ny") <= F.col("nx")) & (F.col("ny") >= F.col("nx") * threshold) & ((F.col("ny") < F.col("nx")) | (F.col("y") < F.col("x")))).select("x", "y").distinct()

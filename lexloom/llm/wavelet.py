@@ -30,7 +30,8 @@ from .tokens import coder, vocabulary_path
 
 END_ID = 2
 SHARD = 2_000_000
-BLOCK = 512
+#: Bits between counts of ones, and bytes of a plane that are compressed together.
+BLOCK, CHUNK = 512, 1 << 16
 _MISSING = -(2**63)
 
 
@@ -53,11 +54,17 @@ def build(values: np.ndarray) -> dict:
 
 
 def pack(matrix: dict, doc_ids: np.ndarray, lengths: np.ndarray) -> bytes:
-    """One compressed record: the matrix, its counts of ones and the documents' ids and lengths."""
-    head = struct.pack("<4Q", matrix["n"], len(matrix["alphabet"]), len(matrix["planes"]), len(doc_ids))
+    """One compressed record: a frame with the counts of ones and the documents' ids and lengths, then one for each CHUNK of each plane.
+
+    The frames' places stand at the record's head, so a look-up opens only the chunks it passes through.
+    """
+    planes = [p.tobytes() for p in matrix["planes"]]
     ranks = [np.concatenate([[0], np.cumsum(np.add.reduceat(_ones(p), np.arange(0, len(p), BLOCK // 8)))]).astype(np.uint32) if len(p) else np.zeros(1, np.uint32) for p in matrix["planes"]]
-    body = [np.array(matrix["zeros"], dtype=np.uint64), matrix["alphabet"], doc_ids.astype(np.int64), lengths.astype(np.uint64), *ranks, *matrix["planes"]]
-    return zstandard.ZstdCompressor(level=1).compress(head + b"".join(x.tobytes() for x in body))
+    small = [np.array(matrix["zeros"], dtype=np.uint64), matrix["alphabet"], doc_ids.astype(np.int64), lengths.astype(np.uint64), *ranks]
+    coder = zstandard.ZstdCompressor(level=1)
+    frames = [coder.compress(b"".join(x.tobytes() for x in small)), *(coder.compress(p[k : k + CHUNK]) for p in planes for k in range(0, len(p), CHUNK))]
+    head = struct.pack("<5Q", matrix["n"], len(matrix["alphabet"]), len(planes), len(doc_ids), len(frames))
+    return b"".join([head, np.cumsum([0, *map(len, frames)]).astype("<u8").tobytes(), *frames])
 
 
 def _ones(plane: np.ndarray) -> np.ndarray:
@@ -65,12 +72,13 @@ def _ones(plane: np.ndarray) -> np.ndarray:
 
 
 class Shard:
-    """Reads one record."""
+    """Reads one record; chunks of planes are opened when they are asked for, and kept."""
 
     def __init__(self, record: bytes):
-        raw = zstandard.ZstdDecompressor().decompress(record)
-        self.n, letters, levels, docs = struct.unpack_from("<4Q", raw)
-        at = 32
+        self.n, letters, levels, docs, frames = struct.unpack_from("<5Q", record)
+        places = np.frombuffer(record, "<u8", frames + 1, 40).astype(np.int64) + 40 + 8 * (frames + 1)
+        self.record, self.places, self.opened = memoryview(record), places.tolist(), {}
+        raw, at = self._frame(0), 0
 
         def take(count: int, kind: type) -> np.ndarray:
             nonlocal at
@@ -85,20 +93,33 @@ class Shard:
         self.size = (self.n + 7) // 8
         blocks = -(-self.size // (BLOCK // 8)) + 1
         self.ranks = [take(blocks, np.uint32) for _ in range(levels)]
-        self.planes = [take(self.size, np.uint8) for _ in range(levels)]
+        self.chunks = -(-self.size // CHUNK)
+
+    def _frame(self, k: int) -> bytes:
+        return zstandard.ZstdDecompressor().decompress(self.record[self.places[k] : self.places[k + 1]])
+
+    def _bytes(self, level: int, first: int, last: int) -> np.ndarray:
+        """Bytes of a plane that lie in one chunk."""
+        chunk = first // CHUNK
+        if (level, chunk) not in self.opened:
+            self.opened[level, chunk] = np.frombuffer(self._frame(1 + level * self.chunks + chunk), dtype=np.uint8)
+        return self.opened[level, chunk][first - chunk * CHUNK : last - chunk * CHUNK]
 
     def _rank(self, level: int, i: int) -> int:
         """Ones before place i of a plane."""
         block = i // BLOCK
-        plane = self.planes[level]
-        whole = int(self.ranks[level][block]) + int(np.bitwise_count(plane[block * BLOCK // 8 : i // 8]).sum())
-        return whole + (int(plane[i // 8] >> (8 - i % 8)).bit_count() if i % 8 else 0)
+        first = block * BLOCK // 8
+        if first == self.size or i % BLOCK == 0:
+            return int(self.ranks[level][block])
+        own = self._bytes(level, first, i // 8 + (1 if i % 8 else 0))
+        whole = int(self.ranks[level][block]) + int(np.bitwise_count(own[: i // 8 - first]).sum())
+        return whole + (int(own[-1] >> (8 - i % 8)).bit_count() if i % 8 else 0)
 
     def access(self, i: int) -> int:
         """The token at place i."""
         value = 0
         for level, zeros in enumerate(self.zeros.tolist()):
-            bit = (int(self.planes[level][i // 8]) >> (7 - i % 8)) & 1
+            bit = (int(self._bytes(level, i // 8, i // 8 + 1)[0]) >> (7 - i % 8)) & 1
             ones = self._rank(level, i)
             value = 2 * value + bit
             i = zeros + ones if bit else i - ones
@@ -139,7 +160,7 @@ class Shard:
         if not one:
             counts = np.arange(len(counts)) * BLOCK - counts
         block = int(np.searchsorted(counts, k, side="right")) - 1
-        bits = np.unpackbits(self.planes[level][block * BLOCK // 8 : (block + 1) * BLOCK // 8])
+        bits = np.unpackbits(self._bytes(level, block * BLOCK // 8, (block + 1) * BLOCK // 8))
         return block * BLOCK + int(np.flatnonzero(bits == one)[k - int(counts[block])])
 
     def locate(self, token: int) -> list[int]:
@@ -147,10 +168,11 @@ class Shard:
 
     def decode(self) -> np.ndarray:
         """All tokens, plane by plane from the lowest."""
-        levels = len(self.planes)
+        levels = len(self.zeros)
         value = np.zeros(self.n, dtype=np.uint16 if levels <= 16 else np.uint32)
         for level in range(levels - 1, -1, -1):
-            bit = np.unpackbits(self.planes[level], count=self.n).astype(bool)
+            plane = b"".join(self._frame(1 + level * self.chunks + k) for k in range(self.chunks))
+            bit = np.unpackbits(np.frombuffer(plane, dtype=np.uint8), count=self.n).astype(bool)
             zeros = int(self.zeros[level])
             up = np.empty_like(value)
             up[~bit] = value[:zeros]

@@ -272,8 +272,18 @@ def test_wavelet_round_trip(spark, docs):
             assert (r["n_tokens"], r["ids_crc32"]) == (len(ids), zlib.crc32(np.array(ids, "<u4").tobytes()))
 
 
-@pytest.mark.parametrize("letters", [1, 2, 7, 3000])
-def test_wavelet_matrix(letters):
+def test_look_ups_open_few_chunks():
+    values = np.random.default_rng(1).integers(0, 5, 3_000_000).astype("<u4")
+    shard = wavelet.Shard(wavelet.pack(wavelet.build(values), np.array([1]), np.array([len(values)])))
+    assert [shard.access(i) for i in (0, 1_234_567, 2_999_999)] == values[[0, 1_234_567, 2_999_999]].tolist()
+    assert len(shard.opened) <= 9 < 3 * shard.chunks
+    assert shard.count(3) == (values == 3).sum() and shard.select(3, 70_000) == np.flatnonzero(values == 3)[70_000]
+    assert shard.decode().tolist() == values.tolist()
+
+
+@pytest.mark.parametrize(("letters", "chunk"), [(1, 1 << 16), (2, 64), (7, 128), (3000, 64)])
+def test_wavelet_matrix(letters, chunk, monkeypatch):
+    monkeypatch.setattr(wavelet, "CHUNK", chunk)
     rnd = np.random.default_rng(letters)
     values = rnd.integers(0, letters, 3000).astype("<u4") * 16
     shard = wavelet.Shard(wavelet.pack(wavelet.build(values), np.array([1, 2]), np.array([1000, 2000])))
