@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Iterator
 from datetime import timedelta
 
@@ -123,7 +124,7 @@ def drained(stream: DataFrame, name: str, mode: str = "complete", longest: timed
     Each batch has a folder of its own, written anew if it is run again. In complete mode the last one is the result.
     """
     spark = stream.sparkSession
-    path = f"{shared_folder(spark)}/streams/{name}"
+    path = f"{shared_folder(spark)}/streams/{name}-{uuid.uuid4().hex}"  # a run is a whole one: it takes up no other's state
 
     def put(batch: DataFrame, number: int) -> None:
         batch.write.mode("overwrite").parquet(f"{path}/out/batch={number}")
