@@ -28,4 +28,4 @@ def test_fitting_reads_both_ways():
 
     batch = pa.RecordBatch.from_arrays([pa.array(["you idio7 there"]), pa.array([1], pa.int32())], names=["text", "toxic"])
     terms = {t for out in toxicity._contexts(iter([batch])) for t in out.column(0).to_pylist()}
-    assert "idiot" in terms
+    assert toxicity._hash("idiot") in terms
