@@ -39,4 +39,19 @@ sums AS (SELECT doc_id, sum(z - a) AS n, count(*) AS k FROM spans GROUP BY 1)
 SELECT d.doc_id, CAST(length(d.h) // 2 AS BIGINT) AS n_bytes, CAST(coalesce(n, 0) AS BIGINT) AS n_removed, coalesce(k, 0) AS n_spans, sha256(unhex(coalesce(kept.h, d.h))) AS kept_sha256
 FROM d LEFT JOIN sums USING (doc_id) LEFT JOIN kept USING (doc_id)"""
 
-ORACLES = {"op5_decontamination": OP5, "op7_ngram_join": OP7, "op9_suffix_dedup": OP9}
+#: Checksum bit by bit; a conversation is the joined digests of its turns, 32 characters each; a node is a beginning of it.
+OP11 = """WITH t AS (SELECT conv_id, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, coalesce(role, ''), coalesce(text, '')) - 1 AS p,
+  md5(length(coalesce(role, '')) || ':' || coalesce(role, '') || coalesce(text, '')) AS k, length(coalesce(text, '')) AS size FROM conversations WHERE conv_id IS NOT NULL),
+sums AS (SELECT conv_id, conv_id - conv_id % 100 AS head, xor(list_reduce(list_concat([4294967295], flatten(list_transform(range(1, length(s) + 1), lambda i: [ascii(s[i]), 0, 0, 0, 0, 0, 0, 0]))),
+  lambda a, e: xor(xor(a, e) >> 1, (xor(a, e) & 1) * 3988292384)), 4294967295) % 6 AS h FROM (SELECT DISTINCT conv_id, CAST(conv_id AS VARCHAR) AS s FROM t)),
+r AS (SELECT c.conv_id, 0 AS o, t.p, k, size FROM sums c JOIN t ON t.conv_id = c.head AND t.p < h UNION ALL SELECT c.conv_id, 1, t.p, k, size FROM sums c JOIN t ON t.conv_id = c.conv_id AND t.p >= h),
+paths AS (SELECT c.conv_id, coalesce(string_agg(k, '' ORDER BY o, p), '') AS path, coalesce(list(size ORDER BY o, p) FILTER (WHERE size IS NOT NULL), []) AS sizes FROM sums c LEFT JOIN r USING (conv_id) GROUP BY 1),
+m AS (SELECT conv_id, path, d, substr(path, 1, 32 * d) AS node, CASE WHEN d > 0 THEN sizes[d] ELSE 0 END AS size FROM (SELECT *, unnest(range(0, len(sizes) + 1)) AS d FROM paths)),
+n AS (SELECT node, d, min(conv_id) AS conv_id, count(*) AS n_convs, any_value(size) AS size, coalesce(string_agg(CAST(conv_id AS VARCHAR), ',' ORDER BY conv_id) FILTER (WHERE path = node), '') AS ids FROM m GROUP BY node, d),
+up AS (SELECT substr(node, 1, 32 * (d - 1)) AS node, count(*) AS n_children FROM n WHERE d > 0 GROUP BY 1),
+own AS (SELECT n.*, coalesce(n_children, 0) AS n_children FROM n LEFT JOIN up USING (node)),
+sub AS (SELECT substr(node, 1, 32 * a) AS node, sum(CASE WHEN n_children = 0 THEN 1 ELSE 0 END) AS n_leaves, sum((n_convs - 1) * size) AS saved FROM (SELECT *, unnest(range(0, d + 1)) AS a FROM own) GROUP BY 1)
+SELECT o.conv_id, CAST(o.d AS BIGINT) AS depth, q.conv_id AS parent_conv_id, o.n_convs, CAST(o.n_children AS BIGINT) AS n_children, CAST(n_leaves AS BIGINT) AS n_leaves, CAST(saved AS BIGINT) AS saved_tokens, sha256(o.ids) AS ends_sha256
+FROM own o JOIN sub USING (node) LEFT JOIN own q ON o.d > 0 AND q.node = substr(o.node, 1, 32 * (o.d - 1))"""
+
+ORACLES = {"op11_prefix_trie": OP11, "op5_decontamination": OP5, "op7_ngram_join": OP7, "op9_suffix_dedup": OP9}

@@ -1,10 +1,10 @@
-"""The thin queries of the ten operators: each applies one to its whole table."""
+"""The thin queries of the operators: each applies one to its whole table."""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontaminate, langid, ngram_join, packing, pii, quality, spotsigs, suffix_dedup, toxicity, wavelet
+from . import decontaminate, langid, ngram_join, packing, pii, prefix_trie, quality, runs, spotsigs, suffix_dedup, token_counts, toxicity, wavelet
 from .common import read_table
 from .oracles import ORACLES  # noqa: F401
 
@@ -49,5 +49,18 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(read_table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_toxicity, op2_pii, op3_language, op4_quality, op5_decontamination, op6_fingerprints, op7_ngram_join, op8_tokens, op9_suffix_dedup, op10_packing)}
+def op11_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return prefix_trie.report(read_table(spark, sf_dir, "conversations"))
+
+
+def op12_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """spark.lexloom.token_cache names a cache that runs share; without it the run has its own."""
+    return token_counts.report(read_table(spark, sf_dir, "documents"), spark.conf.get("spark.lexloom.token_cache", None))
+
+
+def op13_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return runs.report(read_table(spark, sf_dir, "documents"))
+
+
+QUERIES = {f.__name__: f for f in (op1_toxicity, op2_pii, op3_language, op4_quality, op5_decontamination, op6_fingerprints, op7_ngram_join, op8_tokens, op9_suffix_dedup, op10_packing, op11_prefix_trie, op12_token_counts, op13_runs)}
 

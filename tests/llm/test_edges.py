@@ -3,7 +3,7 @@
 import pytest
 
 import corpus_pipeline
-from lexloom.llm import decontaminate, langid, ngram_join, packing, pii, quality, spotsigs, suffix_dedup, toxicity, wavelet
+from lexloom.llm import decontaminate, langid, ngram_join, packing, pii, quality, runs, spotsigs, suffix_dedup, token_counts, toxicity, wavelet
 
 
 def labels(spark, empty=False):
@@ -24,6 +24,8 @@ OPERATORS = {
     "ngram_join": lambda s, d, e: ngram_join.report(d),
     "wavelet": lambda s, d, e: wavelet.round_trip(d),
     "suffix_dedup": lambda s, d, e: suffix_dedup.report(d),
+    "token_counts": lambda s, d, e: token_counts.report(d),
+    "runs": lambda s, d, e: runs.report(d),
 }
 
 
