@@ -30,7 +30,7 @@ from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import scratch_root, slices
+from .common import materialise, scratch_root, slices
 from .tokens import coder, vocabulary_path
 
 LIMIT = 2048
@@ -116,6 +116,6 @@ def report(docs: DataFrame, cache: str | None = None, vocabulary: str | None = N
     path = vocabulary or vocabulary_path()
     cache = cache or f"{scratch_root(docs.sparkSession)}/token-counts-{uuid.uuid4().hex}"
     by_words = library_of(path) == "tokenizers" and coder(path).by_words
-    counts = fill(docs.select("text"), cache, path)
+    counts = materialise(fill(docs.select("text"), cache, path), "counts")  # read plainly below, so that Spark can split a hot content
     keyed = docs.select("doc_id", content_of(F.col("text"), by_words).alias("content"), F.coalesce(F.octet_length("text"), F.lit(0)).cast("long").alias("n_bytes"))
     return keyed.join(counts, "content").select("doc_id", "n_bytes", "n_tokens", (F.col("n_tokens") > limit).alias("over_limit"))
