@@ -5,6 +5,10 @@ from __future__ import annotations
 import re
 from typing import NamedTuple
 
+import regex
+
+from .stemmer import stem
+
 #: English words that are not searched for.
 STOP = frozenset(
     """i me my myself we our ours ourselves you your yours yourself yourselves he him his himself she her hers herself it its itself they them their theirs themselves what which who whom
@@ -15,29 +19,19 @@ STOP = frozenset(
 #: Weights of a heading's words and of a text's.
 WEIGHTS = {"A": 1.0, "B": 0.4}
 
-_WORD = re.compile(r"[^\W_]+")
-_VOWEL = re.compile(r"[aeiouy]")
-#: Endings that are taken off, longest first, with what takes their place, and the least length of what is left.
-ENDINGS = (("ational", "ate", 2), ("ization", "ize", 2), ("fulness", "ful", 2), ("ousness", "ous", 2), ("iveness", "ive", 2), ("tional", "tion", 2), ("biliti", "ble", 2), ("ement", "", 4), ("ments", "", 3), ("ment", "", 3), ("ness", "", 3), ("ingly", "", 3), ("edly", "", 3), ("ings", "", 3), ("ing", "", 3), ("ies", "i", 2), ("ied", "i", 2), ("sses", "ss", 2), ("ed", "", 3), ("ly", "", 3), ("es", "", 3), ("s", "", 3), ("y", "i", 2), ("e", "", 3))
+#: A word: letters, digits and the marks that belong to them, as the SQL side says it too.
+WORD = r"[\p{L}\p{N}\p{M}]+"
+_WORD = regex.compile(WORD)
 
 
-def stem(word: str) -> str:
-    """A word without its ending, so that inflected forms meet; words with other than ASCII letters stay as they are."""
-    if not word.isascii() or not word.isalpha() or len(word) < 4 or word.endswith(("ss", "us")):
-        return word
-    for ending, instead, least in ENDINGS:
-        rest = word.removesuffix(ending)
-        if rest != word and len(rest) >= least and _VOWEL.search(rest):
-            rest += instead
-            double = not instead and ending[0] in "ei" and len(rest) > 3 and rest[-1] == rest[-2] and rest[-1] not in "lsz"
-            return stem(rest) if ending == "s" else rest[:-1] if double else rest
-    return word
+def plain(text: str | None) -> list[str]:
+    """The words of a text, lower-case."""
+    return [m[0].lower() for m in _WORD.finditer(text or "")]
 
 
 def words(text: str | None, english: bool = True) -> list[tuple[str, int]]:
     """(term, position) of each word of a text; in English, without stop words (which still have a position) and without endings."""
-    found = [m[0].lower() for m in _WORD.finditer(text or "")]
-    return [(stem(w) if english else w, k) for k, w in enumerate(found) if not (english and w in STOP)]
+    return [(stem(w) if english else w, k) for k, w in enumerate(plain(text)) if not (english and w in STOP)]
 
 
 def postings(heading: str | None, text: str | None, english: bool = True) -> list[tuple[str, list[int], list[float]]]:

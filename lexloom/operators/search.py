@@ -21,24 +21,33 @@ GROUPS = {"act": "provisions", "rules": "provisions", "notification": "notificat
 CANDIDATES = 200
 
 
-def postings(docs: DataFrame, key: str, english: bool = False) -> DataFrame:
-    """(term, key, tf, positions, weights): where each term stands in each text (and in its heading, where there is one).
+def occurrences(docs: DataFrame, keys: list[str], english: bool = False) -> DataFrame:
+    """(keys, term, position, weight): a row for each word of a heading (where there is one) and of the text behind it.
 
-    A text's postings are made from its own row: nothing is shuffled.
+    English words lose their endings, and those that are not searched for have no row; their places stay empty.
     """
-    made = F.udf(lambda heading, text: [{"term": t, "positions": p, "weights": w} for t, p, w in lexemes.postings(heading, text, english)], "array<struct<term: string, positions: array<int>, weights: array<double>>>", useArrow=True)
-    heading = F.col("heading") if "heading" in docs.columns else F.lit(None).cast("string")
-    rows = docs.select(key, F.explode(made(heading, "text")).alias("p"))
-    return rows.select("p.term", key, F.size("p.positions").cast("long").alias("tf"), "p.positions", "p.weights")
+    heading = F.coalesce("heading", F.lit("")) if "heading" in docs.columns else F.lit("")
+    told = lambda x: F.regexp_extract_all(F.lower(x), F.lit(lexemes.WORD), F.lit(0))
+    rows = docs.select(*keys, F.size(told(heading)).alias("ahead__"), F.posexplode(F.concat(told(heading), told(F.coalesce("text", F.lit(""))))).alias("position", "term"))
+    if english:
+        stems = F.pandas_udf(lambda x: x.map(lexemes.stem), "string")
+        rows = rows.where(~F.col("term").isin(*lexemes.STOP)).withColumn("term", stems("term"))
+    return rows.select(*keys, "term", "position", F.when(F.col("position") < F.col("ahead__"), lexemes.WEIGHTS["A"]).otherwise(lexemes.WEIGHTS["B"]).alias("weight"))
 
 
-def found(index: DataFrame, key: str, query: str, english: bool = False) -> DataFrame:
-    """(key, raw_rank): texts of an index of postings that fit a query, with their cover-density rank.
+def postings(docs: DataFrame, key: str, english: bool = False) -> DataFrame:
+    """(term, key, tf, positions, weights): where each term stands in each text (and in its heading, where there is one).
 
-    Only the postings of the query's terms are read (the terms are a filter of the scan) and gathered by text.
+    Built-in functions alone, but for English stems. A filter on terms reaches the words before they are shuffled.
     """
+    places = F.sort_array(F.collect_list(F.struct("position", "weight")))
+    rows = occurrences(docs, [key], english).groupBy("term", key).agg(places.alias("p"))
+    return rows.select("term", key, F.size("p").cast("long").alias("tf"), F.col("p.position").alias("positions"), F.col("p.weight").alias("weights"))
+
+
+def ranked(rows: DataFrame, keys: list[str], query: str, english: bool = False) -> DataFrame:
+    """(keys, raw_rank) of postings (keys, term, positions, weights) of a query's terms: texts that fit it, with their cover-density rank."""
     wanted = lexemes.parsed(query, english)
-    terms = lexemes.terms_of(wanted)
 
     def rank(own: list) -> float | None:
         places = {p["term"]: p["positions"] for p in own}
@@ -46,8 +55,14 @@ def found(index: DataFrame, key: str, query: str, english: bool = False) -> Data
             return None
         return lexemes.cover_density(wanted, places, {p["term"]: p["weights"] for p in own})
 
-    rows = index.where(F.col("term").isin(terms)).groupBy(key).agg(F.collect_list(F.struct("term", "positions", "weights")).alias("own"))  # one posting a term
-    return rows.select(key, F.udf(rank, "double", useArrow=True)("own").alias("raw_rank")).where("raw_rank is not null")
+    gathered = rows.groupBy(*keys).agg(F.collect_list(F.struct("term", "positions", "weights")).alias("own"))  # one posting a term
+    return gathered.select(*keys, F.udf(rank, "double", useArrow=True)("own").alias("raw_rank")).where("raw_rank is not null")
+
+
+def found(index: DataFrame, key: str, query: str, english: bool = False) -> DataFrame:
+    """(key, raw_rank): texts of an index of postings that fit a query, with their cover-density rank."""
+    terms = lexemes.terms_of(lexemes.parsed(query, english))
+    return ranked(index.where(F.col("term").isin(terms)), [key], query, english)
 
 
 def snippets(hits: DataFrame, query: str, english: bool = False) -> DataFrame:
@@ -89,18 +104,26 @@ def narrowed(chunks: DataFrame, on: Column, doc_types: list[str] | None = None,
     )
 
 
-def search(index: DataFrame, chunks: DataFrame, query: str, on: Column, limit: int = 20, offset: int = 0, english: bool = True, **facets: object) -> tuple[DataFrame, DataFrame]:
+def search(index: DataFrame, chunks: DataFrame, query: str, on: Column, limit: int = 20, offset: int = 0, english: bool = True, user_state: str | None = None, **facets: object) -> tuple[DataFrame, DataFrame]:
     """(items, groups) of a query over chunks (chunk_id, doc_id, text, doc_type, authority_rank, status, valid_from, valid_to, court_level, state_code).
 
     The CANDIDATES best chunks by raw rank are scored, each document keeps its best one, and a page of them is given with
     snippets; groups count documents by type. Scores are rounded to four places.
     """
     hits = found(index, "chunk_id", query, english).join(narrowed(chunks, on, **facets), "chunk_id")
-    top = hits.orderBy(F.desc("raw_rank"), "chunk_id").limit(CANDIDATES)
-    scored = top.withColumn("score", F.round(adjusted(F.col("raw_rank"), F.col("authority_rank"), F.col("status"), F.col("doc_type"), F.col("valid_from"), on, F.col("court_level"), F.col("state_code"), F.lit(None).cast("string")), 4))
-    best = collapsed(scored, "doc_id", "score", "chunk_id")
-    page = best.orderBy(F.desc("score"), "doc_id").offset(offset).limit(limit)
-    return snippets(page, query, english), group_counts(best)
+    best = scored(hits.orderBy(F.desc("raw_rank"), "chunk_id").limit(CANDIDATES), on, user_state)
+    return page(best, query, limit, offset, english), group_counts(best)
+
+
+def scored(top: DataFrame, on: Column, user_state: str | None = None) -> DataFrame:
+    """Each document's best chunk of some with its score and the number of chunks."""
+    score = adjusted(F.col("raw_rank"), F.col("authority_rank"), F.col("status"), F.col("doc_type"), F.col("valid_from"), on, F.col("court_level"), F.col("state_code"), F.lit(user_state).cast("string"))
+    return collapsed(top.withColumn("score", F.round(score, 4)), "doc_id", "score", "chunk_id")
+
+
+def page(best: DataFrame, query: str, limit: int, offset: int = 0, english: bool = True) -> DataFrame:
+    """A page of documents by score, with snippets."""
+    return snippets(best.orderBy(F.desc("score"), "doc_id").offset(offset).limit(limit), query, english)
 
 
 def adjusted(raw: Column, rank: Column, status: Column, doc_type: Column, valid_from: Column, on: Column, court_level: Column | None = None, state: Column | None = None, user_state: Column | None = None) -> Column:
