@@ -56,6 +56,11 @@ def ranked(rows: DataFrame, keys: list[str], query: str, english: bool = False)
         return lexemes.cover_density(wanted, places, {p["term"]: p["weights"] for p in own})
 
     gathered = rows.groupBy(*keys).agg(F.collect_list(F.struct("term", "positions", "weights")).alias("own"))  # one posting a term
+    likely = F.lit(False)
+    for items in wanted:  # what lacks the words of all alternatives need not be looked at
+        terms = sorted({t for item in items if item.wanted for t, _ in item.terms})
+        likely |= F.size(F.array_intersect("own.term", F.array(*map(F.lit, terms)))) == len(terms)
+    gathered = gathered.where(likely)
     return gathered.select(*keys, F.udf(rank, "double", useArrow=True)("own").alias("raw_rank")).where("raw_rank is not null")
 
 

@@ -100,6 +100,8 @@ class Reader:
         if not self.batches or not terms:
             return self._kept(self.spark.createDataFrame([], nothing), keep)
         blocks = self.blocks(terms)
+        if sum(batch.notes["blocks"] for batch in self.batches) <= FIRST:
+            return self._kept(self.hits(blocks, query), keep).orderBy(*order).limit(most)
         bounds = self.bounds(blocks, query)
         head = bounds.orderBy(F.desc("bound"), "batch", "block").limit(FIRST + 1).collect()
         chosen = self.spark.createDataFrame([(r["batch"], r["block"]) for r in head[:FIRST]], "batch long, block int")
@@ -123,15 +125,18 @@ def search(reader: Reader, chunks: DataFrame, query: str, on: Column | None = No
     """(items, groups, expanded terms) of a query over an index and its chunks' columns, as `search.search` gives them.
 
     The day is today in UTC unless one is given. Terms with synonyms bring these as alternatives. Chunks are narrowed before
-    the best ones are chosen; the texts of the page alone are read for snippets.
+    the best ones are chosen; these (CANDIDATES rows) come to the driver once, and the texts of the page alone are read for snippets.
     """
     on = F.current_date() if on is None else on
     asked, more = expanded(query, synonyms or {})
     facts = q.narrowed(chunks, on, **facets).drop("text", "heading", "doc_id")
-    best = q.scored(reader.best(asked, q.CANDIDATES, lambda hits: hits.join(facts, "chunk_id")), on, user_state)
-    page = best.orderBy(F.desc("score"), "doc_id").offset(offset).limit(limit)
-    items = page.join(chunks.select("chunk_id", "text"), "chunk_id")
-    return q.snippets(items, asked, reader.english).orderBy(F.desc("score"), "doc_id"), q.group_counts(best), more
+    top = reader.best(asked, q.CANDIDATES, lambda hits: hits.join(facts, "chunk_id"))
+    best = q.scored(reader.spark.createDataFrame(top.collect(), top.schema).coalesce(1), on, user_state)
+    rows = sorted(best.collect(), key=lambda r: (-r["score"], r["doc_id"]))
+    shown = rows[offset : offset + limit]
+    texts = chunks.where(F.col("chunk_id").isin([r["chunk_id"] for r in shown])).select("chunk_id", "text")
+    items = texts.join(F.broadcast(reader.spark.createDataFrame(shown, best.schema)), "chunk_id")
+    return q.snippets(items, asked, reader.english).orderBy(F.desc("score"), "doc_id"), q.group_counts(reader.spark.createDataFrame(rows, best.schema)), more
 
 
 def expanded(query: str, synonyms: dict[str, list[str]]) -> tuple[str, list[str]]:
