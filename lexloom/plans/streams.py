@@ -9,7 +9,8 @@ from pyspark.sql import functions as F
 
 from ..sources import tables as s
 from ..streaming import jobs as j
-from .registry import JOBS, query
+from ..streaming import state as st
+from .registry import JOBS, QUEUE, query
 
 
 def _job_stream(spark: SparkSession, d: str) -> DataFrame:
@@ -64,3 +65,55 @@ def stable_files(spark: SparkSession, d: str) -> DataFrame:
     days = s.table(spark, d, "events").groupBy(F.col("user_id").alias("path"), F.to_date("ts").alias("day")).agg((F.max("event_id") % 2).alias("size"))
     scans = days.withColumn("scan", F.row_number().over(j.Window.partitionBy("path").orderBy("day"))).withColumn("mtime", F.lit(0))
     return j.stable_files(scans, 3)
+
+
+@query(f"WITH {QUEUE} SELECT CAST(queue AS VARCHAR) AS queue, n AS place, event_id FROM (SELECT *, row_number() OVER (PARTITION BY queue ORDER BY created_at, event_id) AS n FROM queue WHERE run_after <= TIMESTAMP '2024-01-20') WHERE n <= 20")
+def stream_claims(spark: SparkSession, d: str) -> DataFrame:
+    """Twenty claims of each queue from a stream, after two steps of jobs that come in any order: they take the jobs in theirs."""
+    at = lambda c: F.col(c).cast("timestamp")
+    jobs = s.queue(spark, d).select(F.col("queue").cast("string").alias("queue"), F.lit("enqueue").alias("action"), F.col("event_id").alias("job"), at("created_at").alias("at"), at("created_at").alias("created_at"), at("run_after").alias("run_after"), F.lit(None).cast("string").alias("worker"))
+    nothing = F.lit(None).cast("timestamp")
+    second = F.make_dt_interval(secs=F.col("n") / 1000)
+    claims = jobs.select("queue").distinct().select("queue", F.explode(F.sequence(F.lit(1), F.lit(20))).alias("n")).select("queue", F.lit("claim").alias("action"), F.lit(None).cast("long").alias("job"), (F.lit("2024-01-20").cast("timestamp") + second).alias("at"), nothing.alias("created_at"), nothing.alias("run_after"), F.format_string("%02d", "n").alias("worker"))
+    odd = F.col("job") % 2 == 1
+    with st.kept_in_rocksdb(spark):
+        told = j.drained(st.queued(j.in_steps(spark, [jobs.where(odd), jobs.where(~odd), claims], "claims"), "400 days"), "claims", "append")
+    return told.where("action = 'claim' and status = 'running'").select("queue", F.col("worker").cast("long").alias("place"), F.col("job").alias("event_id"))
+
+
+@query(
+    """WITH f AS (SELECT event_id, user_id, epoch_us(ts) AS t FROM events WHERE event_type = 'error')
+    SELECT event_id, recent, recent > 2 AS blocked FROM (SELECT event_id, count(*) OVER (PARTITION BY user_id ORDER BY t RANGE BETWEEN 86399999999 PRECEDING AND CURRENT ROW) AS recent FROM f)"""
+)
+def stream_limiter(spark: SparkSession, d: str) -> DataFrame:
+    """The rows of rate_limiter from a stream in which two thirds of the failures come late."""
+    rows = s.table(spark, d, "events").where("event_type = 'error'").select("user_id", "event_id", F.col("ts").cast("timestamp").alias("ts"))
+    steps = [rows.where(F.col("event_id") % 3 == k) for k in range(3)]
+    with st.kept_in_rocksdb(spark):
+        told = j.upserted(st.limited(j.in_steps(spark, steps, "limits"), "user_id", "event_id", "ts", 86_400, 2, "400 days"), "limits", ["id"])
+    return told.select(F.col("id").alias("event_id"), "recent", "blocked")
+
+
+@query(
+    """WITH scans AS (SELECT user_id AS path, CAST(ts AS DATE) AS day, max(event_id) % 2 AS size FROM events GROUP BY 1, 2), n AS (SELECT path, row_number() OVER (PARTITION BY path ORDER BY day) AS scan, size FROM scans)
+    SELECT CAST(a.path AS VARCHAR) AS path, min(c.scan) AS scan FROM n a JOIN n b ON b.path = a.path AND b.scan = a.scan + 1 AND b.size = a.size JOIN n c ON c.path = a.path AND c.scan = a.scan + 2 AND c.size = a.size GROUP BY 1"""
+)
+def stream_stable_files(spark: SparkSession, d: str) -> DataFrame:
+    """The rows of stable_files from a stream of scans that comes in three steps."""
+    days = s.table(spark, d, "events").groupBy(F.col("user_id").cast("string").alias("path"), F.to_date("ts").alias("day")).agg((F.max("event_id") % 2).alias("size"))
+    scans = days.select("path", F.row_number().over(j.Window.partitionBy("path").orderBy("day")).cast("long").alias("scan"), "size", F.lit(0).alias("mtime"), F.col("day").cast("timestamp").alias("at"))
+    cuts = [F.col("scan") <= 5, F.col("scan").between(6, 12), F.col("scan") > 12]
+    with st.kept_in_rocksdb(spark):
+        told = j.drained(st.settled(j.in_steps(spark, [scans.where(c) for c in cuts], "scans"), 3, "400 days"), "scans", "append")
+    return told.groupBy("path").agg(F.min("scan").alias("scan"))
+
+
+@query(
+    f"""WITH {JOBS}, took AS (SELECT source, CAST(discovered_at AS DATE) AS day, (epoch_us(published_at) - epoch_us(discovered_at)) / 3.6e9 AS hours FROM jobs WHERE published_at IS NOT NULL),
+    seven AS (SELECT t.source, d.day, t.hours FROM took t JOIN (SELECT DISTINCT day FROM took) d ON t.day BETWEEN d.day - 6 AND d.day)
+    SELECT source, day, count(*) AS published, round(quantile_disc(hours, 0.5), 6) AS p50_hours, round(quantile_disc(hours, 0.95), 6) AS p95_hours FROM seven GROUP BY GROUPING SETS ((source, day), (day))"""
+)
+def stream_quantiles(spark: SparkSession, d: str) -> DataFrame:
+    """Medians and 95th percentiles of the last seven days by source and for all, from days' sketches of a stream; exact while a day and source has fewer jobs than a sketch keeps."""
+    sketches = j.drained(st.sketched(_job_stream(spark, d)), "sketches")
+    return st.sliding_quantiles(sketches).select("source", "day", "published", F.round("p50_hours", 6).alias("p50_hours"), F.round("p95_hours", 6).alias("p95_hours"))

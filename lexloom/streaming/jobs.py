@@ -10,7 +10,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
-from pyspark.sql.types import StructType
+from pyspark.sql.types import LongType, StructField, StructType
 
 from ..session import shared_folder
 
@@ -121,7 +121,8 @@ def stable_files(scans: DataFrame, needed: int) -> DataFrame:
 def drained(stream: DataFrame, name: str, mode: str = "complete", longest: timedelta = timedelta(minutes=5)) -> DataFrame:
     """Run a stream over what is there now and give its result as a table of Parquet files in the shared folder.
 
-    Each batch has a folder of its own, written anew if it is run again. In complete mode the last one is the result.
+    Each batch has a folder of its own, written anew if it is run again. In complete mode the last one is the result; in
+    update mode all are, with the number of the batch.
     """
     spark = stream.sparkSession
     path = f"{shared_folder(spark)}/streams/{name}-{uuid.uuid4().hex}"  # a run is a whole one: it takes up no other's state
@@ -135,9 +136,26 @@ def drained(stream: DataFrame, name: str, mode: str = "complete", longest: timed
         raise TimeoutError(name)
     if run.lastProgress is None:
         return spark.createDataFrame([], stream.schema)
+    if mode == "update":
+        return spark.read.schema(StructType([*stream.schema, StructField("batch", LongType())])).parquet(f"{path}/out")
     out = spark.read.schema(stream.schema).parquet(f"{path}/out/batch=*") if mode == "append" else spark.read.schema(stream.schema).parquet(f"{path}/out/batch={run.lastProgress['batchId']}")
     return out
 
 
+def upserted(stream: DataFrame, name: str, keys: list[str]) -> DataFrame:
+    """Run a stream of updates over what is there now and give the last row of each key."""
+    numbered = drained(stream, name, "update")
+    order = Window.partitionBy(*keys).orderBy(F.desc("batch"))
+    return numbered.withColumn("n__", F.row_number().over(order)).where("n__ = 1").drop("n__", "batch")
+
+
+def in_steps(spark: SparkSession, steps: list[DataFrame], name: str) -> DataFrame:
+    """A stream of tables, one after the other: each is written as one file of a folder of this run's own."""
+    path = f"{shared_folder(spark)}/steps/{name}-{uuid.uuid4().hex}"
+    for step in steps:
+        step.coalesce(1).write.mode("append").parquet(path)
+    return read_stream(spark, path, steps[0].schema, 1)
+
+
 def read_stream(spark: SparkSession, path: str, schema: StructType, files_at_once: int = 100) -> DataFrame:
     return spark.readStream.schema(schema).option("maxFilesPerTrigger", files_at_once).parquet(path)
