@@ -2,13 +2,16 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.text import word_diff
 from ..operators import layout, workflow
 from ..operators.temporal import as_on
-from ..sources import files
+from ..session import shared_folder
+from ..sources import files, store
 from ..sources import tables as s
 from .registry import TASKS, VERSIONS, query
 
@@ -105,3 +108,13 @@ def diff_of_dates(spark: SparkSession, d: str) -> DataFrame:
     v = s.versions(spark, d)
     on = lambda day, name: v.where(as_on(F.lit(day).cast("date"))).select("provision_id", F.col("text").alias(name))
     return on("1996-06-15", "a").join(on("1999-06-15", "b"), "provision_id").select("provision_id", word_diff("a", "b").alias("diff"))
+
+
+@query("SELECT DISTINCT 'raw/' || substr(sha256(text), 1, 2) || '/' || sha256(text) AS key, CAST(strlen(text) AS BIGINT) AS length, sha256(text) AS digest FROM documents WHERE text IS NOT NULL")
+def store_round_trip(spark: SparkSession, d: str) -> DataFrame:
+    """Texts stored by two writers, some of them twice, and read back: each content is there once."""
+    root = f"{shared_folder(spark)}/objects-{uuid.uuid4().hex}"
+    texts = s.table(spark, d, "documents").where("text is not null").select("doc_id", F.col("text").cast("binary").alias("content"))
+    store.store(texts.where("doc_id % 3 <> 0").select("content"), root)
+    store.store(texts.where("doc_id % 2 = 0 or doc_id % 3 = 0").select("content"), root)
+    return store.stored(spark, root, "raw").select("key", "length", F.sha2("content", 256).alias("digest"))

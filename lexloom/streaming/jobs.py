@@ -68,7 +68,7 @@ class JobQueue(StatefulProcessor):
         self.handle = handle
         self.job = handle.getValueState("job", "status string, attempts int, ready_at long")
 
-    def handleInputRows(self, key: tuple, rows: Iterator[pd.DataFrame], timers) -> Iterator[pd.DataFrame]:  # noqa: N802
+    def handleInputRows(self, key: tuple, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
         out = []
         for message in pd.concat(list(rows)).sort_values("at").itertuples():
             now = int(message.at.timestamp() * 1000)
@@ -91,9 +91,9 @@ class JobQueue(StatefulProcessor):
             out.append((key[0], message.action, status, attempts))
         yield pd.DataFrame(out, columns=["job", "action", "status", "attempts"])
 
-    def handleExpiredTimer(self, key: tuple, timers, expired) -> Iterator[pd.DataFrame]:  # noqa: N802
+    def handleExpiredTimer(self, key: tuple, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
         status, attempts, ready = self.job.get()
-        if status == "running" and ready <= expired.getExpiryTimeInMs():
+        if status == "running" and ready <= expiredTimerInfo.getExpiryTimeInMs():
             status = "queued" if attempts < ATTEMPTS else "failed"
             self.job.update((status, attempts, ready))
             yield pd.DataFrame([(key[0], "lease_ended", status, attempts)], columns=["job", "action", "status", "attempts"])

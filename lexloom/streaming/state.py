@@ -122,7 +122,7 @@ class JobsInOrder(StatefulProcessor):
         for job, value in running.items():
             self.running.updateValue((job,), value)
 
-    def handleInputRows(self, key: tuple, rows: Iterator[pd.DataFrame], timers) -> Iterator[pd.DataFrame]:  # noqa: N802
+    def handleInputRows(self, key: tuple, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
         waiting, running, before = self._begin()
         messages = pd.concat(list(rows))
         messages["order"] = messages["action"].map(self.ORDER)
@@ -152,10 +152,10 @@ class JobsInOrder(StatefulProcessor):
         self._end(waiting, running, before)
         yield self._told(out)
 
-    def handleExpiredTimer(self, key: tuple, timers, expired) -> Iterator[pd.DataFrame]:  # noqa: N802
+    def handleExpiredTimer(self, key: tuple, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
         waiting, running, before = self._begin()
         out: list[tuple] = []
-        self._released(key[0], expired.getExpiryTimeInMs() * 1000, waiting, running, out)
+        self._released(key[0], expiredTimerInfo.getExpiryTimeInMs() * 1000, waiting, running, out)
         self._end(waiting, running, before)
         yield self._told(out)
 
@@ -189,9 +189,9 @@ class SlidingLimit(StatefulProcessor):
         self.handle = handle
         self.times = handle.getListState("times", "at long, id long")
 
-    def handleInputRows(self, key: tuple, rows: Iterator[pd.DataFrame], timers) -> Iterator[pd.DataFrame]:  # noqa: N802
+    def handleInputRows(self, key: tuple, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
         new = sorted((int(at), int(i)) for frame in rows for at, i in zip(frame["at_us"], frame["id"], strict=True))
-        watermark = timers.getCurrentWatermarkInMs() * 1000
+        watermark = timerValues.getCurrentWatermarkInMs() * 1000
         old = [(int(at), int(i)) for at, i in (self.times.get() if self.times.exists() else [])]
         held = sorted([*old, *new])
         stamps = [at for at, _ in held]
@@ -205,8 +205,8 @@ class SlidingLimit(StatefulProcessor):
         self.handle.registerTimer((held[-1][0] + self.window) // 1000 + 1)
         yield pd.DataFrame(changed, columns=["key", "id", "recent"])
 
-    def handleExpiredTimer(self, key: tuple, timers, expired) -> Iterator[pd.DataFrame]:  # noqa: N802
-        upto = expired.getExpiryTimeInMs() * 1000 - self.window
+    def handleExpiredTimer(self, key: tuple, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
+        upto = expiredTimerInfo.getExpiryTimeInMs() * 1000 - self.window
         left = [(int(at), int(i)) for at, i in (self.times.get() if self.times.exists() else []) if at > upto]
         self.times.put(left) if left else self.times.clear()
         yield pd.DataFrame([], columns=["key", "id", "recent"]).astype({"id": "int64", "recent": "int64"})
@@ -237,7 +237,7 @@ class SettledFile(StatefulProcessor):
         self.handle = handle
         self.seen = handle.getValueState("seen", "size long, mtime long, scan long, scans int, told int, until long")
 
-    def handleInputRows(self, key: tuple, rows: Iterator[pd.DataFrame], timers) -> Iterator[pd.DataFrame]:  # noqa: N802
+    def handleInputRows(self, key: tuple, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
         state = tuple(self.seen.get()) if self.seen.exists() else None
         out, last = [], 0
         for r in pd.concat(list(rows)).sort_values("scan").itertuples():
@@ -254,8 +254,8 @@ class SettledFile(StatefulProcessor):
         self.handle.registerTimer(state[5])
         yield pd.DataFrame(out, columns=["path", "scan", "size", "mtime"]).astype({"scan": "int64", "size": "int64", "mtime": "int64"})
 
-    def handleExpiredTimer(self, key: tuple, timers, expired) -> Iterator[pd.DataFrame]:  # noqa: N802
-        if self.seen.exists() and self.seen.get()[5] <= expired.getExpiryTimeInMs():
+    def handleExpiredTimer(self, key: tuple, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
+        if self.seen.exists() and self.seen.get()[5] <= expiredTimerInfo.getExpiryTimeInMs():
             self.seen.clear()
         yield pd.DataFrame([], columns=["path", "scan", "size", "mtime"]).astype({"scan": "int64", "size": "int64", "mtime": "int64"})
 
