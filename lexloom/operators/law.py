@@ -12,11 +12,10 @@ from ..functions.dates import effective_for
 from ..functions.text import normalise_text
 from .folds import arrow_udf, folded
 
-CITATION = "array<struct<kind: string, raw: string, instrument: string, path: string, canonical_id: string, ambiguous: boolean, start: int, end: int>>"
 LOCATOR = "struct<path: string, relative: boolean, instrument: string>"
 NUMBERED = "array<struct<kind: string, value: string>>"
 
-citations_of = arrow_udf(legal.citations, CITATION)
+citations_of = arrow_udf(legal.citations, legal.CITATION)
 locator_of = arrow_udf(legal.locator, LOCATOR)
 numbering_of = arrow_udf(lambda t: legal.numbering(t or ""), NUMBERED)
 html_blocks_of = arrow_udf(html.blocks, html.BLOCK)

@@ -30,6 +30,32 @@ def citations(spark: SparkSession, d: str) -> DataFrame:
     return law.citations(_cited(spark, d), "p_partkey").select("p_partkey", "kind", "canonical_id")
 
 
+@query(
+    """WITH p AS (SELECT p_partkey, CAST(p_partkey % 90 + 1 AS VARCHAR) AS n, CAST(p_partkey % 70 + 1 AS VARCHAR) AS r, p_partkey % 6 AS form FROM part),
+    t AS (SELECT p_partkey, 'section' AS kind, 's' || n AS path, CASE form WHEN 0 THEN 'CGST_ACT' WHEN 1 THEN 'IGST_ACT' WHEN 2 THEN 'UTGST_ACT' WHEN 3 THEN NULL WHEN 4 THEN 'CGST_ACT' ELSE NULL END AS instrument FROM p
+      UNION ALL SELECT p_partkey, 'rule', 'r' || r, CASE form WHEN 0 THEN 'IGST_RULES' WHEN 1 THEN 'IGST_RULES' WHEN 2 THEN 'CGST_RULES' WHEN 3 THEN NULL ELSE 'CGST_RULES' END FROM p WHERE form < 5)
+    SELECT p_partkey, kind, 'prov:' || instrument || ':' || path AS canonical_id, CASE WHEN instrument IS NULL THEN array_to_string(list_transform(['CGST', 'IGST', 'UTGST'], lambda f: 'prov:' || f || CASE kind WHEN 'rule' THEN '_RULES:' ELSE '_ACT:' END || path), ' ') ELSE '' END AS candidates,
+    CASE WHEN instrument IS NULL THEN 0.6 ELSE 0.9 END AS confidence FROM t
+    UNION ALL SELECT p_partkey, 'notification', 'ntf:' || CASE WHEN p_partkey % 4 < 2 THEN 'COMP(R)' ELSE 'COMP' END || ':' || n || '/2017', '', 0.95 FROM p WHERE form = 5"""
+)
+def citations_apart(spark: SparkSession, d: str) -> DataFrame:
+    """Sentences with two provisions: each of its own instrument, both of a shared one, of none, or of one too far away; and cess notifications."""
+    p = s.table(spark, d, "part")
+    n, r = (F.col("p_partkey") % 90 + 1).cast("string"), (F.col("p_partkey") % 70 + 1).cast("string")
+    both = F.concat(F.lit("section "), n, F.lit(" and rule "), r)
+    series = F.when(F.col("p_partkey") % 4 < 2, "Compensation Cess (Rate)").otherwise("Compensation Cess")
+    forms = [
+        F.concat(F.lit("section "), n, F.lit(" of the CGST Act and rule "), r, F.lit(" of the IGST Rules")),
+        F.concat(F.lit("Under "), both, F.lit(" IGST")),
+        F.concat(F.lit("s. "), n, F.lit(" of the Union Territory Goods and Services Tax Act, read with rule "), r, F.lit(" of the Central GST Rules")),
+        F.concat(F.lit("The CGST Act says much; but see "), both),
+        F.concat(both, F.lit(" of the CGST Rules, unlike anything in the IGST Act")),
+        F.concat(F.lit("section "), n, F.lit(" in words that go on for longer than forty characters, CGST; Notification No. "), n, F.lit("/2017-"), series),
+    ]
+    text = F.element_at(F.array(*forms), (F.col("p_partkey") % 6 + 1).cast("int"))
+    return law.citations(p.select("p_partkey", text.alias("text")), "p_partkey").select("p_partkey", "kind", "canonical_id", F.array_join("candidates", " ").alias("candidates"), "confidence")
+
+
 def _provisions(spark: SparkSession, d: str) -> DataFrame:
     c = s.table(spark, d, "customer")
     path = F.concat(F.lit("ch"), F.col("c_nationkey").cast("string"), F.lit(".s"), (F.col("c_custkey") % 60 + 1).cast("string"), F.lit(".2."), F.char(97 + F.col("c_custkey") % 5))

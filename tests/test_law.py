@@ -293,3 +293,26 @@ def test_stems_weights_and_snippets():
     assert rank(head) == 1.0 and rank(near) == pytest.approx(0.4) and rank(far) == pytest.approx(0.4 / 7)
     assert lexemes.snippet(query, "one two boats three tolls", most=3, least=1) == "<mark>boats</mark> three <mark>tolls</mark>"
     assert lexemes.snippet(query, "x" * 300) == "x" * 200
+
+
+@pytest.mark.parametrize(
+    ("said", "default", "found"),
+    [
+        ("section 16(2) of the CGST Act and rule 36 of the IGST Rules", None, ["prov:CGST_ACT:s16.2", "prov:IGST_RULES:r36"]),
+        ("s.16 and s.17 CGST", None, ["prov:CGST_ACT:s16", "prov:CGST_ACT:s17"]),
+        ("the CGST Act, and then section 9", None, [None]),
+        ("the CGST Act, and then section 9", "IGST_ACT", ["prov:IGST_ACT:s9"]),
+        ("rule 4 of the rules that the parties to the matter had agreed on, IGST", "CGST_ACT", ["prov:CGST_RULES:r4"]),
+        ("Notification No. 12/2017-Compensation Cess (Rate)", None, ["ntf:COMP(R):12/2017"]),
+        ("Notification No. 12/2017-Compensation Cess dated today", None, ["ntf:COMP:12/2017"]),
+        ("Circ. No. 183/15/2022 and Notif 3/2019-ut(r)", None, ["ntf:UT(R):3/2019", "cir:183/15/2022"]),
+    ],
+)
+def test_each_provision_has_its_own_instrument(said, default, found):
+    assert [c["canonical_id"] for c in legal.citations(said, default)] == found
+
+
+def test_candidates_of_provisions_without_instrument():
+    found = legal.citations("section 9 and rule 2(b)")
+    assert [c["candidates"] for c in found] == [["prov:CGST_ACT:s9", "prov:IGST_ACT:s9", "prov:UTGST_ACT:s9"], ["prov:CGST_RULES:r2.b", "prov:IGST_RULES:r2.b", "prov:UTGST_RULES:r2.b"]]
+    assert [c["confidence"] for c in found] == [0.6, 0.6]
