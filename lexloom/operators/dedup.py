@@ -106,8 +106,7 @@ def numbers_of(*names: Column) -> Column:
 
 
 def sharing(docs: DataFrame, block: str, key: str, numbers: str) -> DataFrame:
-    """(a, b): documents of one block that share a number; they meet on the number, not with all of their block."""
-    each = docs.select(block, key, F.explode(numbers).alias("number"))
-    x, y = each.alias("x"), each.alias("y")
-    met = x.join(y, (F.col(f"x.{block}") == F.col(f"y.{block}")) & (F.col("x.number") == F.col("y.number")) & (F.col(f"x.{key}") < F.col(f"y.{key}")))
-    return met.select(F.col(f"x.{key}").alias("a"), F.col(f"y.{key}").alias("b")).distinct()
+    """(block, number, key, target): documents of one block that share a number, each with the least of them; a row for each document and number."""
+    each = docs.select(block, key, F.explode(F.array_distinct(numbers)).alias("number"))
+    least = each.groupBy(block, "number").agg(F.min(key).alias("target"), F.max(key).alias("most")).where("target < most").drop("most")
+    return each.join(least, [block, "number"]).select(block, "number", key, "target").distinct()

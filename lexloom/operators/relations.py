@@ -59,10 +59,10 @@ def tree_order(nodes: DataFrame) -> DataFrame:
 
 
 def _gaps(items: DataFrame, key: str, number: str) -> DataFrame:
-    """(key, number): numbers missing between neighbours."""
+    """(key, number, upto): the first and the last number missing between neighbours."""
     after = F.lead(number).over(Window.partitionBy(key).orderBy(number))
     holes = items.select(key, number).distinct().withColumn("after", after).where(F.col("after") > F.col(number) + 1)
-    return holes.select(key, F.explode(F.sequence(F.col(number) + 1, F.col("after") - 1)).alias("number"))
+    return holes.select(key, (F.col(number) + 1).alias("number"), (F.col("after") - 1).alias("upto"))
 
 
 def leading_number(label: Column) -> Column:
@@ -71,18 +71,20 @@ def leading_number(label: Column) -> Column:
 
 
 def numbering_gaps(labels: DataFrame, key: str, number: str) -> DataFrame:
-    """Numbers missing between the least and the greatest of each key, in order."""
+    """How many numbers are missing between the least and the greatest of each key, and which, as ranges in order."""
     found = labels.groupBy(key).agg(F.min(number).alias("first"), F.max(number).alias("last"))
-    gaps = _gaps(labels, key, number).groupBy(key).agg(F.array_sort(F.collect_list("number")).alias("gaps"))
-    return found.join(gaps, key, "left").select(key, "first", "last", F.coalesce(F.size("gaps"), F.lit(0)).cast("long").alias("n_gaps"), F.coalesce(F.array_join("gaps", ","), F.lit("")).alias("gaps"))
+    range_ = F.struct("number", F.concat(F.col("number").cast("string"), F.when(F.col("upto") > F.col("number"), F.concat(F.lit("-"), F.col("upto").cast("string"))).otherwise("")).alias("said"))
+    gaps = _gaps(labels, key, number).groupBy(key).agg(F.sum(F.col("upto") - F.col("number") + 1).alias("n"), F.array_sort(F.collect_list(range_)).alias("gaps"))  # no more ranges than labels
+    return found.join(gaps, key, "left").select(key, "first", "last", F.coalesce("n", F.lit(0)).cast("long").alias("n_gaps"), F.coalesce(F.array_join("gaps.said", ","), F.lit("")).alias("gaps"))
 
 
 def numbering_problems(items: DataFrame, key: str, seq: str, number: str) -> DataFrame:
-    """(key, problem, number): numbers given twice, lower than one before, or left out."""
-    twice = items.groupBy(key, number).count().where("count > 1").select(key, F.lit("duplicate").alias("problem"), F.col(number).alias("number"))
+    """(key, problem, number, upto): numbers given twice, lower than one before, or left out (from one to another)."""
+    told = lambda name: [key, F.lit(name).alias("problem"), F.col(number).alias("number"), F.col(number).alias("upto")]
+    twice = items.groupBy(key, number).count().where("count > 1").select(*told("duplicate"))
     before = F.lag(number).over(Window.partitionBy(key).orderBy(seq))
-    order = items.withColumn("before", before).where(F.col(number) < F.col("before")).select(key, F.lit("out_of_order").alias("problem"), F.col(number).alias("number")).distinct()
-    return twice.unionByName(order).unionByName(_gaps(items, key, number).select(key, F.lit("gap").alias("problem"), "number"))
+    order = items.withColumn("before", before).where(F.col(number) < F.col("before")).select(*told("out_of_order")).distinct()
+    return twice.unionByName(order).unionByName(_gaps(items, key, number).select(key, F.lit("gap").alias("problem"), "number", "upto"))
 
 
 def without_chapter(path: Column) -> Column:

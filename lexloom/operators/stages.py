@@ -42,5 +42,12 @@ def published(documents: DataFrame, tasks: DataFrame, now: Column) -> DataFrame:
 
 
 def replanned(amendments: DataFrame, late: DataFrame) -> DataFrame:
-    """(provision_id): provisions whose whole timeline is replayed because a late amendment of theirs came; late rows of others change nothing."""
-    return late.select("provision_id").distinct().join(amendments.select("provision_id").unionByName(late.select("provision_id")).distinct(), "provision_id")
+    """(provision_id, action) of amendments (provision_id, effective_from) that came late.
+
+    A provision whose late amendments all follow those known has them appended; one of an earlier or the same day, or a
+    provision without known ones, has its whole timeline replayed.
+    """
+    known = amendments.groupBy("provision_id").agg(F.max("effective_from").alias("known"))
+    first = late.groupBy("provision_id").agg(F.min("effective_from").alias("first"))
+    action = F.when(F.col("first") > F.col("known"), "append").otherwise("replay")
+    return first.join(known, "provision_id", "left").select("provision_id", action.alias("action"))

@@ -137,7 +137,7 @@ def build_provisions(spark: SparkSession, d: str) -> DataFrame:
     return law.provision_tree(s.table(spark, d, "orders").select(F.col("o_custkey").alias("k"), key.alias("seq"), path.alias("path"), key.cast("string").alias("text")), "k")
 
 
-def _planned(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
+def planned_steps(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
     """A baseline for each customer, and for each of its orders a rate that replaces the one before."""
     base = s.table(spark, d, "customer").select(F.col("c_custkey").alias("provision_id"), F.lit("The rate is 0 per cent.").alias("base_text"), F.lit("1995-01-01").cast("date").alias("base_from"))
     v = s.versions(spark, d)
@@ -157,7 +157,7 @@ UNION ALL SELECT provision_id, NULL, NULL, NULL, CAST(version_id AS VARCHAR), CA
 
 @query(f"WITH {PLAN} SELECT * FROM planned")
 def replay_timeline(spark: SparkSession, d: str) -> DataFrame:
-    return law.replayed(*_planned(spark, d))
+    return law.replayed(*planned_steps(spark, d))
 
 
 ACTIVE = f"""{PLAN}, stored AS (SELECT provision_id, valid_from, valid_to, CASE WHEN provision_id % 3 = 0 THEN 'old' ELSE text END AS text, amendment_id FROM planned WHERE problem IS NULL AND provision_id % 7 <> 0)"""
@@ -170,7 +170,7 @@ def _stored(planned: DataFrame) -> DataFrame:
 
 @query(f"WITH {PLAN} SELECT DISTINCT provision_id, CASE WHEN provision_id % 7 = 0 THEN 'insert' WHEN provision_id % 3 = 0 THEN 'replace' ELSE 'unchanged' END AS action FROM planned WHERE problem IS NULL")
 def consolidate(spark: SparkSession, d: str) -> DataFrame:
-    planned = law.replayed(*_planned(spark, d))
+    planned = law.replayed(*planned_steps(spark, d))
     return law.consolidation(_stored(planned), planned)
 
 
@@ -180,7 +180,7 @@ def consolidate(spark: SparkSession, d: str) -> DataFrame:
 )
 def consolidated_rows(spark: SparkSession, d: str) -> DataFrame:
     """The rows a consolidation closes on record, leaves and adds."""
-    planned = law.replayed(*_planned(spark, d))
+    planned = law.replayed(*planned_steps(spark, d))
     day = lambda x: F.lit(x).cast("date")
     stored = _stored(planned).drop("problem").withColumn("rec_from", day("2020-01-01")).withColumn("rec_to", F.lit(None).cast("date"))
     return law.consolidated(stored, planned, day("2024-01-01"))
@@ -191,7 +191,7 @@ def consolidated_rows(spark: SparkSession, d: str) -> DataFrame:
 )
 def amendment_links(spark: SparkSession, d: str) -> DataFrame:
     """Links of amendments to what they changed; those of every fourth provision are there already."""
-    planned = law.replayed(*_planned(spark, d))
+    planned = law.replayed(*planned_steps(spark, d))
     amendments = s.versions(spark, d).select(F.col("version_id").cast("string").alias("amendment_id"), (F.col("version_id") % 500).alias("doc_id"), F.lit("substitute").alias("op"))
     every = law.amendment_links(planned, amendments, spark.createDataFrame([], "src_id long, dst_id long, link_type string"))
     return law.amendment_links(planned, amendments, every.where("dst_id % 4 = 0"))
@@ -270,7 +270,7 @@ def amend_dry_run(spark: SparkSession, d: str) -> DataFrame:
 )
 def word_diffs(spark: SparkSession, d: str) -> DataFrame:
     """Neighbouring versions of provisions, with words taken out and put in marked."""
-    v = law.replayed(*_planned(spark, d)).where("problem is null")
+    v = law.replayed(*planned_steps(spark, d)).where("problem is null")
     before = F.lag("text").over(law.Window.partitionBy("provision_id").orderBy("valid_from"))
     return v.withColumn("before", before).where("before is not null").select("provision_id", "valid_from", word_diff("before", "text").alias("diff"))
 

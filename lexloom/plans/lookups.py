@@ -84,17 +84,22 @@ def job_status(spark: SparkSession, d: str) -> DataFrame:
     return s.jobs(spark, d).where("event_id = 42").select("event_id", "source", "status")
 
 
-@query("SELECT DISTINCT o_custkey AS provision_id FROM orders WHERE o_orderdate >= TIMESTAMP '2001-01-01' AND o_orderkey % 5 = 0")
+@query(
+    """WITH k AS (SELECT o_custkey, max(o_orderdate) AS known FROM orders WHERE o_orderkey % 5 <> 0 GROUP BY 1), f AS (SELECT o_custkey, min(o_orderdate) AS first FROM orders WHERE o_orderkey % 5 = 0 GROUP BY 1)
+    SELECT f.o_custkey AS provision_id, CASE WHEN first > known THEN 'append' ELSE 'replay' END AS action FROM f LEFT JOIN k USING (o_custkey)"""
+)
 def late_replans(spark: SparkSession, d: str) -> DataFrame:
-    """Provisions replayed as a whole because an amendment of theirs came late, whatever its day."""
-    orders = s.table(spark, d, "orders").select(F.col("o_custkey").alias("provision_id"), "o_orderkey", "o_orderdate")
-    late = (F.col("o_orderdate") >= F.lit("2001-01-01").cast("timestamp_ntz")) & (F.col("o_orderkey") % 5 == 0)
-    return stages.replanned(orders.where(~late).select("provision_id"), orders.where(late).select("provision_id"))
+    """What late amendments (every fifth) ask of their provisions: an addition, or a replay where one is of an earlier day."""
+    orders = s.table(spark, d, "orders").select(F.col("o_custkey").alias("provision_id"), F.col("o_orderdate").alias("effective_from"), (F.col("o_orderkey") % 5 == 0).alias("late"))
+    return stages.replanned(orders.where(~F.col("late")), orders.where("late"))
 
 
-@query("SELECT a.o_orderkey AS a, b.o_orderkey AS b FROM orders a JOIN orders b ON a.o_custkey = b.o_custkey AND a.o_orderkey < b.o_orderkey AND (a.o_orderkey % 3 = b.o_orderkey % 3 OR a.o_orderkey % 4 = b.o_orderkey % 4 AND a.o_orderkey % 4 <> 0)")
+@query(
+    """WITH n AS (SELECT o_custkey, o_orderkey AS doc, 'n' || (o_orderkey % 3) AS number FROM orders UNION ALL SELECT o_custkey, o_orderkey, 'm' || (o_orderkey % 4) FROM orders WHERE o_orderkey % 4 <> 0)
+    SELECT o_custkey, number, doc, target FROM (SELECT *, min(doc) OVER w AS target, count(*) OVER w AS n FROM n WINDOW w AS (PARTITION BY o_custkey, number)) WHERE n > 1"""
+)
 def shared_numbers(spark: SparkSession, d: str) -> DataFrame:
-    """Documents of one day and court whose numbers have one in common, whichever of their numbers it is."""
+    """Documents of one day and court whose numbers have one in common, whichever of their numbers it is, under the least of them."""
     key = F.col("o_orderkey")
     docs = s.table(spark, d, "orders").select("o_custkey", key.alias("doc"), dedup.numbers_of(F.concat(F.lit("n"), (key % 3).cast("string")), F.when(key % 4 != 0, F.concat(F.lit("m"), (key % 4).cast("string"))), F.lit(" ")).alias("numbers"))
     return dedup.sharing(docs, "o_custkey", "doc", "numbers")

@@ -35,20 +35,24 @@ def numbers(spark: SparkSession, d: str) -> DataFrame:
     return s.table(spark, d, "orders").select(F.col("o_custkey").alias("provision_id"), F.col("o_orderkey").alias("seq"), (F.col("o_orderkey") % 23).alias("number"))
 
 
+#: Missing numbers one by one, and runs of them: a run's numbers less their places in order are all the same.
+HOLES = f"""{NUMBERS}, b AS (SELECT provision_id, min(number) AS first, max(number) AS last, list(DISTINCT number) AS have FROM numbers GROUP BY 1),
+missing AS (SELECT provision_id, x FROM (SELECT provision_id, have, unnest(range(first, last + 1)) AS x FROM b) WHERE NOT list_contains(have, x)),
+holes AS (SELECT provision_id, min(x) AS number, max(x) AS upto FROM (SELECT *, x - row_number() OVER (PARTITION BY provision_id ORDER BY x) AS run FROM missing) GROUP BY provision_id, run)"""
+
+
 @query(
-    f"""WITH {NUMBERS}, b AS (SELECT provision_id, min(number) AS first, max(number) AS last, list(DISTINCT number) AS have FROM numbers GROUP BY 1)
-    SELECT provision_id, first, last, CAST(len(g) AS BIGINT) AS n_gaps, array_to_string(list_sort(g), ',') AS gaps
-    FROM (SELECT *, list_filter(range(first, last + 1), lambda x: NOT list_contains(have, x)) AS g FROM b)"""
+    f"""WITH {HOLES}, g AS (SELECT provision_id, CAST(sum(upto - number + 1) AS BIGINT) AS n, string_agg(CASE WHEN upto > number THEN number || '-' || upto ELSE CAST(number AS VARCHAR) END, ',' ORDER BY number) AS gaps FROM holes GROUP BY 1)
+    SELECT provision_id, first, last, coalesce(n, 0) AS n_gaps, coalesce(gaps, '') AS gaps FROM b LEFT JOIN g USING (provision_id)"""
 )
 def numbering_gaps(spark: SparkSession, d: str) -> DataFrame:
     return r.numbering_gaps(numbers(spark, d), "provision_id", "number")
 
 
 @query(
-    f"""WITH {NUMBERS}, b AS (SELECT provision_id, min(number) AS first, max(number) AS last, list(DISTINCT number) AS have FROM numbers GROUP BY 1)
-    SELECT provision_id, 'duplicate' AS problem, number FROM numbers GROUP BY 1, 3 HAVING count(*) > 1
-    UNION ALL SELECT DISTINCT provision_id, 'out_of_order', number FROM (SELECT *, lag(number) OVER (PARTITION BY provision_id ORDER BY seq) AS before FROM numbers) WHERE number < before
-    UNION ALL SELECT provision_id, 'gap', x FROM (SELECT provision_id, have, unnest(range(first, last + 1)) AS x FROM b) WHERE NOT list_contains(have, x)"""
+    f"""WITH {HOLES} SELECT provision_id, 'duplicate' AS problem, number, number AS upto FROM numbers GROUP BY 1, 3 HAVING count(*) > 1
+    UNION ALL SELECT DISTINCT provision_id, 'out_of_order', number, number FROM (SELECT *, lag(number) OVER (PARTITION BY provision_id ORDER BY seq) AS before FROM numbers) WHERE number < before
+    UNION ALL SELECT provision_id, 'gap', number, upto FROM holes"""
 )
 def numbering_gate(spark: SparkSession, d: str) -> DataFrame:
     return r.numbering_problems(numbers(spark, d), "provision_id", "seq", "number")

@@ -3,13 +3,17 @@
 from __future__ import annotations
 
 import uuid
+from datetime import datetime, timedelta
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..session import shared_folder
 from ..sources import tables as s
 from ..streaming import jobs as j
+from ..streaming import replans
 from ..streaming import state as st
+from .law import PLAN, planned_steps
 from .registry import JOBS, QUEUE, query
 
 
@@ -117,3 +121,15 @@ def stream_quantiles(spark: SparkSession, d: str) -> DataFrame:
     """Medians and 95th percentiles of the last seven days by source and for all, from days' sketches of a stream; exact while a day and source has fewer jobs than a sketch keeps."""
     sketches = j.drained(st.sketched(_job_stream(spark, d)), "sketches")
     return st.sliding_quantiles(sketches).select("source", "day", "published", F.round("p50_hours", 6).alias("p50_hours"), F.round("p95_hours", 6).alias("p95_hours"))
+
+
+@query(f"WITH {PLAN} SELECT provision_id, valid_from, valid_to, text, amendment_id FROM planned WHERE problem IS NULL")
+def stream_replans(spark: SparkSession, d: str) -> DataFrame:
+    """The versions on record when amendments have come in three batches out of order: those of a replay of all."""
+    base, steps = planned_steps(spark, d)
+    where = f"{shared_folder(spark)}/replans-{uuid.uuid4().hex}"
+    start = datetime(2024, 1, 1)
+    replans.begin(spark, where, base, start)
+    third = F.col("amendment_id").cast("long") % 3
+    replans.follow(j.in_steps(spark, [steps.where(third == k) for k in (1, 0, 2)], "amendments"), where, base, start + timedelta(days=1), timedelta(days=1), f"{where}/state")
+    return replans.versions(spark, where).where("rec_to is null").select("provision_id", "valid_from", "valid_to", "text", "amendment_id")
