@@ -17,11 +17,9 @@ long texts are parsed whole, in some 20 bytes of memory a letter; other columns
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .common import fold_of, materialise, slices
@@ -213,30 +211,29 @@ def fit(docs: DataFrame, docs_per_lang: int = DOCS_PER_LANG, chars_per_doc: int
     return Model(texts)
 
 
-def predict(docs: DataFrame, model: Model) -> DataFrame:
-    """docs with lang_pred and score."""
-    shared = docs.sparkSession.sparkContext.broadcast(model)
-    kept = docs.drop("lang_pred", "score")
-    place = kept.columns.index("text")
+def predicted(spark: SparkSession, model: Model, text: Column) -> Column:
+    """lang_pred and score of a text. Texts alone go to Python, and what comes back is small: rows stay where they are."""
+    shared = spark.sparkContext.broadcast(model)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in slices(batches, size=1_000_000):
-            lang, score = shared.value.predict(batch.column(place).to_pylist())
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(lang, pa.string()), pa.array(score, pa.float64())], names=[*batch.schema.names, "lang_pred", "score"])
+    @F.arrow_udf("struct<lang_pred: string, score: double>")
+    def told(texts: pa.Array) -> pa.Array:
+        lang, score = [], []
+        for piece in slices([pa.RecordBatch.from_arrays([texts], names=["text"])], size=1_000_000):
+            some = shared.value.predict(piece.column(0).to_pylist())
+            lang += some[0]
+            score += some[1]
+        return pa.StructArray.from_arrays([pa.array(lang, pa.string()), pa.array(score, pa.float64())], names=["lang_pred", "score"])
 
-    schema = ", ".join([f"`{f.name}` {f.dataType.simpleString()}" for f in kept.schema] + ["lang_pred string", "score double"])
-    return kept.mapInArrow(run, schema)
+    return told(text)
 
 
 def report(docs: DataFrame) -> DataFrame:
     """One row per document: doc_id, held_out, lang_pred, score."""
-    got = predict(docs.select("doc_id", "text"), fit(docs))
-    return got.select("doc_id", F.coalesce(fold_of(F.col("doc_id"), 5) == 0, F.lit(False)).alias("held_out"), "lang_pred", "score")
+    got = docs.select("doc_id", predicted(docs.sparkSession, fit(docs), F.col("text")).alias("p__"))
+    return got.select("doc_id", F.coalesce(fold_of(F.col("doc_id"), 5) == 0, F.lit(False)).alias("held_out"), "p__.lang_pred", "p__.score")
 
 
 def keep_known(docs: DataFrame, langs: list[str] | None = None) -> DataFrame:
     """The documents, with their own columns, whose predicted language is known (or one of langs)."""
-    marked = docs.select(F.struct("*").alias("row"), "text")
-    got = predict(marked, fit(docs))
-    rule = F.col("lang_pred").isin(langs) if langs else F.col("lang_pred") != "und"
-    return got.where(rule).select("row.*")
+    lang = predicted(docs.sparkSession, fit(docs), F.col("text"))["lang_pred"]
+    return docs.where(lang.isin(langs) if langs else lang != "und")
