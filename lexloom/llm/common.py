@@ -7,6 +7,7 @@ import gc
 import tempfile
 import uuid
 from collections.abc import Iterator
+from contextlib import contextmanager
 
 import numpy as np
 import pyarrow as pa
@@ -36,6 +37,18 @@ def slices(batches: Iterator[pa.RecordBatch], column: str = "text", rows: int =
             at = end
 
 
+@contextmanager
+def rows_at_once(spark: SparkSession, rows: int) -> Iterator[None]:
+    """Jobs that start inside send at most so many rows at once to Python; the session's own setting is put back behind them."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(name)
+    spark.conf.set(name, str(rows))
+    try:
+        yield
+    finally:
+        spark.conf.set(name, before)
+
+
 def scratch_root(spark: SparkSession) -> str:
     """A folder of this application below spark.checkpoint.dir, removed at the driver's exit.
 

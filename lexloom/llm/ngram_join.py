@@ -37,13 +37,15 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import materialise, slices, text_key
+from .common import materialise, rows_at_once, slices, text_key
 from .components import connected
 
 WORDS, PERCENT = 3, 90
 BLOCK_SETS, BLOCK_SHINGLES, SUBGROUP = 512, 400_000, 16
 SHAPE = 64
 REMEMBERED = 200_000
+#: Rows that Spark sends to Python at once: a batch of texts stands in both processes and, packed, between them.
+AT_ONCE = 1_000
 #: Signatures that a task looks at together, sets among them that make a signature common, and rounds of stars.
 SIGNATURES, COMMON, STARS = 500_000, 64, 4
 
@@ -468,13 +470,23 @@ def _open(found: dict, task: tuple | None, percent: int) -> list[tuple[int, int]
     return out
 
 
+def _classes(sets: DataFrame) -> DataFrame:
+    return sets.where("key is not null and doc_id is not null").groupBy("key").agg(F.min("doc_id").alias("least"))
+
+
+def _joined(docs: DataFrame, sets: DataFrame, width: int, percent: int) -> DataFrame:
+    """(node, component) of the least doc_id of each class that links with another."""
+    classes = _classes(sets)
+    pairs = links(docs, sets, width, percent)
+    return connected(pairs.join(classes.select(F.col("key").alias("a"), F.col("least").alias("x")), "a").join(classes.select(F.col("key").alias("b"), F.col("least").alias("y")), "b").select(F.col("x").alias("a"), F.col("y").alias("b")))
+
+
 def components(docs: DataFrame, width: int = WORDS, percent: int = PERCENT) -> DataFrame:
     """doc_id, text_key, n_shingles, key and component_id of every row."""
-    sets = materialise(document_sets(docs, width), "sets")
-    classes = sets.where("key is not null and doc_id is not null").groupBy("key").agg(F.min("doc_id").alias("least"))
-    pairs = links(docs, sets, width, percent)
-    named = pairs.join(classes.select(F.col("key").alias("a"), F.col("least").alias("x")), "a").join(classes.select(F.col("key").alias("b"), F.col("least").alias("y")), "b").select(F.col("x").alias("a"), F.col("y").alias("b"))
-    joined = connected(named)
+    with rows_at_once(docs.sparkSession, AT_ONCE):
+        sets = materialise(document_sets(docs, width), "sets")
+        joined = _joined(docs, sets, width, percent)
+    classes = _classes(sets)
     by_class = classes.join(joined, classes["least"] == joined["node"], "left").select("key", F.coalesce("component", "least").alias("component"))
     return sets.join(by_class, "key", "left").select("doc_id", "text_key", "n_shingles", "key", F.when(F.col("key").isNull(), F.col("doc_id")).when(F.col("doc_id").isNotNull(), F.col("component")).alias("component_id"))
 
