@@ -101,7 +101,7 @@ scored AS (SELECT *, round(raw_rank * CASE authority_rank WHEN 2 THEN 1.25 WHEN
   * CASE WHEN doc_type IN ('judgement', 'circular', 'order') AND DATE '2019-06-01' - valid_from BETWEEN 0 AND 1095 THEN 1.05 ELSE 1.0 END * CASE WHEN status IN ('superseded', 'rescinded', 'struck_down') THEN 0.5 WHEN status = 'stayed' THEN 0.7 ELSE 1.0 END, 4) AS score FROM hits),
 best AS (SELECT * FROM (SELECT *, count(*) OVER (PARTITION BY doc_id) AS passages, row_number() OVER (PARTITION BY doc_id ORDER BY score DESC, chunk_id) AS place FROM scored) WHERE place = 1)"""
 _SIMPLE = _INDEXED.replace("RANK", "CASE WHEN list_contains(t, 'für') <> list_contains(t, 'and') AND NOT contains(' ' || array_to_string(t, ' ') || ' ', ' of the ') THEN 0.4 * len(list_filter(t, lambda x: x IN ('für', 'and'))) ELSE 0 END")
-_TIONS = "CASE WHEN doc_type <> 'act' AND NOT list_contains(t, 'act') THEN 0.4 * len(list_filter(t, lambda x: regexp_full_match(x, 'tion(s|es|ed|ing|ings|ly|edly|ingly)?'))) ELSE 0.0 END"
+_TIONS = "CASE WHEN doc_type <> 'act' AND NOT list_contains(t, 'act') THEN 0.4 * len(list_filter(t, lambda x: regexp_full_match(x, 'tion(ly)?(s|es|ed|ing|ings|ly|edly|ingly)?'))) ELSE 0.0 END"
 _RULES = "CASE WHEN doc_type = 'rules' THEN 1.0 ELSE 0.0 END + 0.4 * len(list_filter(t, lambda x: x IN ('rule', 'rules', 'ruled')))"
 _ENGLISH = _INDEXED.replace("RANK", f"greatest({_RULES}, {_TIONS})")
 _ON = "2019-06-01"
