@@ -11,8 +11,10 @@ consecutive words of an item; an item of fewer words (but not none) is one windo
 * overlapping hits count once; an item that occurs many times in a document, or by several windows, is listed once;
 * very long texts are scanned whole, one at a time.
 
-The benchmark is broadcast in parts of at most `part_chars` characters (or one longer item). One part is the usual case; a
-larger benchmark takes one step for each part in the same stage, and each step adds its hits.
+The benchmark is broadcast in parts of at most `part_chars` characters (or one longer bucket of items). One part is the
+usual case: the corpus is read once and nothing is shuffled. A larger benchmark takes a job for each part, one after the
+other, so a task has one Python worker with one part at a time however large the benchmark is; a job writes the hits of
+texts alone, by the texts' digests, and the last part's scan takes them in.
 """
 
 from __future__ import annotations
@@ -22,10 +24,10 @@ from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import slices
+from .common import materialise, slices
 
 WIDTH = 10
 PART_CHARS = 8_000_000
@@ -139,39 +141,87 @@ HITS = "n_words long, hit_ranges array<struct<start: long, end: long>>, item_ids
 _RANGES = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))
 
 
-def _parts(benchmark: DataFrame, width: int, part_chars: int) -> Iterator[WindowIndex]:
-    """The benchmark's windows in parts; of each only its items, at most `part_chars` characters or one item, reach the driver at a time."""
-    items = benchmark.select(F.col("item_id").cast("string").alias("item_id"), "text").where("text is not null")
-    chars = items.agg(F.coalesce(F.sum(F.length("text")), F.lit(0))).first()[0]
-    parts = max(1, -(-chars // part_chars))
-    for k in range(parts):
-        rows = items.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(parts)) == k).collect()
-        yield WindowIndex([(r["item_id"], r["text"]) for r in rows], width)
+#: Buckets that items are dealt to for each part; successive buckets are filled into a part.
+BUCKETS_A_PART = 32
 
 
-def find_hits(docs: DataFrame, benchmark: DataFrame, width: int = WIDTH, part_chars: int = PART_CHARS) -> DataFrame:
-    """docs (doc_id, text) with n_words, hit_ranges (of words, merged) and item_ids (distinct, sorted as strings).
+class Benchmark:
+    """The distinct items of a benchmark, dealt into parts; of a part only its own items reach the driver, when it is opened."""
+
+    def __init__(self, benchmark: DataFrame, width: int, part_chars: int):
+        items = benchmark.select(F.col("item_id").cast("string").alias("item_id"), "text").where("text is not null").distinct()
+        self.width = width
+        chars = items.agg(F.coalesce(F.sum(F.length("text")), F.lit(0))).first()[0]
+        self.buckets = 1 if chars <= part_chars else BUCKETS_A_PART * -(-chars // part_chars)
+        self.items = items.withColumn("bucket", F.pmod(F.xxhash64("item_id", "text"), F.lit(self.buckets)))
+        self.parts = [(0, 0)] if self.buckets == 1 else self._filled(part_chars)
+
+    def _filled(self, part_chars: int) -> list[tuple[int, int]]:
+        """The first and last bucket of each part: a new part begins where the next bucket would not fit."""
+        parts, size = [], 0
+        for r in self.items.groupBy("bucket").agg(F.sum(F.length("text")).alias("chars")).orderBy("bucket").toLocalIterator():
+            if not parts or size + r["chars"] > part_chars:
+                parts.append((r["bucket"], r["bucket"]))
+                size = 0
+            parts[-1] = (parts[-1][0], r["bucket"])
+            size += r["chars"]
+        return parts
+
+    def opened(self, part: tuple[int, int]) -> WindowIndex:
+        rows = self.items.where(F.col("bucket").between(*part)).select("item_id", "text").collect()
+        return WindowIndex([(r["item_id"], r["text"]) for r in rows], self.width)
+
 
-    Every part is a step of one stage: the corpus is read once, nothing is shuffled, and each step adds its hits.
+def _digest() -> Column:
+    return F.sha2(F.col("text"), 256)
+
+
+def _earlier(docs: DataFrame, bench: Benchmark) -> DataFrame | None:
+    """(digest, ranges, items) of the distinct texts with hits in any part but the last; None where there is one part.
+
+    Each part is a job of its own, whose written hits are all that is left of it when the next one opens. Equal texts have
+    equal hits, so one row of them stays.
     """
-    spark = docs.sparkSession
-    kind = docs.schema["doc_id"].dataType.simpleString()
-    out = docs.select("doc_id", "text", F.lit(0).cast("long").alias("n_words"), F.array().cast("array<struct<start: long, end: long>>").alias("hit_ranges"), F.array().cast("array<string>").alias("item_ids"))
-    for index in _parts(benchmark, width, part_chars):
-        shared = spark.sparkContext.broadcast(index)
+    found = None
+    for part in bench.parts[:-1]:
+        shared = docs.sparkSession.sparkContext.broadcast(bench.opened(part))
 
         def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
             for batch in slices(batches):
-                found = scan(batch.column(1).cast(pa.binary()).to_pylist(), shared.value)
-                ranges, items = batch.column(3).to_pylist(), batch.column(4).to_pylist()
-                for d, (_, more, own) in enumerate(found):
-                    if more:
-                        ranges[d] = [{"start": a, "end": b} for a, b in merge([*([x["start"], x["end"]] for x in ranges[d]), *more])]
-                        items[d] = sorted({*items[d], *own})
-                yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array([n for n, _, _ in found], pa.int64()), pa.array(ranges, _RANGES), pa.array(items, pa.list_(pa.string()))], names=batch.schema.names)
-
-        out = out.mapInArrow(run, f"doc_id {kind}, text string, {HITS}")
-    return out
+                hits = [(d, ranges, sorted(items)) for d, (_, ranges, items) in enumerate(scan(batch.column(0).cast(pa.binary()).to_pylist(), shared.value)) if ranges]
+                places = pa.array([d for d, _, _ in hits], pa.int64())
+                told = [[{"start": a, "end": b} for a, b in ranges] for _, ranges, _ in hits]
+                yield pa.RecordBatch.from_arrays([batch.column(1).take(places), pa.array(told, _RANGES), pa.array([items for _, _, items in hits], pa.list_(pa.string()))], names=["digest", "ranges", "items"])
+
+        hits = docs.where("text is not null").select("text", _digest().alias("digest")).mapInArrow(run, "digest string, ranges array<struct<start: long, end: long>>, items array<string>")
+        hits = materialise(hits.dropDuplicates(["digest"]), "hits")
+        shared.destroy()
+        found = hits if found is None else found.unionByName(hits)
+    return found and found.groupBy("digest").agg(F.flatten(F.collect_list("ranges")).alias("ranges"), F.flatten(F.collect_list("items")).alias("items"))
+
+
+def find_hits(docs: DataFrame, benchmark: DataFrame, width: int = WIDTH, part_chars: int = PART_CHARS) -> DataFrame:
+    """docs (doc_id, text) with n_words, hit_ranges (of words, merged) and item_ids (distinct, sorted as strings)."""
+    bench = Benchmark(benchmark, width, part_chars)
+    kind = docs.schema["doc_id"].dataType.simpleString()
+    earlier = _earlier(docs, bench)
+    if earlier is None:
+        rows = docs.select("doc_id", "text", F.lit(None).cast("array<struct<start: long, end: long>>").alias("ranges"), F.lit(None).cast("array<string>").alias("items"))
+    else:
+        rows = docs.select("doc_id", "text", _digest().alias("digest")).join(earlier, "digest", "left").select("doc_id", "text", "ranges", "items")
+    shared = docs.sparkSession.sparkContext.broadcast(bench.opened(bench.parts[-1]))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in slices(batches):
+            found = scan(batch.column(1).cast(pa.binary()).to_pylist(), shared.value)
+            before = zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True)
+            ranges, items = [], []
+            for (_, more, own), (told, named) in zip(found, before, strict=True):
+                ranges.append([{"start": a, "end": b} for a, b in merge([*([x["start"], x["end"]] for x in told or ()), *more])])
+                items.append(sorted({*(named or ()), *own}))
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array([n for n, _, _ in found], pa.int64()), pa.array(ranges, _RANGES), pa.array(items, pa.list_(pa.string()))], names=["doc_id", "text", "n_words", "hit_ranges", "item_ids"])
+
+    return rows.mapInArrow(run, f"doc_id {kind}, text string, {HITS}")
 
 
 def report(docs: DataFrame, benchmark: DataFrame, width: int = WIDTH) -> DataFrame:
@@ -187,20 +237,20 @@ def report(docs: DataFrame, benchmark: DataFrame, width: int = WIDTH) -> DataFra
     )
 
 
-def drop_contaminated(docs: DataFrame, benchmark: DataFrame, width: int = WIDTH) -> DataFrame:
-    """The documents, with all their columns, in which no benchmark window occurs: one stage, no shuffle."""
+def drop_contaminated(docs: DataFrame, benchmark: DataFrame, width: int = WIDTH, part_chars: int = PART_CHARS) -> DataFrame:
+    """The documents, with all their columns, in which no benchmark window occurs: one stage without a shuffle for one part."""
+    bench = Benchmark(benchmark, width, part_chars)
     place = docs.columns.index("text")
-    out = docs
-    for index in _parts(benchmark, width, PART_CHARS):
-        shared = docs.sparkSession.sparkContext.broadcast(index)
+    earlier = _earlier(docs, bench)
+    clean = docs if earlier is None else docs.join(earlier.select(F.col("digest").alias("_hit")), _digest() == F.col("_hit"), "left_anti")
+    shared = docs.sparkSession.sparkContext.broadcast(bench.opened(bench.parts[-1]))
 
-        def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
-            for batch in slices(batches):
-                found = scan(batch.column(place).cast(pa.binary()).to_pylist(), shared.value)
-                yield batch.filter(pa.array([not r for _, r, _ in found], pa.bool_()))
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in slices(batches):
+            found = scan(batch.column(place).cast(pa.binary()).to_pylist(), shared.value)
+            yield batch.filter(pa.array([not r for _, r, _ in found], pa.bool_()))
 
-        out = out.mapInArrow(run, docs.schema)
-    return out
+    return clean.mapInArrow(run, docs.schema)
 
 
 def remove_spans(text: str | None, hit_ranges: list[tuple[int, int]]) -> str | None:

@@ -103,6 +103,18 @@ def test_decontamination(spark, random_docs, part_chars):
         assert (r["n_words"], sum(x["end"] - x["start"] for x in r["hit_ranges"]), r["item_ids"]) == (len(w), len(hit), sorted(own))
 
 
+def test_benchmark_parts_open_one_at_a_time(spark, random_docs):
+    items = [(k, f"word{k} " * 5) for k in range(14)] + [(1, "same words")] * 30 + [(2, texts_of(random_docs)[0][1])]
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    dealt = decontaminate.Benchmark(bench, 10, 100)
+    assert len(dealt.parts) > 4 and len(dealt.opened(dealt.parts[0]).ids) <= 30
+    assert sum(dealt.items.where(F.col("bucket").between(*part)).count() for part in dealt.parts) == 16
+    for f in (decontaminate.find_hits, decontaminate.drop_contaminated):
+        many, one = f(random_docs, bench, part_chars=100), f(random_docs, bench)
+        assert many._jdf.queryExecution().optimizedPlan().toString().count("MapInArrow") == 1
+        assert sorted(map(repr, many.collect())) == sorted(map(repr, one.collect()))
+
+
 def test_remove_spans():
     assert decontaminate.remove_spans("One two, three four.", [(1, 3)]) == "One  four."
 
