@@ -7,7 +7,7 @@ from collections.abc import Iterator
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions import amend, clauses, html, legal, meta, segment
+from ..functions import amend, clauses, html, legal, segment
 from ..functions.dates import effective_for
 from ..functions.text import normalise_text
 from .folds import arrow_udf, folded
@@ -77,7 +77,7 @@ def skipped_paths(blocks: DataFrame) -> DataFrame:
     return blocks.select(F.explode(F.array_distinct(bad)).alias("token")).groupBy("token").agg(F.count("*").alias("n"))
 
 
-# ---------------------------------------------------------------- segments and fields
+# ---------------------------------------------------------------- segments
 
 
 def _ordered(blocks: DataFrame, *keys: str) -> DataFrame:
@@ -99,13 +99,6 @@ def numbered_items(blocks: DataFrame, key: str, doc_type: str = "doc_type") -> D
     return _ordered(blocks, key, doc_type).select(key, F.posexplode(run(doc_type, "blocks")).alias("seq", "x")).select(key, "seq", "x.*")
 
 
-def fields(blocks: DataFrame, documents: DataFrame, key: str, today: Column) -> DataFrame:
-    """Fields, confidence and issues of documents (key, doc_type, title, file_name) from their blocks."""
-    run = F.udf(lambda kind, own, title, name, day: meta.extract(kind, [(b["kind"], b["text"] or "") for b in own], title, name, day), meta.META, useArrow=True)
-    rows = _ordered(blocks, key).join(documents.select(key, "doc_type", "title", "file_name"), key)
-    return rows.select(key, "doc_type", run("doc_type", "blocks", "title", "file_name", today).alias("m")).select(key, "doc_type", "m.*")
-
-
 # ---------------------------------------------------------------- amendments
 
 

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import amend, ids
 from ..functions.text import normalise_text, word_diff
-from ..operators import law
+from ..operators import fields, law
 from ..operators.folds import arrow_udf
 from ..sources import tables as s
 from .registry import VERSIONS, query
@@ -304,7 +304,7 @@ def extract_meta(spark: SparkSession, d: str) -> DataFrame:
     dated = F.concat(F.lit("New Delhi, dated "), F.date_format("o_orderdate", "dd.MM.yyyy"))
     blocks = o.select(key.alias("k"), F.posexplode(F.array(head, dated)).alias("seq", "text"))
     docs = o.select(key.alias("k"), F.lit("notification").alias("doc_type"), F.when(key % 2 == 0, "on 999/1999").otherwise("").alias("title"), F.lit(None).cast("string").alias("file_name"))
-    got = law.fields(blocks, docs, "k", F.lit("2030-01-01").cast("date"))
+    got = fields.fields(blocks, docs, "k", F.lit("2030-01-01").cast("date"))
     return got.select("k", *[F.col("fields")[n].alias(n) for n in ("series", "number", "year", "doc_date", "canonical_id")], F.col("confidence")["number"].alias("sure"), F.array_join("issues", ",").alias("issues"))
 
 
@@ -320,10 +320,38 @@ def judgement_fields(spark: SparkSession, d: str) -> DataFrame:
     lines = [court, case, F.concat("c_name", F.lit(" ..... Petitioner")), F.lit("State ..... Respondent"), F.lit("CORAM: Hon'ble Mr. Justice B. Sen and Hon'ble Ms. Justice A. Rao"), F.lit("1. The facts."), F.lit("dated 1st January, 2020 and then dated 03.02.2020")]
     blocks = c.select(F.col("c_custkey").alias("k"), F.posexplode(F.array(*lines)).alias("seq", "text"))
     docs = c.select(F.col("c_custkey").alias("k"), F.lit("judgement").alias("doc_type"), F.lit("").alias("title"), F.lit(None).cast("string").alias("file_name"))
-    got = law.fields(blocks, docs, "k", F.lit("2030-01-01").cast("date"))
+    got = fields.fields(blocks, docs, "k", F.lit("2030-01-01").cast("date"))
     return got.select("k", *[F.col("fields")[n].alias(n) for n in ("court_code", "case_numbers", "decision_date", "title", "judges")])
 
 
+@query(
+    """WITH o AS (SELECT o_orderkey AS k, CASE WHEN o_orderkey % 2 = 0 THEN 'order' ELSE 'instruction' END AS kind, o_orderkey, o_orderdate, 'Tolls of ' || o_orderpriority AS subject, year(o_orderdate) AS y FROM orders)
+    SELECT k, kind AS doc_type, CASE WHEN k % 5 > 0 THEN k::VARCHAR END AS number, CASE WHEN k % 5 > 0 THEN left(kind, 3) || ':' || k || '/' || y END AS canonical_id, o_orderdate::DATE::VARCHAR AS doc_date,
+    CASE WHEN k % 3 = 0 THEN 'AB' || lpad(k::VARCHAR, 18, '0') END AS din, CASE WHEN k % 7 = 0 THEN subject END AS subject,
+    CASE WHEN k % 7 = 0 THEN subject WHEN k % 4 = 0 THEN 'ON THE TOLLS OF ' || k WHEN k % 5 > 0 THEN upper(left(kind, 1)) || substr(kind, 2) || ' No. ' || k ELSE 'file.pdf' END AS title,
+    CASE WHEN k % 7 = 0 THEN 0.95 WHEN k % 4 = 0 OR k % 5 > 0 THEN 0.7 ELSE 0.5 END AS title_sure, CASE WHEN o_orderdate::DATE < DATE '2017-06-01' THEN 0.475 ELSE 0.95 END AS date_sure,
+    concat_ws(',', CASE WHEN o_orderdate::DATE < DATE '2017-06-01' THEN 'crosscheck:doc_date out of range: ' || o_orderdate::DATE END, CASE WHEN k % 5 = 0 THEN 'missing:number,missing:year' END) AS issues FROM o"""
+)
+def order_fields(spark: SparkSession, d: str) -> DataFrame:
+    """Orders and instructions: some without a number, a subject, an identification number or a heading, some dated before the tax."""
+    o = s.table(spark, d, "orders")
+    key, word = F.col("o_orderkey"), F.col("o_orderkey").cast("string")
+    kind = F.when(key % 2 == 0, "order").otherwise("instruction")
+    head = F.when(key % 5 > 0, F.concat(F.when(key % 2 == 0, "ORDER No. ").otherwise("Instruction  no "), word, F.lit(" / "), F.year("o_orderdate").cast("string"))).otherwise("To all officers")
+    lines = [
+        head,
+        F.concat(F.lit("dated the "), F.date_format("o_orderdate", "d MMMM, yyyy")),
+        F.when(key % 7 == 0, F.concat(F.lit("Sub : Tolls of "), "o_orderpriority")).otherwise(""),
+        F.when(key % 3 == 0, F.concat(F.lit("DIN: AB"), F.lpad(word, 18, "0"), F.lit(" of record"))).otherwise(None),
+        F.when(key % 4 == 0, F.concat(F.lit("ON THE TOLLS OF "), word)).otherwise("1. ALL IN CAPITALS AND YET NO TITLE"),
+    ]
+    blocks = o.select(key.alias("k"), F.posexplode(F.array(*lines)).alias("seq", "text"))
+    docs = o.select(key.alias("k"), kind.alias("doc_type"), F.lit(None).cast("string").alias("title"), F.lit("file.pdf").alias("file_name"))
+    got = fields.fields(blocks, docs, "k", F.lit("2030-01-01").cast("date"))
+    sure = F.col("confidence")
+    return got.select("k", "doc_type", *[F.col("fields")[n].alias(n) for n in ("number", "canonical_id", "doc_date", "din", "subject", "title")], sure["title"].alias("title_sure"), sure["doc_date"].alias("date_sure"), F.array_join("issues", ",").alias("issues"))
+
+
 @query(
     """SELECT p_partkey AS k, (p_partkey % 200) || '/' || (p_partkey % 9) || '/2020' AS number, 'cir:' || (p_partkey % 200) || '/' || (p_partkey % 9) || '/2020' AS canonical_id, p_name AS subject, p_name AS title, 'prov:CGST_ACT:s' || (p_partkey % 90 + 1) AS sections_referred FROM part"""
 )
@@ -333,7 +361,7 @@ def circular_fields(spark: SparkSession, d: str) -> DataFrame:
     lines = [head, F.lit("dated the 5th May, 2020"), F.concat(F.lit("Subject: "), "p_name"), F.concat(F.lit("2. Under section "), (F.col("p_partkey") % 90 + 1).cast("string"), F.lit(" of the CGST Act, credit is due. Nothing else."))]
     blocks = p.select(F.col("p_partkey").alias("k"), F.posexplode(F.array(*lines)).alias("seq", "text"))
     docs = p.select(F.col("p_partkey").alias("k"), F.lit("circular").alias("doc_type"), F.lit("").alias("title"), F.lit("x.pdf").alias("file_name"))
-    return law.fields(blocks, docs, "k", F.lit("2030-01-01").cast("date")).select("k", *[F.col("fields")[n].alias(n) for n in ("number", "canonical_id", "subject", "title", "sections_referred")])
+    return fields.fields(blocks, docs, "k", F.lit("2030-01-01").cast("date")).select("k", *[F.col("fields")[n].alias(n) for n in ("number", "canonical_id", "subject", "title", "sections_referred")])
 
 
 @query(

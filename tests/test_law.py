@@ -6,7 +6,7 @@ import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
-from lexloom.functions import amend, clauses, dates, html, ids, legal, lexemes, meta, segment, text
+from lexloom.functions import amend, clauses, dates, html, ids, legal, lexemes, segment, text
 from lexloom.operators import law
 
 CANAL = "A boat that enters the canal pays a toll of nine coins, and a raft pays a toll too."
@@ -55,7 +55,6 @@ def test_parsers_never_raise(said):
     dates.effective(said)
     lexemes.parsed(said)
     lexemes.snippet(lexemes.parsed(said), said)
-    meta.extract("judgement", [("para", said)])
     for kind in ("act", "rules", "notification", "circular", "judgement", "memo"):
         assert len(segment.segment(kind, [("para", said), ("heading", said)])[0]) == 2
     assert text.plain(text.plain(said)) == text.plain(said)
@@ -259,23 +258,6 @@ def test_segments_of_other_types():
     assert segment.segment("memo", para("a", "b"))[0] == ["p1", "p2"]
 
 
-def test_fields_and_what_contradicts_them():
-    got = meta.extract("notification", para("Notification No. 12/2019 - Central Tax", "dated the 8th March, 2019"), title="No. 13/2019", today=date(2020, 1, 1))
-    assert (got["fields"]["canonical_id"], got["confidence"]["number"], got["issues"]) == ("ntf:CT:12/2019", 0.475, ["crosscheck:number disagrees with title"])
-    assert meta.extract("notification", para("nothing"))["issues"] == ["missing:doc_date", "missing:number", "missing:series", "missing:year"]
-    assert meta.extract("order", para("Order No. 6/2018", "dated 7th May, 2019"), today=date(2019, 1, 1))["issues"] == ["crosscheck:doc_date out of range: 2019-05-07"]
-    assert meta.extract("act", para("x", "THE CANAL TOLLS ACT, 2015"))["fields"]["title"] == "THE CANAL TOLLS ACT, 2015"
-    assert meta.extract("memo", para("A NOTE ON BOATS"), file_name="n.pdf")["fields"] == {"title": "A NOTE ON BOATS", "doc_type": "memo"}
-    assert meta.least_sure("act", {"title": "t"}, {"title": 0.7}) == 0.7 and meta.least_sure("order", {"number": "1"}, {"number": 0.9}) == 0.0
-
-
-def test_fields_of_judgements():
-    lines = para("IN THE SUPREME COURT OF INDIA", "Civil Appeal No. 0044 of 2020 with SLP (C) No. 5 of 2019", "Boat Company ....... Appellant(s)", "The Canal ....... the Respondent", "DIVISION BENCH", "CORAM : Dr. Justice N. Weir, R. Lock", "It is ordered.", "dated 9th May, 2021")
-    got = meta.extract("judgement", lines)["fields"]
-    assert (got["court_code"], got["case_numbers"], got["decision_date"], got["canonical_id"]) == ("SC", "CA 44/2020; SLP(C) 5/2019", "2021-05-09", "jdg:SC:CA44/2020:2021-05-09")
-    assert (got["petitioners"], got["respondents"], got["judges"], got["bench"]) == ("Boat Company", "The Canal", "N. Weir; R. Lock", "DIVISION BENCH")
-
-
 def test_queries_as_people_type_them():
     places = {t: p for t, p, _ in lexemes.postings(None, "long boats pay a toll on the canal", False)}
     ask = lambda q: lexemes.matches(lexemes.parsed(q, False), places)
