@@ -7,7 +7,7 @@ from collections.abc import Iterator
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions import amend, clauses, html, legal, segment
+from ..functions import amend, clauses, html, legal
 from ..functions.dates import effective_for
 from ..functions.text import normalise_text
 from .folds import arrow_udf, folded
@@ -77,28 +77,12 @@ def skipped_paths(blocks: DataFrame) -> DataFrame:
     return blocks.select(F.explode(F.array_distinct(bad)).alias("token")).groupBy("token").agg(F.count("*").alias("n"))
 
 
-# ---------------------------------------------------------------- segments
-
-
 def _ordered(blocks: DataFrame, *keys: str) -> DataFrame:
     """One row a document, its blocks (seq, kind, text) in order: what a document's state machine reads."""
     kind = F.col("kind") if "kind" in blocks.columns else F.lit("para").alias("kind")
     return blocks.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct("seq", kind, "text"))).alias("blocks"))
 
 
-def segmented(blocks: DataFrame, key: str, doc_type: str = "doc_type") -> DataFrame:
-    """blocks (key, doc_type, seq, kind, text) with the structure path of each."""
-    run = F.udf(lambda kind, own: segment.segment(kind, [(b["kind"], b["text"] or "") for b in own])[0], "array<string>", useArrow=True)
-    rows = _ordered(blocks, key, doc_type).withColumn("paths", run(doc_type, "blocks"))
-    return rows.select(key, doc_type, F.explode(F.arrays_zip("blocks", "paths")).alias("x")).select(key, doc_type, "x.blocks.seq", "x.blocks.kind", "x.blocks.text", F.col("x.paths").alias("path"))
-
-
-def numbered_items(blocks: DataFrame, key: str, doc_type: str = "doc_type") -> DataFrame:
-    """(key, seq, prefix, label): the numbered items of each document in order, for the numbering gate."""
-    run = F.udf(lambda kind, own: [{"prefix": p, "label": n} for p, n in segment.segment(kind, [(b["kind"], b["text"] or "") for b in own])[1]], "array<struct<prefix: string, label: string>>", useArrow=True)
-    return _ordered(blocks, key, doc_type).select(key, F.posexplode(run(doc_type, "blocks")).alias("seq", "x")).select(key, "seq", "x.*")
-
-
 # ---------------------------------------------------------------- amendments
 
 

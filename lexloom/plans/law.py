@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import amend, ids
 from ..functions.text import normalise_text, word_diff
-from ..operators import fields, law
+from ..operators import fields, law, segments
 from ..operators.folds import arrow_udf
 from ..sources import tables as s
 from .registry import VERSIONS, query
@@ -373,7 +373,7 @@ def segment_act(spark: SparkSession, d: str) -> DataFrame:
     chapters = s.table(spark, d, "region").select(F.col("r_regionkey").alias("k"), F.lit(0).alias("seq"), F.concat(F.lit("CHAPTER "), roman).alias("text"))
     place = F.row_number().over(law.Window.partitionBy("n_regionkey").orderBy("n_nationkey"))
     sections = s.table(spark, d, "nation").select(F.col("n_regionkey").alias("k"), place.alias("seq"), F.concat((F.col("n_nationkey") + 1).cast("string"), F.lit(". (2) "), "n_name").alias("text"))
-    return law.segmented(chapters.unionByName(sections).withColumn("doc_type", F.lit("act")), "k").select("k", "seq", "path")
+    return segments.segmented(chapters.unionByName(sections).withColumn("doc_type", F.lit("act")), "k").select("k", "seq", "path")
 
 
 LINES = """l AS (SELECT o_custkey AS k, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey) - 1 AS seq, o_orderkey, o_orderkey % 4 AS kind FROM orders)"""
@@ -395,7 +395,7 @@ def segment_notification(spark: SparkSession, d: str) -> DataFrame:
     """Numbered paragraphs, amending units, plain lines and schedules, as the orders come."""
     number = (F.col("o_orderkey") % 100).cast("string")
     rows = _lines(spark, d, "notification", [F.concat(number, F.lit(". Paragraph")), F.lit("(i) in rule 5, a word shall be omitted"), F.lit("more of it"), F.lit("SCHEDULE of rates")])
-    return law.segmented(rows, "k").select("k", "seq", "path")
+    return segments.segmented(rows, "k").select("k", "seq", "path")
 
 
 @query(
@@ -405,7 +405,7 @@ def segment_notification(spark: SparkSession, d: str) -> DataFrame:
 def segment_circular(spark: SparkSession, d: str) -> DataFrame:
     number = (F.col("o_orderkey") % 100).cast("string")
     rows = _lines(spark, d, "circular", [F.concat(number, F.lit(". Paragraph")), F.concat(number, F.lit("."), (F.col("o_orderkey") % 7).cast("string"), F.lit(" Part")), F.lit("more of it"), F.lit("and more")])
-    return law.segmented(rows, "k").select("k", "seq", "path")
+    return segments.segmented(rows, "k").select("k", "seq", "path")
 
 
 @query(
@@ -418,7 +418,7 @@ def segment_judgement(spark: SparkSession, d: str) -> DataFrame:
     """Headings of parts, plain paragraphs that are counted, and numbered ones."""
     number = (F.col("o_orderkey") % 100).cast("string")
     rows = _lines(spark, d, "judgement", [F.lit("FACTS OF THE CASE"), F.lit("Conclusion"), F.lit("the court says this"), F.concat(number, F.lit(". The court says"))], 1)
-    return law.segmented(rows, "k").select("k", "seq", "path")
+    return segments.segmented(rows, "k").select("k", "seq", "path")
 
 
 @query("SELECT p_partkey AS k, 'r' || (p_partkey % 9 + 1) || '.2' AS path, 'p' || (p_partkey % 3 + 1) AS other FROM part")
@@ -428,11 +428,42 @@ def segment_rules(spark: SparkSession, d: str) -> DataFrame:
     number = (F.col("p_partkey") % 9 + 1).cast("string")
     lines = [F.lit("CONTENTS"), F.concat(number, F.lit(". Name")), F.lit("THE LAND RULES, 2019"), F.concat(number, F.lit(". Name")), F.lit("(2) text"), F.concat((F.col("p_partkey") % 9 + 3).cast("string"), F.lit(". | a row"))]
     blocks = p.select(F.col("p_partkey").alias("k"), F.posexplode(F.array(*lines)).alias("seq", "text"))
-    rules = law.segmented(blocks.withColumn("doc_type", F.lit("rules")), "k").where("seq = 5").select("k", "path")
-    other = law.segmented(blocks.withColumn("doc_type", F.lit("memo")), "k").where("seq = k % 3").select("k", F.col("path").alias("other"))
+    rules = segments.segmented(blocks.withColumn("doc_type", F.lit("rules")), "k").where("seq = 5").select("k", "path")
+    other = segments.segmented(blocks.withColumn("doc_type", F.lit("memo")), "k").where("seq = k % 3").select("k", F.col("path").alias("other"))
     return rules.join(other, "k")
 
 
+FORMS = """f AS (SELECT o_custkey AS k, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey) - 1 AS seq, count(*) OVER (PARTITION BY o_custkey) AS n FROM orders),
+    m AS (SELECT k, seq, n, seq // 7 + 1 AS section, seq % 7 AS form FROM f)"""
+
+
+def _forms(spark: SparkSession, d: str) -> DataFrame:
+    """An act for each customer, a line for each order: sections, clauses, provisos, numbers too far ahead, footnotes and tables, and a schedule last."""
+    own = law.Window.partitionBy("o_custkey")
+    at = F.row_number().over(own.orderBy("o_orderkey")) - 1
+    rows = s.table(spark, d, "orders").select(F.col("o_custkey").alias("k"), F.lit("act").alias("doc_type"), at.alias("seq"), F.count("*").over(own).alias("n"), "o_orderpriority")
+    section, form = F.floor(F.col("seq") / 7) + 1, F.col("seq") % 7
+    numbered = F.concat(section.cast("string"), F.lit(". "), "o_orderpriority")
+    lines = [numbered, F.lit("(h) long boats"), F.lit("(i) rafts"), F.lit("Provided that it rains"), F.lit("2 Inserted by Act 9 of 2018"), F.lit("Rates"), F.lit("5. | nine coins")]
+    text = F.when(F.col("seq") == F.col("n") - 1, "SCHEDULE II").otherwise(F.element_at(F.array(*lines), form.cast("int") + 1))
+    return rows.select("k", "doc_type", "seq", F.when(form == 5, "table").when(form == 6, "table_row").otherwise("para").alias("kind"), text.alias("text"))
+
+
+@query(
+    f"""WITH {FORMS} SELECT k, seq, CASE WHEN seq = n - 1 AND form <> 6 THEN 'sched1' WHEN form = 0 THEN 's' || section WHEN form = 1 THEN 's' || section || '.h' WHEN form = 2 THEN 's' || section || '.i'
+    ELSE 's' || section || '.i.prov1' || CASE WHEN form = 4 THEN '.fn' || section ELSE '' END END AS path FROM m"""
+)
+def segment_forms(spark: SparkSession, d: str) -> DataFrame:
+    """Every form of a law's block; (i) after (h) is a letter, and a row of a table has the table's path."""
+    return segments.segmented(_forms(spark, d), "k").select("k", "seq", "path")
+
+
+@query(f"WITH {FORMS} SELECT k, section - 1 AS seq, 's' AS prefix, CAST(section AS VARCHAR) AS label FROM m WHERE form = 0 AND seq < n - 1")
+def segment_numbers(spark: SparkSession, d: str) -> DataFrame:
+    """The numbered items of each act, for the gate of numbers."""
+    return segments.numbered_items(_forms(spark, d), "k")
+
+
 @query("SELECT token, count(*) AS n FROM (SELECT CASE WHEN p_partkey % 3 = 0 THEN 'X' || p_partkey % 5 ELSE '9-' || p_partkey % 2 END AS token FROM part WHERE p_partkey % 2 = 0) GROUP BY 1")
 def skipped_paths(spark: SparkSession, d: str) -> DataFrame:
     token = F.when(F.col("p_partkey") % 3 == 0, F.concat(F.lit("X"), (F.col("p_partkey") % 5).cast("string"))).otherwise(F.concat(F.lit("9-"), (F.col("p_partkey") % 2).cast("string")))

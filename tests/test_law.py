@@ -6,7 +6,7 @@ import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
-from lexloom.functions import amend, clauses, dates, html, ids, legal, lexemes, segment, text
+from lexloom.functions import amend, clauses, dates, html, ids, legal, lexemes, text
 from lexloom.operators import law
 
 CANAL = "A boat that enters the canal pays a toll of nine coins, and a raft pays a toll too."
@@ -55,8 +55,6 @@ def test_parsers_never_raise(said):
     dates.effective(said)
     lexemes.parsed(said)
     lexemes.snippet(lexemes.parsed(said), said)
-    for kind in ("act", "rules", "notification", "circular", "judgement", "memo"):
-        assert len(segment.segment(kind, [("para", said), ("heading", said)])[0]) == 2
     assert text.plain(text.plain(said)) == text.plain(said)
 
 
@@ -240,24 +238,6 @@ def test_normal_forms_and_hashes():
     assert text.simhash("...") == 0
 
 
-def para(*lines):
-    return [("para", x) for x in lines]
-
-
-def test_segments_of_laws():
-    lines = para("THE CANAL LAW", "CHAPTER IV", "7. (1) Boats pay", "(2) Rafts wait", "(a) long ones", "(ii) in rain", "(b) short ones", "Provided that it rains", "Explanation 1. rain", "8. Locks", "40. too far", "(h) gates", "(i) bars", "3Inserted vide Act 9 of 2018", "FORM LOCK-1", "SCHEDULE II", "more")
-    assert segment.segment("act", lines)[0] == ["pre", "ch4", "ch4.s7.1", "ch4.s7.2", "ch4.s7.2.a", "ch4.s7.2.a.ii", "ch4.s7.2.b", "ch4.s7.2.b.prov1", "ch4.s7.2.b.expl1", "ch4.s8", "ch4.s8", "ch4.s8.h", "ch4.s8.i", "ch4.s8.i.fn1", "form1", "sched1", "sched1"]
-    front = para("ARRANGEMENT OF RULES", "1. Boats", "2. Rafts", "THE CANAL RULES, 2016", "An opening", "1. Boats pay") + [("table", "t"), ("table_row", "9. | x")] + para("2. Rafts wait")
-    assert segment.segment("rules", front) == (["toc", "toc", "toc", "pre", "pre", "r1", "r1", "r1", "r2"], [("r", "1"), ("r", "2")])
-
-
-def test_segments_of_other_types():
-    assert segment.segment("notification", para("Opening", "1. Boats", "in rule 3, a word shall be omitted", "more", "2. Rafts", "Table") + [("table_row", "a"), ("table_row", "b")] + para("3. End"))[0] == ["pre", "p1", "p1.i1", "p1.i1", "p2", "sched1", "sched1.row1", "sched1.row2", "p3"]
-    assert segment.segment("order", para("To all", "1. Boats", "1.2 Long boats", "more"))[0] == ["hdr", "p1", "p1.2", "p1.2"]
-    assert segment.segment("judgement", para("Court", "DISCUSSION", "one", "7. two", "A HEADING", "three"))[0] == ["hdr", "findings", "findings.p1", "findings.p7", "findings", "findings.p3"]
-    assert segment.segment("memo", para("a", "b"))[0] == ["p1", "p2"]
-
-
 def test_queries_as_people_type_them():
     places = {t: p for t, p, _ in lexemes.postings(None, "long boats pay a toll on the canal", False)}
     ask = lambda q: lexemes.matches(lexemes.parsed(q, False), places)
