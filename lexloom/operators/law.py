@@ -7,9 +7,9 @@ from collections.abc import Iterator
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions import amend, clauses, html, legal
-from ..functions.dates import effective_for
+from ..functions import amend, html, legal
 from ..functions.text import normalise_text
+from .amendments import review_status
 from .folds import arrow_udf, folded
 
 LOCATOR = "struct<path: string, relative: boolean, instrument: string>"
@@ -77,35 +77,9 @@ def skipped_paths(blocks: DataFrame) -> DataFrame:
     return blocks.select(F.explode(F.array_distinct(bad)).alias("token")).groupBy("token").agg(F.count("*").alias("n"))
 
 
-def _ordered(blocks: DataFrame, *keys: str) -> DataFrame:
-    """One row a document, its blocks (seq, kind, text) in order: what a document's state machine reads."""
-    kind = F.col("kind") if "kind" in blocks.columns else F.lit("para").alias("kind")
-    return blocks.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct("seq", kind, "text"))).alias("blocks"))
-
-
 # ---------------------------------------------------------------- amendments
 
 
-def proposals(blocks: DataFrame, documents: DataFrame, key: str) -> DataFrame:
-    """A row for each amending clause of notifications: documents (key, doc_date), blocks (key, seq, text).
-
-    The date a clause takes effect is its own, else the notification's, else the day of the gazette.
-    """
-
-    def run(own: list, doc_date: object) -> list[dict]:
-        found = clauses.detect([b["text"] or "" for b in own])
-        out = []
-        for p in found["proposals"]:
-            unit = {"condition": "on_date", "effective_from": p["effective_from"], "phrase": p["effective_phrase"], "retrospective": False} if p["effective_from"] else None
-            when = effective_for(unit, found["effective"], doc_date)
-            out.append(p | {"effective_from": when["effective_from"], "effective_phrase": when["phrase"], "condition": when["condition"], "retrospective": when["retrospective"]})
-        return out
-
-    detect = F.udf(run, f"array<struct<{clauses.PROPOSAL}, condition: string, retrospective: boolean>>", useArrow=True)
-    rows = _ordered(blocks, key).join(documents.select(key, "doc_date"), key)
-    return rows.select(key, F.posexplode(detect("blocks", "doc_date")).alias("place", "p")).select(key, "place", "p.*")
-
-
 def _applied(text, op, kind, old_text, new_text, anchor_text, position):
     if f"{op}_{kind}" not in amend.RULES:
         return None, "no_operation"
@@ -113,7 +87,6 @@ def _applied(text, op, kind, old_text, new_text, anchor_text, position):
 
 
 applied = arrow_udf(_applied, "struct<text: string, reason: string>")
-review_status = arrow_udf(clauses.review_status, "string")
 
 
 def tried(found: DataFrame, provisions: DataFrame, versions: DataFrame, key: str, on: Column) -> DataFrame:
@@ -133,7 +106,7 @@ def tried(found: DataFrame, provisions: DataFrame, versions: DataFrame, key: str
     dry = F.when((F.col("status") == "parsed") & (F.col("hits") == 1), applied(F.when(~new, F.col("standing")), "op", "kind", "old_text", "new_text", "anchor_text", "position"))
     return rows.withColumn("dry", dry).select(
         key, "place", "status", "op", "kind", "instrument", "target_path", "provision_id", "outcome", "effective_from", "condition",
-        (F.col("dry").isNotNull() & F.col("dry.reason").isNull()).alias("dry_run_ok"), F.col("dry.reason").alias("dry_run_reason"), review_status("status", "problems", F.col("hits") == 1).alias("review_status"),
+        (F.col("dry").isNotNull() & F.col("dry.reason").isNull()).alias("dry_run_ok"), F.col("dry.reason").alias("dry_run_reason"), review_status(F.col("status"), F.col("problems"), F.col("hits") == 1).alias("review_status"),
     )
 
 

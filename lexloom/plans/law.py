@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import amend, ids
 from ..functions.text import normalise_text, word_diff
-from ..operators import fields, law, segments
+from ..operators import amendments, fields, law, segments
 from ..operators.folds import arrow_udf
 from ..sources import tables as s
 from .registry import VERSIONS, query
@@ -246,10 +246,33 @@ UNION ALL SELECT p_partkey, n, 3, 'amend', 'raw', NULL, NULL, NULL, DATE '2021-0
 
 @query(f"WITH {NOTIFIED} SELECT p_partkey, CAST(place AS INTEGER) AS place, op, kind, CASE WHEN kind = 'raw' THEN 'CGST_RULES' ELSE 'CGST_RULES' END AS instrument, target_path, old_text, new_text, effective_from, CAST(confidence AS DOUBLE) AS confidence FROM clauses")
 def amend_detect(spark: SparkSession, d: str) -> DataFrame:
-    found = law.proposals(*_notified(spark, d), "p_partkey")
+    found = amendments.proposals(*_notified(spark, d), "p_partkey")
     return found.select("p_partkey", "place", "op", "kind", "instrument", "target_path", "old_text", "new_text", "effective_from", "confidence")
 
 
+@query(
+    """WITH o AS (SELECT o_custkey AS k, o_orderpriority, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey) - 1 AS seq FROM orders), f AS (SELECT *, seq % 7 AS form, 'r' || (seq // 7 + 1) AS rule FROM o)
+    SELECT k, CAST(row_number() OVER (PARTITION BY k ORDER BY seq) - 1 AS INTEGER) AS place, CASE form WHEN 1 THEN 'substitute' WHEN 2 THEN 'insert' WHEN 4 THEN 'insert' WHEN 6 THEN 'amend' ELSE 'omit' END AS op,
+    CASE WHEN form IN (3, 4) THEN 'provision' WHEN form = 6 THEN 'raw' ELSE 'words' END AS kind, 'CGST_RULES' AS instrument, rule || CASE form WHEN 3 THEN '.2' WHEN 4 THEN '.3A' ELSE '' END AS target_path,
+    CASE WHEN form = 4 THEN rule || '.3' END AS anchor_path, CASE form WHEN 2 THEN 'before' WHEN 4 THEN 'after' END AS position, CASE WHEN form = 2 THEN 'boat' END AS anchor_text, CASE form WHEN 1 THEN 'tolls; dues' WHEN 5 THEN '5' END AS old_text,
+    CASE form WHEN 1 THEN o_orderpriority WHEN 2 THEN 'long' WHEN 4 THEN '(3A) New; text' END AS new_text, CASE WHEN form = 4 THEN '3A' END AS new_label, CASE WHEN form = 3 THEN DATE '2021-05-01' ELSE DATE '2021-03-01' END AS effective_from,
+    CASE WHEN form = 3 THEN 'on_date' ELSE 'on_gazette' END AS condition, CASE WHEN form = 6 THEN 'grammar_no_match' ELSE '' END AS problems, CAST(seq AS INTEGER) AS block FROM f WHERE form > 0"""
+)
+def amend_forms(spark: SparkSession, d: str) -> DataFrame:
+    """A notification for each customer, a line for each order: leads of numbered paragraphs and clauses of every kind in them."""
+    at = F.row_number().over(law.Window.partitionBy("o_custkey").orderBy("o_orderkey")) - 1
+    rows = s.table(spark, d, "orders").select(F.col("o_custkey").alias("k"), at.alias("seq"), "o_orderpriority")
+    number = (F.floor(F.col("seq") / 7) + 1).cast("string")
+    lines = [
+        F.concat(number, F.lit(". In rule "), number, F.lit(" of the CGST Rules,-")), F.concat(F.lit("(a) for the words “tolls; dues”, the words “"), "o_orderpriority", F.lit("” shall be substituted;")), F.lit("(b) before the word “boat”, insert the word “long”;"),
+        F.lit("(c) sub-rule (2) shall be omitted with effect from the 1st May, 2021;"), F.lit("(d) after sub-rule (3), the following sub-rule shall be inserted, namely:- “(3A) New; text”;"), F.lit("(e) omit the figures “5”; and"), F.lit("(f) in clause (z), all rows are rescinded."),
+    ]
+    blocks = rows.select("k", "seq", F.element_at(F.array(*lines), (F.col("seq") % 7 + 1).cast("int")).alias("text"))
+    found = amendments.proposals(blocks, rows.select("k").distinct().withColumn("doc_date", F.lit("2021-03-01").cast("date")), "k")
+    kept = ("k", "place", "op", "kind", "instrument", "target_path", "anchor_path", "position", "anchor_text", "old_text", "new_text", "new_label", "effective_from", "condition")
+    return found.select(*kept, F.array_join("problems", ",").alias("problems"), F.col("blocks")[0].alias("block"))
+
+
 @query(
     f"""WITH {NOTIFIED}, hits AS (SELECT c_custkey % 60 + 1 AS n, count(*) AS hits, min(c_custkey) AS provision_id FROM customer GROUP BY 1)
     SELECT p_partkey, CAST(place AS INTEGER) AS place, CASE WHEN kind = 'raw' OR op = 'omit' OR hits IS NULL THEN 'not_found' WHEN hits = 1 THEN 'resolved' ELSE 'ambiguous' END AS outcome, CASE WHEN kind <> 'raw' AND op <> 'omit' AND hits = 1 THEN provision_id END AS provision_id,
@@ -260,7 +283,7 @@ def amend_dry_run(spark: SparkSession, d: str) -> DataFrame:
     """The stage after detection: targets looked up, clauses tried on the text that stands, and the review they need."""
     provisions = s.table(spark, d, "customer").select(F.col("c_custkey").alias("provision_id"), F.lit("CGST_RULES").alias("instrument"), F.concat(F.lit("ch1.r"), (F.col("c_custkey") % 60 + 1).cast("string")).alias("path"))
     versions = provisions.select("provision_id", F.lit("It is a rate.").alias("text"), F.lit("2018-01-01").cast("date").alias("valid_from"), F.lit(None).cast("date").alias("valid_to"))
-    got = law.tried(law.proposals(*_notified(spark, d), "p_partkey"), provisions, versions, "p_partkey", F.lit("2021-04-01").cast("date"))
+    got = law.tried(amendments.proposals(*_notified(spark, d), "p_partkey"), provisions, versions, "p_partkey", F.lit("2021-04-01").cast("date"))
     return got.select("p_partkey", "place", "outcome", "provision_id", "dry_run_ok", "dry_run_reason", "review_status")
 
 

@@ -6,7 +6,7 @@ import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
-from lexloom.functions import amend, clauses, dates, html, ids, legal, lexemes, text
+from lexloom.functions import amend, dates, html, ids, legal, lexemes, text
 from lexloom.operators import law
 
 CANAL = "A boat that enters the canal pays a toll of nine coins, and a raft pays a toll too."
@@ -51,7 +51,6 @@ def test_parsers_never_raise(said):
     legal.looks_like_citation(said)
     ids.parsed(said)
     html.blocks(said)
-    clauses.detect([said, said])
     dates.effective(said)
     lexemes.parsed(said)
     lexemes.snippet(lexemes.parsed(said), said)
@@ -199,28 +198,6 @@ def test_dates():
     assert dates.last_dated("dated 2nd May, 2020, dated 03.05.2020, 4.5.2020") == date(2020, 5, 3)
 
 
-NOTICE = [
-    "In exercise of powers, these rules further to amend the Central Goods and Services Tax Rules, 2017, namely:-", "2. In the said rules (hereinafter the principal rules), in rule 31,-", "(a) in sub-rule (2), for the words “a toll; or dues”, the words “dues” shall be substituted;",
-    "(b) sub-rule (4) shall be omitted with effect from 1st July, 2022;", "3. In the said rules, after rule 40, the following rule shall be inserted, namely:-", "“40A. Rafts.- A raft waits; then it goes.”;", "4. In rule 52, before the word “boat”, insert the word “long”;",
-    "5. Rule 60 is rescinded, whatever it says.", "6. Some boats are long.",
-]
-
-
-def test_amending_clauses():
-    got = clauses.detect(NOTICE)["proposals"]
-    assert [(p["op"], p["kind"], p["target_path"], p["instrument"]) for p in got] == [("substitute", "words", "r31.2", "CGST_RULES"), ("omit", "provision", "r31.4", "CGST_RULES"), ("insert", "provision", "r40A", "CGST_RULES"), ("insert", "words", "r52", "CGST_RULES"), ("amend", "raw", None, "CGST_RULES")]
-    assert (got[0]["old_text"], got[0]["new_text"], got[0]["blocks"]) == ("a toll; or dues", "dues", [2])
-    assert (got[1]["effective_from"], got[2]["new_label"], got[2]["anchor_path"], got[2]["blocks"]) == (date(2022, 7, 1), "40A", "r40", [4, 5])
-    assert (got[3]["anchor_text"], got[3]["position"], got[3]["new_text"]) == ("boat", "before", "long")
-    assert [p["confidence"] for p in got] == [0.9, 0.9, 0.9, 0.9, 0.0] and got[4]["problems"] == ["grammar_no_match"]
-
-
-def test_units_stay_whole_inside_quotes():
-    assert [u for _, u in clauses.units('a; "b; c"\n"d"; e\nf')] == ["a", ' "b; c"\n"d"', " e", "f"]
-    assert clauses.detect(["in rule 4, for the words “x”, the words “y” shall be substituted"])["proposals"][0]["problems"] == ["instrument_unresolved"]
-    assert [clauses.review_status(*x) for x in (("parsed", [], True), ("parsed", [], False), ("raw", [], True), ("parsed", ["p"], True))] == ["proposed", "needs_info", "needs_info", "needs_info"]
-
-
 def test_html():
     got = html.blocks("<head><title>t</title><nav>n</nav></head><h2>Boats</h2>One<br>two<hr>three<dl><dt>four<dd>five</dl><table><tr><th>A<th><tr><td><p>1</p><p>2</p><td>3<table><tr><td>deep</table></table>six<table><tr><td>open")
     assert [(b["kind"], b["text"]) for b in got] == [("heading", "Boats"), ("para", "One two"), ("para", "three"), ("para", "four"), ("para", "five"), ("table", "A | \n1 2 | 3deep"), ("table_row", "A: 1 2; Column 2: 3deep"), ("para", "six"), ("table", "open")]
