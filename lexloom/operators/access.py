@@ -2,9 +2,14 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+import base64
+import json
+
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .relations import page_after
+
 #: What each role may do.
 PERMISSIONS = {"admin": ("users.manage", "audit.read", "review.decide", "documents.read"), "editor": ("review.decide", "documents.edit", "documents.read"), "reader": ("documents.read",)}
 #: Fields of documents that may be edited by hand; what kind of task is looked at first.
@@ -47,3 +52,29 @@ def priority(kind: Column, least: int = 9) -> Column:
 def cursor(*values: Column) -> Column:
     """An opaque mark of the last row of a page."""
     return F.base64(F.encode(F.to_json(F.array(*[v.cast("string") for v in values])), "UTF-8"))
+
+
+def seen(mark: str | None, *names: str) -> dict[str, object]:
+    """The keys of the last row of a page by its mark; none of them without a mark. Refused where the mark is none."""
+    if mark is None:
+        return dict.fromkeys(names)
+    try:
+        values = json.loads(base64.b64decode(mark, validate=True))
+    except ValueError as broken:
+        raise ValueError("no mark of a page") from broken
+    if not isinstance(values, list) or len(values) != len(names):
+        raise ValueError("no mark of a page")
+    return dict(zip(names, values, strict=True))
+
+
+def page(df: DataFrame, keys: list[str], limit: int, mark: str | None = None, descending: bool = False) -> DataFrame:
+    """A page of df beyond a mark, with the exact number of all rows (`total`) and the mark of the next page (null at the end).
+
+    Rows are only sorted as far as the page goes: the page and one row more are all that is numbered.
+    """
+    rows = page_after(df, seen(mark, *keys), limit, descending)
+    total = df.select(F.count("*")).scalar()
+    order = [F.col(k).desc() if descending else F.col(k).asc() for k in keys]
+    rows = rows.withColumn("nth__", F.row_number().over(Window.orderBy(*order))).withColumn("more__", F.count("*").over(Window.partitionBy()) > limit)
+    following = F.max(F.when(F.col("more__") & (F.col("nth__") == limit), cursor(*[F.col(k) for k in keys]))).over(Window.partitionBy())
+    return rows.withColumn("next", following).withColumn("total", total).where(F.col("nth__") <= limit).drop("nth__", "more__")

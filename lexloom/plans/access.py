@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import base64
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -65,3 +67,32 @@ def unknown_fields(spark: SparkSession, d: str) -> DataFrame:
 def task_priorities(spark: SparkSession, d: str) -> DataFrame:
     """The order tasks are looked at in, and the mark of each as the last of a page."""
     return s.tasks(spark, d).select("task_id", a.priority(F.col("kind")).alias("priority"), a.cursor(F.col("task_id"), F.col("kind")).alias("cursor"))
+
+
+MARK = base64.b64encode(b'["1","1998-01-01 00:00:00","100"]').decode()
+OPEN = f"WITH {TASKS}, f AS (SELECT priority, CAST(opened_at AS TIMESTAMP) AS opened_at, task_id, kind FROM tasks WHERE status = 'open' AND kind <> 'metadata')"
+
+
+@query(
+    f"""{OPEN}, p AS (SELECT *, row_number() OVER (ORDER BY priority, opened_at, task_id) AS nth FROM f WHERE (priority, opened_at, task_id) > (1, TIMESTAMP '1998-01-01', 100))
+    SELECT priority, opened_at, task_id, kind, (SELECT count(*) FROM f) AS total, CASE WHEN (SELECT count(*) FROM p) > 25 THEN (SELECT base64(encode('["' || priority || '","' || strftime(opened_at, '%Y-%m-%d %H:%M:%S') || '","' || task_id || '"]')) FROM p WHERE nth = 25) END AS next FROM p WHERE nth <= 25"""
+)
+def task_page(spark: SparkSession, d: str) -> DataFrame:
+    """A page of the review list: filters, a mark to go on from, the exact total and the mark of the next page in one query."""
+    kinds = F.col("kind") != "metadata"
+    found = s.tasks(spark, d).where(r.all_of(F.col("status") == "open", kinds, None)).select("priority", F.col("opened_at").cast("timestamp").alias("opened_at"), "task_id", "kind")
+    return a.page(found, ["priority", "opened_at", "task_id"], 25, MARK)
+
+
+@query(
+    """WITH f AS (SELECT event_id, event_type, user_id FROM events WHERE event_type IN ('error', 'click') AND user_id % 3 = 1 AND ts >= (SELECT min(ts) FROM events) AND ts < (SELECT max(ts) FROM events) AND value >= 1 AND value < 90 AND event_id % 2 = 0),
+    p AS (SELECT *, row_number() OVER (ORDER BY event_id DESC) AS nth FROM f)
+    SELECT event_id, event_type, user_id, (SELECT count(*) FROM f) AS total, CASE WHEN (SELECT count(*) FROM p) > 40 THEN (SELECT base64(encode('["' || event_id || '"]')) FROM p WHERE nth = 40) END AS next FROM p WHERE nth <= 40"""
+)
+def audit_page(spark: SparkSession, d: str) -> DataFrame:
+    """The first page of the audit list, latest first, with all seven filters set."""
+    events = s.table(spark, d, "events")
+    span = events.select(F.min("ts").alias("begin"), F.max("ts").alias("end"))
+    begin, end = span.select("begin").scalar(), span.select("end").scalar()
+    found = events.where(r.all_of(F.col("event_type").isin("error", "click"), F.col("user_id") % 3 == 1, F.col("ts") >= begin, F.col("ts") < end, F.col("value") >= 1, F.col("value") < 90, F.col("event_id") % 2 == 0))
+    return a.page(found.select("event_id", "event_type", "user_id"), ["event_id"], 40, descending=True)

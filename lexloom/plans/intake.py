@@ -11,7 +11,7 @@ from ..functions.text import word_diff
 from ..operators import layout, workflow
 from ..operators.temporal import as_on
 from ..session import shared_folder
-from ..sources import files, store
+from ..sources import files, settings, store
 from ..sources import tables as s
 from .registry import TASKS, VERSIONS, query
 
@@ -118,3 +118,43 @@ def store_round_trip(spark: SparkSession, d: str) -> DataFrame:
     store.store(texts.where("doc_id % 3 <> 0").select("content"), root)
     store.store(texts.where("doc_id % 2 = 0 or doc_id % 3 = 0").select("content"), root)
     return store.stored(spark, root, "raw").select("key", "length", F.sha2("content", 256).alias("digest"))
+
+
+FIELDS = [
+    settings.Field("code", "string", pattern="^S", unique=True), settings.Field("name", "string"), settings.Field("kind", "string", choice=("file", "feed", "web")),
+    settings.Field("schedule.cadence_hours", "int", least=1), settings.Field("aliases", "array<string>", required=False),
+]
+ENTRIES = """e AS (SELECT s_suppkey, s_name, s_suppkey // 20 AS file, row_number() OVER (PARTITION BY s_suppkey // 20 ORDER BY s_suppkey) - 1 AS nth, s_suppkey % 8 AS fault, count(*) FILTER (s_suppkey % 8 = 6) OVER () AS same FROM supplier)"""
+
+
+def _settings(spark: SparkSession, d: str) -> DataFrame:
+    """Files of twenty suppliers each, as sources of documents; the remainder by eight says which fault an entry has."""
+    k, fault = F.col("s_suppkey").cast("string"), F.col("s_suppkey") % 8
+    hours = F.when(fault == 2, '"six"').when(fault == 3, "0").otherwise((F.col("s_suppkey") % 5 + 1).cast("string"))
+    entry = F.concat(
+        F.lit('{"code": "S'), F.when(fault == 6, "X").otherwise(k), F.lit('", "name": "'), "s_name", F.lit('", "kind": "'), F.when(fault == 4, "paper").otherwise("web"), F.lit('"'),
+        F.when(fault == 1, "").otherwise(F.concat(F.lit(', "schedule": {"cadence_hours": '), hours, F.lit("}"))), F.when(fault == 5, ', "colour": "red"').otherwise(', "aliases": ["a", "b"]'), F.lit("}"),
+    )
+    rows = s.table(spark, d, "supplier").select("s_suppkey", F.floor(F.col("s_suppkey") / 20).alias("file"), F.when(fault == 7, '"no entry"').otherwise(entry).alias("entry"))
+    docs = rows.groupBy("file").agg(F.array_sort(F.collect_list(F.struct("s_suppkey", "entry"))).alias("own"))
+    folder = f"{shared_folder(spark)}/settings-{uuid.uuid4().hex}"
+    text = F.concat(F.lit('{"sources": [\n'), F.array_join(F.transform("own", lambda x: x["entry"]), ",\n"), F.lit("]}"))
+    docs.select("file", text.alias("value")).write.partitionBy("file").text(folder)
+    return settings.texts(spark, folder)
+
+
+@query(f"WITH {ENTRIES} SELECT 'S' || CASE WHEN fault = 6 THEN 'X' ELSE CAST(s_suppkey AS VARCHAR) END AS code, s_name AS name, 'web' AS kind, CAST(s_suppkey % 5 + 1 AS INTEGER) AS schedule_cadence_hours, 'a,b' AS aliases FROM e WHERE fault = 0 OR fault = 6 AND same = 1")
+def settings_rows(spark: SparkSession, d: str) -> DataFrame:
+    """Typed rows of the entries that keep all rules."""
+    rows, _ = settings.checked(_settings(spark, d), "sources", FIELDS)
+    return rows.select("code", "name", "kind", "schedule_cadence_hours", F.array_join("aliases", ",").alias("aliases"))
+
+
+@query(
+    f"""WITH {ENTRIES} SELECT CAST(file AS BIGINT) AS file, 'sources[' || nth || ']' || CASE fault WHEN 4 THEN '.kind' WHEN 5 THEN '.colour' WHEN 6 THEN '.code' WHEN 7 THEN '' ELSE '.schedule.cadence_hours' END AS path,
+    CASE fault WHEN 1 THEN 'missing' WHEN 2 THEN 'not a int' WHEN 3 THEN 'below 1' WHEN 4 THEN 'not one of file, feed, web' WHEN 5 THEN 'unknown' WHEN 6 THEN 'repeated' ELSE 'not an object' END AS problem FROM e WHERE fault > 0 AND (fault <> 6 OR same > 1)"""
+)
+def settings_violations(spark: SparkSession, d: str) -> DataFrame:
+    """Every rule that an entry breaks, by file and path."""
+    _, violations = settings.checked(_settings(spark, d), "sources", FIELDS)
+    return violations.select(F.regexp_extract("file", r"/file=(\d+)/", 1).cast("long").alias("file"), "path", "problem")

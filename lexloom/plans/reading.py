@@ -144,6 +144,15 @@ def first_status(spark: SparkSession, d: str) -> DataFrame:
     return w.first_status(s.table(spark, d, "orders").select(F.col("o_custkey").alias("k")), docs, "k")
 
 
+@query("SELECT o_orderkey AS k, 'in_force' AS status, CASE WHEN o_custkey % 2 = 0 THEN CAST(o_orderdate AS DATE) + 30 ELSE CAST(o_orderdate AS DATE) END AS valid_from FROM orders WHERE o_orderstatus = 'O'")
+def first_status_of_orders(spark: SparkSession, d: str) -> DataFrame:
+    """Orders that are open have no status row yet; the others keep theirs."""
+    orders = s.table(spark, d, "orders")
+    day = F.col("o_orderdate").cast("date")
+    docs = orders.select(F.col("o_orderkey").alias("k"), F.when(F.col("o_custkey") % 2 == 0, F.date_add(day, 30)).alias("in_force_date"), day.alias("doc_date"))
+    return w.first_status(orders.where("o_orderstatus <> 'O'").select(F.col("o_orderkey").alias("k")), docs, "k")
+
+
 @query("SELECT l_orderkey AS k, l_linenumber AS part, l_partkey AS v FROM lineitem WHERE l_orderkey % 3 <> 0 UNION ALL SELECT l_orderkey, 0, count(*) FROM lineitem WHERE l_orderkey % 3 = 0 GROUP BY 1")
 def replaced_rows(spark: SparkSession, d: str) -> DataFrame:
     """What every third order had is replaced by one row."""
