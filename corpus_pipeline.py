@@ -8,7 +8,9 @@
 5. packing cuts the texts' token ids into pieces and packs them into sequences of 2048.
 
 All but the last return the columns of documents. Empty inputs give empty outputs; null ids and repeated rows are handled
-as the operators' docstrings say.
+as the operators' docstrings say. Very long texts go through whole, a text to a Python call and a piece of 2,048 tokens to a
+row; of equal texts the least doc_id stays. Columns of documents may have the names of the operators' own: they pass through
+the first four stages as they came, but for text and n_chars; packing returns its own columns only.
 """
 
 from __future__ import annotations
