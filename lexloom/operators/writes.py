@@ -116,8 +116,12 @@ def round_robin(tasks: DataFrame, task: str, editors: DataFrame, editor: str) ->
     return ranked.withColumn("place", F.col("rank") % F.lit(max(1, total))).join(places, "place").select(task, editor)
 
 
-def ranks(df: DataFrame, column: str, ranges: int = 64) -> DataFrame:
-    """df with `rank`, the place of a row (from 0) in the order of a unique numeric column."""
+def ranks(df: DataFrame, column: str, ranges: int | None = None) -> DataFrame:
+    """df with `rank`, the place of a row (from 0) in the order of a unique numeric column.
+
+    Rows are sorted in ranges, as many as a shuffle has partitions (64 to 1,024), whose counts alone reach the driver.
+    """
+    ranges = ranges or min(1024, max(64, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions", "200"))))
     cuts = df.agg(F.percentile_approx(column, [k / ranges for k in range(1, ranges)], 10 * ranges).alias("q")).first()["q"] or []
     cuts = sorted(set(cuts))
     part = F.size(F.filter(F.lit(cuts).cast("array<bigint>"), lambda c: c <= F.col(column))) if cuts else F.lit(0)
@@ -134,12 +138,17 @@ def ranks(df: DataFrame, column: str, ranges: int = 64) -> DataFrame:
 def sampled(df: DataFrame, key: str, percent: float, seed: str) -> DataFrame:
     """A repeatable random sample without replacement: the rows of least hash, max(1, round(n * percent / 100)) of them.
 
-    Rows are counted by ranges of their hash, so the sample is taken where the rows are.
+    Hashes are even, so the least ones lie below a bound a little over the sample's share: only rows below it are ranked. Where
+    fewer rows than the sample lie there, all are.
     """
     n = df.count()
     take = max(1, round(n * percent / 100)) if n else 0
     hashed = df.withColumn("hash__", F.conv(F.substring(F.md5(F.concat(F.col(key).cast("string"), F.lit(seed))), 1, 15), 16, 10).cast("long"))
-    return ranks(hashed, "hash__").where(F.col("rank") < take).select(*df.columns)
+    bound = min(1.0, (take + 6 * take**0.5 + 20) / n) if n else 1.0
+    below = hashed.where(F.col("hash__") <= int(bound * (16**15 - 1)))
+    if bound < 1 and below.count() < take:
+        below = hashed
+    return ranks(below, "hash__").where(F.col("rank") < take).select(*df.columns)
 
 
 def first_status(stored: DataFrame, documents: DataFrame, key: str) -> DataFrame:
