@@ -35,3 +35,11 @@ def test_limit_excludes_the_start_of_its_window(spark):
     rows = spark.createDataFrame([("u", START), ("u", START + timedelta(seconds=60))], "user string, at timestamp")
     assert [r["recent"] for r in jobs.over_limit(rows, "user", "at", 60, 1).orderBy("at").collect()] == [1, 1]
     assert [r["recent"] for r in jobs.over_limit(rows, "user", "at", 61, 1).orderBy("at").collect()] == [1, 2]
+
+
+def test_medians_of_very_many_jobs_are_exact(spark, tmp_path):
+    """A day and source with more jobs than an approximation keeps: the median is a job's own, in a table and in a stream."""
+    rows = spark.range(300_001).select(F.lit(1).alias("source"), F.lit(START).alias("discovered_at"), F.timestamp_micros(F.unix_micros(F.lit(START)) + F.pmod(F.col("id") * 7919, F.lit(300_001)) * 1000).alias("published_at"))
+    rows.write.parquet(f"{tmp_path}/jobs")
+    for table in (rows, jobs.read_stream(spark, f"{tmp_path}/jobs", rows.schema)):
+        assert [(round(r["p50_hours"] * 3.6e6, 3), r["published"]) for r in jobs.freshness(table).collect()] == [(150_000, 300_001)]
