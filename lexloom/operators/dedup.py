@@ -110,3 +110,10 @@ def sharing(docs: DataFrame, block: str, key: str, numbers: str) -> DataFrame:
     each = docs.select(block, key, F.explode(F.array_distinct(numbers)).alias("number"))
     least = each.groupBy(block, "number").agg(F.min(key).alias("target"), F.max(key).alias("most")).where("target < most").drop("most")
     return each.join(least, [block, "number"]).select(block, "number", key, "target").distinct()
+
+
+def sharing_pairs(docs: DataFrame, block: str, key: str, numbers: str) -> DataFrame:
+    """(a, b): every two documents of one block that have a number in common, once each, from the members of each number that is shared."""
+    members = sharing(docs, block, key, numbers).select(block, "number", key)
+    a, b = members.select(block, "number", F.col(key).alias("a")), members.select(block, "number", F.col(key).alias("b"))
+    return a.join(b, [block, "number"]).where("a < b").select("a", "b").distinct()

@@ -94,12 +94,22 @@ def late_replans(spark: SparkSession, d: str) -> DataFrame:
     return stages.replanned(orders.where(~F.col("late")), orders.where("late"))
 
 
+def _numbered(spark: SparkSession, d: str) -> DataFrame:
+    """Documents (orders) with one number or two."""
+    key = F.col("o_orderkey")
+    return s.table(spark, d, "orders").select("o_custkey", key.alias("doc"), dedup.numbers_of(F.concat(F.lit("n"), (key % 3).cast("string")), F.when(key % 4 != 0, F.concat(F.lit("m"), (key % 4).cast("string"))), F.lit(" ")).alias("numbers"))
+
+
+@query("SELECT a.o_orderkey AS a, b.o_orderkey AS b FROM orders a JOIN orders b ON a.o_custkey = b.o_custkey AND a.o_orderkey < b.o_orderkey AND (a.o_orderkey % 3 = b.o_orderkey % 3 OR a.o_orderkey % 4 = b.o_orderkey % 4 AND a.o_orderkey % 4 <> 0)")
+def shared_numbers(spark: SparkSession, d: str) -> DataFrame:
+    """Documents of one day and court whose numbers have one in common, whichever of their numbers it is."""
+    return dedup.sharing_pairs(_numbered(spark, d), "o_custkey", "doc", "numbers")
+
+
 @query(
     """WITH n AS (SELECT o_custkey, o_orderkey AS doc, 'n' || (o_orderkey % 3) AS number FROM orders UNION ALL SELECT o_custkey, o_orderkey, 'm' || (o_orderkey % 4) FROM orders WHERE o_orderkey % 4 <> 0)
     SELECT o_custkey, number, doc, target FROM (SELECT *, min(doc) OVER w AS target, count(*) OVER w AS n FROM n WINDOW w AS (PARTITION BY o_custkey, number)) WHERE n > 1"""
 )
-def shared_numbers(spark: SparkSession, d: str) -> DataFrame:
-    """Documents of one day and court whose numbers have one in common, whichever of their numbers it is, under the least of them."""
-    key = F.col("o_orderkey")
-    docs = s.table(spark, d, "orders").select("o_custkey", key.alias("doc"), dedup.numbers_of(F.concat(F.lit("n"), (key % 3).cast("string")), F.when(key % 4 != 0, F.concat(F.lit("m"), (key % 4).cast("string"))), F.lit(" ")).alias("numbers"))
-    return dedup.sharing(docs, "o_custkey", "doc", "numbers")
+def shared_number_targets(spark: SparkSession, d: str) -> DataFrame:
+    """The same documents by number, under the least of them."""
+    return dedup.sharing(_numbered(spark, d), "o_custkey", "doc", "numbers")

@@ -57,8 +57,21 @@ def test_a_number_that_all_share_gives_a_row_each(spark):
     assert got.count() == 2000 and got.where("target <> 0").count() == 0
 
 
+def test_every_pair_that_shares_a_number_is_told_once(spark):
+    docs = spark.createDataFrame([(1, 1, ["x", "y"]), (1, 2, ["x", "y"]), (1, 3, ["y"]), (1, 4, ["z"]), (2, 5, ["x"]), (2, 6, [])], "block long, doc long, numbers array<string>")
+    assert sorted(tuple(r) for r in dedup.sharing_pairs(docs, "block", "doc", "numbers").collect()) == [(1, 2), (1, 3), (2, 3)]
+
+
 def test_a_wide_gap_is_one_range(spark):
     labels = spark.createDataFrame([(1, 1, 1), (1, 2, 3_000_000), (1, 3, 3_000_002), (1, 4, 3_000_002)], "k long, seq long, number long")
     assert tuple(relations.numbering_gaps(labels, "k", "number").first()) == (1, 1, 3_000_002, 2_999_999, "2-2999999,3000001")
     got = {(r["problem"], r["number"], r["upto"]) for r in relations.numbering_problems(labels, "k", "seq", "number").collect()}
     assert got == {("gap", 2, 2_999_999), ("gap", 3_000_001, 3_000_001), ("duplicate", 3_000_002, 3_000_002)}
+
+
+def test_every_missing_number_is_told(spark):
+    labels = spark.createDataFrame([(1, 1, 1), (1, 2, 10_000), (1, 3, 10_002), (1, 4, 10_002), (1, 5, 3)], "k long, seq long, number long")
+    got = relations.each_number(relations.numbering_problems(labels, "k", "seq", "number"))
+    assert got.columns == ["k", "problem", "number"]
+    rows = sorted((r["problem"], r["number"]) for r in got.collect())
+    assert rows == sorted([("gap", n) for n in (2, *range(4, 10_000), 10_001)] + [("duplicate", 10_002), ("out_of_order", 3)])
