@@ -87,6 +87,13 @@ def numbering_problems(items: DataFrame, key: str, seq: str, number: str) -> Dat
     return twice.unionByName(order).unionByName(_gaps(items, key, number).select(key, F.lit("gap").alias("problem"), "number", "upto"))
 
 
+def each_number(problems: DataFrame, step: int = 4096) -> DataFrame:
+    """Problems with a row for each number of a range instead of the range; wide ones are cut into pieces first, so that no row holds all of them."""
+    pieces = problems.withColumn("number", F.explode(F.sequence("number", "upto", F.lit(step).cast("long"))))
+    each = F.sequence("number", F.least(F.col("number") + (step - 1), F.col("upto")))
+    return pieces.withColumn("number", F.explode(each)).drop("upto")
+
+
 def without_chapter(path: Column) -> Column:
     """A provision path without a leading chapter, so that paths with and without one meet in an equi-join."""
     return F.regexp_replace(path, r"^ch[0-9]+\.", "")

@@ -49,12 +49,23 @@ def numbering_gaps(spark: SparkSession, d: str) -> DataFrame:
     return r.numbering_gaps(numbers(spark, d), "provision_id", "number")
 
 
+@query(
+    f"""WITH {NUMBERS}, b AS (SELECT provision_id, min(number) AS first, max(number) AS last, list(DISTINCT number) AS have FROM numbers GROUP BY 1)
+    SELECT provision_id, 'duplicate' AS problem, number FROM numbers GROUP BY 1, 3 HAVING count(*) > 1
+    UNION ALL SELECT DISTINCT provision_id, 'out_of_order', number FROM (SELECT *, lag(number) OVER (PARTITION BY provision_id ORDER BY seq) AS before FROM numbers) WHERE number < before
+    UNION ALL SELECT provision_id, 'gap', x FROM (SELECT provision_id, have, unnest(range(first, last + 1)) AS x FROM b) WHERE NOT list_contains(have, x)"""
+)
+def numbering_gate(spark: SparkSession, d: str) -> DataFrame:
+    return r.each_number(r.numbering_problems(numbers(spark, d), "provision_id", "seq", "number"))
+
+
 @query(
     f"""WITH {HOLES} SELECT provision_id, 'duplicate' AS problem, number, number AS upto FROM numbers GROUP BY 1, 3 HAVING count(*) > 1
     UNION ALL SELECT DISTINCT provision_id, 'out_of_order', number, number FROM (SELECT *, lag(number) OVER (PARTITION BY provision_id ORDER BY seq) AS before FROM numbers) WHERE number < before
     UNION ALL SELECT provision_id, 'gap', number, upto FROM holes"""
 )
-def numbering_gate(spark: SparkSession, d: str) -> DataFrame:
+def numbering_gate_ranges(spark: SparkSession, d: str) -> DataFrame:
+    """The same problems, missing numbers as ranges."""
     return r.numbering_problems(numbers(spark, d), "provision_id", "seq", "number")
 
 
