@@ -38,6 +38,14 @@ def top_per_group(df: DataFrame, group: str, n: int, *order: Column) -> DataFram
     return df.withColumn("place", F.row_number().over(Window.partitionBy(group).orderBy(*order))).where(F.col("place") <= n)
 
 
+def first_of_path(asked: DataFrame, paths: DataFrame, path: str, key: str, n: int) -> DataFrame:
+    """asked with the first n rows of paths (by key) that have their path, and each one's place.
+
+    All who ask for a path get the same rows, so paths are ranked before the join and it never meets more than n a path.
+    """
+    return asked.join(top_per_group(paths, path, n, F.asc(key)), path)
+
+
 def tree_order(nodes: DataFrame) -> DataFrame:
     """nodes (id, parent_id, ordinal) in depth-first order: sort keys are the zero-padded ordinals along the path.
 
