@@ -16,6 +16,8 @@ from ..session import shared_folder
 
 #: Seconds of a lease, of the first retry's delay, and how often a job is tried.
 LEASE, RETRY, ATTEMPTS = 600, 30, 3
+#: Rows of a file of a stream's step.
+STEP_ROWS = 250_000
 
 
 def daily(jobs: DataFrame, late: str = "1 day") -> DataFrame:
@@ -136,7 +138,7 @@ def stable_files(scans: DataFrame, needed: int) -> DataFrame:
     return seen.where(F.col("n") == needed).groupBy("path").agg(F.min("scan").alias("scan"))
 
 
-def drained(stream: DataFrame, name: str, mode: str = "complete", longest: timedelta = timedelta(minutes=5)) -> DataFrame:
+def drained(stream: DataFrame, name: str, mode: str = "complete", longest: timedelta = timedelta(hours=6)) -> DataFrame:
     """Run a stream over what is there now and give its result as a table of Parquet files in the shared folder.
 
     Each batch has a folder of its own, written anew if it is run again. In complete mode the last one is the result; in
@@ -168,11 +170,21 @@ def upserted(stream: DataFrame, name: str, keys: list[str]) -> DataFrame:
 
 
 def in_steps(spark: SparkSession, steps: list[DataFrame], name: str) -> DataFrame:
-    """A stream of tables, one after the other: each is written as one file of a folder of this run's own."""
+    """A stream of tables, one after the other: each is written as so many files of a folder of this run's own, and a batch of the stream takes so many.
+
+    How many is what the largest table needs at STEP_ROWS a file, so no task writes or reads a table alone; a table that
+    makes fewer files is filled up with empty ones. Tables are counted and then written: give them stored.
+    """
     path = f"{shared_folder(spark)}/steps/{name}-{uuid.uuid4().hex}"
+    files = max(1, -(-max(step.count() for step in steps) // STEP_ROWS))
+    before = 0
     for step in steps:
-        step.coalesce(1).write.mode("append").parquet(path)
-    return read_stream(spark, path, steps[0].schema, 1)
+        step.repartition(files).write.mode("append").parquet(path)
+        made = len(spark.read.schema(step.schema).parquet(path).inputFiles())
+        for _ in range(before + files - made):
+            step.limit(0).coalesce(1).write.mode("append").parquet(path)
+        before += files
+    return read_stream(spark, path, steps[0].schema, files)
 
 
 def read_stream(spark: SparkSession, path: str, schema: StructType, files_at_once: int = 100) -> DataFrame:

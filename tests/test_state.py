@@ -87,6 +87,17 @@ def test_times_that_no_event_can_reach_are_forgotten(spark):
     assert sorted((r["id"], r["recent"]) for r in told.collect()) == [(1, 1), (2, 2), (3, 1), (4, 1)]
 
 
+def test_steps_of_several_files_come_one_after_the_other(spark, monkeypatch):
+    """Tables of more rows than a file takes, and shorter ones: a batch of the stream is a table, whole."""
+    monkeypatch.setattr(jobs, "STEP_ROWS", 10)
+    seen = []
+    steps = [spark.range(a, b, numPartitions=2).select("id") for a, b in ((0, 35), (100, 101), (200, 220))]
+    stream = jobs.in_steps(spark, steps, "several")
+    run = stream.writeStream.foreachBatch(lambda batch, _: seen.append(sorted(r["id"] for r in batch.collect()))).trigger(availableNow=True).start()
+    run.awaitTermination(120)
+    assert seen == [list(range(35)), [100], list(range(200, 220))]
+
+
 def test_a_scan_that_misses_a_file_begins_anew(spark):
     rows = [("a", k, 1, 1) for k in (1, 2, 3, 4, 5)] + [("b", k, 1, 1) for k in (1, 2, 4, 5, 6)] + [("c", 1, 1, 1), ("c", 2, 2, 1), ("c", 3, 2, 2), ("c", 4, 2, 2), ("c", 5, 2, 2)]
     scans = spark.createDataFrame([(*r, at(60 * r[1])) for r in rows], "path string, scan long, size long, mtime long, at timestamp")
