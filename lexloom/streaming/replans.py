@@ -14,6 +14,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators import law
+from ..session import cut
 from ..sources import snapshots
 
 STEP = "provision_id long, amendment_id string, effective_from date, kind string, old_text string, new_text string, anchor_text string, position string, occurrence int"
@@ -35,7 +36,8 @@ def replan(spark: SparkSession, root: str, baselines: DataFrame, late: DataFrame
     own = lambda df: df.join(touched, _KEY, "left_semi")
     names = [c.split()[0] for c in STEP.split(", ")]
     steps = own(_now(spark, known, "steps", STEP)).select(*names).unionByName(late.select(*names)).dropDuplicates([_KEY, "amendment_id"])
-    planned = law.replayed(own(baselines), steps)
+    steps = cut(steps)
+    planned = cut(law.replayed(own(baselines), steps))
     stored = own(_now(spark, known, "versions", VERSION))
     rows = law.consolidated(stored, planned, F.lit(at).cast("timestamp"))
     snapshots.rewrite(spark, root, _KEY, touched, {"steps": steps, "versions": rows}, {"batch": number})
@@ -46,7 +48,7 @@ def begin(spark: SparkSession, root: str, baselines: DataFrame, at: datetime) ->
     replan(spark, root, baselines, spark.createDataFrame([], STEP), at, -1, baselines)
 
 
-def follow(stream: DataFrame, root: str, baselines: DataFrame, start: datetime, each: timedelta, state: str, longest: timedelta = timedelta(minutes=10)) -> None:
+def follow(stream: DataFrame, root: str, baselines: DataFrame, start: datetime, each: timedelta, state: str, longest: timedelta = timedelta(hours=6)) -> None:
     """Take all amendments that a stream has now; batch n is on record at start + n * each."""
     spark = stream.sparkSession
     run = stream.writeStream.foreachBatch(lambda batch, n: replan(spark, root, baselines, batch, start + n * each, n)).option("checkpointLocation", state).trigger(availableNow=True).start()
