@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from ..functions import sql
 from ..operators import search as q
 from ..operators import term_index
-from ..session import shared_folder
+from ..session import dealt, shared_folder
 from ..sources import tables as s
 from .registry import BLOCKS, DOCS, query
 
@@ -64,7 +64,7 @@ def narrowed_chunks(spark: SparkSession, d: str) -> DataFrame:
 def sql_functions(spark: SparkSession, d: str) -> DataFrame:
     """The text functions under their SQL names."""
     sql.register(spark)
-    s.table(spark, d, "part").createOrReplaceTempView("lexloom_part")
+    dealt(s.table(spark, d, "part")).createOrReplaceTempView("lexloom_part")  # a small file would be read, and all of Python run, in one task
     return spark.sql(
         """SELECT p_partkey, legal_locator('sub-rule (4) of rule ' || (p_partkey % 90 + 1)).path AS path, word_diff('x ' || p_brand, 'x ' || CASE WHEN p_partkey % 2 = 0 THEN p_type ELSE p_brand END) AS diff, normalise_text(' a  b ') AS plain,
         CAST(c.number AS BIGINT) AS n FROM lexloom_part JOIN LATERAL legal_citations('Notification No. ' || (p_partkey % 90 + 1) || '/2020-Central Tax') AS c WHERE NOT contains(p_brand, ' ') AND NOT contains(p_type, ' ')"""
