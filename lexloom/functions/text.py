@@ -9,6 +9,7 @@ import unicodedata
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StringType
@@ -74,16 +75,20 @@ def document_heading(title: Column, path: Column, label: Column) -> Column:
 
 
 _DASHES = dict.fromkeys(map(ord, "–—−‐"), "-") | dict.fromkeys(map(ord, "‘’"), "'") | dict.fromkeys(map(ord, "“”"), '"')
+_SPACES = re.compile(r"\s+")
 
 
 def plain(text: str) -> str:
     """Compatibility form, plain dashes and quotes, single spaces, no fold of case."""
-    return re.sub(r"\s+", " ", unicodedata.normalize("NFKC", text).translate(_DASHES)).strip()
+    if not text.isascii():
+        text = unicodedata.normalize("NFKC", text).translate(_DASHES)
+    return _SPACES.sub(" ", text).strip()
 
 
-@F.pandas_udf(StringType())
-def normalise_text(texts: pd.Series) -> pd.Series:
-    return texts.map(plain, na_action="ignore")
+@F.arrow_udf(StringType())
+def normalise_text(texts: pa.Array) -> pa.Array:
+    """Texts are taken out of the batch one by one, so that Python never holds all of them as objects."""
+    return pa.array((None if (x := value.as_py()) is None else plain(x) for value in texts), pa.string(), size=len(texts))
 
 
 def simhash(text: str) -> int:
