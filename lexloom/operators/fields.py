@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 from ..functions import dates, legal
 from ..functions.dates import EXACT, FALLBACK
 from ..functions.text import normalise_text
+from ..session import shares
 from .folds import arrow_udf
 
 #: How sure a field from a file's name is, and the list of provisions referred to.
@@ -177,13 +178,15 @@ def _side(head: Column, respondent: bool) -> Column:
     return F.array_distinct(F.filter(names, lambda x: x != ""))
 
 
-def windows(blocks: DataFrame, key: str) -> DataFrame:
+def windows(blocks: DataFrame, key: str, tasks: int | None = None) -> DataFrame:
     """blocks (key, seq, kind, text) as (key, blocks, tail): the first BODY and the last TAIL blocks that are not empty, in order."""
     kind = F.col("kind") if "kind" in blocks.columns else F.lit("para").alias("kind")
-    said = blocks.select(key, "seq", kind, normalise_text(F.coalesce("text", F.lit(""))).alias("text")).withColumn("empty", F.col("text") == "")
+    said = blocks.select(key, "seq", kind, normalise_text(F.coalesce("text", F.lit(""))).alias("text"))
+    said = said.repartition(tasks or shares(blocks), key).withColumn("empty", F.col("text") == "")
     names = ("seq", "kind", "text")
     ranked = said.withColumn("n", F.row_number().over(Window.partitionBy(key).orderBy("empty", *names)))
-    ranked = ranked.withColumn("back", F.row_number().over(Window.partitionBy(key).orderBy("empty", *[F.desc(c) for c in names])))
+    filled = F.count(F.when(~F.col("empty"), 1)).over(Window.partitionBy(key))
+    ranked = ranked.withColumn("back", filled + 1 - F.col("n")).where(~F.col("empty") | (F.col("n") == 1))  # the empty ones come last; one stays for a document of no others
     kept = ranked.where(f"n <= {BODY} or back <= {TAIL}")
     ordered = lambda which: F.array_sort(F.collect_list(F.when(which & ~F.col("empty"), F.struct("n", "kind", "text"))))
     return kept.groupBy(key).agg(ordered(F.col("n") <= BODY).alias("blocks"), ordered(F.col("back") <= TAIL).alias("tail"))
@@ -227,8 +230,9 @@ def fields(blocks: DataFrame, documents: DataFrame, key: str, today: Column) ->
     c, kind = F.col, F.col("doc_type")
     is_a = lambda *types: F.coalesce(kind.isin(*types), F.lit(False))
     docs = documents.select(key, "doc_type", F.coalesce("title", F.lit("")).alias("title"), F.coalesce("file_name", F.lit("")).alias("file"))
+    tasks = shares(blocks)
     typed = docs.where(is_a(*[t for t in REQUIRED if t != "other"])).select(key)
-    rows = windows(blocks, key).join(docs, key).join(sections_referred(blocks.join(typed, key, "left_semi"), key), key, "left")
+    rows = windows(blocks, key, tasks).join(docs, key).join(sections_referred(blocks.repartition(tasks, key).join(typed, key, "left_semi"), key), key, "left")
     rows = rows.withColumns({"head": _window(c("blocks"), HEAD), "court_head": _window(c("blocks"), COURT_HEAD), "body": _window(c("blocks"), BODY)})
 
     court, dated = is_a("judgement"), is_a("notification", *CIRCULARS, "judgement")

@@ -3,8 +3,10 @@
 import pytest
 from pyspark.sql import functions as F
 
+from lexloom import session
 from lexloom.functions import legal, sql
 from lexloom.functions.text import normalise_text
+from lexloom.operators import amendments, fields
 from lexloom.plans import find
 from lexloom.session import dealt
 
@@ -35,3 +37,24 @@ def test_f19_texts_with_nulls(spark):
     rows = spark.createDataFrame([(1, " a  b "), (2, None), (3, ""), (4, "x – y")], "k int, text string")
     got = {r.k: r.t for r in rows.select("k", normalise_text("text").alias("t")).collect()}
     assert got == {1: "a b", 2: None, 3: "", 4: "x - y"}
+
+
+def plan_of(df, capsys):
+    capsys.readouterr()
+    df.explain()
+    return capsys.readouterr().out
+
+
+def test_f12_units_are_gathered_once(spark, capsys):
+    blocks = spark.createDataFrame([(1, 0, "(a) rule 2 shall be omitted;")], "d long, seq int, text string")
+    plan = plan_of(amendments.detected(blocks, "d"), capsys)
+    assert sum("ObjectHashAggregate" in line and "collect_list" in line for line in plan.splitlines()) == 2  # a part before the shuffle, a part behind it
+
+
+def test_f15_f10_blocks_are_dealt_by_their_rows(spark, capsys, monkeypatch):
+    blocks = spark.createDataFrame([(k, 0, "ORDER No. 1/2019") for k in range(90)], "d long, seq int, text string")
+    docs = spark.createDataFrame([(1, "order", None, None)], "d long, doc_type string, title string, file_name string")
+    monkeypatch.setattr(session, "TASK_ROWS", 10)
+    assert session.shares(blocks) == 9
+    assert "hashpartitioning(d#" in (plan := plan_of(amendments.detected(blocks, "d"), capsys)) and ", 9), REPARTITION_BY_NUM" in plan
+    assert ", 9), REPARTITION_BY_NUM" in plan_of(fields.fields(blocks, docs, "d", F.current_date()), capsys)
