@@ -6,9 +6,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators import dedup, stages
+from ..session import shares
 from ..sources import tables as s
 from .registry import BLOCKS, DOCS, JOBS, TASKS, VERSIONS, query
 
+#: Lines that a task is dealt: they are narrow.
+LINES = 1_000_000
+
 
 @query("""SELECT event_id, coalesce(CASE WHEN event_id % 2 = 0 THEN event_type END, json_extract_string(props, '$.k')) AS title FROM events""")
 def json_titles(spark: SparkSession, d: str) -> DataFrame:
@@ -40,9 +44,11 @@ def task_details(spark: SparkSession, d: str) -> DataFrame:
 
 @query("SELECT l_partkey AS doc_id, s_name AS source, min(l_shipdate) AS first_seen, max(l_shipdate) AS last_seen FROM lineitem JOIN supplier ON s_suppkey = l_suppkey GROUP BY 1, 2")
 def document_sources(spark: SparkSession, d: str) -> DataFrame:
-    seen = s.table(spark, d, "lineitem").groupBy(F.col("l_partkey").alias("doc_id"), "l_suppkey").agg(F.min("l_shipdate").alias("first_seen"), F.max("l_shipdate").alias("last_seen"))
-    named = seen.join(s.table(spark, d, "supplier"), F.col("s_suppkey") == F.col("l_suppkey"))
-    return named.groupBy("doc_id", F.col("s_name").alias("source")).agg(F.min("first_seen").alias("first_seen"), F.max("last_seen").alias("last_seen"))
+    lines = s.table(spark, d, "lineitem").select("l_partkey", "l_suppkey", "l_shipdate")
+    tasks = shares(lines, LINES)
+    seen = lines.repartition(tasks, "l_partkey").groupBy(F.col("l_partkey").alias("doc_id"), "l_suppkey").agg(F.min("l_shipdate").alias("first_seen"), F.max("l_shipdate").alias("last_seen"))
+    named = seen.repartition(tasks, "l_suppkey").join(s.table(spark, d, "supplier").select("s_suppkey", F.col("s_name").alias("source")), F.col("s_suppkey") == F.col("l_suppkey"))
+    return named.repartition(tasks, "doc_id").groupBy("doc_id", "source").agg(F.min("first_seen").alias("first_seen"), F.max("last_seen").alias("last_seen"))
 
 
 @query(f"WITH {BLOCKS} SELECT doc_id, seq FROM blocks WHERE doc_id IN (SELECT doc_id FROM docs WHERE status = 'stayed') AND seq % 2 = 0")

@@ -7,7 +7,7 @@ from lexloom import session
 from lexloom.functions import legal, sql
 from lexloom.functions.text import normalise_text
 from lexloom.operators import amendments, fields
-from lexloom.plans import find
+from lexloom.plans import find, lookups
 from lexloom.session import dealt
 
 
@@ -58,3 +58,13 @@ def test_f15_f10_blocks_are_dealt_by_their_rows(spark, capsys, monkeypatch):
     assert session.shares(blocks) == 9
     assert "hashpartitioning(d#" in (plan := plan_of(amendments.detected(blocks, "d"), capsys)) and ", 9), REPARTITION_BY_NUM" in plan
     assert ", 9), REPARTITION_BY_NUM" in plan_of(fields.fields(blocks, docs, "d", F.current_date()), capsys)
+
+
+def test_f25_lines_are_dealt_by_their_rows(spark, capsys, monkeypatch, tmp_path):
+    lines = spark.range(100).select((F.col("id") % 9).alias("l_partkey"), (F.col("id") % 2).alias("l_suppkey"), F.lit("2020-01-01").cast("date").alias("l_shipdate"))
+    lines.write.parquet(f"{tmp_path}/lineitem.parquet")
+    spark.range(2).select(F.col("id").alias("s_suppkey"), F.lit("s").alias("s_name")).write.parquet(f"{tmp_path}/supplier.parquet")
+    monkeypatch.setattr(lookups, "LINES", 10)
+    got = lookups.document_sources(spark, str(tmp_path))
+    assert plan_of(got, capsys).count(", 10), REPARTITION_BY_NUM") == 3
+    assert got.count() == 9
