@@ -7,7 +7,10 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..session import cut
+from ..session import cut, shares
+
+#: Links that a task is dealt: they are narrow.
+LINKS = 1_000_000
 
 
 def all_of(*clauses: Column | None) -> Column:
@@ -130,5 +133,8 @@ def link_group(link_type: Column, doc_type: Column) -> Column:
 
 def linked(links: DataFrame, docs: DataFrame) -> DataFrame:
     """Links to provisions with their documents, counted by provision and group."""
-    joined = links.where("dst_type = 'provision'").join(docs, links["src_id"] == docs["doc_id"])
-    return joined.withColumn("bucket", link_group(F.col("link_type"), F.col("doc_type"))).groupBy("dst_id", "bucket").agg(F.count("*").alias("links"), F.countDistinct("src_id").alias("documents"))
+    own = links.where("dst_type = 'provision'").select("dst_id", "src_id", "link_type")
+    tasks = shares(own, LINKS)
+    joined = own.repartition(tasks, "src_id").join(docs, F.col("src_id") == F.col("doc_id"))
+    each = joined.select("dst_id", "src_id", link_group(F.col("link_type"), F.col("doc_type")).alias("bucket")).repartition(tasks, "dst_id", "src_id").groupBy("dst_id", "bucket", "src_id").agg(F.count("*").alias("links"))
+    return each.groupBy("dst_id", "bucket").agg(F.sum("links").alias("links"), F.count("*").alias("documents"))

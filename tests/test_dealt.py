@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 from lexloom import session
 from lexloom.functions import legal, sql
 from lexloom.functions.text import normalise_text
-from lexloom.operators import amendments, fields
+from lexloom.operators import amendments, fields, relations
 from lexloom.plans import find, lookups
 from lexloom.session import dealt
 
@@ -68,3 +68,12 @@ def test_f25_lines_are_dealt_by_their_rows(spark, capsys, monkeypatch, tmp_path)
     got = lookups.document_sources(spark, str(tmp_path))
     assert plan_of(got, capsys).count(", 10), REPARTITION_BY_NUM") == 3
     assert got.count() == 9
+
+
+def test_f24_links_are_dealt_by_their_rows(spark, capsys, monkeypatch):
+    links = spark.createDataFrame([("provision", 1, 2, "amends")] * 30 + [("provision", 2, 2, "amends"), ("document", 1, 2, "amends")], "dst_type string, src_id long, dst_id long, link_type string")
+    docs = spark.createDataFrame([(1, "act"), (2, "act")], "doc_id long, doc_type string")
+    monkeypatch.setattr(relations, "LINKS", 4)
+    got = relations.linked(links, docs)
+    assert ", 8), REPARTITION_BY_NUM" in plan_of(got, capsys)
+    assert [tuple(r) for r in got.collect()] == [(2, "amending_instruments", 31, 2)]
