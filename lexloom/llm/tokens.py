@@ -26,6 +26,9 @@ _BY_WORDS = {
 }
 _PLAIN = re.compile(r"[\t\n\r\x20-\x7e¡-ɏ]*")
 _SPACE = re.compile(r"[\t\n\r ]+")
+#: How a pattern of parts ends, and the endings with an apostrophe that may stand before that: none of them begins in letters.
+_PARTS = r"[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
+_ENDINGS = re.compile(r"('[a-z]+\|)*")
 _coders: dict[str, Coder] = {}
 
 
@@ -45,6 +48,7 @@ class Coder:
         pattern = self._pattern(json.loads(self.tokenizer.to_str()))
         self.by_words = pattern is not None
         self.pattern = regex.compile(pattern or "")
+        self.letters_alone = bool(_ENDINGS.fullmatch((pattern or "").removesuffix(_PARTS)))
         self.words = _Cache(self._word)
         self.others = _Cache(self._other)
         # one character stands for each byte in the vocabulary: printable ones for themselves, the rest from 256 upwards
@@ -62,14 +66,17 @@ class Coder:
             return None
         same = all(rules[k] == v for k, v in _BY_WORDS.items())
         # a part never holds white space: it is letters, one number, or other signs, which the pattern must say itself
-        alone = pattern.endswith(r"[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+")
+        alone = pattern.endswith(_PARTS)
         return pattern if same and alone and rules["model"]["type"] == "BPE" and not rules["post_processor"] else None
 
     def _part(self, part: str) -> bytes:
-        return array("I", [t.id for t in self.model.tokenize(part.encode().decode("latin-1").translate(self.letters))]).tobytes()
+        said = part if part.isascii() and part.isprintable() else part.encode().decode("latin-1").translate(self.letters)
+        return array("I", [t.id for t in self.model.tokenize(said)]).tobytes()
 
     def _word(self, word: str) -> bytes:
         """A lower-cased word of plain characters; its parts are words too, so one cache holds both."""
+        if self.letters_alone and word.isalpha():
+            return self._part(word)
         parts = self.pattern.findall(word)
         return self._part(word) if parts == [word] else b"".join(map(self.words.__getitem__, parts))
 
