@@ -6,7 +6,7 @@ import atexit
 import gc
 import tempfile
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from contextlib import contextmanager
 
 import numpy as np
@@ -19,6 +19,8 @@ from pyspark.sql import functions as F
 PIECE_ROWS, PIECE_BYTES = 512, 2_000_000
 
 _scratch: dict[str, str] = {}
+#: How to drop what an operator keeps in a Python worker from task to task.
+_kept: dict[str, Callable[[], None]] = {}
 
 
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -37,6 +39,18 @@ def slices(batches: Iterator[pa.RecordBatch], column: str = "text", rows: int =
             at = end
 
 
+def keeps(owner: str, drop: Callable[[], None]) -> None:
+    """An operator says how to drop what it keeps in a worker."""
+    _kept[owner] = drop
+
+
+def begins(owner: str) -> None:
+    """A task of an operator begins: workers are reused, so what others have kept in this one is dropped."""
+    for other, drop in _kept.items():
+        if other != owner:
+            drop()
+
+
 @contextmanager
 def rows_at_once(spark: SparkSession, rows: int) -> Iterator[None]:
     """Jobs that start inside send at most so many rows at once to Python; the session's own setting is put back behind them."""

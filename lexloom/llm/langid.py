@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import fold_of, materialise, slices
+from .common import begins, fold_of, materialise, slices
 
 DOCS_PER_LANG, CHARS_PER_DOC = 160, 160
 #: Symbols of all languages together, and places in a document they are taken from.
@@ -217,6 +217,7 @@ def predicted(spark: SparkSession, model: Model, text: Column) -> Column:
 
     @F.arrow_udf("struct<lang_pred: string, score: double>")
     def told(texts: pa.Array) -> pa.Array:
+        begins("langid")
         lang, score = [], []
         for piece in slices([pa.RecordBatch.from_arrays([texts], names=["text"])], size=1_000_000):
             some = shared.value.predict(piece.column(0).to_pylist())

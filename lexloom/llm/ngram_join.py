@@ -37,7 +37,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import materialise, rows_at_once, slices, text_key
+from .common import begins, keeps, materialise, rows_at_once, slices, text_key
 from .components import connected
 
 WORDS, PERCENT = 3, 90
@@ -69,6 +69,7 @@ class _Words(dict):
 
 
 _words = _Words()
+keeps("ngram_join", _words.clear)
 
 
 def shingles(text: bytes, width: int = WORDS) -> np.ndarray:
@@ -146,6 +147,7 @@ def document_sets(docs: DataFrame, width: int = WORDS) -> DataFrame:
     rows = docs.select("doc_id", "text", text_key(F.col("text")).alias("text_key"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        begins("ngram_join")
         for batch in slices(batches):
             sets = [shingles(t or b"", width) for t in batch.column(1).cast(pa.binary()).to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array([len(s) for s in sets], pa.int64()), pa.array([key_of(s) if len(s) else None for s in sets], pa.int64()), pa.array([shape_of(s) for s in sets], pa.binary())], names=["doc_id", "text_key", "n_shingles", "key", "shape"])
@@ -175,6 +177,7 @@ def candidates(docs: DataFrame, width: int = WORDS, percent: int = PERCENT) -> D
         return pa.RecordBatch.from_arrays([pa.array(place.view(np.int64)), pa.array(who), pa.array(told.view(np.int64), mask=plain)], names=["place", "key", "sig"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        begins("ngram_join")
         bands, told = Bands(percent), set()
         sigs, keys, size = [], [], 0
         for batch in slices(batches):
@@ -307,6 +310,7 @@ def _judged(docs: DataFrame, members: DataFrame, width: int, percent: int) -> Da
     rows = rows.repartition(parts, "leader", "own").sortWithinPartitions("leader", "own", F.desc("first"), "key")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        begins("ngram_join")
         now, pivot, name, last = None, NONE, None, None
         for batch in slices(batches):
             out: list[tuple] = []
@@ -346,6 +350,7 @@ def links(docs: DataFrame, sets: DataFrame, width: int = WORDS, percent: int = P
     rows = texts.select("t.*", "key", "text").repartition(parts, *TASK).sortWithinPartitions(*TASK, "key").select(*TASK, "own", "key", "text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        begins("ngram_join")
         now, found = None, {}
         for batch in slices(batches):
             for leader, x, y, own, key, text in zip(*(c.to_pylist() for c in batch.columns), strict=True):

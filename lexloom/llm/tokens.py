@@ -15,6 +15,8 @@ from array import array
 import regex
 from tokenizers import Tokenizer
 
+from .common import begins, keeps
+
 VOCABULARY = "word_bpe_49k.json"
 #: Words in a cache, and the longest word that is kept.
 CACHE, LONGEST = 400_000, 100
@@ -115,6 +117,10 @@ class _Cache(dict):
 
 def coder(path: str) -> Coder:
     """This process's coder for a file."""
+    begins("tokens")
     if path not in _coders:
         _coders[path] = Coder(path)
     return _coders[path]
+
+
+keeps("tokens", _coders.clear)
