@@ -19,6 +19,8 @@ SAME_STATE, OTHER_STATE = 1.15, 0.95
 #: The groups that hits are counted in, by document type; other types are in none.
 GROUPS = {"act": "provisions", "rules": "provisions", "notification": "notifications", "circular": "circulars", "instruction": "circulars", "order": "circulars", "judgement": "judgements"}
 CANDIDATES = 200
+#: Whole texts that a task gathers the words of.
+TEXTS = 5_000
 
 
 def occurrences(docs: DataFrame, keys: list[str], english: bool = False) -> DataFrame:

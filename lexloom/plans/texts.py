@@ -9,6 +9,7 @@ from ..functions import text as x
 from ..operators import chunking as c
 from ..operators import dedup as dd
 from ..operators import search as q
+from ..session import dealt
 from ..sources import tables as s
 from .registry import BLOCKS, DOCS, VERSIONS, query
 
@@ -188,7 +189,9 @@ def word_recall(spark: SparkSession, d: str) -> DataFrame:
 
 @query(r"SELECT term, doc_id, count(*) AS tf, min(p) AS first_position FROM (SELECT doc_id, t[p + 1] AS term, p FROM (SELECT doc_id, t, unnest(range(len(t))) AS p FROM (SELECT doc_id, regexp_extract_all(lower(text), '[\p{L}\p{N}\p{M}]+') AS t FROM documents))) GROUP BY 1, 2")
 def postings(spark: SparkSession, d: str) -> DataFrame:
-    return q.postings(s.table(spark, d, "documents"), "doc_id").select("term", "doc_id", "tf", F.element_at("positions", 1).alias("first_position"))
+    """Texts are dealt by their ids, so each meets its own words in one task and no word is shuffled."""
+    docs = s.table(spark, d, "documents").select("doc_id", "text")
+    return q.postings(dealt(docs, "doc_id", rows=q.TEXTS), "doc_id").select("term", "doc_id", "tf", F.element_at("positions", 1).alias("first_position"))
 
 
 ASKED = ["the", "of"]
