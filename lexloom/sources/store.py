@@ -114,7 +114,19 @@ class _Reader(DataSourceReader):
 
 @dataclass
 class _Staged(WriterCommitMessage):
-    moves: list[tuple[str, str]]
+    """A task's folder, the digests of the contents in it one behind the other, and the keys that were given: 32 bytes for a content."""
+
+    folder: str
+    digests: bytes
+    named: list[str]
+
+    def moves(self) -> Iterator[tuple[str, str]]:
+        """(place in the folder, key) of each object."""
+        for k in range(0, len(self.digests), 32):
+            digest = self.digests[k : k + 32].hex()
+            yield f"{self.folder}/{digest}", f"raw/{digest[:2]}/{digest}"
+        for k, key in enumerate(self.named):
+            yield f"{self.folder}/named-{k}", key
 
 
 class _Writer(DataSourceWriter):
@@ -124,23 +136,27 @@ class _Writer(DataSourceWriter):
         self.root, self.stage = options["path"], f"{_STAGE}/{uuid.uuid4().hex}"
 
     def write(self, rows: Iterator) -> _Staged:
-        store, moves = Store(self.root), {}
+        store, folder = Store(self.root), f"{self.stage}/{uuid.uuid4().hex}"
+        digests, named = set(), {}
         for row in rows:
             given = row.asDict()
             content = bytes(given["content"])
-            key = checked(given.get("key") or raw_key(content))
-            if key in moves or (not given.get("key") and store.exists(key)):
-                continue
-            part = store.at(f"{self.stage}/{uuid.uuid4().hex}")
-            store._write(part, content)
-            moves[key] = part
-        return _Staged([(part, store.at(key)) for key, part in moves.items()])
+            key = checked(given["key"]) if given.get("key") else None
+            if key is None:
+                digest = hashlib.sha256(content).digest()
+                if digest not in digests and not store.exists(f"raw/{digest.hex()[:2]}/{digest.hex()}"):
+                    store._write(store.at(f"{folder}/{digest.hex()}"), content)
+                    digests.add(digest)
+            elif key not in named:
+                store._write(store.at(f"{folder}/named-{len(named)}"), content)
+                named[key] = len(named)
+        return _Staged(folder, b"".join(digests), list(named))
 
     def commit(self, messages: list) -> None:
         store = Store(self.root)
-        moves = {path: part for m in messages if m for part, path in m.moves}  # one of each key, whichever task wrote it
+        moves = {key: part for m in messages if m for part, key in m.moves()}  # one of each key, whichever task wrote it
         with ThreadPoolExecutor(16) as pool:
-            list(pool.map(lambda x: store._move(x[1], x[0]), moves.items()))
+            list(pool.map(lambda x: store._move(store.at(x[1]), store.at(x[0])), moves.items()))
         self._clear(store)
 
     def abort(self, messages: list) -> None:
