@@ -9,7 +9,7 @@ from ..functions import text as x
 from ..operators import chunking as c
 from ..operators import dedup as dd
 from ..operators import search as q
-from ..session import dealt
+from ..session import cut, dealt
 from ..sources import tables as s
 from .registry import BLOCKS, DOCS, VERSIONS, query
 
@@ -164,7 +164,7 @@ def near_dupes_md5(spark: SparkSession, d: str) -> DataFrame:
 def near_dupes(spark: SparkSession, d: str) -> DataFrame:
     """The same join on 64-bit hashes of word shingles, over the whole table, which SQL cannot compute; tests compare it with brute force."""
     hashes = s.table(spark, d, "documents").select("doc_id", F.lit(0).alias("block"), x.simhash64("text").alias("simhash"))
-    return dd.near_pairs(hashes, "block")
+    return dd.near_pairs(cut(hashes), "block")  # stored: the join uses them more than once, and Python hashes each text once
 
 
 @query(f"WITH {HASHES} SELECT b AS doc_id, min(a) AS target FROM near GROUP BY 1")
