@@ -104,7 +104,7 @@ def simhash(text: str) -> int:
 
 @F.pandas_udf(LongType())
 def simhash64(texts: pd.Series) -> pd.Series:
-    return texts.map(simhash, na_action="ignore")
+    return pd.Series([None if pd.isna(t) else simhash(t) for t in texts], dtype="Int64")  # beside a null, plain numbers would be rounded
 
 
 def marked_diff(old: str, new: str) -> str:
