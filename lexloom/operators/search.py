@@ -23,14 +23,19 @@ CANDIDATES = 200
 TEXTS = 5_000
 
 
+def worded(docs: DataFrame, keys: list[str]) -> DataFrame:
+    """(keys, ahead__, words__): the words of a heading (where there is one) and of the text behind it, and how many are the heading's."""
+    heading = F.coalesce("heading", F.lit("")) if "heading" in docs.columns else F.lit("")
+    told = lambda x: F.regexp_extract_all(F.lower(x), F.lit(lexemes.WORD), F.lit(0))
+    return docs.select(*keys, F.size(told(heading)).alias("ahead__"), F.concat(told(heading), told(F.coalesce("text", F.lit("")))).alias("words__"))
+
+
 def occurrences(docs: DataFrame, keys: list[str], english: bool = False) -> DataFrame:
     """(keys, term, position, weight): a row for each word of a heading (where there is one) and of the text behind it.
 
     English words lose their endings, and those that are not searched for have no row; their places stay empty.
     """
-    heading = F.coalesce("heading", F.lit("")) if "heading" in docs.columns else F.lit("")
-    told = lambda x: F.regexp_extract_all(F.lower(x), F.lit(lexemes.WORD), F.lit(0))
-    rows = docs.select(*keys, F.size(told(heading)).alias("ahead__"), F.posexplode(F.concat(told(heading), told(F.coalesce("text", F.lit(""))))).alias("position", "term"))
+    rows = worded(docs, keys).select(*keys, "ahead__", F.posexplode("words__").alias("position", "term"))
     if english:
         stems = F.pandas_udf(lambda x: x.map(lexemes.stem), "string")
         rows = rows.where(~F.col("term").isin(*lexemes.STOP)).withColumn("term", stems("term"))

@@ -73,7 +73,7 @@ def sql_functions(spark: SparkSession, d: str) -> DataFrame:
 
 def _chunks(spark: SparkSession, d: str) -> DataFrame:
     """Lines of documents as chunks, headed by the document's type; even judgements are of high courts, every third of one state."""
-    rows = s.blocks(spark, d).drop("doc_type").join(s.documents(spark, d).drop("text"), "doc_id")
+    rows = s.lines(s.documents(spark, d).where("doc_id is not null"))
     court = F.when((F.col("doc_type") == "judgement") & (F.col("doc_id") % 4 == 1), "HC")
     state = F.when(F.col("doc_id") % 3 == 2, "ka").otherwise("DL")
     ends = F.when(F.col("doc_id") % 3 == 0, F.date_add("doc_date", 400))
@@ -85,7 +85,10 @@ def _chunks(spark: SparkSession, d: str) -> DataFrame:
 
 def _indexed(spark: SparkSession, d: str, english: bool) -> tuple[term_index.Reader, DataFrame]:
     """An index of all chunks, in which a second batch gives every tenth document anew, without its odd lines; and the chunks as they are then."""
-    root, chunks = f"{shared_folder(spark)}/term-index-{uuid.uuid4().hex}", _chunks(spark, d)
+    root = f"{shared_folder(spark)}/term-index-{uuid.uuid4().hex}"
+    made = _chunks(spark, d)
+    made.write.option("compression", "zstd").parquet(f"{root}/chunks")  # a search reads their columns again and again, and few of their texts
+    chunks = spark.read.schema(made.schema).parquet(f"{root}/chunks")
     tenth = F.col("doc_id") % 10 == 0
     term_index.add(spark, root, chunks, english)
     term_index.add(spark, root, chunks.where(tenth & (F.col("seq") % 2 == 0)), english)
