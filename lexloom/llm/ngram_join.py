@@ -2,10 +2,12 @@
 
 A document's set is its distinct word shingles, as 64-bit hashes. Equal sets are one class from the start. Of the rest:
 
-1. Candidates. Two sets of Jaccard likeness t or more differ in few shingles: at most (x + y)(1 - t)/(1 + t). A set's hash
-   range is cut into more parts than that, so the sets agree on all shingles of some part. Each part's hash is a
-   signature; empty parts have one only in the rare set that has no more other parts than shingles may differ (if either
-   of two linked sets has more, one of its parts with shingles is untouched, and the other set has that part too). Sets that share one get the smallest class among them as their leader. Parts are counted by bands of set
+1. Candidates. Two sets of Jaccard likeness t or more differ in few shingles: at most (x + y)(1 - t)/(1 + t), and at most
+   x(1 - t)/t. A set's hash range is cut into more parts than that, so the sets agree on all shingles of most parts. Each
+   part's hash is a signature. All parts stand in one order, those with most shingles first and then by their hash, so of
+   two sets that differ in at most d parts, each has one among its first d + 1 that the other has there too: only these are
+   sent. Parts of one shingle, which texts with a passage in common share by the thousand, come last and mostly stay at home.
+   Sets that share a signature get the smallest class among them as their leader. Parts are counted by bands of set
    sizes, and a set near the top of its band also stands in the next one. No pairs are made: a leader and its followers
    are a group, and two linked sets meet in at least one group.
 2. Groups. A group is opened in one task. A large one is a star first: every set is compared with one of them, and only
@@ -43,7 +45,8 @@ from .components import connected
 WORDS, PERCENT = 3, 90
 BLOCK_SETS, BLOCK_SHINGLES, SUBGROUP = 512, 400_000, 16
 SHAPE = 64
-REMEMBERED = 200_000
+#: Bytes of a word that is hashed beside others, and of a text whose words are remembered; what a worker remembers.
+LONG, SHORT, REMEMBERED = 32, 200, 200_000
 #: Rows that Spark sends to Python at once: a batch of texts stands in both processes and, packed, between them.
 AT_ONCE = 1_000
 #: Signatures that a task looks at together, sets among them that make a signature common, and rounds of stars.
@@ -60,29 +63,56 @@ def _mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(32))
 
 
-class _Words(dict):
-    def __missing__(self, word: bytes) -> int:
-        if len(self) >= REMEMBERED:
-            self.clear()
-        value = self[word] = xxhash.xxh3_64_intdigest(word)
-        return value
+#: Codes of words of short texts.
+_words: dict[bytes, int] = {}
+keeps("ngram_join", _words.clear)
+#: Keeps the first 0 to 8 bytes of a little-endian word of eight.
+_FIRST = np.array([(1 << 8 * k) - 1 for k in range(9)], dtype=np.uint64)
+
+
+def _codes(text: bytes) -> np.ndarray:
+    """A 64-bit hash of each word of a lower-case text, by eight bytes at a time of all words together; one longer than LONG bytes is hashed alone."""
+    raw = np.frombuffer(text + bytes(8), dtype=np.uint8)
+    inside = np.zeros(len(raw) + 1, dtype=bool)
+    inside[1:-8] = (raw[:-8] != 32) & (raw[:-8] - np.uint8(9) > 4)
+    edges = np.flatnonzero(inside[1:] != inside[:-1])
+    start, size = edges[::2], edges[1::2] - edges[::2]
+    eight = np.ndarray(len(text) + 1, dtype="<u8", buffer=raw, strides=(1,))
+    out = _mix((eight[start] & _FIRST[np.minimum(size, 8)]) + size.astype(np.uint64) * _B)
+    rest = np.flatnonzero(size > 8)
+    for k in range(8, LONG, 8):
+        if not len(rest):
+            return out
+        out[rest] = _mix(out[rest] * _C + (eight[start[rest] + k] & _FIRST[np.minimum(size[rest] - k, 8)]))
+        rest = rest[size[rest] > k + 8]
+    for i in rest.tolist():
+        out[i] = xxhash.xxh3_64_intdigest(text[start[i] : start[i] + size[i]])
+    return out
 
 
-_words = _Words()
-keeps("ngram_join", _words.clear)
+def _word_codes(text: bytes) -> np.ndarray:
+    if len(text) > SHORT:
+        return _codes(text)
+    words = text.split()
+    if not all(w in _words for w in words):
+        if len(_words) >= REMEMBERED:
+            _words.clear()
+        _words.update(zip(words, _codes(text).tolist(), strict=True))
+    return np.fromiter(map(_words.__getitem__, words), dtype=np.uint64, count=len(words))
 
 
 def shingles(text: bytes, width: int = WORDS) -> np.ndarray:
     """The sorted distinct shingle hashes of a UTF-8 text."""
-    words = text.translate(_LOWER).split()
-    if not words:
+    code = _word_codes(text.translate(_LOWER))
+    if not len(code):
         return NONE
-    code = np.fromiter(map(_words.__getitem__, words), dtype=np.uint64, count=len(words))
-    n = max(1, len(words) - width + 1)
-    out = np.zeros(n, dtype=np.uint64)
-    for k in range(min(width, len(words))):
-        out = _mix(out + code[k : k + n] + _C)
-    return np.unique(out)
+    n = max(1, len(code) - width + 1)
+    out = code[:n]
+    for k in range(1, min(width, len(code))):
+        out = out * _C + code[k : k + n]
+    out = _mix(_mix(out + np.uint64(min(width, len(code)))))
+    out.sort()
+    return out[np.concatenate([[True], out[1:] != out[:-1]])]
 
 
 def key_of(tokens: np.ndarray) -> int:
@@ -99,7 +129,7 @@ class Bands:
     """Bands of set sizes and their numbers of parts, for a likeness of percent / 100."""
 
     def __init__(self, percent: int = PERCENT, longest: int = 1 << 40):
-        self.t = Fraction(percent, 100)
+        self.percent, self.t = percent, Fraction(percent, 100)
         self.starts = [max(1, int(self.t / (1 - self.t)))]  # below, only equal sets are alike enough
         # a band of ratio t**-m costs 1 + 1 / m stays of each set and parts for its largest set: take the cheapest m
         cost = {m: (1 + 1 / m) * (float(self.t) ** -m - 1) / m for m in range(1, 9)}
@@ -108,6 +138,7 @@ class Bands:
             self.starts.append(int(-(-self.starts[-1] // self.t**power)) + 1)
         self.apart = [int(2 * (end - 1) * (1 - self.t) / (1 + self.t)) for end in self.starts[1:]]  # shingles that may differ
         self.parts = [self._parts(start, apart) for start, apart in zip(self.starts, self.apart, strict=False)]
+        self._cuts: dict[int, np.ndarray] = {}
 
     @staticmethod
     def _parts(start: int, apart: int) -> int:
@@ -117,6 +148,17 @@ class Bands:
             parts += 1 + parts // 50
         return parts
 
+    def cuts(self, band: int) -> np.ndarray:
+        """Where the parts of a band begin, but for the first."""
+        if band not in self._cuts:
+            parts = self.parts[band]
+            self._cuts[band] = (np.arange(1, parts, dtype=np.float64) * (2.0**64 / parts)).astype(np.uint64)
+        return self._cuts[band]
+
+    def differ(self, n: int, band: int) -> int:
+        """The most shingles in which a set of n and one that links with it in a band differ."""
+        return min(self.apart[band], n * (100 - self.percent) // self.percent)
+
     def of(self, n: int) -> list[int]:
         """The band of a set of n, and the next one if a partner may stand there."""
         if n < self.starts[0]:
@@ -126,19 +168,20 @@ class Bands:
 
 
 def signatures(tokens: np.ndarray, bands: Bands) -> np.ndarray:
-    """A hash of the shingles in each part of the hash range, for each band of the set."""
+    """For each band of the set, hashes of the shingles in parts of the hash range: of so many parts that one is shared with each linked set."""
     out = []
     sums = None
     for band in bands.of(len(tokens)):
         if sums is None:
             sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(_mix(tokens + _B), dtype=np.uint64)])
-        parts = bands.parts[band]
-        cuts = (np.arange(1, parts, dtype=np.float64) * (2.0**64 / parts)).astype(np.uint64)
-        at = np.concatenate([[0], np.searchsorted(tokens, cuts), [len(tokens)]])
-        count = np.diff(at)
-        sig = _mix(sums[at[1:]] - sums[at[:-1]] + np.arange(parts, dtype=np.uint64) * _C + np.uint64(band * int(_A) % 2**64) + count.astype(np.uint64) * _B)
-        full = count > 0
-        out.append(sig[full] if full.sum() > bands.apart[band] else sig)
+        at = np.concatenate([[0], np.searchsorted(tokens, bands.cuts(band)), [len(tokens)]])
+        count = np.diff(at).astype(np.uint64)
+        sig = _mix(sums[at[1:]] - sums[at[:-1]] + np.arange(len(count), dtype=np.uint64) * _C + np.uint64(band * int(_A) % 2**64) + count * _B)
+        first = bands.differ(len(tokens), band) + 1
+        if first < len(sig):
+            place = (np.uint64(63) - np.minimum(count, np.uint64(63))) << np.uint64(58) | sig >> np.uint64(6)
+            sig = sig[np.argpartition(place, first - 1)[:first]]
+        out.append(sig)
     return np.concatenate(out) if out else NONE
 
 
@@ -387,18 +430,18 @@ def _sifter(percent: int):
             first = int(np.searchsorted(100 * most[:last], percent * n))
             if last - first > 2:
                 box = np.maximum(low[first:last] - mine, mine - high[first:last]).clip(0).sum(axis=1)
-                near = (np.flatnonzero((100 + percent) * box <= (100 - percent) * 2 * n) + first).tolist()
+                near = np.flatnonzero((100 + percent) * box <= (100 - percent) * 2 * n) + first
             else:
-                near = range(first, last)
-            for g in near:
-                a, b = g * SUBGROUP, min(g * SUBGROUP + SUBGROUP, q)
-                apart = np.abs(shapes[a:b] - mine).sum(axis=1)
-                ok = ((100 + percent) * apart <= (100 - percent) * (n + sizes[a:b])) & (100 * sizes[a:b] >= percent * n)
-                if across:
-                    ok &= own[a:b] != own[q]
-                if ok.any():
-                    keep[a:b] |= ok
-                    keep[q] = True
+                near = np.arange(first, last)
+            at = (near[:, None] * SUBGROUP + np.arange(SUBGROUP)).ravel()
+            at = at[at < q]
+            apart = np.abs(shapes[at] - mine).sum(axis=1)
+            ok = ((100 + percent) * apart <= (100 - percent) * (n + sizes[at])) & (100 * sizes[at] >= percent * n)
+            if across:
+                ok &= own[at] != own[q]
+            if ok.any():
+                keep[at[ok]] = True
+                keep[q] = True
         return [r[:6] for r, k in zip(rows, keep.tolist(), strict=True) if k]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
